@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from .bit_sliced import top_k
 from .common import table
+from .language_id import fit, identify
 from .line_dedup import dedup_lines
 from .media import media_features
+from .ngram_join import near_duplicates
 from .token_counts import count_tokens
 from .url_filters import judge_urls
 from .warc import archive_pages
@@ -25,6 +27,12 @@ RULES = (
 )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = identify(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), over=1024).drop("text")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -53,9 +65,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op3_media_columns": op3_media_columns,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_token_counts": op5_token_counts,
+    "op6_ngram_join": op6_ngram_join,
     "op7_url_filters": op7_url_filters,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
