@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
 from .bit_sliced import top_k
 from .common import table
 from .language_id import fit, identify
 from .line_dedup import dedup_lines
 from .media import media_features
 from .ngram_join import near_duplicates
+from .packing import pack_documents
 from .token_counts import count_tokens
 from .url_filters import judge_urls
 from .warc import archive_pages
@@ -27,6 +29,20 @@ RULES = (
 )
 
 
+#: The domain of a labelled row, and the wanted shares of tokens.
+DOMAIN = F.expr("case when toxic = 1 then 'toxic' when quality = 1 then 'good' when quality = 0 then 'plain' end")
+TARGETS = {"good": 0.7, "plain": 0.28, "toxic": 0.02}
+#: The least score of a document whose language counts as known.
+MIN_SCORE = 0.25
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mixing.fit(docs, table(spark, sf_dir, "labels"), DOMAIN)
+    rates = mixing.mix(docs, model, TARGETS)
+    return rates.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)), "rate")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify(docs.select("doc_id", "text"), fit(docs))
@@ -55,6 +71,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), buckets=12, budget=16_384)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, keep="none", min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -65,12 +85,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_media_columns": op3_media_columns,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_token_counts": op5_token_counts,
     "op6_ngram_join": op6_ngram_join,
     "op7_url_filters": op7_url_filters,
+    "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
 }
