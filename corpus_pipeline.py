@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from phonoweave.llm import language_id, line_dedup, mixing, ngram_join, packing
 from phonoweave.llm.common import shared_dir, table
-from phonoweave.llm.queries import DOMAIN, MIN_SCORE, TARGETS
+from phonoweave.llm.queries import DOMAIN, MIN_SCORE, TARGETS, TOKEN_BUDGET
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say."""
     model = mixing.fit(docs, table(spark, sf_dir, "labels"), DOMAIN)
-    return mixing.resample(docs, mixing.mix(docs, model, TARGETS))
+    return mixing.resample(docs, mixing.mix(docs, model, TARGETS, TOKEN_BUDGET))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,9 @@ RULES = (
 
 #: The domain of a labelled row, and the wanted shares of tokens.
 DOMAIN = F.expr("case when toxic = 1 then 'toxic' when quality = 1 then 'good' when quality = 0 then 'plain' end")
-TARGETS = {"good": 0.7, "plain": 0.28, "toxic": 0.02}
+TARGETS = {"good": 0.85, "plain": 0.13, "toxic": 0.02}
+#: The wanted number of tokens, as a share of those there are.
+TOKEN_BUDGET = 1.1
 #: The least score of a document whose language counts as known.
 MIN_SCORE = 0.25
 
@@ -39,7 +41,7 @@ MIN_SCORE = 0.25
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = mixing.fit(docs, table(spark, sf_dir, "labels"), DOMAIN)
-    rates = mixing.mix(docs, model, TARGETS)
+    rates = mixing.mix(docs, model, TARGETS, TOKEN_BUDGET)
     return rates.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)), "rate")
 
 
