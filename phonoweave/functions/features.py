@@ -5,6 +5,7 @@ A vector is a string of one digit for each feature: 2 is +, 0 is -, 1 is unspeci
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -19,6 +20,11 @@ MAX_DIACRITICS = 4
 NULL, WORD, MORPH, ANY = "∅", "#", "+", "@"
 
 
+def norm(text: str) -> str:
+    """Canonically decomposed, so that a letter with a mark is one thing however it is written."""
+    return unicodedata.normalize("NFD", text)
+
+
 class RuleError(ValueError):
     """A table, symbol or rule that cannot be used."""
 
@@ -91,6 +97,7 @@ class SymbolTable:
         return table
 
     def define(self, symbol: str, vec: str) -> None:
+        symbol = norm(symbol)
         self.vectors[symbol] = vec
         self.symbols[vec] = symbol
 
@@ -111,7 +118,7 @@ class SymbolTable:
     def read_diacritics(self, lines: Iterable[str]) -> None:
         """`mark=spec,spec $comment`; the order of lines is the order of precedence."""
         for line in filter(None, (x.split("$")[0].strip() for x in lines)):
-            mark, _, specs = line.partition("=")
+            mark, _, specs = norm(line).partition("=")
             found = [s.strip() for s in specs.split(",") if s.strip()]
             if conflict := feature_conflict(found):
                 raise RuleError(f"{mark.strip()}: {conflict} has two values")
@@ -180,6 +187,8 @@ class SymbolTable:
         if symbol == MORPH:
             return MORPH_BOUND
         vec = self.vectors.get(symbol)
+        if vec is None and (symbol := norm(symbol)) in self.vectors:
+            vec = self.vectors[symbol]
         if vec is None:
             base, marks = self.marks_in(symbol)
             specs = [s for m in marks for s in self.diacritics[m]]
