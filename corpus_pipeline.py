@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from phonoweave.llm import language_id, line_dedup, mixing, ngram_join, packing
 from phonoweave.llm.common import shared_dir, table
-from phonoweave.llm.queries import DOMAIN, MIN_SCORE, TARGETS, TOKEN_BUDGET
+from phonoweave.llm.queries import MIN_SCORE, TARGETS, TOKEN_BUDGET, domain
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +25,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of least doc_id. Repeated rows of one doc_id are one document."""
-    heads = ngram_join.near_duplicates(docs, words=5, percent=80).where("component_id = doc_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates: that of least doc_id.
+
+    Repeated rows of one doc_id are one document. Rows without an id cannot be named as copies and all stay.
+    """
+    named = docs.where("doc_id is not null")
+    heads = ngram_join.near_duplicates(named, words=5, percent=80).where("component_id = doc_id").select("doc_id").distinct()
+    return named.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say."""
-    model = mixing.fit(docs, table(spark, sf_dir, "labels"), DOMAIN)
+    model = mixing.fit(docs, table(spark, sf_dir, "labels"), domain())
     return mixing.resample(docs, mixing.mix(docs, model, TARGETS, TOKEN_BUDGET))
 
 

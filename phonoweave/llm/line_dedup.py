@@ -55,10 +55,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", min_cha
     A line's key is the line without white space at its ends, A-Z lower-cased. A key of at least `min_chars` code points
     found in at least `min_docs` rows is a repeat. keep="none" drops all lines of a repeat, keep="first" leaves its first
     line in the row of least doc_id. Null text counts as empty: one empty line, never dropped. Each row counts as a document, so
-    repeated rows count. All other columns pass through. An empty table gives an empty result.
+    repeated rows count. All other columns pass through, but columns named like the new ones are replaced. An empty table
+    gives an empty result.
     """
     if keep not in ("first", "none"):
         raise ValueError("keep must be first or none")
+    docs = docs.drop("n_lines", "n_dropped")
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     texts = docs.select("doc_id", "text")
 

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import MIX_1, Stored, mix64, slices, strings
 from .ngram_join import _BASE, _BASE_INVERSE, _LOWER, _SPACE, _powers
@@ -20,7 +21,7 @@ from .ngram_join import _BASE, _BASE_INVERSE, _LOWER, _SPACE, _powers
 TABLE_BITS = 16
 #: Bounds of the labelled sample: rows of each domain, passes over these.
 ROWS_A_DOMAIN, PASSES, RATE = 1500, 12, 0.05
-ITERATIONS, TOLERANCE = 40, 1e-6
+ITERATIONS, TOLERANCE = 100, 1e-6
 
 
 def word_hashes(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,13 +131,40 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
 
-def rate_of(steps: list[np.ndarray]) -> Column:
-    """The rate that the steps give a row: from 1, each adds its product with the posteriors and is cut off at 0."""
-    r = F.lit(1.0)
-    for u in steps:
-        add = sum((F.col("p")[i] * float(x) for i, x in enumerate(u)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r + add)
-    return r
+def replay(p: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, look-ahead rates) that the steps give rows of posteriors: accelerated projected gradient, from 1."""
+    rate = ahead = np.ones(len(p))
+    for t, u in enumerate(steps):
+        new = np.maximum(0.0, ahead + p @ u)
+        rate, ahead = new, new + t / (t + 3) * (new - rate)
+    return rate, ahead
+
+
+def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    return batch.column("p").flatten().to_numpy().reshape(batch.num_rows, k)
+
+
+def with_rates(members: DataFrame, steps: list[np.ndarray], k: int) -> DataFrame:
+    """`members` with the rate of each row."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replay(_matrix(batch, k), steps)[0])], [*batch.schema.names, "rate"])
+
+    return members.mapInArrow(run, T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType())]))
+
+
+def totals(members: DataFrame, steps: list[np.ndarray], k: int) -> np.ndarray:
+    """Expected domain tokens by the rates, and by the look-ahead rates; shape (2, k). One row a batch goes to the sum."""
+
+    def run(batches):
+        for batch in batches:
+            p, n = _matrix(batch, k), batch.column("n_tokens").to_numpy().astype(float)
+            sums = np.concatenate([(r * n) @ p for r in replay(p, steps)])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], [f"s{i}" for i in range(2 * k)])
+
+    row = members.mapInArrow(run, ", ".join(f"s{i} double" for i in range(2 * k))).agg(*(F.sum(f"s{i}") for i in range(2 * k))).first()
+    return np.array([x or 0.0 for x in row]).reshape(2, k)
 
 
 def solve(members: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -156,13 +184,13 @@ def solve(members: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], np
     inverse = np.linalg.pinv(g + 1e-9 * np.trace(g) * np.eye(k))
     steps: list[np.ndarray] = []
     for _ in range(ITERATIONS):
-        # The history is folded into one expression; it is as long as the iterations done, 40 at most.
-        row = members.select("n_tokens", "p", rate_of(steps).alias("r")).agg(*(F.sum(F.col("r") * tokens * p[i]).alias(f"s{i}") for i in range(k))).first()
-        have = np.array([row[f"s{i}"] for i in range(k)]) / total
-        miss = targets - have
-        if np.abs(miss).max() < TOLERANCE:
+        have, ahead = totals(members, steps, k) / total
+        if np.abs(targets - have).max() < TOLERANCE:
+            break
+        step = inverse @ (targets - ahead)
+        if np.abs(step).max() < TOLERANCE:
             break
-        steps.append(inverse @ miss)
+        steps.append(step)
     return steps, have
 
 
@@ -181,7 +209,7 @@ def mix(docs: DataFrame, model: Classifier, targets: dict[str, float], budget: f
         raise ValueError("no target is a domain of the labels")
     members = Stored(memberships(docs, model), "members")
     steps, _ = solve(members.df, budget * goal / goal.sum())
-    return members.df.withColumn("rate", rate_of(steps))
+    return with_rates(members.df, steps, len(goal))
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -191,10 +219,9 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 
 def resample(docs: DataFrame, rates: DataFrame) -> DataFrame:
-    """The rows of `docs`, each as often as its rate says. Rows of one doc_id share the least rate of theirs."""
-    one = rates.groupBy("doc_id").agg(F.min("rate").alias("_rate"))
-    times = copies(F.col("_rate"), F.col("doc_id"))
-    out = docs.join(one, "doc_id").withColumn("_copies", times).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
-
-
+    """The rows of `docs`, each as often as its rate says. Rows of one doc_id, or without one, share the least rate of theirs."""
+    one = rates.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.min("rate").alias("_mix_rate"))
+    own = docs.select(F.struct(*docs.columns).alias("_mix_row"), F.col("doc_id").alias("_mix_doc"))  # one column: no name can clash
+    out = own.join(one, F.col("_mix_doc").eqNullSafe(F.col("_mix_id")))
+    times = F.coalesce(copies(F.col("_mix_rate"), F.col("_mix_doc")), F.lit(1))
+    return out.where(times > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), times))).select("_mix_row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing
@@ -29,8 +29,7 @@ RULES = (
 )
 
 
-#: The domain of a labelled row, and the wanted shares of tokens.
-DOMAIN = F.expr("case when toxic = 1 then 'toxic' when quality = 1 then 'good' when quality = 0 then 'plain' end")
+#: The wanted shares of tokens.
 TARGETS = {"good": 0.85, "plain": 0.13, "toxic": 0.02}
 #: The wanted number of tokens, as a share of those there are.
 TOKEN_BUDGET = 1.1
@@ -38,9 +37,14 @@ TOKEN_BUDGET = 1.1
 MIN_SCORE = 0.25
 
 
+def domain() -> Column:
+    """The domain of a labelled row."""
+    return F.expr("case when toxic = 1 then 'toxic' when quality = 1 then 'good' when quality = 0 then 'plain' end")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = mixing.fit(docs, table(spark, sf_dir, "labels"), DOMAIN)
+    model = mixing.fit(docs, table(spark, sf_dir, "labels"), domain())
     rates = mixing.mix(docs, model, TARGETS, TOKEN_BUDGET)
     return rates.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)), "rate")
 
