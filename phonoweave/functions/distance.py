@@ -30,33 +30,52 @@ class FeatureDistance:
     simple: bool = False
 
     def _gaps(self, m: np.ndarray) -> np.ndarray:
-        if self.simple or not len(m):
-            return np.full(len(m), self.id_weight * self.n_features)
-        edge = np.zeros((1, m.shape[1]), m.dtype)
-        steps = np.abs(np.diff(np.concatenate([edge, m, edge]), axis=0)).sum(axis=1)
-        return self.id_weight * (steps[:-1] + steps[1:])
+        """Cost of a gap at each segment; m is (pairs, length, features)."""
+        if self.simple or not m.shape[1]:
+            return np.full(m.shape[:2], self.id_weight * self.n_features)
+        edge = np.zeros((len(m), 1, m.shape[2]), m.dtype)
+        steps = np.abs(np.diff(np.concatenate([edge, m, edge], axis=1), axis=1)).sum(axis=2)
+        return self.id_weight * (steps[:, :-1] + steps[:, 1:])
 
     def align(self, a: Sequence[str], b: Sequence[str]) -> tuple[float, list[tuple[int, int]]]:
-        """(distance, pairs) of two lists of vectors; GAP stands for nothing. On ties a gap wins over a pair, b's gap last."""
-        x = np.array([[int(c) for c in v] for v in a], float).reshape(len(a), self.n_features)
-        y = np.array([[int(c) for c in v] for v in b], float).reshape(len(b), self.n_features)
+        return self.align_many([(a, b)])[0]
+
+    def align_many(self, pairs: Sequence[tuple[Sequence[str], Sequence[str]]]) -> list[tuple[float, list[tuple[int, int]]]]:
+        """(distance, aligned places) of each pair of lists of vectors; GAP stands for nothing.
+
+        On ties a gap wins over a pair, b's gap last. Pairs of the same lengths go through one table of costs together.
+        """
+        out: list = [None] * len(pairs)
+        alike: dict[tuple[int, int], list[int]] = {}
+        for i, (a, b) in enumerate(pairs):
+            alike.setdefault((len(a), len(b)), []).append(i)
+        for (m, n), group in alike.items():
+            cost, move = self._tables([pairs[i][0] for i in group], [pairs[i][1] for i in group], m, n)
+            for k, i in enumerate(group):
+                steps, x, y = [], m, n
+                while x or y:
+                    step = move[x, y, k]
+                    x, y = x - (step != 2), y - (step != 1)
+                    steps.append((int(x) if step != 2 else GAP, int(y) if step != 1 else GAP))
+                out[i] = (float(cost[k]) / self.n_features, steps[::-1])
+        return out
+
+    def _tables(self, a: list, b: list, m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        x, y = (np.frombuffer("".join("".join(w) for w in side).encode(), np.uint8).reshape(len(side), size, self.n_features).astype(float) - 48 for side, size in ((a, m), (b, n)))
         w = np.ones(self.n_features) if self.weights is None else np.array(self.weights)
-        swap = (np.abs(x[:, None] - y[None]) * w).sum(axis=2) / 2
         gone, come = self._gaps(x), self._gaps(y)
-        cost = np.zeros((len(a) + 1, len(b) + 1))
+        cost = np.zeros((m + 1, n + 1, len(a)))
         move = np.zeros(cost.shape, np.int8)
-        cost[1:, 0], cost[0, 1:] = np.cumsum(gone), np.cumsum(come)
+        cost[1:, 0], cost[0, 1:] = np.cumsum(gone, axis=1).T, np.cumsum(come, axis=1).T
         move[1:, 0], move[0, 1:] = 1, 2
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                s, d, n = cost[i - 1, j - 1] + swap[i - 1, j - 1], cost[i - 1, j] + gone[i - 1], cost[i, j - 1] + come[j - 1]
-                cost[i, j], move[i, j] = (s, 0) if s < d and s < n else (d, 1) if d < n else (n, 2)
-        pairs, i, j = [], len(a), len(b)
-        while i or j:
-            step = move[i, j]
-            i, j = i - (step != 2), j - (step != 1)
-            pairs.append((i if step != 2 else GAP, j if step != 1 else GAP))
-        return float(cost[-1, -1]) / self.n_features, pairs[::-1]
+        for i in range(1, m + 1):
+            for j in range(1, n + 1):
+                s = cost[i - 1, j - 1] + (np.abs(x[:, i - 1] - y[:, j - 1]) @ w) / 2
+                d, c = cost[i - 1, j] + gone[:, i - 1], cost[i, j - 1] + come[:, j - 1]
+                pair, left = (s < d) & (s < c), d < c
+                cost[i, j] = np.where(pair, s, np.where(left, d, c))
+                move[i, j] = np.where(pair, 0, np.where(left, 1, 2))
+        return cost[m, n], move
 
 
 def symbol_codes(symbols: Sequence[str]) -> dict[str, str]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import repeat
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,38 +57,40 @@ def constant_features(symbols: DataFrame, table: SymbolTable) -> DataFrame:
 inactive_features = constant_features
 
 
-def contexts(matched: DataFrame, table: SymbolTable, offsets: list[int], form: str = "form") -> DataFrame:
-    """(miss, offset, preds): for each match and relative place, the predictors that hold there.
+def contexts(matched: DataFrame, table: SymbolTable, offsets: list[int], form: str = "form", weight: str | None = None) -> DataFrame:
+    """(miss, rel_pos, sym, preds, n): what stands at each relative place of the matches, counted within each batch.
 
     Offset -1 is the element before a match, 1 the one after. Predictors are `±f` and the symbol of a phone, or a boundary.
-    Places beyond the word are left out. `matched` has miss (boolean) and bounds.
+    Places beyond the word are left out. `matched` has miss (boolean) and bounds; a row counts once, or `weight` times.
     """
 
     def run(batches):
-        specs: dict[str, list[str]] = {}
         for batch in batches:
-            rows = []
-            for f, miss, bounds in zip(*(batch.column(c).to_pylist() for c in (form, "miss", "bounds")), strict=True):
+            counts: Counter = Counter()
+            times = batch.column(weight).to_pylist() if weight else repeat(1)
+            for f, miss, bounds, n in zip(batch.column(form).to_pylist(), batch.column("miss").to_pylist(), batch.column("bounds").to_pylist(), times, strict=False):
                 word = table.word(f)
                 for m in bounds or ():
                     for o in offsets:
                         at = m["start"] + o if o < 0 else m["end"] + o - 1
                         if 0 <= at < len(word):
-                            seg = word[at]
-                            if seg.sym not in specs:
-                                specs[seg.sym] = [seg.sym, *(MARK_OF[v] + n for n, v in zip(table.features, seg.vec or "", strict=False) if v in "02")]
-                            rows.append((miss, o, specs[seg.sym]))
-            cols = list(zip(*rows, strict=True)) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.int32(), pa.list_(pa.string())), strict=True)], ["miss", "rel_pos", "preds"])
+                            counts[miss, o, word[at]] += n
+            rows = [(miss, o, seg.sym, [seg.sym, *(MARK_OF[v] + f for f, v in zip(table.features, seg.vec or "", strict=False) if v in "02")], n) for (miss, o, seg), n in counts.items()]
+            cols = list(zip(*rows, strict=True)) if rows else ([],) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int64()), strict=True)], ["miss", "rel_pos", "sym", "preds", "n"])
 
-    kind = T.StructType([T.StructField("miss", T.BooleanType()), T.StructField("rel_pos", T.IntegerType()), T.StructField("preds", T.ArrayType(T.StringType()))])
-    return matched.where("size(bounds) > 0").mapInArrow(run, kind)
+    return matched.where("size(bounds) > 0").mapInArrow(run, "miss boolean, rel_pos int, sym string, preds array<string>, n long")
 
 
 def contingency(ctx: DataFrame) -> DataFrame:
-    """(rel_pos, predictor, n11, n10, n01, n00): the first figure says whether the predictor holds, the second whether it is a miss."""
-    totals = ctx.groupBy("rel_pos").agg(F.count_if("miss").alias("misses"), F.count_if(~F.col("miss")).alias("hits"))
-    each = ctx.select("rel_pos", "miss", F.explode("preds").alias("predictor")).groupBy("rel_pos", "predictor").agg(F.count_if("miss").alias("n11"), F.count_if(~F.col("miss")).alias("n10"))
+    """(rel_pos, predictor, n11, n10, n01, n00): the first figure says whether the predictor holds, the second whether it is a miss.
+
+    Symbols are added up first, so that what is spread over predictors has a row for each symbol of the inventory.
+    """
+    miss, hit = F.sum(F.when(F.col("miss"), F.col("n")).otherwise(0)), F.sum(F.when(~F.col("miss"), F.col("n")).otherwise(0))
+    by_sym = ctx.groupBy("rel_pos", "sym", "preds").agg(miss.alias("m"), hit.alias("h"))
+    totals = by_sym.groupBy("rel_pos").agg(F.sum("m").alias("misses"), F.sum("h").alias("hits"))
+    each = by_sym.select("rel_pos", "m", "h", F.explode("preds").alias("predictor")).groupBy("rel_pos", "predictor").agg(F.sum("m").alias("n11"), F.sum("h").alias("n10"))
     return each.join(totals, "rel_pos").select("rel_pos", "predictor", "n11", "n10", F.expr("misses - n11").alias("n01"), F.expr("hits - n10").alias("n00"))
 
 

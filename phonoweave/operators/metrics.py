@@ -46,24 +46,21 @@ def comparative(base: DataFrame, hyp: DataFrame, by: Sequence[str] = ()) -> Data
 
 
 def with_alignment(pairs: DataFrame, table: SymbolTable, distance: FeatureDistance, pred: str = "pred", gold: str = "gold") -> DataFrame:
-    """`pairs` with fed and alignment: pos, res_sym, gold_sym in order, ∅ for a gap. Equal pairs are aligned once in a task."""
+    """`pairs` with fed and alignment: pos, res_sym, gold_sym in order, ∅ for a gap. Equal pairs are aligned once in a batch."""
     item = pa.struct([("pos", pa.int32()), ("res_sym", pa.string()), ("gold_sym", pa.string())])
 
-    def one(a: str, b: str):
-        x, y = ([s for s in f.split() if s not in ("#", "+")] for f in (a, b))
-        d, steps = distance.align(symbol_vectors(table, a), symbol_vectors(table, b))
-        return d, [{"pos": k, "res_sym": x[i] if i >= 0 else "∅", "gold_sym": y[j] if j >= 0 else "∅"} for k, (i, j) in enumerate(steps)]
+    def bare(form: str) -> list[str]:
+        return [s for s in form.split() if s not in ("#", "+")]
 
     def run(batches):
-        seen: dict = {}
         for batch in batches:
-            out = []
-            for key in zip(batch.column(pred).to_pylist(), batch.column(gold).to_pylist(), strict=True):
-                if key not in seen:
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen[key] = one(*key) if None not in key else (None, None)
-                out.append(seen[key])
+            keys = [*zip(batch.column(pred).to_pylist(), batch.column(gold).to_pylist(), strict=True)]
+            distinct = [k for k in dict.fromkeys(keys) if None not in k]
+            found = {(None, None): (None, None)}
+            for (a, b), (d, steps) in zip(distinct, distance.align_many([(symbol_vectors(table, a), symbol_vectors(table, b)) for a, b in distinct]), strict=True):
+                x, y = bare(a), bare(b)
+                found[a, b] = (d, [{"pos": k, "res_sym": x[i] if i >= 0 else "∅", "gold_sym": y[j] if j >= 0 else "∅"} for k, (i, j) in enumerate(steps)])
+            out = [found.get(k, (None, None)) for k in keys]
             arrays = [pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.list_(item))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, "fed", "alignment"])
 

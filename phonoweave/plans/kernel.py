@@ -11,11 +11,22 @@ from .rules import Exact, Matrix, Null, Rule
 Word = tuple[Seg, ...]
 
 
+class _Begins(dict):
+    """Whether a segment matches one of some slots, found out once for each segment."""
+
+    def __init__(self, slots):
+        self.slots = slots
+
+    def __missing__(self, seg: Seg) -> bool:
+        out = self[seg] = any(s.match(seg, {}) is not None for s in self.slots)
+        return out
+
+
 class Kernel:
     """Rules over a table. Contexts and targets are tested on the word as it was; a rule does not feed itself."""
 
     def __init__(self, table: SymbolTable):
-        self.table, self._segs = table, {}
+        self.table, self._segs, self._may, self._kept = table, {}, {}, []
 
     def seg(self, vec: str) -> Seg:
         out = self._segs.get(vec)
@@ -23,10 +34,23 @@ class Kernel:
             out = self._segs[vec] = Seg(self.table.symbol(vec), vec)
         return out
 
+    def _begins(self, rule: Rule) -> dict[Seg, bool] | None:
+        """For each segment met so far, whether a target of the rule may begin with it; None for a rule that only inserts."""
+        if (known := self._may.get(id(rule), 0)) == 0:
+            firsts = [next((s for s in a if not isinstance(s, Null)), None) for a in rule.sources]
+            known = self._may[id(rule)] = None if None in firsts else _Begins(firsts)
+            self._kept.append(rule)  # so that its id stays its own
+        return known
+
     def apply(self, rule: Rule, word: Word) -> Word:
         """The word after the rule; the same object where nothing changes."""
-        if rule.first and not any(s.sym in rule.first for s in word):
-            return word
+        begins = self._begins(rule)
+        if begins is not None:
+            for seg in word:
+                if begins[seg]:
+                    break
+            else:
+                return word
         prior = rule.prior.size if rule.prior else 0
         post = rule.post.size if rule.post else 0
         needs = min(sum(not isinstance(s, Null) for s in a) for a in rule.sources)
@@ -35,7 +59,7 @@ class Kernel:
         out: list[Seg] = list(word[:prior])
         at, last = prior, len(word) - max(post + needs, 1)
         while at <= last:
-            found = self._at(rule, word, at)
+            found = self._at(rule, word, at) if begins is None or begins[word[at]] else None
             if found is None:
                 out.append(word[at])
                 at += 1

@@ -412,9 +412,9 @@ x AS (SELECT rel_pos, predictor, n11, n10, misses - n11 AS n01, hits - n10 AS n0
 def autopsy(spark, sf_dir) -> DataFrame:
     """The contingency of each predictor beside every e in words of labelled documents; a miss is a word of low quality."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality is not null"), "doc_id")
-    df = _split_words(docs.withColumn("miss", F.col("quality") == 0), "text", "miss").withColumn("form", engine.letters(F.col("word")))
-    found = engine.matches(df, letter_table(), pattern("e"))
-    return diagnose.contingency(diagnose.contexts(found, letter_table(), [-1, 1]))
+    df = _split_words(docs.withColumn("miss", F.col("quality") == 0), "text", "miss").groupBy("miss", "word").agg(F.count("*").alias("times"))
+    found = engine.matches(df.withColumn("form", engine.letters(F.col("word"))), letter_table(), pattern("e"))
+    return diagnose.contingency(diagnose.contexts(found, letter_table(), [-1, 1], weight="times"))
 
 
 _FLOORS = "greatest(CAST(n00 AS DOUBLE), 0.5) AS a, greatest(CAST(n10 AS DOUBLE), 0.5) AS b, greatest(CAST(n01 AS DOUBLE), 0.5) AS c, CAST(n11 AS DOUBLE) AS d"
