@@ -8,6 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phonoweave.functions import columns
 from phonoweave.functions.distance import FeatureDistance, symbol_codes
 from phonoweave.functions.inventory import letter_table
 from phonoweave.operators import diagnose, engine, metrics, whatif
@@ -396,6 +397,13 @@ def inactive_features(spark, sf_dir):
     return diagnose.inactive_features(syms, letter_table())
 
 
+@register("matrix_match", f"WITH {_NAMES_SQL}, {_specs_sql()}, c AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v), s AS (SELECT substr(word, i, 1) AS sym FROM c), m AS (SELECT sym FROM specs WHERE spec IN ('+voi', '-syl', '-lab') GROUP BY sym HAVING count(*) = 3) SELECT sym, count(*) AS n FROM s JOIN m USING (sym) GROUP BY sym")
+def matrix_match(spark, sf_dir):
+    t = letter_table()
+    hits = columns.symbols_df(spark, t).where(columns.matches_matrix(F.col("fv"), RuleParser(t).slot("[+voi,-syl,-lab]"), len(t.features)))
+    return metrics.phones(names(spark, sf_dir)).join(F.broadcast(hits.select(F.col("symbol").alias("sym"))), "sym").groupBy("sym").agg(F.count("*").alias("n"))
+
+
 # --- what predicts a miss --------------------------------------------------------------------------------------------------------
 
 _AUTOPSY_SQL = f"""WITH {_specs_sql()},

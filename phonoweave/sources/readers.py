@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phonoweave.functions.features import RuleError, SymbolTable
+from phonoweave.functions.features import RuleError, SymbolTable, norm
 from phonoweave.plans.rules import COMMENT, Rule, RuleParser
 
 GOLD, BLACK = "~", "="
@@ -151,11 +151,11 @@ LEXICON = "etym_id long, form_id string, cells array<string>"
 def read_lexicon(spark: SparkSession, lines: Sequence[str] | DataFrame, use_form_id: bool = False, header: bool = False) -> DataFrame:
     """etym_id (line number without blank lines and header), form_id, cells (forms with single blanks).
 
-    `lines` is a list, or a DataFrame (line_no, value) for large files. Lines of another number of columns are an error,
+    `lines` is a list, or a DataFrame (line_no, value) of canonically decomposed text for large files. Lines of another number of columns are an error,
     raised when the rows are read. The form id is what follows the last ɸ, if it is asked for.
     """
     if not isinstance(lines, DataFrame):
-        lines = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_no long, value string")
+        lines = spark.createDataFrame([(i, norm(x)) for i, x in enumerate(lines)], "line_no long, value string")
     text = F.trim(F.substring_index("value", COMMENT, 1))
     form_id = F.when(F.instr(text, FORM_ID) > 0, F.trim(F.substring_index(text, FORM_ID, -1))) if use_form_id else F.lit(None).cast("string")
     rows = lines.select("line_no", form_id.alias("form_id"), (F.substring_index(text, FORM_ID, 1) if use_form_id else text).alias("text")).where("text <> ''")
