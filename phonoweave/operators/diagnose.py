@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from phonoweave.functions.features import MARK_OF, SymbolTable
 
+from .engine import matches
+
 #: Floors of counts and denominators, share that stops the scope, its greatest radius, the lowest score shown.
 PHI_FLOOR, F_FLOOR = 0.5, 0.25
 SCOPE_SHARE, MAX_RADIUS, MIN_SCORE = 0.32, 3, 0.1
@@ -57,6 +59,22 @@ def constant_features(symbols: DataFrame, table: SymbolTable) -> DataFrame:
 inactive_features = constant_features
 
 
+def without_active(specs: list[str], symbols: DataFrame, table: SymbolTable) -> DataFrame:
+    """(spec): those of the given specs that no symbol of (sym) has."""
+    given = symbols.sparkSession.createDataFrame([(x,) for x in specs], "spec string")
+    active = symbols.select("sym").distinct().select(F.explode(F.element_at(feature_columns(table), F.col("sym"))).alias("spec"))
+    return given.join(active, "spec", "left_anti")
+
+
+def subsample(pairs: DataFrame, pivots: DataFrame, table: SymbolTable, items: tuple, key: str = "etym_id") -> DataFrame:
+    """Rows of `pairs` (key, ld, ...) whose form in `pivots` (key, form) has a match: with form, bounds and miss (ld > 0).
+
+    Rows without a distance are neither hits nor misses and stay out.
+    """
+    found = matches(pivots.select(key, "form"), table, items).where("size(bounds) > 0")
+    return pairs.where("ld is not null").drop("form", "bounds").join(found, key).withColumn("miss", F.col("ld") > 0)
+
+
 def contexts(matched: DataFrame, table: SymbolTable, offsets: list[int], form: str = "form", weight: str | None = None) -> DataFrame:
     """(miss, rel_pos, sym, preds, n): what stands at each relative place of the matches, counted within each batch.
 

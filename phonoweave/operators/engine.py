@@ -147,6 +147,11 @@ def rule_graph(steps: DataFrame, keys: Sequence[int], key: str = "etym_id") -> D
     return steps.where(F.col(key).isin(*keys)).groupBy("rule_idx").pivot(key, list(keys)).agg(F.first("after"))
 
 
+def changed_words(steps: DataFrame, rule: int, key: str = "etym_id") -> DataFrame:
+    """(key, before, after) of the words that one rule changed."""
+    return steps.where(F.col("rule_idx") == rule).select(key, "before", "after")
+
+
 def matches(df: DataFrame, table: SymbolTable, items: tuple, form: str = "form") -> DataFrame:
     """`df` with bounds: [start, end) of each match of the context elements in the form with its word boundaries."""
 

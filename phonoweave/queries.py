@@ -173,6 +173,16 @@ def stage_graph(spark, sf_dir):
     return engine.stage_graph(stage_snapshots(spark, sf_dir), ["Middle", "Late"], "word")
 
 
+@register("rule_graph", f"WITH {_NAMES_SQL}, {_chain(_STAGED, 'v')}, {_LOG_SQL} SELECT rule_idx, max(after) FILTER (WHERE word = 'gizmo') AS gizmo, max(after) FILTER (WHERE word = 'gear') AS gear FROM log WHERE word IN ('gizmo', 'gear') GROUP BY rule_idx")
+def rule_graph(spark, sf_dir):
+    return engine.rule_graph(derivation_log(spark, sf_dir), ["gizmo", "gear"], "word")
+
+
+@register("changed_words", f"WITH {_NAMES_SQL}, {_chain(_STAGED, 'v')} SELECT word, f3 AS before, f4 AS after FROM c4 WHERE f3 <> f4")
+def changed_words(spark, sf_dir):
+    return engine.changed_words(derivation_log(spark, sf_dir), 3, "word")
+
+
 @register("rule_range", f"WITH {_WORDS_SQL}, {_chain(LITERAL)} SELECT word, f3 AS outcome FROM c5")
 def rule_range(spark, sf_dir):
     out = engine.apply_cascade(words(spark, sf_dir), cascade(*(s for s, _ in LITERAL)), rules=(0, 3))
@@ -455,6 +465,19 @@ def top_predictors(spark, sf_dir):
     return diagnose.top_predictors(diagnose.scored(autopsy(spark, sf_dir), "f"), 5).select("rel_pos", "rank", "kind", "predictor", F.round("score", 6).alias("score"))
 
 
+@register("subsample", f"WITH {_WORDS_SQL}, {_pairs_sql('w')} SELECT word, ld > 0 AS miss FROM p WHERE regexp_matches(word, '[aeiou]th')")
+def subsample(spark, sf_dir):
+    df = words(spark, sf_dir)
+    return diagnose.subsample(pairs(df), df, letter_table(), pattern("[+syl] t h"), "word").select("word", "miss")
+
+
+@register("without_active", "SELECT * FROM (VALUES ('+odd')) AS t(spec)")
+def without_active(spark, sf_dir):
+    """Of a few specs, those that no letter of the part names' frame has."""
+    syms = metrics.phones(names(spark, sf_dir)).where("sym in ('a', 'e', 'l', 'n')").select("sym")
+    return diagnose.without_active(["+syl", "+lat", "+odd", "-odd"], syms, letter_table())
+
+
 @register("subset_shares", f"WITH {_WORDS_SQL}, {_pairs_sql('w')}, s AS (SELECT contains(word, 'th') AS i, ld > 0 AS m FROM p), t AS (SELECT count(*) AS n, count(*) FILTER (WHERE i) AS n_in, count(*) FILTER (WHERE m) AS n_miss, count(*) FILTER (WHERE i AND m) AS n_in_miss FROM s) SELECT *, round(n_in / n, 8) AS share, round(n_in_miss / n_miss, 8) AS error_share FROM t")
 def subset_shares(spark, sf_dir):
     return _rounded(diagnose.subset_shares(pairs(words(spark, sf_dir)), F.col("word").contains("th"), F.col("ld") > 0), "share", "error_share")
