@@ -35,6 +35,27 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
+def rules_by_join(addresses: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, found) of the distinct (host, path) of `addresses` that a rule fits; `rules` has action, host, path.
+
+    For rule lists of any length: an address meets the rules of its host and of the domains above it by a join on the host.
+    """
+    labels = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    each = addresses.select("host", "path").distinct().select("host", "path", F.explode(above).alias("domain"))
+    own = rules.select(F.col("action"), F.col("host").alias("domain"), F.col("path").alias("start"))
+    met = each.join(own, "domain").where(F.col("path").startswith(F.col("start")))
+    rule = F.concat("domain", "start")
+    return met.groupBy("host", "path").agg(F.max_by(F.struct(rule.alias("rule"), F.col("action").alias("action")), F.struct(F.length(rule), rule)).alias("found"))
+
+
+def with_rules(addresses: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataFrame:
+    """`addresses` (host, path, ...) with found: struct(rule, action) of the longest fitting rule, else null."""
+    if not isinstance(rules, DataFrame):
+        return addresses.withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
+    return addresses.join(rules_by_join(addresses, rules), ["host", "path"], "left")
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """(a, b): an address and what its page names as canonical or refreshes to, fragments removed.
 
@@ -58,17 +79,17 @@ def _plain(url: Column) -> Column:
     return F.substring_index(url, "#", 1)
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """Every row of `pages` (page_id, url, html, ...) with host, path, rule and verdict.
 
     A page's own rule decides first. Without one, the page follows its component over redirect edges (`redirects`: a, b;
     and those found in the pages): allow if a member is explicitly allowed, else block if a member is blocked, else
     allow. Null or malformed addresses have empty host and path, no rule, and are allowed. Repeated rows get equal
-    results; an empty table gives an empty result; other columns are not looked at. The rules are a short list that is
-    compiled into the plan, one condition each.
+    results; an empty table gives an empty result; other columns are not looked at. A short list of rules is compiled into
+    the plan, one condition each; a DataFrame of rules (action, host, path) of any length is joined by host.
     """
     host, path = url_host(F.col("url")), url_path(F.col("url"))
-    judged = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("found", rule_for(F.col("host"), F.col("path"), rules))
+    judged = with_rules(pages.select("page_id", "url", host.alias("host"), path.alias("path")), rules)
     own = judged.select("page_id", "url", "host", "path", F.col("found.rule").alias("rule"), F.col("found.action").alias("action"))
     edges = page_edges(pages)
     if redirects is not None:
@@ -78,8 +99,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | N
         stored.drop()
         return own.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit("allow")).alias("verdict"))
     members, _ = connected_components(stored.df, "a", "b")
-    action = rule_for(url_host(F.col("node")), url_path(F.col("node")), rules)["action"]
-    weight = F.when(action == "allow", 2).when(action == "block", 1).otherwise(0)
+    members = with_rules(members.withColumns({"host": url_host(F.col("node")), "path": url_path(F.col("node"))}), rules)
+    weight = F.when(F.col("found.action") == "allow", 2).when(F.col("found.action") == "block", 1).otherwise(0)
     decided = members.groupBy("component").agg(F.max(weight).alias("w"))
     aliases = members.join(decided, "component").where("w = 1").select(F.col("node").alias("alias"))
     out = own.join(aliases, (F.col("action").isNull()) & (_plain(F.col("url")) == F.col("alias")), "left")

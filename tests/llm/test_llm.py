@@ -365,6 +365,8 @@ def test_urls(spark):
     assert (got[2].rule, got[2].verdict) == ("www.example.com/en/", "allow") and [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in (3, 4)] == [("", "", None, "allow")] * 2
     assert [got[i].verdict for i in (5, 6, 7, 8, 9, 10, 11)] == ["block", "block", "block", "allow", "allow", "block", "block"]
     assert [got[i].verdict for i in (12, 13)] == ["allow", "allow"] and got[14].host == "x" and got[15].rule is None and got[16].rule is None and len(got) == 16
+    joined = url_filters.judge_urls(df, spark.createDataFrame(queries.RULES, "action string, host string, path string"))
+    assert {r.page_id: tuple(r) for r in joined.collect()} == {i: tuple(r) for i, r in got.items()}
     given = url_filters.judge_urls(df.where("page_id in (8, 9)").drop("html").withColumn("html", F.lit(None).cast("string")), queries.RULES, spark.createDataFrame([("http://d.org/4", "http://a.net/fr/")], "a string, b string"))
     assert {r.page_id: r.verdict for r in given.collect()} == {8: "allow", 9: "block"}
     assert url_filters.judge_urls(df.limit(0), queries.RULES).count() == 0
