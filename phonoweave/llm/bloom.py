@@ -84,6 +84,7 @@ def build_twice(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np
     parts = df.mapInArrow(local, "segment int, once binary, twice binary")
     whole = parts.repartition(min(n_segments, 200), "segment").sortWithinPartitions("segment").mapInArrow(merged, "segment int, twice binary")
     bits = bytearray(1 << log2 >> 3)
-    for row in whole.toLocalIterator():
+    # One job brings a filter of up to 32 MB; a larger one comes a partition at a time.
+    for row in whole.collect() if log2 <= 28 else whole.toLocalIterator():
         bits[row.segment * SEGMENT_BITS // 8 : (row.segment + 1) * SEGMENT_BITS // 8] = zlib.decompress(row.twice)
     return TwiceFilter(bytes(bits), log2)

@@ -140,7 +140,7 @@ def frequency_levels(docs: DataFrame, words: int) -> np.ndarray:
 
     parts = docs.select("text").mapInArrow(local, "part int, width int, counts binary").repartition(SKETCH_PARTS, "part").sortWithinPartitions("part")
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for row in parts.mapInArrow(merged, "part int, levels binary").toLocalIterator():
+    for row in parts.mapInArrow(merged, "part int, levels binary").collect():  # 4 MB in all
         levels[row.part * part : (row.part + 1) * part] = np.frombuffer(row.levels, np.uint8)
     return levels
 
@@ -355,20 +355,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     A-Z is lower-cased, words are runs of anything but the six ASCII spaces. A set holds the distinct shingles of `words`
     words, or with fewer words the whole sequence. Rows link when 100 * intersection >= percent * union. component_id is the
     least doc_id reachable by links, itself included. Null and empty texts and those without words have an empty set, link
-    with nothing and are their own component. Repeated rows are linked with each other; other columns are not looked at; an
-    empty table gives an empty result.
+    with nothing and are their own component. Repeated rows are linked with each other. Rows without an id are linked with
+    rows of equal sets, but no other. Other columns are not looked at; an empty table gives an empty result.
     """
     join = _Join(docs.select("doc_id", "text"), words, percent)
     profile = join.store(join.profile(), "profile")
     links = join.store(join.links(profile), "links")
-    groups, groups_store = connected_components(links, "a", "b")
-    whole = profile.select("doc_id", "n_shingles", "cls").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-    whole = whole.select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("c"))
-    least = whole.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    out = whole.join(least, "c", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    keep = {x.path for x in join.kept[:1]}
-    for x in join.kept:
-        if x.path not in keep:
-            x.drop()
+    groups, stars = connected_components(links, "a", "b")
+    # What many rows share is settled for classes and written, so that the joins on it read tables and skew can be split.
+    owners = profile.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("owner"))
+    grouped = join.store(owners.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "owner", F.coalesce("component", "cls").alias("grp")), "grouped")
+    heads = join.store(grouped.groupBy("grp").agg(F.min("owner").alias("component_id")), "heads")
+    named = join.store(grouped.join(heads, "grp").select("cls", "component_id"), "named")
+    out = profile.select("doc_id", "n_shingles", "cls").join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    stars.drop()
+    for x in join.kept[1:-1]:  # the result reads the first and the last
+        x.drop()
     release(docs.sparkSession)
     return out
