@@ -19,8 +19,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten documents or more have; n_chars follows the text. All documents stay."""
-    kept = line_dedup.dedup_lines(docs, min_docs=10, keep="none", min_chars=1)
+    """Documents with each line that ten documents or more have left once, in the least doc_id; n_chars follows the text.
+
+    All documents stay, those without a line left as empty ones.
+    """
+    kept = line_dedup.dedup_lines(docs, min_docs=10, keep="first", min_chars=1)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
