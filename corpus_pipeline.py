@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from phonoweave.llm import language_id, line_dedup, mixing, ngram_join, packing
 from phonoweave.llm.common import shared_dir, table
-from phonoweave.llm.queries import MIN_SCORE, TARGETS, TOKEN_BUDGET, domain
+from phonoweave.llm.queries import MIN_KNOWN, TARGETS, TOKEN_BUDGET, domain
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with text in a learned language. Those without a letter, or of no clear language, go."""
-    found = language_id.identify(docs, language_id.fit(docs))
-    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    """Documents with text in a learned language. Those without a letter, or with fewer known letters than MIN_KNOWN, go."""
+    found = language_id.identify(docs, language_id.fit(docs), known=True)
+    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("known") >= MIN_KNOWN)).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 Features of a word: letter n-grams with its edges marked (so affixes are n-grams at an edge) and the word itself (lexicon),
 hashed into one weight table. Transitions between the languages of neighbouring words are learned. Forward-backward gives
 each word's posteriors; a text gets the language of the highest mean posterior, which is its score.
+
+Posteriors only compare the learned languages. Whether a word is in any of them is told by its letters: the likelihood of
+each next letter given two before, in the word's best language, against an unknown state in which all letters are as likely.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from .common import mix64, slices, strings
 
 UND = "und"
 TABLE_BITS = 16
+#: Size of the tables of letter likelihoods, and the share of letters that a language leaves to chance.
+LETTER_BITS, CHANCE = 18, 0.1
 #: Words in a chain. A longer text is several chains, each from the initial distribution; all its words count.
 WINDOW = 64
 #: Bounds of the training sample: rows of each language, windows made of them, passes over these.
@@ -42,6 +47,8 @@ class Words:
     starts: np.ndarray  # of each word, in the arrays by letter
     by_letter: list[np.ndarray]
     by_word: np.ndarray  # lexicon, prefix, suffix
+    context: np.ndarray  # hash of each letter and the one before, of LETTER_BITS
+    follows: np.ndarray  # and with the letter after
 
 
 def read_words(texts: list[str]) -> Words:
@@ -73,8 +80,9 @@ def read_words(texts: list[str]) -> Words:
     is_last[np.cumsum(size) - 1] = True
     # A bigram at each letter; the last letter's bigram with the edge goes with the suffix.
     features = [hashed(two, 11), hashed(three, 23), hashed(c[at], 37)]
+    context, follows = ((mix64(h) & np.uint64((1 << LETTER_BITS) - 1)).astype(np.int32) for h in (two, three))
     by_word = np.stack([hashed(spelled, 51), hashed(prefix, 67), hashed(suffix, 83), hashed(last[is_last], 97)], axis=1) if len(size) else np.zeros((0, 4), np.uint64)
-    return Words(np.searchsorted(zeros, begin), starts, [f.astype(np.int32) for f in features], by_word.astype(np.int32))
+    return Words(np.searchsorted(zeros, begin), starts, [f.astype(np.int32) for f in features], by_word.astype(np.int32), context, follows)
 
 
 @dataclass
@@ -82,6 +90,7 @@ class Model:
     languages: list[str]
     weights: np.ndarray  # hashed feature by language
     transitions: np.ndarray  # log potentials, from by to
+    letters: tuple[np.ndarray, np.ndarray] | None = None  # of letter_tables()
 
     def emissions(self, w: Words) -> np.ndarray:
         """Log potential of each word and language."""
@@ -129,15 +138,40 @@ class Model:
             back[:m] = b / b.sum(axis=1, keepdims=True)
         return out
 
+    def known(self, w: Words, n_texts: int) -> np.ndarray:
+        """Share of a text's letters in words that some language explains better than the unknown state; 0 without a letter."""
+        if not len(w.starts) or self.letters is None:
+            return np.zeros(n_texts)
+        after, before = self.letters
+        each = np.log((1 - CHANCE) * after[w.follows] * before[w.context] + CHANCE)
+        ratio = np.add.reduceat(each, w.starts, axis=0).max(axis=1)
+        size = np.diff([*w.starts, len(w.follows)])
+        return np.bincount(w.text, size * (ratio > 0), n_texts) / np.maximum(np.bincount(w.text, size, n_texts), 1)
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; `und` and 0 without a letter."""
+        return self.predict_known(texts, False)[:2]
+
+    def predict_known(self, texts: list[str], known: bool = True) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and known() of each text; zeros for the last if not `known`."""
         w = read_words(texts)
         p = self.posteriors(self.emissions(w), w.text)
         total = np.stack([np.bincount(w.text, p[:, j], len(texts)) for j in range(p.shape[1])], axis=1)
         n = np.bincount(w.text, minlength=len(texts))
         best = total.argmax(axis=1)
         score = np.where(n > 0, total[np.arange(len(texts)), best] / np.maximum(n, 1), 0.0)
-        return [self.languages[b] if m else UND for b, m in zip(best, n, strict=True)], np.clip(score, 0, 1)
+        return [self.languages[b] if m else UND for b, m in zip(best, n, strict=True)], np.clip(score, 0, 1), self.known(w, len(texts)) if known else np.zeros(len(texts))
+
+
+def letter_tables(rows: list[tuple[str, str]], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """By hash and language: three letters' number by the unknown state's probability of a letter, and one by the number of the first two."""
+    after, before = (np.zeros((1 << LETTER_BITS, len(languages)), np.float32) for _ in range(2))
+    symbols = {ch for _, text in rows for ch in set(text.lower()) if ch.isalpha()}
+    for j, lang in enumerate(languages):
+        w = read_words([text for each, text in rows if each == lang])
+        after[:, j] = np.bincount(w.follows, minlength=len(after)) * (len(symbols) + 1)  # a word may also end
+        before[:, j] = 1 / np.maximum(np.bincount(w.context, minlength=len(before)), 1)
+    return after, before
 
 
 def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
@@ -157,6 +191,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
     have = [i for i, p in enumerate(pools) if p]
     if not have:
         return model
+    model.letters = letter_tables(rows, languages)
     texts, gold = [], []
     for i in range(TRAIN_WINDOWS):
         words: list[str] = []
@@ -225,26 +260,27 @@ def fit(docs: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> Model:
     return train(sorted((r.lang, r.text) for r in sample.collect()))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred and score added (columns of these names are replaced).
+def identify(docs: DataFrame, model: Model, known: bool = False) -> DataFrame:
+    """`docs` with lang_pred and score added, and the share of known letters if `known` (columns of these names are replaced).
 
     Only text is looked at, all of it. Null, empty and letterless texts are `und` with score 0, and so is every text if
     nothing could be learned. One pass, no shuffle; the model (a few MB at most) goes to all executors.
     """
-    docs = docs.drop("lang_pred", "score")
+    added = ["score", "known"] if known else ["score"]
+    docs = docs.drop("lang_pred", *added)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), *(T.StructField(x, T.DoubleType()) for x in added)])
 
     def run(batches):
         m = sent.value
         for batch in batches:
             at, _ = strings(batch.column("text"))
             texts = ["" if t is None else t.replace("\0", " ") for t in batch.column("text").to_pylist()]
-            langs, scores = [], [np.zeros(0)]
+            langs, numbers = [], [np.zeros((len(added), 0))]
             for a, b in slices(at):
-                found, score = m.predict(texts[a:b]) if m.languages else ([UND] * (b - a), np.zeros(b - a))
+                found, *values = m.predict_known(texts[a:b], known) if m.languages else ([UND] * (b - a), *np.zeros((2, b - a)))
                 langs += found
-                scores.append(score.astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], [*batch.schema.names, "lang_pred", "score"])
+                numbers.append(np.stack(values[: len(added)]).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), *map(pa.array, np.concatenate(numbers, axis=1))], [*batch.schema.names, "lang_pred", *added])
 
     return docs.mapInArrow(run, schema)

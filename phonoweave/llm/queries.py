@@ -33,8 +33,8 @@ RULES = (
 TARGETS = {"good": 0.8, "plain": 0.13, "toxic": 0.07}
 #: The wanted number of tokens, as a share of those there are.
 TOKEN_BUDGET = 1.15
-#: The least score of a document whose language counts as known.
-MIN_SCORE = 0.25
+#: The least share of letters in words of a learned language, in a document whose language counts as known.
+MIN_KNOWN = 0.5
 
 
 def domain() -> Column:

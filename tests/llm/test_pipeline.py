@@ -1,5 +1,8 @@
 """The pipeline's stages at their own parameters. Small tables of our own."""
 
+import base64
+import random
+
 import pytest
 
 import corpus_pipeline as pipeline
@@ -33,3 +36,19 @@ def test_first_lines_against_brute_force(spark):
             where.setdefault(line, []).append(i)
     want = {i: "\n".join(x for x in t.split("\n") if len(where[x]) < 10 or where[x][0] == i) for i, t in rows}
     assert {r.doc_id: r.text for r in pipeline.line_stage(spark, docs(spark, rows), "").collect()} == want
+
+
+def test_no_learned_language_goes(spark):
+    rng = random.Random(4)
+    parts = {"en": "the ing tion er and of re th", "fr": "que eau ment ai oi la les é", "de": "ung sch ein keit er lich der ü", "es": "ción ado ar os el la mente ñ"}
+    words = {k: ["".join(rng.choices(v.split(), k=rng.randint(1, 3))) for _ in range(300)] for k, v in parts.items()}
+    clean = [(i, " ".join(rng.choices(words[lang], k=60)), lang) for i, lang in enumerate(sorted(parts) * 60)]
+    mixed = [(1000, " ".join(rng.choices(words["fr"], k=30) + rng.choices(words["de"], k=30)), None), (1001, clean[1][1].upper() + "!!", None), (1002, clean[2][1] + " 0cf1bbc67ab39b2d", None)]
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(60)]
+    junk = [" ".join(noise), base64.b64encode(rng.randbytes(600)).decode(), "Все люди рождаются свободными и равными. " * 3, "すべての人間は、自由であり " * 5, "Wszyscy ludzie rodzą się wolni i równi pod względem swych praw. " * 3, " ".join(noise * 3) + " " + clean[0][1][:80], "12 34 --", "", None]
+    rows = [(i, t, k, None, len(t)) for i, t, k in clean + mixed] + [(2000 + i, t, None, None, 0) for i, t in enumerate(junk)]
+    table = spark.createDataFrame(rows, KINDS).repartition(3)
+    got = pipeline.language_stage(spark, table, "")
+    assert got.columns == table.columns
+    assert sorted(r.doc_id for r in got.collect()) == [i for i, _, _ in clean + mixed]
+    assert pipeline.language_stage(spark, table.limit(0), "").count() == 0
