@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +12,12 @@ from .components import connected_components
 
 Rule = tuple[str, str, str]  # action, host, path
 
-_CANONICAL = r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical["']?[^>]*>"""
-_REFRESH = r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*>"""
+_CANONICAL = r"""(?is)<link\b[^>]*?(?<![\w-])rel\s*=\s*(?:canonical|"(?:[^">]*\s)?canonical|'(?:[^'>]*\s)?canonical)(?=["'\s/>])[^>]*>"""
+_REFRESH = r"""(?is)<meta\b[^>]*?(?<![\w-])http-equiv\s*=\s*["']?\s*refresh(?=["'\s/>])[^>]*>"""
+_BASE = r"""(?is)<base\b[^>]*?(?<![\w-])href\s*=[^>]*>"""
+_ORIGIN = r"(?s)^[^:/?#]*://[^/?#]*"
+_ENTITY = r"&(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});"
+_NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
 
 
 def url_host(url: Column) -> Column:
@@ -56,27 +60,89 @@ def with_rules(addresses: DataFrame, rules: Sequence[Rule] | DataFrame) -> DataF
     return addresses.join(rules_by_join(addresses, rules), ["host", "path"], "left")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` names it; keeps nested plans small."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, in quotes or without; empty if there is none. Character references are decoded."""
+    pattern = rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>]+))"""
+    return _decoded(F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3))))
+
+
+def _decoded(text: Column) -> Column:
+    """Numeric references and those of _NAMED, once, from left to right."""
+
+    def one(t: Column) -> Column:
+        code = F.when(t.rlike("^&#[xX]"), F.conv(F.regexp_extract(t, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(F.regexp_extract(t, "([0-9]+);", 1)).cast("int")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        out = F.when(t.rlike("^&#.*;$") & valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        for name, char in _NAMED.items():
+            out = out.when(t == name, char)
+        return out.otherwise(t)
+
+    parts = lambda x: F.regexp_extract_all(x, F.lit(rf"(?s){_ENTITY}|.[^&]*"), F.lit(0))
+    return _let(text, lambda x: F.when(x.contains("&"), F.array_join(F.transform(parts(x), one), "")).otherwise(x))
+
+
+def _refresh_target(tag: Column) -> Column:
+    """What follows the seconds or url= in a refresh; empty if it only reloads its page."""
+    content = F.trim(_attribute(tag, "content"))
+    after = F.regexp_extract(content, r"""(?is)^(?:[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?|url\s*=\s*)(.*)$""", 1)
+    loose = _decoded(F.regexp_extract(tag, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))  # quotes within like quotes
+    quoted = lambda rest: F.regexp_extract(rest, r"""(?s)^(["'])(.*?)(?:\1|$)""", 2)
+    return _let(after, lambda rest: F.when(rest.rlike("^[\"']"), quoted(rest)).when(rest != "", rest).otherwise(loose))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with /, its segments . and .. applied."""
+    split = F.split(F.substring(path, 2, 1 << 30), "/", -1)
+    start = F.array().cast("array<string>")
+    ended = lambda p: F.when(F.element_at(p, -1).isin(".", ".."), F.concat(p, F.array(F.lit("")))).otherwise(p)
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(_let(split, ended), start, step), "/"))
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The address that `to` is on a page of address `base`, without fragment. Empty if it has a scheme but no host."""
+    to = F.regexp_replace(F.trim(F.regexp_replace(to, r"[\t\n\r]", "")), r"(?s)#.*$", "")
+    part = lambda x, i: F.regexp_extract(x, r"(?s)^([^:/?#]*://[^/?#]*)([^?#]*)([^#]*)", i)
+    origin, path = part(base, 1), part(base, 2)
+
+    def whole(to: Column) -> Column:
+        return (
+            F.when(to == "", F.substring_index(base, "#", 1))
+            .when(to.rlike(_ORIGIN), to)
+            .when(to.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") | (origin == ""), "")
+            .when(to.startswith("//"), F.concat(F.regexp_extract(base, "^[^:]*:", 0), to))
+            .when(to.startswith("/"), F.concat(origin, to))
+            .when(to.startswith("?"), F.concat(origin, path, to))
+            .otherwise(F.concat(origin, F.when(path == "", "/").otherwise(F.regexp_extract(path, "(?s)^.*/", 0)), to))
+        )
+
+    dotted = lambda x: F.concat(part(x, 1), _without_dots(part(x, 2)), part(x, 3))
+    return _let(_let(to, whole), lambda x: F.when(part(x, 2).rlike(r"/\.\.?(/|$)"), dotted(x)).otherwise(x))
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): an address and what its page names as canonical or refreshes to, fragments removed.
+    """(a, b): an address and one that its page names as canonical or refreshes to, fragments removed, all tags read.
 
-    Targets are absolute, or begin with / and get scheme and host of the page. Other relative targets are no edge.
+    Targets are resolved against the page's address, or the href of its base tag: absolute, //host, /path, ?query, relative.
     """
     url, html = F.col("url"), F.col("html")
-    canonical = F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1)
     hint = html.rlike("(?i)canonical|http-equiv")
-    origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    return (
-        pages.where(url.isNotNull() & hint)
-        .select(url, origin.alias("origin"), F.explode(F.array(canonical, refresh)).alias("to"))
-        .where("to <> ''")
-        .select(_plain(url).alias("a"), _plain(F.when(F.col("to").startswith("/"), F.concat("origin", "to")).otherwise(F.col("to"))).alias("b"))
-        .where(F.col("b").contains("://") & (F.col("a") != F.col("b")))
-    )
+    tags = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    targets = F.concat(F.transform(tags(_CANONICAL), lambda t: _attribute(t, "href")), F.transform(tags(_REFRESH), _refresh_target))
+    base = resolved(url, _attribute(F.regexp_extract(html, _BASE, 0), "href"))
+    ends = _let(base, lambda at: F.transform(F.filter(targets, lambda t: t != ""), lambda t: _plain(resolved(at, t))))
+    return pages.where(url.isNotNull() & hint).select(_plain(url).alias("a"), F.explode(ends).alias("b")).where(F.col("b").contains("://") & (F.col("a") != F.col("b")))
 
 
 def _plain(url: Column) -> Column:
-    return F.substring_index(url, "#", 1)
+    """The name of an address in the graph: no fragment, A-Z of scheme and host lower-cased."""
+    origin = F.regexp_extract(url, _ORIGIN, 0)
+    return F.concat(ascii_lower(origin), F.substring_index(F.substring(url, F.length(origin) + 1, F.lit(1 << 30)), "#", 1))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:

@@ -372,6 +372,38 @@ def test_urls(spark):
     assert url_filters.judge_urls(df.limit(0), queries.RULES).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<link rel=canonical href="page.html">', ["http://a.net/es/page.html"]),
+        ('<link rel="canonical" href="../x">', ["http://a.net/x"]),
+        ("<link rel='canonical' href='./y/./z/..'>", ["http://a.net/es/y/"]),
+        ('<link rel=canonical href="../../../x">', ["http://a.net/x"]),
+        ('<link rel=canonical href="?p=1">', ["http://a.net/es/d?p=1"]),
+        ('<link rel=canonical href="#top">', []),
+        ('<link rel=canonical href="//B.org/X?y=Z#t">', ["http://b.org/X?y=Z"]),
+        ('<link rel=canonical href="/q?a=1&amp;b=2&#38;c=&#x26;amp;">', ["http://a.net/q?a=1&b=2&c=&amp;"]),
+        ('<link rel=canonical href="/&#233;&#x65E5;&#xD800;&">', ["http://a.net/é日&"]),
+        ('<LINK HREF=HTTP://B.org/P REL="alternate Canonical">', ["http://b.org/P"]),
+        ("""<link rel="canonical" href="/it's">""", ["http://a.net/it's"]),
+        ('<link rel=canonical href=/1><link rel="canonical" href="/2"><meta http-equiv=refresh content="0;url=/3"><meta http-equiv="refresh" content="5; /4">', [f"http://a.net/{i}" for i in (1, 2, 3, 4)]),
+        ("""<meta http-equiv="refresh" content="0; URL='../r?x=1&amp;y'">""", ["http://a.net/r?x=1&y"]),
+        ('<meta http-equiv="refresh" content="url=s">', ["http://a.net/es/s"]),
+        ('<meta http-equiv="refresh" content="30"><link rel="canonicalx" href="/n"><link data-rel="canonical" href="/n"><link rel=canonical href="mailto:x">', []),
+        ('<base href="/b/c"><link rel=canonical href="d">', ["http://a.net/b/d"]),
+    ],
+)
+def test_url_targets(spark, html, want):
+    df = spark.createDataFrame([(1, "HTTP://A.net/es/d?e#f", html)], "page_id long, url string, html string")
+    assert sorted(tuple(r) for r in url_filters.page_edges(df).collect()) == [("http://a.net/es/d?e", x) for x in want]
+
+
+def test_url_aliases_of_blocked(spark):
+    rows = [("http://b.org/fr/1?page=2&ref=x", '<link rel=canonical href="//A.net/fr/x">'), ("http://b.org/2", '<link rel=canonical href="fr/1?page=2&amp;ref=x">'), ("http://B.org/3", None), ("http://c.org/4", '<meta http-equiv=refresh content="0;url=http://b.ORG/3"><meta http-equiv=refresh content="0;url=http://A.NET/fr/x">'), ("http://d.org", "<link rel=canonical href=e>")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    assert [r.verdict for r in url_filters.judge_urls(df, queries.RULES).orderBy("page_id").collect()] == ["block"] * 4 + ["allow"]
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------------------
 
 
