@@ -28,13 +28,17 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of least doc_id.
+    """One document of each group of near duplicates: that of least doc_id, one without an id only if none has one.
 
-    Repeated rows of one doc_id are one document. Rows without an id cannot be named as copies and all stay.
+    Rows equal in id and text are one document. Rows are named by a 64-bit hash of both, so that differing texts of one id
+    and texts without an id are compared like any others.
     """
-    named = docs.where("doc_id is not null")
-    heads = ngram_join.near_duplicates(named, words=5, percent=80).where("component_id = doc_id").select("doc_id").distinct()
-    return named.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = ngram_join.near_duplicates(own.select(F.col("_row").alias("doc_id"), "text"), words=5, percent=80)
+    groups = found.select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row").alias("_row")))
+    heads = groups.join(own.select("_row", "doc_id").distinct(), "_row").groupBy("component_id").agg(first.alias("head")).select("head._row")
+    return own.join(heads, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

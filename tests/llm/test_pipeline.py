@@ -52,3 +52,32 @@ def test_no_learned_language_goes(spark):
     assert got.columns == table.columns
     assert sorted(r.doc_id for r in got.collect()) == [i for i, _, _ in clean + mixed]
     assert pipeline.language_stage(spark, table.limit(0), "").count() == 0
+
+
+def brute_heads(rows):
+    """The (doc_id, text) that stay, where the first of a group is told by its id alone."""
+    rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    group = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= 80 * len(x | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    return sorted((rows[i] for i in set(group)), key=repr)
+
+
+def test_near_rows_of_one_id_and_without(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(5, a), (5, b), (5, b), (7, a + " end"), (3, b + " end"), (None, c), (None, c), (9, a), (None, d), (11, d), (12, None), (13, ""), (14, "")]
+    for i in range(60):
+        base = text()
+        rows += [(rng.choice([100 + i, 300 + 2 * i, None]) if k == 0 else 200 + 3 * i + k, base + f" x{k}") for k in range(rng.randint(1, 3))]
+    got = pipeline.near_stage(spark, docs(spark, rows), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == brute_heads(rows)
+    alone = pipeline.near_stage(spark, docs(spark, [(None, c), (None, c), (None, c + " end"), (None, d)]), "").collect()
+    assert len(alone) == 2 and {r.text[:9] for r in alone} == {c[:9], d[:9]}
+    assert pipeline.near_stage(spark, docs(spark, []), "").count() == 0
