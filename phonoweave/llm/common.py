@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a kernel handles at once. NumPy kernels need up to about 60 bytes of scratch for each.
-SLICE_BYTES = 1 << 21
+#: Bytes of text that a kernel handles at once. NumPy kernels need up to about 60 bytes of scratch for each; a longer text is
+#: handled in parts of about this size, so that beyond it a text needs its own size and that of its words alone.
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; a folder of our own only in local mode, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="phonoweave-"))
         root = spark.sparkContext.getCheckpointDir()
     return root
@@ -68,6 +72,11 @@ def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return at, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
+def texts_of(batch: pa.RecordBatch, first: int, last: int) -> list[str]:
+    """The texts of some rows of a batch; null counts as empty."""
+    return ["" if t is None else t for t in batch.column("text").slice(first, last - first).to_pylist()]
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes each; a longer text gets a range of its own."""
     first, n = 0, len(offsets) - 1
@@ -77,11 +86,6 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def ascii_lower(column):
-    """A-Z lower-cased, nothing else."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 #: Finalising constants of a well-known 64-bit mixer (splitmix64).
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -94,3 +98,69 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= MIX_2
     x ^= x >> np.uint64(31)
     return x
+
+
+SPACES = b" \t\n\x0b\x0c\r"
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_SPACE = np.isin(np.arange(256), list(SPACES))
+_BASE = 0x9E3779B97F4A7C15 | 1
+
+
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, _BASE, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, begin) of each word of one part of a text."""
+    space = _IS_SPACE[raw]
+    before = np.ones(len(raw), bool)
+    before[1:] = space[:-1]
+    begin = np.flatnonzero(~space & before)
+    if not len(begin):
+        return np.zeros(0, np.uint64), begin
+    own, empty = raw[begin[0] :], space[begin[0] :]
+    at = begin - begin[0]
+    room = np.diff(at, append=len(own))
+    value = np.where(empty, 0, own.astype(np.uint64) + np.uint64(1))
+    value *= _powers(int(room.max()))[np.arange(len(own)) - np.repeat(at, room)]
+    size = np.add.reduceat(~empty, at, dtype=np.uint64)
+    return mix64(np.add.reduceat(value, at) + size * MIX_1), begin
+
+
+def word_hashes(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of words of each text data[at[i]:at[i + 1]]).
+
+    A-Z is lower-cased, words are runs of anything but the six ASCII spaces. Texts are handled together up to SLICE_BYTES; a
+    longer one in parts that end where a word does.
+    """
+    hashes, counts = [], []
+    for a, b in slices(at):
+        if b - a == 1:
+            n, place, end = 0, int(at[a]), int(at[b])
+            while place < end:
+                stop = min(end, place + SLICE_BYTES)
+                while stop < end and not _IS_SPACE[data[stop - 1]]:  # to the end of the word
+                    near = np.flatnonzero(_IS_SPACE[data[stop : stop + SLICE_BYTES]])
+                    stop = stop + int(near[0]) + 1 if len(near) else min(end, stop + SLICE_BYTES)
+                h, _ = _hashes(_LOWER[data[place:stop]])
+                hashes.append(h)
+                n += len(h)
+                place = stop
+            counts.append(np.array([n]))
+            continue
+        own = at[a : b + 1] - at[a]
+        raw = np.full(own[-1] + b - a, 32, np.uint8)  # a space after each text
+        raw[np.arange(own[-1]) + np.repeat(np.arange(b - a), np.diff(own))] = _LOWER[data[at[a] : at[b]]]
+        h, begin = _hashes(raw)
+        hashes.append(h)
+        counts.append(np.diff(np.searchsorted(begin, own + np.arange(b - a + 1))))
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty.astype(np.uint64), *hashes]), np.concatenate([empty, *counts])
+
+
+def ascii_lower(column):
+    """A-Z lower-cased, nothing else."""
+    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

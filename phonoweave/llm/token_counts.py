@@ -4,12 +4,15 @@ Two deterministic transducers. The splitter reads classes of code points and mar
 states, so what a chunk of text does is a map of eight states to eight states. Chunks of a whole batch run in lockstep
 from every state at once, their maps compose in a parallel prefix scan, and a second pass from the then known states
 gives the marks. The counter reads the bytes of a piece; each of its transitions is annotated with the change of the
-number of emitted tokens, and transitions are compiled when first needed. Whole pieces are remembered with their sum.
+number of emitted tokens, and transitions are compiled when first needed. The tokens that
+pieces emit compose to those of texts by prefix sums. Short pieces are remembered with their sum in a table of arrays.
 """
 
 from __future__ import annotations
 
 import json
+from functools import cache, lru_cache
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, strings
+from .common import MIX_1, mix64, slices, strings, texts_of
 
 # --- the splitter ----------------------------------------------------------------------------------------------------
 
@@ -28,10 +31,14 @@ LETTER, NUMBER, BLANK, SPACE, APOSTROPHE, OTHER = range(6)
 # States after a code point.
 (FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, PREFIX, IN_SPACE, CONTRACT_1, CONTRACT_2) = range(8)
 N_STATES, N_SYMBOLS, CHUNK = 8, 11, 64
+#: Code points that are handled at once.
+PART = 1 << 20
+_BLANK = regex.compile(r" (?=\S)")
 #: Fixed values of the pattern: after an apostrophe, one of these letters or pairs of letters is a piece of its own.
 CONTRACTIONS_1, CONTRACTIONS_2 = "stmd", ("re", "ve", "ll")
 
 
+@cache
 def _classes() -> np.ndarray:
     """The class of every code point."""
     out = np.full(0x110000, OTHER, np.uint8)
@@ -138,107 +145,269 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Table:
+    """Numbers under keys of two words: open addressing in arrays of a fixed size. The second word of a key is never 0."""
+
+    def __init__(self, bits: int):
+        self.mask = (1 << bits) - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.size = 0
+        self.one, self.two = (np.zeros(self.mask + 1, np.uint64) for _ in range(2))
+        self.value = np.zeros(self.mask + 1, np.int64)
+
+    def _home(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return (mix64(one + two * MIX_1) & np.uint64(self.mask)).astype(np.int64)
+
+    def get(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none."""
+        at, out, left = self._home(one, two), np.full(len(one), -1, np.int64), np.arange(len(one))
+        while len(left):
+            here = at[left]
+            there = self.two[here]
+            hit = (there == two[left]) & (self.one[here] == one[left])
+            out[left[hit]] = self.value[here[hit]]
+            left = left[~hit & (there != 0)]
+            at[left] = (at[left] + 1) & self.mask
+        return out
+
+    def put(self, one: np.ndarray, two: np.ndarray, value: np.ndarray) -> None:
+        """Adds distinct keys that are not there; when half the table would be full, all are forgotten before."""
+        if self.size + len(one) > self.mask // 2:
+            self.clear()
+            one, two, value = (x[: self.mask // 2] for x in (one, two, value))
+        self.size += len(one)
+        at, left = self._home(one, two), np.arange(len(one))
+        while len(left):
+            free = left[self.two[at[left]] == 0]
+            _, first = np.unique(at[free], return_index=True)
+            done = free[first]
+            self.one[at[done]], self.two[at[done]], self.value[at[done]] = one[done], two[done], value[done]
+            left = np.setdiff1d(left, done, assume_unique=True)
+            at[left] = (at[left] + 1) & self.mask
+
+
 class Merges:
-    """The vocabulary: which merge joins two tokens when, and the tokens of a byte string by merging."""
+    """The vocabulary: which merge joins two tokens when. A token's number grows with the rank of the merge that makes it."""
 
     def __init__(self, merges: list[tuple[bytes, bytes]]):
-        self.tokens = {bytes([b]): b for b in range(256)}
+        self.tokens = ids = {bytes([b]): b for b in range(256)}
+        self.parts: list[tuple[int, int]] = [(b, b) for b in range(256)]
+        #: left * 2^24 + right: the token that they join to
+        self.join: dict[int, int] = {}
         for a, b in merges:
-            self.tokens.setdefault(a + b, len(self.tokens))
-        ids = self.tokens
-        #: left * 2^24 + right: rank * 2^24 + joined
-        self.join = {ids[a] << 24 | ids[b]: i << 24 | ids[a + b] for i, (a, b) in reversed([*enumerate(merges)])}
-        self._fits: dict[tuple[bytes, bytes], bool] = {}
-
-    def split(self, data: bytes) -> list[int]:
-        get, parts = self.join.get, list(data)
-        while True:
-            best = least = None
-            before = parts[0]
-            for i in range(1, len(parts)):
-                after = parts[i]
-                j = get(before << 24 | after)
-                if j is not None and (least is None or j < least):
-                    best, least = i, j
-                before = after
-            if best is None:
-                return parts
-            parts[best - 1 : best + 1] = [least & 0xFFFFFF]
-
-    def fits(self, left: bytes, right: bytes) -> bool:
-        """Merging leaves the two tokens as they are; left may be empty: then right must be a token of itself."""
-        key = (left, right)
-        if (known := self._fits.get(key)) is None:
-            known = self._fits[key] = self.split(left + right) == [self.tokens[t] for t in key if t]
-        return known
+            if a + b not in ids:
+                ids[a + b] = len(ids)
+                self.parts.append((ids[a], ids[b]))
+            elif self.parts[ids[a + b]] != (ids[a], ids[b]):
+                raise ValueError(f"two merges make {a + b!r}")
+            self.join.setdefault(ids[a] << 24 | ids[b], ids[a + b])
+
+        self._left, self._right = np.array(self.parts, np.int64).T.copy()
+        self._joins = Table(max(4, (4 * len(self.join)).bit_length()))
+        keys = np.fromiter(self.join, np.uint64, len(self.join))
+        self._joins.put(keys, np.ones_like(keys), np.fromiter(self.join.values(), np.int64, len(keys)))
+        #: tokens to whose number their bytes are merged; others never come out
+        unused = self._crosses(self._left[256:], self._right[256:], own=True)
+        self.usable = {t: i for t, i in ids.items() if i < 256 or not unused[i - 256]}
+
+    def _crosses(self, left: np.ndarray, right: np.ndarray, own: bool = False) -> np.ndarray:
+        """Whether merging the bytes of two tokens joins some over the seam between them; with `own`, other than the two.
+
+        The tokens beside the seam are followed back in time: the later made of the two is taken apart again. What is beside
+        the seam joins over it if that comes before the merge just taken back; of equal merges the left one is made first.
+        """
+        left, right = left.copy(), right.copy()
+        out, todo = np.zeros(len(left), bool), np.arange(len(left))
+        limit = np.full(len(left), len(self._left))
+        while len(todo):
+            a, b = left[todo], right[todo]
+            if not own:
+                key = (a << 24 | b).astype(np.uint64)
+                joined = self._joins.get(key, np.ones_like(key))
+                hit = (joined >= 0) & (joined < limit[todo])
+                out[todo[hit]] = True
+            else:
+                hit, own = np.zeros(len(todo), bool), False
+            more = ~hit & ((a >= 256) | (b >= 256))
+            todo, a, b = todo[more], a[more], b[more]
+            later = a > b
+            limit[todo] = np.where(later, a, b + 1)
+            left[todo], right[todo] = np.where(later, self._right[a], a), np.where(later, b, self._left[b])
+        return out
+
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merging the bytes of two usable tokens leaves the two as they are; nothing (-1) to the left never matters."""
+        out = left < 0
+        some = np.flatnonzero(~out)
+        out[some] = ~self._crosses(left[some], right[some])
+        return out
 
 
 class Counter:
-    """The byte transducer, determinised as far as it is used.
+    """The byte transducer: deterministic, its states made as they are reached.
 
     The tokens of a byte string end with the longest token that fits the last token of what precedes it. A state therefore
-    holds, for every suffix that can still grow into a token, the suffix, the last token before it, and how many fewer
-    tokens end there than at the present end; prefixes of pieces that agree in this share a state. The annotation of a
-    transition is the change of the token count, which may be negative, as a byte can join two tokens.
+    holds, for every suffix that can still grow into a token, its node in the trie of tokens, the last token before it, and
+    how many fewer tokens end there than at the present end. The annotation of a transition is the change of the token count,
+    which may be negative, as a byte can join two tokens.
+
+    Many pieces are read in lockstep, a byte at a time, their states side by side in arrays. A piece of up to SHORT bytes is
+    remembered under its exact bytes.
     """
 
-    #: Remembered pieces and transitions; when there are more, all are forgotten and compiled again as needed.
-    MOST_PIECES, MOST_TRANSITIONS = 400_000, 1_500_000
+    SHORT = 15
+    #: Size (as a power of 2) of the table of remembered pieces; when it is half full, all are forgotten.
+    PIECE_BITS = 20
+    #: A longer piece is read by itself, with the transitions that it repeats remembered.
+    LONG, MOST_EDGES = 256, 100_000
 
     def __init__(self, merges: Merges):
-        self.merges, self.pieces = merges, {}
-        self.grows = {t[:i] for t in merges.tokens for i in range(1, len(t))}
-        self._forget()
-
-    def _forget(self) -> None:
-        self.merges._fits.clear()
-        self.states: list[tuple] = []
-        self.index: dict[tuple, int] = {}
-        self.edges: dict[int, tuple[int, int]] = {}  # state * 256 + byte: state * 256, emitted tokens
-        self._state(((b"", b"", 0),))
-
-    def _state(self, entries: tuple) -> int:
-        if (i := self.index.get(entries)) is None:
-            i = self.index[entries] = len(self.states)
-            self.states.append(entries)
-        return i
-
-    def _edge(self, key: int) -> tuple[int, int]:
-        entries, byte, m = self.states[key >> 8], bytes([key & 255]), self.merges
-        for suffix, before, fewer in entries:  # longest suffix first
-            token = suffix + byte
-            if token in m.tokens and m.fits(before, token):
-                break
-        emitted = 1 - fewer
-        kept = [(s + byte, t, f + emitted) for s, t, f in entries if s + byte in self.grows]
-        edge = self.edges[key] = (self._state((*kept, (b"", token, 0))) << 8, emitted)
-        return edge
-
-    def piece(self, text: str) -> int:
-        if len(self.edges) >= self.MOST_TRANSITIONS:
-            self._forget()
+        self.merges, self.pieces = merges, None
+        child: dict[int, int] = {}  # node * 256 + byte: node
+        token, grows = [-1], [True]
+        for t, i in merges.usable.items():
+            node = 0
+            for byte in t:
+                key = node << 8 | byte
+                if (to := child.get(key)) is None:
+                    to = child[key] = len(token)
+                    grows[node] = True
+                    token.append(-1)
+                    grows.append(False)
+                node = to
+            token[node] = i
+        #: of each node: its token, whether it has children
+        self.token, self.grows = np.array(token), np.array(grows)
+        self._place_children(child)
+        del merges.tokens, merges.parts, merges.join, merges.usable  # arrays have all that is needed from here on
+
+    def _place_children(self, child: dict[int, int]) -> None:
+        """One array for all nodes' children: that of a node by a byte is at base[node] + byte, if that place is the node's."""
+        of: dict[int, list[int]] = {}
+        for key in child:
+            of.setdefault(key >> 8, []).append(key & 255)
+        size = len(child) + 256 * len(of) + 1024
+        base, owner, to = np.zeros(len(self.token), np.int32), np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        taken, free, end = bytearray(size), 256, 256
+        for node in sorted(of, key=lambda n: -len(of[n])):  # those with one child fill the gaps that the others leave
+            own = sorted(of[node])
+            shift = [b - own[0] for b in own]
+            while taken[free]:
+                free += 1
+            at = next((x for x in range(free, min(free + 16, end)) if not any(taken[x + d] for d in shift)), end) if len(own) > 1 else free
+            end = max(end, at + shift[-1] + 1)
+            base[node] = at - own[0]
+            for b, d in zip(own, shift, strict=True):
+                taken[at + d] = 1
+                owner[at + d], to[at + d] = node, child[node << 8 | b]
+        self._base, self._owner, self._to = base, owner[: end + 256].copy(), to[: end + 256].copy()
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"pieces": None}  # what is remembered stays in its process
+
+    def step(self, node: np.ndarray, before: np.ndarray, fewer: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The states (a row each: node -1 for no entry, the longest suffix first) after a byte each, and the tokens emitted."""
+        n = len(byte)
+        row, col = np.nonzero(node >= 0)
+        old = node[row, col]
+        key = self._base[old] + byte[row]
+        some = self._owner[key] == old
+        row, col, to = row[some], col[some], self._to[key[some]]
+        was, less, token = before[row, col], fewer[row, col], self.token[to]
+        best, ends = np.empty(n, np.int64), np.flatnonzero(token >= 0)
+        while len(ends):  # the longest of each row, then the next of those rows where it does not fit
+            first = np.ones(len(ends), bool)
+            first[1:] = row[ends[1:]] != row[ends[:-1]]
+            mine = ends[first]
+            fit = self.merges.fits(was[mine], token[mine])
+            best[row[mine[fit]]] = mine[fit]
+            open_ = np.zeros(n, bool)
+            open_[row[mine[~fit]]] = True  # a byte alone is a token and fits, so each row ends here
+            ends = ends[~first & open_[row[ends]]]
+        emitted = 1 - less[best]
+        kept = np.flatnonzero(self.grows[to])
+        size = np.bincount(row[kept], minlength=n)
+        place = np.arange(len(kept)) - np.repeat(np.cumsum(size) - size, size)
+        out = np.full((3, n, int(size.max(initial=0)) + 1), -1)
+        out[:, row[kept], place] = to[kept], was[kept], less[kept] + emitted[row[kept]]
+        out[:, np.arange(n), size] = np.zeros(n, np.int64), token[best], np.zeros(n, np.int64)
+        return *out, emitted
+
+    def _alone(self, data: bytes) -> int:
+        """Tokens of one piece."""
+        states, index, edges = [((0, -1, 0),)], {}, {}
         state = n = 0
-        get = self.edges.get
-        for b in text.encode():
-            state, emitted = get(state + b) or self._edge(state + b)
-            n += emitted
-        if len(self.pieces) >= self.MOST_PIECES:
-            self.pieces.clear()
-        self.pieces[text] = n
+        for byte in data:
+            if (edge := edges.get(state << 8 | byte)) is None:
+                if len(states) >= self.MOST_EDGES:
+                    states, index, edges = [states[state]], {}, {}
+                    state = 0
+                row = np.array(states[state]).T[:, None, :]
+                *made, emitted = self.step(*row, np.array([byte]))
+                entries = tuple(map(tuple, np.stack(made)[:, 0].T.tolist()))
+                to = index.setdefault(entries, len(states))
+                if to == len(states):
+                    states.append(entries)
+                edge = edges[state << 8 | byte] = to, int(emitted[0])
+            state = edge[0]
+            n += edge[1]
         return n
 
-    def total(self, pieces: list[str]) -> int:
-        get, out = self.pieces.get, 0
-        for p in pieces:
-            n = get(p)
-            out += self.piece(p) if n is None else n
+    def _read(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Tokens of each of the pieces raw[begin : begin + size]."""
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], size[order]
+        n, alone = np.zeros(len(order), np.int64), int(np.searchsorted(-size, -self.LONG, side="left"))
+        live, t = np.arange(alone, len(order)), 0
+        state = np.zeros((3, len(live), 1), np.int64) + np.array([0, -1, 0])[:, None, None]
+        while True:
+            m = int(np.searchsorted(-size[live], -t, side="left"))  # pieces longer than t
+            if not m:
+                break
+            live = live[:m]
+            *state, emitted = self.step(*(x[:m] for x in state), raw[begin[live] + t])
+            n[live] += emitted
+            t += 1
+        for i in range(alone):
+            n[i] = self._alone(raw[begin[i] : begin[i] + size[i]].tobytes())
+        out = np.empty_like(n)
+        out[order] = n
+        return out
+
+    def counts(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Tokens of each of the pieces raw[begin : begin + size]; raw has 24 bytes more at its end."""
+        eight = np.lib.stride_tricks.sliding_window_view(raw, 8)
+        word = lambda at, n: np.ascontiguousarray(eight[at]).view("<u8").ravel() & _LOW_BYTES[n]
+        if self.pieces is None:
+            self.pieces = Table(self.PIECE_BITS)
+        short = np.flatnonzero(size <= self.SHORT)
+        at, n = begin[short], size[short]
+        one, two = word(at, np.minimum(n, 8)), word(at + 8, np.maximum(n - 8, 0)) | n.astype(np.uint64) << np.uint64(56)
+        out = np.full(len(size), -1, np.int64)
+        out[short] = found = self.pieces.get(one, two)
+        new = np.flatnonzero(found < 0)
+        keys = np.stack([one[new], two[new]], axis=1).view("u8,u8").ravel()
+        _, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        some, long = new[first], np.flatnonzero(size > self.SHORT)
+        read = np.concatenate([short[some], long])
+        made = self._read(raw, begin[read], size[read])
+        out[long] = made[len(some) :]
+        out[short[new]] = made[: len(some)][place]
+        self.pieces.put(one[some], two[some], made[: len(some)])
         return out
 
 
+#: By number: all ones in so many low bytes.
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
 class CompiledTokenizer:
     """A byte-level BPE tokenizer file as the two transducers."""
 
     def __init__(self, spec: str):
+        """`spec` is the file's text. What is made of it is arrays of a few MB, made once and sent to all executors."""
         j = json.loads(spec)
         pre, model = j["pre_tokenizer"], j["model"]
         known = pre["type"] == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and j["normalizer"] is None and model["type"] == "BPE"
@@ -254,7 +423,11 @@ class CompiledTokenizer:
         self.classes = _classes()
 
     def count(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text. A special string inside a text is one token and ends the pieces around it."""
+        """Tokens of each text. A special string inside a text is one token and ends the pieces around it.
+
+        A piece is what the byte transducer reads from its first state on, so the map of a piece has one entry, annotated
+        with the tokens emitted; the totals of texts are differences of the prefix sums of these.
+        """
         owner, parts, out = [], [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if self._special is not None and any(s in t for s in self.special):
@@ -262,19 +435,54 @@ class CompiledTokenizer:
                 split = self._special.split(t)
             else:
                 split = [t]
-            owner += [i] * len(split)
-            parts += split
+            for own in split:
+                for part in _parts(own):
+                    owner.append(i)
+                    parts.append(part)
+        first = 0
+        while first < len(parts):
+            last, size = first, 0
+            while last < len(parts) and (last == first or size + len(parts[last]) <= PART):
+                size += len(parts[last])
+                last += 1
+            np.add.at(out, owner[first:last], self._count(parts[first:last]))
+            first = last
+        return out
+
+    def _count(self, parts: list[str]) -> np.ndarray:
         joined = "\0".join(parts) + "\0"
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
+        raw = joined.encode()
+        place = np.arange(len(codes) + 1)  # of each code point in the bytes
+        if len(raw) > len(codes):
+            np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000), out=place[1:])
         ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-        codes = codes.copy()
         codes[ends] = 0x110000
-        starts = piece_starts(symbols(codes, self.classes)).tolist()
-        pieces = list(map(joined.__getitem__, map(slice, starts, [*starts[1:], len(joined)])))
-        bounds = np.searchsorted(starts, np.concatenate([[-1], ends]), side="right")
-        for k, i in enumerate(owner):
-            out[i] += self.counter.total(pieces[bounds[k] : bounds[k + 1] - 1])
-        return out
+        syms = symbols(codes, self.classes)
+        starts = piece_starts(syms)
+        begin = place[starts]
+        size = np.diff(begin, append=place[-1])
+        inside = syms[starts] != S_RESET
+        total = np.zeros(len(starts) + 1, np.int64)
+        total[1:][inside] = self.counter.counts(np.frombuffer(raw + bytes(24), np.uint8), begin[inside], size[inside])
+        np.cumsum(total, out=total)
+        return np.diff(total[np.searchsorted(starts, np.concatenate([[0], ends + 1]))])
+
+
+@lru_cache(maxsize=2)
+def compiled(tokenizer_path: str) -> CompiledTokenizer:
+    """The compiled file, once in a driver."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return CompiledTokenizer(f.read())
+
+
+def _parts(text: str) -> list[str]:
+    """The text in parts of about PART code points. A blank before anything but white space always begins a piece."""
+    out, at = [], 0
+    while len(text) - at > PART and (m := _BLANK.search(text, at + PART)):
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]] if at else [text]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, over: int = 1024) -> DataFrame:
@@ -285,18 +493,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, over: int = 1024) -> Data
     or one text. Other columns pass through, but columns named like the new ones are replaced. Rows are neither joined nor
     shuffled.
     """
-    with open(tokenizer_path, encoding="utf-8") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    sent = docs.sparkSession.sparkContext.broadcast(compiled(tokenizer_path))
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
     docs = docs.drop("n_bytes", "n_tokens", "over_limit")
 
     def run(batches):
-        tokenizer = None
+        tokenizer = sent.value
         for batch in batches:
-            tokenizer = tokenizer or CompiledTokenizer(sent.value)
             at, _ = strings(batch.column("text"))
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            counts = [tokenizer.count(texts[a:b]) for a, b in slices(at)]
+            counts = [tokenizer.count(texts_of(batch, a, b)) for a, b in slices(at, PART)]
             columns = [*batch.columns, pa.array(np.diff(at)), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "n_bytes", "n_tokens"])
 
