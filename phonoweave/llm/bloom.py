@@ -40,7 +40,12 @@ class TwiceFilter:
         return ((self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
 
-def build_twice(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], keys: int) -> TwiceFilter:
+def build_once(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], keys: int) -> TwiceFilter:
+    """The once-seen filter, which suspects every key that occurs; otherwise like build_twice()."""
+    return build_twice(df, hashes_of, keys, 1)
+
+
+def build_twice(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], keys: int, times: int = 2) -> TwiceFilter:
     """The twice-seen filter over every hash that `hashes_of` yields for `df`'s batches.
 
     Each task keeps one pair of filters and emits their segments; segments of all tasks stream through the merge, of
@@ -68,7 +73,7 @@ def build_twice(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np
 
     def merged(batches):
         now, once, twice = None, None, None
-        out = lambda: pa.RecordBatch.from_pydict({"segment": pa.array([now], pa.int32()), "twice": pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())})
+        out = lambda: pa.RecordBatch.from_pydict({"segment": pa.array([now], pa.int32()), "twice": pa.array([zlib.compress((twice if times == 2 else once).tobytes(), 1)], pa.binary())})
         for batch in batches:
             for s, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != now:
