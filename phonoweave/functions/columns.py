@@ -58,3 +58,13 @@ def printed(fv: Column, table: SymbolTable) -> Column:
     """The known symbol of a vector, or `?`."""
     known = F.create_map(*(F.lit(x) for v, s in table.symbols.items() for x in (v, s)))
     return F.coalesce(F.element_at(known, fv), F.lit("?"))
+
+
+def morph_spec(specs: Column, name: str) -> Column:
+    """A word's value of a morphological feature, from a column map<string,string>; null without one."""
+    return F.try_element_at(specs, F.lit(name))
+
+
+def in_domain(domains: Column, name: str) -> Column:
+    """Whether a word is in a domain, from a column array<string>; false for null."""
+    return F.coalesce(F.array_contains(domains, name), F.lit(False))

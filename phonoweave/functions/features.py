@@ -14,7 +14,7 @@ MARK_OF = {"2": "+", "0": "-", "1": "0"}
 DIGIT_OF = {"+": "2", "-": "0", "0": "1", ".": "1"}
 WEIGHTS_ROW = "FEATURE_WEIGHTS"
 #: What may be in no phone symbol.
-ILLEGAL = ("[", "]", "{", "}", "(", ")", ">", "/", "__", ";", ",", "$", "∅", "#", "@", "*", "ɸ", " ")
+ILLEGAL = ("[", "]", "{", "}", "__", ":", ",", ";", " ", "+", "#", "@", "∅", "$", ">", "/", "~", "0")
 #: Fixed value: the most diacritics that a symbol is built with.
 MAX_DIACRITICS = 4
 NULL, WORD, MORPH, ANY = "∅", "#", "+", "@"

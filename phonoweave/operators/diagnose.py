@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from phonoweave.functions.features import MARK_OF, SymbolTable
+from phonoweave.functions.features import MARK_OF, MORPH, WORD, SymbolTable
 
 from .engine import matches
 
-#: Floors of counts and denominators, share that stops the scope, its greatest radius, the lowest score shown.
+#: Floors of counts and denominators, share that stops the scope, its greatest radius, the score to be exceeded.
 PHI_FLOOR, F_FLOOR = 0.5, 0.25
 SCOPE_SHARE, MAX_RADIUS, MIN_SCORE = 0.32, 3, 0.1
+#: Fixed value: the share of boundaries above which a place is reported to be often at an edge.
+EDGE_SHARE = 0.2
 
 
 def confusions(aligned: DataFrame) -> DataFrame:
@@ -59,6 +61,24 @@ def constant_features(symbols: DataFrame, table: SymbolTable) -> DataFrame:
 inactive_features = constant_features
 
 
+def prognosis(around: DataFrame, table: SymbolTable, share: float = 0.2, suppress: DataFrame | None = None) -> DataFrame:
+    """(offset, kind, value, share): what the places around a confusion have in common, of confusion_contexts().
+
+    kind `boundary`: the share of word boundaries, if above EDGE_SHARE; `phone`: symbols of a share above `share`; `constant`:
+    the values that all phones of a place have, without those of `suppress` (spec), such as inactive_features() of all words.
+    """
+    total = Window.partitionBy("offset")  # as many rows as symbols
+    own = around.withColumn("share", F.col("n") / F.sum("n").over(total))
+    edges = own.where((F.col("sym") == WORD) & (F.col("share") > EDGE_SHARE)).select("offset", F.lit("boundary").alias("kind"), F.col("sym").alias("value"), "share")
+    phones = own.where(~F.col("sym").isin(WORD, MORPH, "∅"))
+    often = phones.where(F.col("share") > share).select("offset", F.lit("phone").alias("kind"), F.col("sym").alias("value"), "share")
+    specs = phones.withColumn("of", F.count("*").over(total)).select("offset", "of", F.explode(F.element_at(feature_columns(table), F.col("sym"))).alias("value"))
+    constant = specs.groupBy("offset", "of", "value").agg(F.count("*").alias("n")).where("n = of")
+    if suppress is not None:
+        constant = constant.join(F.broadcast(suppress.select(F.col("spec").alias("value"))), "value", "left_anti")  # as many as features at most
+    return edges.unionByName(often).unionByName(constant.select("offset", F.lit("constant").alias("kind"), "value", F.lit(1.0).alias("share")))
+
+
 def without_active(specs: list[str], symbols: DataFrame, table: SymbolTable) -> DataFrame:
     """(spec): those of the given specs that no symbol of (sym) has."""
     given = symbols.sparkSession.createDataFrame([(x,) for x in specs], "spec string")
@@ -137,15 +157,15 @@ def scored(table: DataFrame, mode: str = "phi") -> DataFrame:
 
 
 def predictor_kind(predictor: Column) -> Column:
-    return F.when(predictor == "#", "bound").when(predictor.rlike(r"^[+-]\w"), "feature").otherwise("phone")
+    return F.when(predictor.isin(WORD, MORPH), "bound").when(predictor.rlike(r"^[+-]\w"), "feature").otherwise("phone")
 
 
 def top_predictors(scores: DataFrame, n: int = 5) -> DataFrame:
-    """For each place, the n best predictors of at least MIN_SCORE, and the best of each kind whatever its score."""
+    """For each place, the n best predictors and the best of each kind, all of a score above MIN_SCORE."""
     kind = scores.withColumn("kind", predictor_kind(F.col("predictor")))
     order = [F.desc("score"), F.asc("predictor")]
     ranked = kind.withColumn("rank", F.row_number().over(Window.partitionBy("rel_pos").orderBy(*order))).withColumn("kind_rank", F.row_number().over(Window.partitionBy("rel_pos", "kind").orderBy(*order)))
-    return ranked.where((F.col("rank") <= n) & (F.col("score") >= MIN_SCORE) | (F.col("kind_rank") == 1))
+    return ranked.where((F.col("score") > MIN_SCORE) & ((F.col("rank") <= n) | (F.col("kind_rank") == 1)))
 
 
 def autopsy_scope(matched: DataFrame, lengths: str = "length") -> tuple[int, int]:

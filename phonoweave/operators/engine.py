@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from phonoweave.functions.distance import coded, symbol_codes
 from phonoweave.functions.features import WORD, Seg, SymbolTable, show
 from phonoweave.plans.kernel import Kernel
-from phonoweave.plans.rules import Rule, match_bounds
-from phonoweave.sources.readers import ABSENT, ABSENT_S, PRESENT_S, UNATTESTED, UNATTESTED_S, Cascade
+from phonoweave.plans.rules import Exact, Group, Matrix, Rule, match_bounds
+from phonoweave.sources.readers import ABSENT, ABSENT_S, BLACK, GOLD, PRESENT_S, UNATTESTED, UNATTESTED_S, Cascade
 
 #: Forms that a task remembers; when there are more, all are forgotten.
 CACHE = 200_000
@@ -39,6 +40,25 @@ def _appended(batch: pa.RecordBatch, arrays: list[pa.Array], names: list[str]) -
     return pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *names])
 
 
+def _each_form(made):
+    """`made` of each form, once for equal forms while they are remembered; null stays null."""
+    seen: dict = {}
+
+    def of(forms: pa.Array) -> list:
+        nonlocal seen
+        out = []
+        for f in forms.to_pylist():
+            got = None if f is None else seen.get(f)
+            if got is None and f is not None:
+                if len(seen) >= CACHE:
+                    seen = {}
+                got = seen[f] = made(f)
+            out.append(got)
+        return out
+
+    return of
+
+
 def apply_cascade(df: DataFrame, cascade: Cascade, form: str = "form", rules: tuple[int, int] | None = None, stops: Sequence[int] = (), log: bool = False) -> DataFrame:
     """`df` with outcome, and snaps (forms before the rules in `stops`) and log (steps that changed the form) if asked for.
 
@@ -51,17 +71,15 @@ def apply_cascade(df: DataFrame, cascade: Cascade, form: str = "form", rules: tu
     fields += [T.StructField("log", T.ArrayType(STEP))] if log else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kernel, seen = Kernel(table), {None: (None, None, None)}
+        kernel = Kernel(table)
+
+        def made(f: str) -> tuple:
+            word, steps, snaps = kernel.run(own, table.word(f), places)
+            return bare(word), [bare(s) for s in snaps], steps_of(steps, lo) if log else None
+
+        of = _each_form(made)
         for batch in batches:
-            out = []
-            for f in batch.column(form).to_pylist():
-                got = seen.get(f)
-                if got is None:
-                    if len(seen) >= CACHE:
-                        seen = {None: (None, None, None)}
-                    word, steps, snaps = kernel.run(own, table.word(f), places)
-                    got = seen[f] = (bare(word), [bare(s) for s in snaps], [{"rule_idx": k + lo, "before": bare(a), "after": bare(b)} for k, a, b in steps] if log else None)
-                out.append(got)
+            out = [(None, None, None) if o is None else o for o in of(batch.column(form))]
             arrays = [pa.array([o[0] for o in out], pa.string())]
             arrays += [pa.array([o[1] for o in out], pa.list_(pa.string()))] if places else []
             arrays += [pa.array([o[2] for o in out], pa.list_(_STEP_PA))] if log else []
@@ -70,6 +88,30 @@ def apply_cascade(df: DataFrame, cascade: Cascade, form: str = "form", rules: tu
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 
+def steps_of(steps: list, lo: int = 0) -> list[dict]:
+    """The kernel's steps as rows of STEP; `lo` is the number of its first rule."""
+    return [{"rule_idx": k + lo, "before": bare(a), "after": bare(b)} for k, a, b in steps]
+
+
+def apply_many(df: DataFrame, cascades: dict[str, Cascade], form: str = "form") -> DataFrame:
+    """`df` with the outcome of each cascade, in a column of its name: one Arrow stage for all. Their tables must be one."""
+    table, own = next(iter(cascades.values())).table, [c.rules for c in cascades.values()]
+
+    def run(batches):
+        kernel = Kernel(table)
+
+        def made(f: str) -> list[str]:
+            word = table.word(f)
+            return [bare(kernel.run(rules, word)[0]) for rules in own]
+
+        of = _each_form(made)
+        for batch in batches:
+            out = of(batch.column(form))
+            yield _appended(batch, [pa.array([None if o is None else o[i] for o in out], pa.string()) for i in range(len(own))], [*cascades])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, T.StringType()) for n in cascades)]))
+
+
 def simulate_lexicon(lexicon: DataFrame, cascade: Cascade, gold_columns: Sequence[int] = ()) -> DataFrame:
     """`lexicon` (etym_id, cells, ...) with outcome, status, stages (a form for each stage) and log.
 
@@ -80,13 +122,15 @@ def simulate_lexicon(lexicon: DataFrame, cascade: Cascade, gold_columns: Sequenc
     rules, table, stages = cascade.rules, cascade.table, cascade.stages
     golds = iter(gold_columns)
     columns = [next(golds, None) if s.kind == "g" else None for s in stages]
+    bounds = [0, *(s.instant for s in stages), len(rules)]
+    parts = [rules[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]  # between stages
 
     def one(kernel: Kernel, cells: list[str]) -> dict:
         word = None if cells[0] in (*ABSENT, *UNATTESTED) else table.word(cells[0])
         at, log, out = 0, [], []
         for seq, (stage, column) in enumerate(zip(stages, columns, strict=True)):
             if word is not None:
-                word, steps, _ = kernel.run(rules[at : stage.instant], word)
+                word, steps, _ = kernel.run(parts[seq], word)
                 log += [(k + at, a, b) for k, a, b in steps]
             at = stage.instant
             out.append({"seq": seq, "stage": stage.name, "type": stage.kind, "form": None if word is None else bare(word), "status": ABSENT_S if word is None else PRESENT_S})
@@ -97,9 +141,9 @@ def simulate_lexicon(lexicon: DataFrame, cascade: Cascade, gold_columns: Sequenc
                 elif word is None and gold not in UNATTESTED:
                     word = table.word(gold)
         if word is not None:
-            word, steps, _ = kernel.run(rules[at:], word)
+            word, steps, _ = kernel.run(parts[-1], word)
             log += [(k + at, a, b) for k, a, b in steps]
-        return {"outcome": None if word is None else bare(word), "status": ABSENT_S if word is None else PRESENT_S, "stages": out, "log": [{"rule_idx": k, "before": bare(a), "after": bare(b)} for k, a, b in log]}
+        return {"outcome": None if word is None else bare(word), "status": ABSENT_S if word is None else PRESENT_S, "stages": out, "log": steps_of(log)}
 
     def run(batches):
         kernel = Kernel(table)
@@ -131,10 +175,21 @@ def rule_effects(steps: DataFrame, key: str = "etym_id") -> DataFrame:
     return steps.groupBy("rule_idx").agg(F.countDistinct(key).alias("n_changed"), F.min(key).alias("first_key"))
 
 
-def derivation_text(run: DataFrame, key: str = "etym_id") -> DataFrame:
-    """(key, derivation): a line `form | rule` for each change, as one text."""
-    lines = F.transform("log", lambda x: F.concat(x["after"], F.lit(" | "), x["rule_idx"].cast("string")))
-    return run.select(key, F.array_join(lines, "\n").alias("derivation"))
+def derivation_text(run: DataFrame, cascade: Cascade, key: str = "etym_id", start=None) -> DataFrame:
+    """(key, derivation): the input, a line `form | rule : its text` for each change, `stage : form` for each stage, the result.
+
+    `start` is the column of input forms, the first cell by default. An absent word's form is the mark of absence. Lines of
+    one instant stay in order: a stage comes after the rule before it.
+    """
+    start = F.col("cells")[0] if start is None else start
+    texts = F.array(*(F.lit(str(r)) for r in cascade.rules))
+    instants = F.array(*(F.lit(s.instant) for s in cascade.stages))
+    line = lambda at, kind, seq, text: F.struct(at.alias("at"), F.lit(kind).alias("kind"), seq.alias("seq"), text.alias("line"))
+    form = lambda c: F.coalesce(c, F.lit(ABSENT[0]))
+    rules = F.transform("log", lambda x: line(x["rule_idx"] + 1, 0, x["rule_idx"], F.concat(x["after"], F.lit(" | "), x["rule_idx"].cast("string"), F.lit(" : "), F.get(texts, x["rule_idx"]))))
+    stages = F.transform("stages", lambda x: line(F.get(instants, x["seq"]), 1, x["seq"], F.concat(x["stage"], F.lit(" : "), form(x["form"]))))
+    lines = F.transform(F.array_sort(F.concat(rules, stages)), lambda x: x["line"])
+    return run.select(key, F.array_join(F.concat(F.array(form(start)), lines, F.array(form(F.col("outcome")))), "\n").alias("derivation"))
 
 
 def stage_graph(snaps: DataFrame, names: Sequence[str], key: str = "etym_id") -> DataFrame:
@@ -142,11 +197,36 @@ def stage_graph(snaps: DataFrame, names: Sequence[str], key: str = "etym_id") ->
     return snaps.groupBy(key).pivot("stage", list(names)).agg(F.first("form"))
 
 
+def stage_report(run: DataFrame, cascade: Cascade, gold_columns: Sequence[int] = (), output: int | None = None, key: str = "etym_id") -> DataFrame:
+    """(key, Input, a column for each stage, Output); beside a form that is compared, its gold as `form {GOLD: gold}`. No shuffle."""
+    golds = iter(gold_columns)
+    form = lambda c: F.coalesce(c, F.lit(ABSENT[0]))
+    beside = lambda c, at: form(c) if at is None else F.concat(form(c), F.lit(" {GOLD: "), F.col("cells")[at], F.lit("}"))
+    columns = [beside(F.col("stages")[i]["form"], next(golds, None) if s.kind == "g" else None).alias(s.name) for i, s in enumerate(cascade.stages)]
+    return run.select(key, F.col("cells")[0].alias("Input"), *columns, beside(F.col("outcome"), output).alias("Output"))
+
+
 def rule_graph(steps: DataFrame, keys: Sequence[int], key: str = "etym_id") -> DataFrame:
     """One row for each rule, one column for each of the given words, empty where a word is unchanged."""
     return steps.where(F.col(key).isin(*keys)).groupBy("rule_idx").pivot(key, list(keys)).agg(F.first("after"))
 
 
+def rule_report(run: DataFrame, cascade: Cascade, key: str = "etym_id") -> DataFrame:
+    """(ord, label, key, form): the input, what each rule makes of a word, and each stage, in order; no row for a word that a
+    rule leaves as it is. Labels are INPUT, R and the rule's number, and a stage's flag and name; pivot() on the key of a few
+    words makes columns of them. A word that comes in at a stage has `+ ` before its form."""
+    n = len(cascade.stages)
+    instants, flags = F.array(*(F.lit(s.instant) for s in cascade.stages)), F.array(*(F.lit((GOLD if s.kind == "g" else BLACK) + s.name) for s in cascade.stages))
+    place = lambda instant, seq: (instant * (n + 1) + seq).cast("int")  # noqa: E731  rules of an instant, then its stages
+    row = lambda at, label, form: F.struct(at.alias("ord"), label.alias("label"), form.alias("form"))
+    form = lambda c: F.coalesce(c, F.lit(ABSENT[0]))
+    first = F.array(row(F.lit(-1), F.lit("INPUT"), F.col("cells")[0]))
+    rules = F.transform("log", lambda x: row(place(x["rule_idx"] + 1, F.lit(0)), F.concat(F.lit("R"), x["rule_idx"].cast("string")), x["after"]))
+    came = lambda x: (x["seq"] > 0) & F.get(F.col("stages"), x["seq"] - 1)["form"].isNull() & x["form"].isNotNull()
+    stages = F.transform("stages", lambda x: row(place(F.get(instants, x["seq"]), x["seq"] + 1), F.get(flags, x["seq"]), F.concat(F.when(came(x), "+ ").otherwise(""), form(x["form"]))))
+    return run.select(key, F.explode(F.concat(first, rules, stages)).alias("x")).select("x.ord", "x.label", key, "x.form")
+
+
 def changed_words(steps: DataFrame, rule: int, key: str = "etym_id") -> DataFrame:
     """(key, before, after) of the words that one rule changed."""
     return steps.where(F.col("rule_idx") == rule).select(key, "before", "after")
@@ -164,8 +244,35 @@ def matches(df: DataFrame, table: SymbolTable, items: tuple, form: str = "form")
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("bounds", kind)]))
 
 
+def pattern_regex(items: tuple, table: SymbolTable, codes: dict[str, str]) -> str | None:
+    """A regular expression that finds the elements in a coded form, or None where only the matcher can tell.
+
+    That is so for boundaries and @, which matches them, as coded forms lack them, and for alpha values. Without these, what the matcher passes over is
+    what a coded form leaves out.
+    """
+    out = ""
+    for x in items:
+        if isinstance(x, Group):
+            inner = pattern_regex(x.items, table, codes)
+            if inner is None:
+                return None
+            out += f"(?:{inner})" + ("*" if x.many else "?")
+        elif isinstance(x, Exact) and x.seg.is_phone or isinstance(x, Matrix) and not x.alphas:
+            symbols = sorted({codes.get(s, s) for s in table.vectors if x.match(Seg(s, table.vectors[s]), {}) is not None})
+            if not symbols or any(len(s) > 1 for s in symbols):
+                return None
+            out += "[" + "".join(f"\\x{{{ord(s):X}}}" for s in symbols) + "]"
+        else:
+            return None
+    return out
+
+
 def filter_words(df: DataFrame, table: SymbolTable, items: tuple, form: str = "form") -> DataFrame:
-    """The rows whose form has a match."""
+    """The rows whose form has a match. Patterns that need no alpha value or boundary are found by Spark itself."""
+    codes = symbol_codes([*table.vectors])
+    regex = pattern_regex(items, table, codes)
+    if regex and not (isinstance(items[0], Group) and all(isinstance(x, Group) for x in items)):
+        return df.where(coded(F.col(form), codes).rlike(regex))
     return matches(df, table, items, form).where(F.size("bounds") > 0).drop("bounds")
 
 

@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phonoweave.functions.features import RuleError
+from phonoweave.plans.kernel import Kernel
 from phonoweave.plans.rules import COMMENT, Rule, RuleParser
-from phonoweave.sources.readers import BLACK, GOLD, Cascade, Stage, standard_comment
+from phonoweave.sources.readers import BLACK, GOLD, PRESENT_S, Cascade, Stage, read_cascade, standard_comment
 
-from .engine import apply_cascade, derivation
+from .engine import STEP, _appended, _each_form, bare, gold_status, simulate_lexicon, steps_of
+from .metrics import paired_accuracy
 
 
 class MidDisjunctionError(RuleError):
@@ -102,6 +106,21 @@ def _cascade(items: Sequence[Rule | Stage], like: Cascade) -> Cascade:
     return replace(like, rules=tuple(rules), stages=tuple(stages), lines=(), line_rules=())
 
 
+def _with_lines(cascade: Cascade, base: Cascade, edits: Sequence[Edit]) -> Cascade:
+    """The edited cascade with its lines; without, where an edit cannot be made in the file, which rewrite() then tells."""
+    if base.rules and not base.lines:
+        return cascade
+    try:
+        lines = _edited_lines(base, edits)
+    except MidDisjunctionError:
+        return cascade
+    owners, n = [], 0
+    for _, size in lines:
+        owners.append(tuple(range(n, n + size)))
+        n += size
+    return replace(cascade, lines=tuple(x for x, _ in lines), line_rules=tuple(owners))
+
+
 def _place(items: list, at: int, before_stage: bool) -> int:
     """Where in the list a rule goes to become rule `at`."""
     n = sum(isinstance(x, Rule) for x in items)
@@ -153,37 +172,67 @@ def propose(base: Cascade, edits: Sequence[Edit]) -> Hypothesis:
             items.insert(_place(items, e.to - (e.to > e.at), e.before_stage), rule)
         else:
             raise RuleError(f"no edit {e.op!r}")
-    return Hypothesis(base, _cascade(items, base), tuple(edits), frozenset(touched))
+    return Hypothesis(base, _with_lines(_cascade(items, base), base, edits), tuple(edits), frozenset(touched))
 
 
-def with_uids(steps: DataFrame, cascade: Cascade, spark: SparkSession) -> DataFrame:
-    """Derivation rows with rule_uid for rule_idx. The rules are few."""
-    uids = spark.createDataFrame([(i, r.uid) for i, r in enumerate(cascade.rules)], "rule_idx int, rule_uid string")
-    return steps.join(F.broadcast(uids), "rule_idx").drop("rule_idx")
+_LOG = T.ArrayType(STEP)
 
 
-def run_both(df: DataFrame, h: Hypothesis, key: str = "etym_id", form: str = "form") -> DataFrame:
-    """`df` with fork (the form where the cascades part), base_outcome, hyp_outcome, and the logs of both from there.
+def run_both(df: DataFrame, h: Hypothesis, form: str = "form") -> DataFrame:
+    """`df` with fork (the form where the cascades part), base_outcome, base_log, hyp_outcome and hyp_log from there.
 
-    What the cascades have in common before the fork is run once.
+    One Arrow stage for both cascades; what they have in common before the fork is run once.
     """
-    at = h.fork()
-    common = apply_cascade(df, h.base, form, (0, at)).withColumnRenamed("outcome", "fork")
-    base = apply_cascade(common, h.base, "fork", (at, len(h.base.rules)), log=True).withColumnRenamed("outcome", "base_outcome").withColumnRenamed("log", "base_log")
-    return apply_cascade(base, h.cascade, "fork", (at, len(h.cascade.rules)), log=True).withColumnRenamed("outcome", "hyp_outcome").withColumnRenamed("log", "hyp_log")
+    at, table = h.fork(), h.base.table
+    common, base, hyp = h.base.rules[:at], h.base.rules[at:], h.cascade.rules[at:]
+    step = pa.list_(pa.struct([("rule_idx", pa.int32()), ("before", pa.string()), ("after", pa.string())]))
+    fields = (("fork", pa.string(), T.StringType()), ("base_outcome", pa.string(), T.StringType()), ("base_log", step, _LOG), ("hyp_outcome", pa.string(), T.StringType()), ("hyp_log", step, _LOG))
+
+    def run(batches):
+        kernel = Kernel(table)
+
+        def made(f: str) -> tuple:
+            word = kernel.run(common, table.word(f))[0]
+            sides = [kernel.run(rules, word) for rules in (base, hyp)]
+            return bare(word), *(x for last, steps, _ in sides for x in (bare(last), steps_of(steps, at)))
+
+        of = _each_form(made)
+        for batch in batches:
+            out = of(batch.column(form))
+            yield _appended(batch, [pa.array([None if o is None else o[i] for o in out], t) for i, (_, t, _) in enumerate(fields)], [n for n, _, _ in fields])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, _, t in fields)]))
+
+
+def _looked_up(log: Column, at: Column) -> Column:
+    return F.transform(log, lambda x: F.get(at, x["rule_idx"]))
+
+
+def with_differences(both: DataFrame, h: Hypothesis) -> DataFrame:
+    """`both` with diffs: (global_idx, rule_uid, base_before, base_after, hyp_before, hyp_after) of each step that differs, in order.
+
+    The two logs are compared in the row; nothing is joined or shuffled. A side's forms are null where it has no such step.
+    """
+    order = h.global_order()
+    names = F.array(*(F.lit(u) for u, _ in sorted(order.items(), key=lambda x: x[1])))
+    places = {"base": [order[r.uid] for r in h.base.rules], "hyp": [order[r.uid] for r in h.cascade.rules]}
+    step = {s: F.col(f"{s}_log") for s in places}
+    at = {s: F.array(*map(F.lit, p)).cast("array<int>") for s, p in places.items()}
+    globals_ = {s: _looked_up(step[s], at[s]) for s in places}
+    keys = F.array_sort(F.array_union(globals_["base"], globals_["hyp"]))
+
+    def of(side: str, g: Column, name: str) -> Column:
+        return F.get(step[side], (F.array_position(globals_[side], g) - 1).cast("int"))[name]
+
+    every = F.transform(keys, lambda g: F.struct(g.alias("global_idx"), F.get(names, g).alias("rule_uid"), *(of(s, g, n).alias(f"{s}_{n}") for s in places for n in ("before", "after"))))
+    differ = F.filter(every, lambda x: ~(x["base_before"].eqNullSafe(x["hyp_before"]) & x["base_after"].eqNullSafe(x["hyp_after"])))
+    return both.withColumn("diffs", differ)
 
 
 def differential(both: DataFrame, h: Hypothesis, key: str = "etym_id") -> DataFrame:
     """(key, rule_uid, global_idx, base_before, base_after, hyp_before, hyp_after): steps of either run that differ."""
-    spark = both.sparkSession
-    sides = []
-    for name, cascade in (("base", h.base), ("hyp", h.cascade)):
-        steps = with_uids(derivation(both.withColumn("log", F.col(f"{name}_log")), key), cascade, spark)
-        sides.append(steps.select(key, "rule_uid", F.col("before").alias(f"{name}_before"), F.col("after").alias(f"{name}_after")))
-    order = spark.createDataFrame(sorted(h.global_order().items()), "rule_uid string, global_idx int")
-    joined = sides[0].join(sides[1], [key, "rule_uid"], "full_outer")
-    differ = ~(F.col("base_before").eqNullSafe(F.col("hyp_before")) & F.col("base_after").eqNullSafe(F.col("hyp_after")))
-    return joined.where(differ).join(F.broadcast(order), "rule_uid").select(key, "rule_uid", "global_idx", "base_before", "base_after", "hyp_before", "hyp_after")
+    each = with_differences(both, h).select(key, F.explode("diffs").alias("x"))
+    return each.select(key, "x.rule_uid", "x.global_idx", "x.base_before", "x.base_after", "x.hyp_before", "x.hyp_after")
 
 
 def fed_bled(diff: DataFrame, h: Hypothesis, key: str = "etym_id") -> DataFrame:
@@ -193,34 +242,115 @@ def fed_bled(diff: DataFrame, h: Hypothesis, key: str = "etym_id") -> DataFrame:
     return kept.withColumn("effect", effect).where("effect is not null").select(key, "rule_uid", "global_idx", "effect")
 
 
-def divergence(diff: DataFrame, key: str = "etym_id") -> DataFrame:
+def divergence(both: DataFrame, h: Hypothesis, key: str = "etym_id") -> DataFrame:
     """(key, first_idx): where a word's derivations part."""
-    return diff.groupBy(key).agg(F.min("global_idx").alias("first_idx"))
+    return with_differences(both, h).where(F.size("diffs") > 0).select(key, F.col("diffs")[0]["global_idx"].alias("first_idx"))
+
+
+def domino_words(both: DataFrame, h: Hypothesis, key: str = "etym_id") -> DataFrame:
+    """(rule_uid, key): each changed word under the rule at which it parts."""
+    return with_differences(both, h).where(F.size("diffs") > 0).select(F.col("diffs")[0]["rule_uid"].alias("rule_uid"), key)
 
 
-def dominoes(diff: DataFrame, key: str = "etym_id") -> DataFrame:
-    """(rule_uid, n_words, first_key): words by the rule at which they part. Counts and a sample, as a list may be long."""
-    first = diff.groupBy(key).agg(F.min_by("rule_uid", "global_idx").alias("rule_uid"))
-    return first.groupBy("rule_uid").agg(F.count("*").alias("n_words"), F.min(key).alias("first_key"))
+def dominoes(both: DataFrame, h: Hypothesis, key: str = "etym_id") -> DataFrame:
+    """(rule_uid, n_words, first_key): how many words part at a rule. Their keys, which may be many, are in domino_words()."""
+    return domino_words(both, h, key).groupBy("rule_uid").agg(F.count("*").alias("n_words"), F.min(key).alias("first_key"))
 
 
-def affected(diff: DataFrame, key: str = "etym_id") -> DataFrame:
-    return diff.select(key).distinct().orderBy(key)
+def affected(both: DataFrame, h: Hypothesis, key: str = "etym_id") -> DataFrame:
+    return with_differences(both, h).where(F.size("diffs") > 0).select(key).orderBy(key)
 
 
 def changed_outcomes(both: DataFrame, key: str = "etym_id") -> DataFrame:
     return both.where(~F.col("base_outcome").eqNullSafe(F.col("hyp_outcome"))).select(key, "base_outcome", "hyp_outcome")
 
 
+def basic_results(both: DataFrame, h: Hypothesis, key: str = "etym_id") -> DataFrame:
+    """(global_idx, rule_uid, edited, n_only_base, n_only_hyp, n_otherwise, first_key): what the edits do, by rule.
+
+    Of an edited rule, steps of the base alone are aborted by the edit and steps of the hypothesis alone caused by it; of the
+    others they are bled and fed. n_otherwise are steps that both make with other forms. The least global_idx is where the
+    cascades' effects part.
+    """
+    only = lambda a, b: F.count_if(F.col(f"{a}_after").isNotNull() & F.col(f"{b}_after").isNull())
+    counts = differential(both, h, key).groupBy("global_idx", "rule_uid").agg(only("base", "hyp").alias("n_only_base"), only("hyp", "base").alias("n_only_hyp"), F.count_if(F.col("base_after").isNotNull() & F.col("hyp_after").isNotNull()).alias("n_otherwise"), F.min(key).alias("first_key"))
+    return counts.select("global_idx", "rule_uid", F.col("rule_uid").isin(*h.touched).alias("edited") if h.touched else F.lit(False).alias("edited"), "n_only_base", "n_only_hyp", "n_otherwise", "first_key")
+
+
+def stage_results(lexicon: DataFrame, h: Hypothesis, codes: dict[str, str], gold_columns: Sequence[int] = (), output: int | None = None) -> DataFrame:
+    """(seq, stage, and paired_accuracy() of base and hypothesis) at each gold stage with a column, and at the end.
+
+    Both cascades are run over the lexicon (etym_id, cells) with what comes and goes at gold stages; one aggregation for all
+    stages. Words without a form on either side or without an attested gold do not count.
+    """
+    columns = [*gold_columns]
+    golds = [i for i, s in enumerate(h.base.stages) if s.kind == "g"][: len(columns)]
+    renamed = {c: f"base_{c}" for c in ("outcome", "status", "stages", "log")}
+    both = simulate_lexicon(simulate_lexicon(lexicon, h.base, columns).withColumnsRenamed(renamed), h.cascade, columns)
+    hyp_at = [i for i, s in enumerate(h.cascade.stages) if s.kind == "g"]
+    at = [F.struct(F.lit(n).alias("seq"), F.lit(h.base.stages[i].name).alias("stage"), F.col("base_stages")[i]["form"].alias("pred"), F.col("stages")[j]["form"].alias("hyp"), F.col("cells")[c].alias("gold")) for n, (i, j, c) in enumerate(zip(golds, hyp_at, columns, strict=False))]
+    if output is not None:
+        at.append(F.struct(F.lit(len(golds)).alias("seq"), F.lit("Output").alias("stage"), F.col("base_outcome").alias("pred"), F.col("outcome").alias("hyp"), F.col("cells")[output].alias("gold")))
+    if not at:
+        raise ValueError("no column has golds")
+    rows = both.select(F.explode(F.array(*at)).alias("x")).select("x.*").where((gold_status(F.col("gold")) == PRESENT_S) & F.col("pred").isNotNull() & F.col("hyp").isNotNull())
+    return paired_accuracy(rows, codes, by=["seq", "stage"])
+
+
 # --- the file ----------------------------------------------------------------------------------------------------------------
 
 
-def rewrite(base: Cascade, edits: Sequence[Edit]) -> list[str]:
+def rewrite(base: Cascade, edits: Sequence[Edit], placeholders: bool = False) -> list[str]:
     """The cascade's lines with the edits made, comments and stages kept. propose() must allow the edits.
 
-    A line that makes several rules can only be edited or parted as a whole, so other edits of it raise MidDisjunctionError.
+    A line that makes several rules can only be edited or parted as a whole, so other edits of it raise MidDisjunctionError;
+    so does a cascade that has no lines. With `placeholders` rules stay as they are, and a comment stands where an edit is
+    to be made by hand, above the line of its rule.
     """
-    propose(base, edits)
+    h = propose(base, edits)
+    if not base.lines and base.rules:
+        raise MidDisjunctionError("the cascade has no lines of a file")
+    if placeholders:
+        return _marked_lines(base, edits)
+    if not h.cascade.lines and h.cascade.rules:
+        _edited_lines(base, edits)  # raises and tells why
+    return list(h.cascade.lines)
+
+
+def accept(h: Hypothesis) -> Cascade:
+    """The hypothesis as the new base: its lines read anew, so that its rules can be edited, and the lines can be written."""
+    lines = rewrite(h.base, h.edits)
+    out = read_cascade(lines, h.base.table)
+    if [str(r) for r in out.rules] != [str(r) for r in h.cascade.rules] or [(s.name, s.instant) for s in out.stages] != [(s.name, s.instant) for s in h.cascade.stages]:
+        raise RuleError("the lines do not make the hypothesis")
+    blackened = {s.name for s in h.cascade.stages if s.kind == "b"}
+    for s in out.golds():
+        if s.name in blackened:
+            out = out.blacken(s.name)
+    return out
+
+
+def _describe(e: Edit) -> str:
+    return e.comment or {"insert": f"insert here: {e.law}", "delete": "delete this rule", "modify": f"in place of this rule: {e.law}", "relocate": f"move this rule to {e.to}"}[e.op]
+
+
+def _marked_lines(base: Cascade, edits: Sequence[Edit]) -> list[str]:
+    notes: dict[int, list[str]] = {}
+    index = {r.uid: i for i, r in enumerate(base.rules)}
+    for n, e in enumerate(edits):
+        now = propose(base, edits[:n]).cascade.rules
+        rule = next((index[r.uid] for r in now[e.at :] if r.uid in index), len(base.rules))
+        line = next((i for i, own in enumerate(base.line_rules) if rule in own), len(base.lines))
+        notes.setdefault(line, []).append(standard_comment(_describe(e)))
+    out: list[str] = []
+    for i in range(len(base.lines) + 1):
+        out += [x for note in notes.get(i, ()) for x in note.split("\n")]
+        out += base.lines[i : i + 1]
+    return out
+
+
+def _edited_lines(base: Cascade, edits: Sequence[Edit]) -> list[tuple[str, int]]:
+    """(line, number of its rules) with the edits made."""
     lines = [(text, len(owned)) for text, owned in zip(base.lines, base.line_rules, strict=True)]
     parser = RuleParser(base.table)
 
@@ -267,4 +397,4 @@ def rewrite(base: Cascade, edits: Sequence[Edit]) -> list[str]:
         else:
             moved = lines.pop(i)
             lines.insert(before(e.to - (e.to > e.at), e.before_stage), moved)
-    return [x for x, _ in lines]
+    return lines

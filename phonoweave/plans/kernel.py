@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from phonoweave.functions.features import Seg, SymbolTable
 
-from .rules import Exact, Matrix, Null, Rule
+from .rules import Exact, Group, Matrix, Null, Rule
 
 Word = tuple[Seg, ...]
 
@@ -22,11 +22,47 @@ class _Begins(dict):
         return out
 
 
+class _Needs:
+    """What each of some rules needs a word to have, as bits: one for each set of slots of which some segment must match one.
+
+    A rule needs a beginning of one of its targets, the rest of its target if it has one alone, and the elements of its
+    contexts that are in no group.
+    """
+
+    def __init__(self, rules: Sequence[Rule]):
+        self.bits: dict[tuple, int] = {}
+        self.rules = rules  # so that their id stays their own
+        self.masks = [self._mask(r) for r in rules]
+        self._has: dict[Seg, int] = {}
+
+    def _mask(self, rule: Rule) -> int:
+        sources = [tuple(s for s in a if not isinstance(s, Null)) for a in rule.sources]
+        needs = [(s,) for s in sources[0]] if len(sources) == 1 else [tuple(a[0] for a in sources)] if all(sources) else []
+        needs += [(x,) for c in (rule.prior, rule.post) if c is not None for x in c.items if not isinstance(x, Group)]
+        out = 0
+        for slots in needs:
+            out |= 1 << self.bits.setdefault(slots, len(self.bits))
+        return out
+
+    def of(self, word: Word) -> int:
+        """The bits of a word."""
+        out = 0
+        for seg in word:
+            if (has := self._has.get(seg)) is None:
+                has = 0
+                for slots, bit in self.bits.items():
+                    if any(s.match(seg, {}) is not None for s in slots):
+                        has |= 1 << bit
+                self._has[seg] = has
+            out |= has
+        return out
+
+
 class Kernel:
     """Rules over a table. Contexts and targets are tested on the word as it was; a rule does not feed itself."""
 
     def __init__(self, table: SymbolTable):
-        self.table, self._segs, self._may, self._kept = table, {}, {}, []
+        self.table, self._segs, self._may, self._kept, self._needs = table, {}, {}, [], {}
 
     def seg(self, vec: str) -> Seg:
         out = self._segs.get(vec)
@@ -119,13 +155,18 @@ class Kernel:
         """(last form, (rule, before, after) of each change, forms at the stops). A stop k is before rule k."""
         log, snaps, stop = [], [], 0
         stops = sorted(stops)
-        for k, rule in enumerate(rules):
+        if (needs := self._needs.get(id(rules))) is None:
+            needs = self._needs[id(rules)] = _Needs(rules)
+        has = needs.of(word)
+        for k, mask in enumerate(needs.masks):
             while stop < len(stops) and stops[stop] <= k:
                 snaps.append(word)
                 stop += 1
-            new = self.apply(rule, word)
+            if mask & has != mask:
+                continue
+            new = self.apply(rules[k], word)
             if new is not word:
                 log.append((k, word, new))
-                word = new
+                word, has = new, needs.of(new)
         snaps += [word] * (len(stops) - stop)
         return word, log, snaps

@@ -13,7 +13,7 @@ from phonoweave.functions.distance import FeatureDistance, symbol_codes
 from phonoweave.functions.inventory import letter_table
 from phonoweave.operators import diagnose, engine, metrics, whatif
 from phonoweave.plans.rules import RuleParser
-from phonoweave.sources.readers import Cascade, read_cascade
+from phonoweave.sources.readers import Cascade, read_cascade, read_lexicon
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: A rule, and what does the same in SQL: (pattern, replacement) pairs, one after the other.
@@ -23,9 +23,6 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 _WORDS_SQL = "words AS (SELECT DISTINCT unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+')) AS word FROM documents), w AS (SELECT word FROM words WHERE word <> '')"
-_NAMES_SQL = "w AS (SELECT DISTINCT unnest(regexp_split_to_array(translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+')) AS word FROM part), v AS (SELECT word FROM w WHERE word <> '')"
-
-
 def _lower(column: str):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -39,11 +36,6 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text").distinct().withColumn("form", engine.letters(F.col("word")))
 
 
-def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(word, form): the distinct words of all part names."""
-    return _split_words(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_name").distinct().withColumn("form", engine.letters(F.col("word")))
-
-
 def _plain(column: str):
     return F.replace(F.col(column), F.lit(" "), F.lit(""))
 
@@ -119,6 +111,14 @@ for _name, _steps in {
     _register_cascade(_name, _steps)
 
 
+FOLDED: list[Step] = [("{t;k} > [+voi] / [+nas] __", [("([mn])t", r"\1d"), ("([mn])k", r"\1g")])]
+RUN_ALPHA: list[Step] = [("[-son,αvoi] [-son,αvoi] > x", [("[bdgvzj][bdgvzj]|[ptkfschqx][ptkfschqx]", "x")])]
+EACH_ALPHA: list[Step] = [("[-son,+cor,-cont,-strid,αvoi] [+nas] > [!αvoi] [+nas]", [("t([mn])", r"0\1"), ("d([mn])", r"t\1"), ("0", "d")])]
+
+for _name, _steps in {"cascade_folded": FOLDED, "cascade_matrix_run_alpha": RUN_ALPHA, "cascade_slotwise_alpha": EACH_ALPHA}.items():
+    _register_cascade(_name, _steps)
+
+
 def register(name: str, sql: str | None = None):
     def put(f: Query) -> Query:
         QUERIES[name] = f
@@ -129,6 +129,30 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+_VOICED, _VOICELESS = "bdgjlmnrvwyz", "cfhkpqstx"
+
+
+@register(
+    "cascade_phone_alpha",
+    f"WITH {_WORDS_SQL}, c AS (SELECT word, translate(word, '{_VOICED}{_VOICELESS}aeiou', '{'v' * len(_VOICED)}{'u' * len(_VOICELESS)}-----') AS k FROM w) "
+    "SELECT word, array_to_string(list_transform(range(1, length(word) + 1), lambda i: CASE WHEN substr(word, i, 1) = 'a' AND i > 1 AND substr(k, i - 1, 1) = substr(k, i + 1, 1) AND substr(k, i + 1, 1) IN ('v', 'u') THEN 'e' ELSE substr(word, i, 1) END), '') AS outcome FROM c",
+)
+def cascade_phone_alpha(spark, sf_dir):
+    """A phone between consonants that agree in voice."""
+    out = engine.apply_cascade(words(spark, sf_dir), cascade("a > e / [αvoi,-syl] __ [αvoi,-syl]"))
+    return out.select("word", _plain("outcome").alias("outcome"))
+
+
+_COMPOUND = "CASE WHEN length(word) > 4 THEN substr(word, 1, 3) || '+' || substr(word, 4) ELSE word END"
+
+
+@register("cascade_boundary", f"WITH {_WORDS_SQL}, c AS (SELECT word, {_COMPOUND} AS f FROM w) SELECT word, " + _sql_of("f", [(r"(n\+?)t", r"\1d"), (r"s\+", "z+")]) + " AS outcome FROM c")
+def cascade_boundary(spark, sf_dir):
+    """A boundary that a context does not name is passed over; one that it names must be there."""
+    df = words(spark, sf_dir).withColumn("form", F.expr(f"array_join(split({_COMPOUND}, ''), ' ')"))
+    return engine.apply_cascade(df, cascade("t > d / n __", "s > z / __ +")).select("word", _plain("outcome").alias("outcome"))
+
+
 # --- simulation ----------------------------------------------------------------------------------------------------------------
 
 _STAGED_LINES = ("o > u", "e > i / __ n", "~Middle", "s > z / __ #", "=Late", "r > l")
@@ -136,11 +160,11 @@ _STAGED: list[Step] = [("", [("o", "u")]), ("", [("e(n)", r"i\1")]), ("", [("s$"
 
 
 def _staged_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexicon = names(spark, sf_dir).withColumn("cells", F.array("form"))
+    lexicon = words(spark, sf_dir).withColumn("cells", F.array("form"))
     return engine.simulate_lexicon(lexicon, cascade(*_STAGED_LINES))
 
 
-@register("stage_snapshots", f"WITH {_NAMES_SQL}, {_chain(_STAGED, 'v')} SELECT word, 0 AS seq, 'Middle' AS stage, 'g' AS type, f2 AS form FROM c4 UNION ALL SELECT word, 1, 'Late', 'b', f3 FROM c4")
+@register("stage_snapshots", f"WITH {_WORDS_SQL}, {_chain(_STAGED)} SELECT word, 0 AS seq, 'Middle' AS stage, 'g' AS type, f2 AS form FROM c4 UNION ALL SELECT word, 1, 'Late', 'b', f3 FROM c4")
 def stage_snapshots(spark, sf_dir):
     return engine.snapshots(_staged_run(spark, sf_dir), "word").select("word", "seq", "stage", "type", _plain("form").alias("form"))
 
@@ -152,33 +176,62 @@ def _log(spark, sf_dir):
     return engine.derivation(_staged_run(spark, sf_dir), "word")
 
 
-@register("derivation_log", f"WITH {_NAMES_SQL}, {_chain(_STAGED, 'v')}, {_LOG_SQL} SELECT * FROM log")
+@register("derivation_log", f"WITH {_WORDS_SQL}, {_chain(_STAGED)}, {_LOG_SQL} SELECT * FROM log")
 def derivation_log(spark, sf_dir):
     return _log(spark, sf_dir).select("word", "rule_idx", _plain("before").alias("before"), _plain("after").alias("after"))
 
 
-@register("rule_effects", f"WITH {_NAMES_SQL}, {_chain(_STAGED, 'v')}, {_LOG_SQL} SELECT rule_idx, count(DISTINCT word) AS n_changed, min(word) AS first_key FROM log GROUP BY rule_idx")
+@register("rule_effects", f"WITH {_WORDS_SQL}, {_chain(_STAGED)}, {_LOG_SQL} SELECT rule_idx, count(DISTINCT word) AS n_changed, min(word) AS first_key FROM log GROUP BY rule_idx")
 def rule_effects(spark, sf_dir):
     return engine.rule_effects(_log(spark, sf_dir), "word")
 
 
-@register("derivation_text", f"WITH {_NAMES_SQL}, {_chain(_STAGED, 'v')}, {_LOG_SQL} SELECT v.word, coalesce(string_agg(after || ' | ' || rule_idx, chr(10) ORDER BY rule_idx), '') AS derivation FROM v LEFT JOIN log ON v.word = log.word GROUP BY v.word")
+def _spaced(f: str) -> str:
+    return f"array_to_string(regexp_extract_all({f}, '.'), ' ')"
+
+
+_STAGED_RULES = ["o > u", "e > i / __ n", "s > z / __ #", "r > l"]
+
+
+def _derivation_sql() -> str:
+    change = lambda i: f"CASE WHEN f{i} <> f{i + 1} THEN {_spaced(f'f{i + 1}')} || ' | {i} : {_STAGED_RULES[i]}' || chr(10) ELSE '' END"
+    stage = lambda name, i: f"'{name} : ' || {_spaced(f'f{i}')} || chr(10)"
+    parts = [f"{_spaced('f0')} || chr(10)", change(0), change(1), stage("Middle", 2), change(2), stage("Late", 3), change(3), _spaced("f4")]
+    return f"WITH {_WORDS_SQL}, {_chain(_STAGED)} SELECT word, {' || '.join(parts)} AS derivation FROM c4"
+
+
+@register("derivation_text", _derivation_sql())
 def derivation_text(spark, sf_dir):
-    run = _staged_run(spark, sf_dir).withColumn("log", F.transform("log", lambda x: F.struct(x["rule_idx"].alias("rule_idx"), x["before"].alias("before"), F.replace(x["after"], F.lit(" "), F.lit("")).alias("after"))))
-    return engine.derivation_text(run, "word")
+    return engine.derivation_text(_staged_run(spark, sf_dir), cascade(*_STAGED_LINES), "word")
+
+
+@register("stage_report", f"WITH {_WORDS_SQL}, {_chain(_STAGED)} SELECT word, {_spaced('f0')} AS \"Input\", {_spaced('f2')} || ' {{GOLD: ' || {_spaced('f0')} || '}}' AS \"Middle\", {_spaced('f3')} AS \"Late\", {_spaced('f4')} || ' {{GOLD: ' || {_spaced('f0')} || '}}' AS \"Output\" FROM c4")
+def stage_report(spark, sf_dir):
+    """Each word at each stage, beside what is attested: here the word itself."""
+    return engine.stage_report(_staged_run(spark, sf_dir), cascade(*_STAGED_LINES), [0], 0, "word")
+
 
+@register(
+    "rule_report",
+    f"WITH {_WORDS_SQL}, {_chain(_STAGED)}, r AS (SELECT word, -1 AS ord, 'INPUT' AS label, f0 AS f FROM c4 UNION ALL SELECT word, 7, '~Middle', f2 FROM c4 UNION ALL SELECT word, 11, '=Late', f3 FROM c4 UNION ALL "
+    + " UNION ALL ".join(f"SELECT word, {3 * (i + 1)}, 'R{i}', f{i + 1} FROM c4 WHERE f{i} <> f{i + 1}" for i in range(4))
+    + f") SELECT ord, label, word, {_spaced('f')} AS form FROM r",
+)
+def rule_report(spark, sf_dir):
+    return engine.rule_report(_staged_run(spark, sf_dir), cascade(*_STAGED_LINES), "word")
 
-@register("stage_graph", f"WITH {_NAMES_SQL}, {_chain(_STAGED, 'v')} SELECT word, f2 AS \"Middle\", f3 AS \"Late\" FROM c4")
+
+@register("stage_graph", f"WITH {_WORDS_SQL}, {_chain(_STAGED)} SELECT word, f2 AS \"Middle\", f3 AS \"Late\" FROM c4")
 def stage_graph(spark, sf_dir):
     return engine.stage_graph(stage_snapshots(spark, sf_dir), ["Middle", "Late"], "word")
 
 
-@register("rule_graph", f"WITH {_NAMES_SQL}, {_chain(_STAGED, 'v')}, {_LOG_SQL} SELECT rule_idx, max(after) FILTER (WHERE word = 'gizmo') AS gizmo, max(after) FILTER (WHERE word = 'gear') AS gear FROM log WHERE word IN ('gizmo', 'gear') GROUP BY rule_idx")
+@register("rule_graph", f"WITH {_WORDS_SQL}, {_chain(_STAGED)}, {_LOG_SQL} SELECT rule_idx, max(after) FILTER (WHERE word = 'los') AS los, max(after) FILTER (WHERE word = 'on') AS \"on\" FROM log WHERE word IN ('los', 'on') GROUP BY rule_idx")
 def rule_graph(spark, sf_dir):
-    return engine.rule_graph(derivation_log(spark, sf_dir), ["gizmo", "gear"], "word")
+    return engine.rule_graph(derivation_log(spark, sf_dir), ["los", "on"], "word")
 
 
-@register("changed_words", f"WITH {_NAMES_SQL}, {_chain(_STAGED, 'v')} SELECT word, f3 AS before, f4 AS after FROM c4 WHERE f3 <> f4")
+@register("changed_words", f"WITH {_WORDS_SQL}, {_chain(_STAGED)} SELECT word, f3 AS before, f4 AS after FROM c4 WHERE f3 <> f4")
 def changed_words(spark, sf_dir):
     return engine.changed_words(derivation_log(spark, sf_dir), 3, "word")
 
@@ -209,7 +262,7 @@ def presence_update(spark, sf_dir):
     return run.select("etym_id", F.replace(F.col("stages")[0]["form"], F.lit(" "), F.lit("")).alias("at_stage"), _plain("outcome").alias("outcome"), "status")
 
 
-@register("rule_lookup", "SELECT * FROM (VALUES (0, 'p h > f'), (3, 't h > d')) AS t(rule_idx, canonical)")
+@register("rule_lookup", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r}')" for i, (r, _) in enumerate(LITERAL)) + ") AS t(rule_idx, canonical) WHERE contains(canonical, 'h >')")
 def rule_lookup(spark, sf_dir):
     c = cascade(*(s for s, _ in LITERAL))
     return c.rules_df(spark).where(F.col("canonical").contains("h >")).select("rule_idx", "canonical")
@@ -222,6 +275,16 @@ def word_lookup(spark, sf_dir):
     return engine.word_lookup(part, "p_name", least, "p_partkey").select(F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
 
 
+@register("lexicon_read", "SELECT CAST(p_partkey - 1 AS BIGINT) AS etym_id, CAST(p_partkey AS VARCHAR) AS form_id, array_to_string(regexp_extract_all(regexp_replace(lower(p_name), '[^a-z]', '', 'g'), '.'), ' ') AS input, CASE WHEN p_partkey % 3 = 0 THEN '--' ELSE array_to_string(regexp_extract_all(regexp_replace(lower(p_type), '[^a-z]', '', 'g'), '.'), ' ') END AS gold FROM part")
+def lexicon_read(spark, sf_dir):
+    """Lines of a lexicon with blanks, marks, form ids and comments, read as a table."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    spaced = lambda c: F.array_join(F.split(F.regexp_replace(F.lower(c), "[^a-z]", ""), ""), "  ")
+    line = F.concat(F.lit("  "), spaced("p_name"), F.lit(" , "), F.when(F.col("p_partkey") % 3 == 0, "--").otherwise(spaced("p_type")), F.lit(" ɸ"), F.col("p_partkey").cast("string"), F.lit(" $ a comment, with a comma"))
+    lines = part.select((F.col("p_partkey") - 1).cast("long").alias("line_no"), line.alias("value"))
+    return read_lexicon(spark, lines, use_form_id=True).select("etym_id", "form_id", F.col("cells")[0].alias("input"), F.col("cells")[1].alias("gold"))
+
+
 # --- filters -------------------------------------------------------------------------------------------------------------------
 
 
@@ -256,8 +319,7 @@ CODES = symbol_codes("abcdefghijklmnopqrstuvwxyz")
 
 def pairs(df: DataFrame) -> DataFrame:
     """`df` with pred and gold, and their distances."""
-    out = engine.apply_cascade(df, cascade(*(s for s, _ in PRED))).withColumnRenamed("outcome", "pred")
-    out = engine.apply_cascade(out, cascade(*(s for s, _ in GOLD))).withColumnRenamed("outcome", "gold")
+    out = engine.apply_many(df, {"pred": cascade(*(s for s, _ in PRED)), "gold": cascade(*(s for s, _ in GOLD))})
     return metrics.pair_distances(out, CODES)
 
 
@@ -314,37 +376,81 @@ _BASE_HYP_SQL = f"WITH {_WORDS_SQL}, {_pairs_sql('w')}, h AS (SELECT *, levensht
 
 @register("comparative_accuracy", _BASE_HYP_SQL)
 def comparative_accuracy(spark, sf_dir):
-    base = pairs(words(spark, sf_dir))
-    hyp = engine.apply_cascade(base.select("word", "form", "pred", "gold"), cascade("h > ∅"), "pred").drop("pred").withColumnRenamed("outcome", "pred")
-    delta = metrics.comparative(metrics.accuracy(base), metrics.accuracy(metrics.pair_distances(hyp, CODES)))
-    return _rounded(delta, "delta_acc").select("delta_acc")
+    made = {"pred": cascade(*(s for s, _ in PRED)), "hyp": cascade(*(s for s, _ in PRED), "h > ∅"), "gold": cascade(*(s for s, _ in GOLD))}
+    return _rounded(metrics.paired_accuracy(engine.apply_many(words(spark, sf_dir), made), CODES), "delta_acc").select("delta_acc")
 
 
 _DISTANCE = FeatureDistance(len(letter_table().features))
 
 
-@register("fed_metrics")
+def _fed_sql() -> str:
+    """CTEs p (of _pairs_sql) and al: pred, gold, fed, path of each distinct pair; path has two letters for each aligned place, - for a gap.
+
+    The table of costs is filled row by row by recursion, a row from left to right by a fold.
+    """
+    t = letter_table()
+    vectors = ", ".join(f"('{s}', '{v}')" for s, v in [*t.vectors.items(), ("_", "0" * len(t.features))])
+    around = lambda w: f"list_transform(range(1, length({w}) + 1), lambda i: 0.5 * (m[substr('_' || {w}, i + 1, 1) || substr('_' || {w}, i, 1)] + m[substr('_' || {w} || '_', i + 1, 1) || substr('_' || {w} || '_', i + 2, 1)]))"
+    return (
+        f"v(s, d) AS (VALUES {vectors}), "
+        f"dm AS (SELECT map_from_entries(list(struct_pack(k := a.s || b.s, v := CAST(list_sum(list_transform(range(1, {len(t.features) + 1}), lambda i: abs(CAST(substr(a.d, i, 1) AS INTEGER) - CAST(substr(b.d, i, 1) AS INTEGER)))) AS DOUBLE)))) AS m FROM v a, v b), "
+        f"g AS (SELECT pred, gold, {around('pred')} AS gone, {around('gold')} AS come, m FROM (SELECT DISTINCT pred, gold FROM p WHERE pred <> gold AND pred <> '' AND gold <> ''), dm), "
+        "dp(pred, gold, i, r) AS (SELECT pred, gold, CAST(0 AS BIGINT), list_transform(range(0, length(gold) + 1), lambda j: struct_pack(c := coalesce(list_sum(come[1:j]), 0.0), p := array_to_string(list_transform(range(1, j + 1), lambda k: '-' || substr(gold, k, 1)), ''))) FROM g "
+        "UNION ALL SELECT dp.pred, dp.gold, dp.i + 1, list_reduce("
+        "list_concat([[struct_pack(c := r[1].c + gone[dp.i + 1], p := r[1].p || substr(dp.pred, dp.i + 1, 1) || '-')]], "
+        "list_transform(range(1, length(dp.gold) + 1), lambda j: [struct_pack(c := r[j].c + m[substr(dp.pred, dp.i + 1, 1) || substr(dp.gold, j, 1)] / 2, p := r[j].p || substr(dp.pred, dp.i + 1, 1) || substr(dp.gold, j, 1)), "
+        "struct_pack(c := r[j + 1].c + gone[dp.i + 1], p := r[j + 1].p || substr(dp.pred, dp.i + 1, 1) || '-'), struct_pack(c := come[j], p := '-' || substr(dp.gold, j, 1))])), "
+        "lambda acc, x: list_append(acc, CASE WHEN x[1].c < x[2].c AND x[1].c < acc[-1].c + x[3].c THEN x[1] WHEN x[2].c < acc[-1].c + x[3].c THEN x[2] ELSE struct_pack(c := acc[-1].c + x[3].c, p := acc[-1].p || x[3].p) END)) "
+        "FROM dp JOIN g ON dp.pred = g.pred AND dp.gold = g.gold WHERE dp.i < length(dp.pred)), "
+        f"al AS (SELECT pred, gold, r[-1].c / {len(t.features)} AS fed, r[-1].p AS path FROM dp WHERE i = length(pred) "
+        "UNION ALL SELECT DISTINCT pred, gold, 0.0, array_to_string(list_transform(range(1, length(pred) + 1), lambda i: substr(pred, i, 1) || substr(pred, i, 1)), '') FROM p WHERE pred = gold)"
+    )
+
+
+_ALIGNED_SQL = f"WITH RECURSIVE {_WORDS_SQL}, {_pairs_sql('w')}, {_fed_sql()}, x AS (SELECT p.word, ld, path, unnest(range(0, CAST(length(path) / 2 AS BIGINT))) AS pos FROM p JOIN al USING (pred, gold))"
+_SIDES_SQL = "replace(substr(path, 2 * pos + 1, 1), '-', '∅') AS res_sym, replace(substr(path, 2 * pos + 2, 1), '-', '∅') AS gold_sym"
+
+
+@register("fed_metrics", f"WITH RECURSIVE {_WORDS_SQL}, {_pairs_sql('w')}, {_fed_sql()} SELECT {_ACC_SQL}, round(avg(fed), 8) AS avg_fed FROM p JOIN al USING (pred, gold) WHERE pred <> '' AND gold <> ''")
 def fed_metrics(spark, sf_dir):
-    aligned = metrics.with_alignment(pairs(words(spark, sf_dir)).where("pred <> '' and gold <> ''"), letter_table(), _DISTANCE)
-    return _rounded(metrics.accuracy(aligned), "acc", "acc1", "acc2", "avg_ped", "avg_fed")
+    rows = metrics.with_fed(pairs(words(spark, sf_dir)).where("pred <> '' and gold <> ''"), letter_table(), _DISTANCE)
+    return _rounded(metrics.accuracy(rows), "acc", "acc1", "acc2", "avg_ped", "avg_fed")
+
 
+def _aligned(spark, sf_dir) -> DataFrame:
+    return metrics.with_alignment(pairs(words(spark, sf_dir)).where("pred <> '' and gold <> ''"), letter_table(), _DISTANCE)
 
-@register("fed_alignment")
+
+@register("fed_alignment", f"{_ALIGNED_SQL} SELECT word, CAST(pos AS INTEGER) AS pos, {_SIDES_SQL} FROM x")
 def fed_alignment(spark, sf_dir):
-    aligned = metrics.with_alignment(pairs(names(spark, sf_dir)), letter_table(), _DISTANCE)
-    return metrics.alignments(aligned, "word")
+    return metrics.alignments(_aligned(spark, sf_dir), "word")
+
 
+def _mismatched(spark, sf_dir) -> DataFrame:
+    return metrics.with_alignment(pairs(words(spark, sf_dir)).where("ld > 0 and pred <> '' and gold <> ''"), letter_table(), _DISTANCE)
 
-@register("confusion_topk")
+
+@register("confusion_topk", f"{_ALIGNED_SQL}, y AS (SELECT {_SIDES_SQL} FROM x WHERE ld > 0) SELECT res_sym, gold_sym, count(*) AS n FROM y WHERE res_sym <> gold_sym GROUP BY ALL ORDER BY n DESC, res_sym, gold_sym LIMIT 5")
 def confusion_topk(spark, sf_dir):
-    aligned = metrics.with_alignment(pairs(words(spark, sf_dir)), letter_table(), _DISTANCE)
-    return diagnose.top_confusions(diagnose.confusions(aligned))
+    return diagnose.top_confusions(diagnose.confusions(_mismatched(spark, sf_dir)))
+
 
+_AROUND_SQL = (
+    f"{_ALIGNED_SQL}, y AS (SELECT path, pos FROM x WHERE ld > 0 AND substr(path, 2 * pos + 1, 2) = 'td'), "
+    "z AS (SELECT path, pos, unnest([-2, -1, 1, 2]) AS o FROM y), "
+    "c AS (SELECT o AS \"offset\", CASE WHEN pos + o < 0 OR 2 * (pos + o) >= length(path) THEN '#' ELSE replace(substr(path, 2 * (pos + o) + 2, 1), '-', '∅') END AS sym, count(*) AS n FROM z GROUP BY 1, 2)"
+)
 
-@register("confusion_contexts")
+
+@register("confusion_contexts", f"{_AROUND_SQL} SELECT * FROM c")
 def confusion_contexts(spark, sf_dir):
-    aligned = metrics.with_alignment(pairs(words(spark, sf_dir)), letter_table(), _DISTANCE)
-    return diagnose.confusion_contexts(aligned, "t", "d")
+    return diagnose.confusion_contexts(_mismatched(spark, sf_dir), "t", "d")
+
+
+@register("mismatch_list", f"WITH {_WORDS_SQL}, {_pairs_sql('w')} SELECT word, pred, gold FROM p WHERE ld > 0 AND contains(gold, 'in')")
+def mismatch_list(spark, sf_dir):
+    found = metrics.mismatches(pairs(words(spark, sf_dir)), ["i", "n"])
+    return found.select("word", _plain("pred").alias("pred"), _plain("gold").alias("gold"))
 
 
 # --- phones --------------------------------------------------------------------------------------------------------------------
@@ -401,17 +507,26 @@ def _specs_sql() -> str:
     return f"specs(sym, spec) AS (VALUES {rows})"
 
 
-@register("inactive_features", f"WITH {_NAMES_SQL}, {_specs_sql()}, c AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v), s AS (SELECT DISTINCT substr(word, i, 1) AS sym FROM c WHERE substr(word, i, 1) NOT IN ('b', 'x', 'q', 'j', 'z')) SELECT spec FROM specs JOIN s USING (sym) GROUP BY spec HAVING count(*) = (SELECT count(*) FROM s)")
+#: The letters that follow ch or ph in some word.
+_AFTER_SQL = "s AS (SELECT DISTINCT sym FROM (SELECT unnest(regexp_extract_all(word, '(ch|ph)([a-z])', 2)) AS sym FROM w))"
+
+
+def _after(spark, sf_dir) -> DataFrame:
+    found = words(spark, sf_dir).select(F.explode(F.regexp_extract_all("word", F.lit("(ch|ph)([a-z])"), F.lit(2))).alias("sym"))
+    return found.distinct()
+
+
+@register("inactive_features", f"WITH {_WORDS_SQL}, {_specs_sql()}, {_AFTER_SQL} SELECT spec FROM specs JOIN s USING (sym) GROUP BY spec HAVING count(*) = (SELECT count(*) FROM s)")
 def inactive_features(spark, sf_dir):
-    syms = metrics.phones(names(spark, sf_dir)).where("sym not in ('b', 'x', 'q', 'j', 'z')").select("sym")
-    return diagnose.inactive_features(syms, letter_table())
+    """What all letters after ch or ph have in common."""
+    return diagnose.inactive_features(_after(spark, sf_dir), letter_table())
 
 
-@register("matrix_match", f"WITH {_NAMES_SQL}, {_specs_sql()}, c AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v), s AS (SELECT substr(word, i, 1) AS sym FROM c), m AS (SELECT sym FROM specs WHERE spec IN ('+voi', '-syl', '-lab') GROUP BY sym HAVING count(*) = 3) SELECT sym, count(*) AS n FROM s JOIN m USING (sym) GROUP BY sym")
+@register("matrix_match", f"WITH {_WORDS_SQL}, {_specs_sql()}, c AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w), s AS (SELECT substr(word, i, 1) AS sym FROM c), m AS (SELECT sym FROM specs WHERE spec IN ('+voi', '-syl', '-lab') GROUP BY sym HAVING count(*) = 3) SELECT sym, count(*) AS n FROM s JOIN m USING (sym) GROUP BY sym")
 def matrix_match(spark, sf_dir):
     t = letter_table()
     hits = columns.symbols_df(spark, t).where(columns.matches_matrix(F.col("fv"), RuleParser(t).slot("[+voi,-syl,-lab]"), len(t.features)))
-    return metrics.phones(names(spark, sf_dir)).join(F.broadcast(hits.select(F.col("symbol").alias("sym"))), "sym").groupBy("sym").agg(F.count("*").alias("n"))
+    return metrics.phones(words(spark, sf_dir)).join(F.broadcast(hits.select(F.col("symbol").alias("sym"))), "sym").groupBy("sym").agg(F.count("*").alias("n"))
 
 
 # --- what predicts a miss --------------------------------------------------------------------------------------------------------
@@ -460,9 +575,18 @@ def context_autopsy_fbeta(spark, sf_dir):
     return _rounded(diagnose.scored(autopsy(spark, sf_dir), "f2"), "score", scale=6)
 
 
-@register("top_predictors")
+_KIND_SQL = "CASE WHEN predictor = '#' THEN 'bound' WHEN regexp_matches(predictor, '^[+-]\\w') THEN 'feature' ELSE 'phone' END"
+
+
+@register(
+    "top_predictors",
+    f"WITH b AS ({_f_sql(1.0).replace(', 6) AS score', ', 9) AS score')}), k AS (SELECT *, {_KIND_SQL} AS kind FROM b), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY rel_pos ORDER BY score DESC, predictor) AS rank, row_number() OVER (PARTITION BY rel_pos, kind ORDER BY score DESC, predictor) AS kr FROM k) "
+    "SELECT rel_pos, CAST(rank AS INTEGER) AS rank, kind, predictor, round(score, 6) AS score FROM r WHERE score > 0.1 AND (rank <= 5 OR kr = 1)",
+)
 def top_predictors(spark, sf_dir):
-    return diagnose.top_predictors(diagnose.scored(autopsy(spark, sf_dir), "f"), 5).select("rel_pos", "rank", "kind", "predictor", F.round("score", 6).alias("score"))
+    scores = _rounded(diagnose.scored(autopsy(spark, sf_dir), "f"), "score", scale=9)  # so that ties are ties in any arithmetic
+    return diagnose.top_predictors(scores, 5).select("rel_pos", "rank", "kind", "predictor", F.round("score", 6).alias("score"))
 
 
 @register("subsample", f"WITH {_WORDS_SQL}, {_pairs_sql('w')} SELECT word, ld > 0 AS miss FROM p WHERE regexp_matches(word, '[aeiou]th')")
@@ -471,11 +595,22 @@ def subsample(spark, sf_dir):
     return diagnose.subsample(pairs(df), df, letter_table(), pattern("[+syl] t h"), "word").select("word", "miss")
 
 
-@register("without_active", "SELECT * FROM (VALUES ('+odd')) AS t(spec)")
+@register("without_active", f"WITH {_WORDS_SQL}, {_specs_sql()}, {_AFTER_SQL} SELECT DISTINCT spec FROM specs WHERE spec NOT IN (SELECT spec FROM specs JOIN s USING (sym))")
 def without_active(spark, sf_dir):
-    """Of a few specs, those that no letter of the part names' frame has."""
-    syms = metrics.phones(names(spark, sf_dir)).where("sym in ('a', 'e', 'l', 'n')").select("sym")
-    return diagnose.without_active(["+syl", "+lat", "+odd", "-odd"], syms, letter_table())
+    """The specs that no letter after ch or ph has."""
+    t = letter_table()
+    specs = sorted({("+" if v == "2" else "-") + f for vec in t.vectors.values() for f, v in zip(t.features, vec, strict=True)})
+    return diagnose.without_active(specs, _after(spark, sf_dir), t)
+
+
+@register(
+    "confusion_prognosis",
+    f"{_AROUND_SQL}, {_specs_sql()}, h AS (SELECT *, n / sum(n) OVER (PARTITION BY \"offset\") AS share FROM c), f AS (SELECT *, count(*) OVER (PARTITION BY \"offset\") AS k FROM h WHERE sym NOT IN ('#', '∅')) "
+    "SELECT \"offset\", 'boundary' AS kind, sym AS value, round(share, 8) AS share FROM h WHERE sym = '#' AND share > 0.2 UNION ALL SELECT \"offset\", 'phone', sym, round(share, 8) FROM f WHERE share > 0.1 "
+    "UNION ALL SELECT \"offset\", 'constant', spec, 1.0 FROM f JOIN specs USING (sym) GROUP BY \"offset\", k, spec HAVING count(*) = k",
+)
+def confusion_prognosis(spark, sf_dir):
+    return _rounded(diagnose.prognosis(confusion_contexts(spark, sf_dir), letter_table(), 0.1), "share")
 
 
 @register("subset_shares", f"WITH {_WORDS_SQL}, {_pairs_sql('w')}, s AS (SELECT contains(word, 'th') AS i, ld > 0 AS m FROM p), t AS (SELECT count(*) AS n, count(*) FILTER (WHERE i) AS n_in, count(*) FILTER (WHERE m) AS n_miss, count(*) FILTER (WHERE i AND m) AS n_in_miss FROM s) SELECT *, round(n_in / n, 8) AS share, round(n_in_miss / n_miss, 8) AS error_share FROM t")
@@ -486,36 +621,65 @@ def subset_shares(spark, sf_dir):
 # --- what if -------------------------------------------------------------------------------------------------------------------
 
 _BASE: list[Step] = [("c > s / __ e", [("c(e)", r"s\1")]), ("s > z / __ e", [("s(e)", r"z\1")]), ("z > r", [("z", "r")]), ("r > l / __ e", [("r(e)", r"l\1")])]
-_UIDS = ["L0.0", "L1.0", "L2.0", "L3.0"]
-
+Pairs = list[tuple[str, str]]
 
-def hypothesis() -> whatif.Hypothesis:
-    """Without the second rule."""
-    return whatif.propose(cascade(*(s for s, _ in _BASE)), [whatif.Edit("delete", 1)])
 
-
-def _whatif_sql() -> str:
-    hyp = [s for i, s in enumerate(_BASE) if i != 1]
-    b = "b0 AS (SELECT word, word AS f0 FROM w), " + ", ".join(f"b{i + 1} AS (SELECT *, {_sql_of(f'f{i}', p)} AS f{i + 1} FROM b{i})" for i, (_, p) in enumerate(_BASE))
-    h = "h0 AS (SELECT word, word AS f0 FROM w), " + ", ".join(f"h{i + 1} AS (SELECT *, {_sql_of(f'f{i}', p)} AS f{i + 1} FROM h{i})" for i, (_, p) in enumerate(hyp))
-    bl = " UNION ALL ".join(f"SELECT word, '{u}' AS rule_uid, f{i} AS base_before, f{i + 1} AS base_after FROM b4 WHERE f{i} <> f{i + 1}" for i, u in enumerate(_UIDS))
-    hl = " UNION ALL ".join(f"SELECT word, '{u}' AS rule_uid, f{i} AS hyp_before, f{i + 1} AS hyp_after FROM h3 WHERE f{i} <> f{i + 1}" for i, u in enumerate([_UIDS[0], *_UIDS[2:]]))
+@lru_cache
+def hypothesis(kind: str = "delete") -> whatif.Hypothesis:
+    """The base with one edit."""
+    edit = {
+        "delete": whatif.Edit("delete", 1),
+        "insert": whatif.Edit("insert", 2, law="l > r / __ a"),
+        "modify": whatif.Edit("modify", 1, law="s > t / __ e"),
+        "relocate": whatif.Edit("relocate", 0, to=4),
+    }[kind]
+    return whatif.propose(cascade(*(s for s, _ in _BASE)), [edit])
+
+
+#: What the hypotheses' rules do in SQL: (uid, place in the order of both cascades, pairs).
+_L0, _L1, _L2, _L3 = ((f"L{i}.0", p) for i, (_, p) in enumerate(_BASE))
+_HYPS: dict[str, tuple[list[tuple[str, Pairs]], list[str]]] = {
+    "delete": ([_L0, _L2, _L3], ["L0.0", "L1.0", "L2.0", "L3.0"]),
+    "insert": ([_L0, _L1, ("E0.0", [("l(a)", r"r\1")]), _L2, _L3], ["L0.0", "L1.0", "E0.0", "L2.0", "L3.0"]),
+    "modify": ([_L0, ("L1.0", [("s(e)", r"t\1")]), _L2, _L3], ["L0.0", "L1.0", "L2.0", "L3.0"]),
+    "relocate": ([_L1, _L2, _L3, _L0], ["L1.0", "L2.0", "L3.0", "L0.0"]),
+}
+
+
+def _whatif_sql(kind: str = "delete") -> str:
+    hyp, order = _HYPS[kind]
+    side = lambda x, rules: f"{x}0 AS (SELECT word, word AS f0 FROM w), " + ", ".join(f"{x}{i + 1} AS (SELECT *, {_sql_of(f'f{i}', p)} AS f{i + 1} FROM {x}{i})" for i, (_, p) in enumerate(rules))
+    steps = lambda x, name, rules: " UNION ALL ".join(f"SELECT word, '{u}' AS rule_uid, f{i} AS {name}_before, f{i + 1} AS {name}_after FROM {x}{len(rules)} WHERE f{i} <> f{i + 1}" for i, (u, _) in enumerate(rules))
+    base = [_L0, _L1, _L2, _L3]
+    places = ", ".join(f"('{u}', {i})" for i, u in enumerate(order))
     return (
-        f"WITH {_WORDS_SQL}, {b}, {h}, bl AS ({bl}), hl AS ({hl}), "
-        "diff AS (SELECT word, rule_uid, CAST(substr(rule_uid, 2, 1) AS INTEGER) AS global_idx, base_before, base_after, hyp_before, hyp_after FROM bl FULL JOIN hl USING (word, rule_uid) "
+        f"WITH {_WORDS_SQL}, {side('b', base)}, {side('h', hyp)}, bl AS ({steps('b', 'base', base)}), hl AS ({steps('h', 'hyp', hyp)}), o(rule_uid, global_idx) AS (VALUES {places}), "
+        "diff AS (SELECT word, rule_uid, global_idx, base_before, base_after, hyp_before, hyp_after FROM bl FULL JOIN hl USING (word, rule_uid) JOIN o USING (rule_uid) "
         "WHERE base_before IS DISTINCT FROM hyp_before OR base_after IS DISTINCT FROM hyp_after)"
     )
 
 
-def _diff(spark, sf_dir) -> DataFrame:
-    h = hypothesis()
-    diff = whatif.differential(whatif.run_both(words(spark, sf_dir), h, "word"), h, "word")
-    return diff.withColumn("global_idx", F.col("global_idx").cast("int"))
+def _both(spark, sf_dir, kind: str = "delete") -> DataFrame:
+    return whatif.run_both(words(spark, sf_dir), hypothesis(kind))
+
+
+def _diff(spark, sf_dir, kind: str = "delete") -> DataFrame:
+    diff = whatif.differential(_both(spark, sf_dir, kind), hypothesis(kind), "word")
+    return diff.select("word", "rule_uid", "global_idx", *(_plain(c).alias(c) for c in ("base_before", "base_after", "hyp_before", "hyp_after")))
 
 
 @register("whatif_diff", _whatif_sql() + " SELECT * FROM diff")
 def whatif_diff(spark, sf_dir):
-    return _diff(spark, sf_dir).select("word", "rule_uid", "global_idx", *(_plain(c).alias(c) for c in ("base_before", "base_after", "hyp_before", "hyp_after")))
+    return _diff(spark, sf_dir)
+
+
+def _register_edit(kind: str) -> None:
+    QUERIES[f"whatif_{kind}"] = lambda spark, sf_dir: _diff(spark, sf_dir, kind)
+    SQL[f"whatif_{kind}"] = _whatif_sql(kind) + " SELECT * FROM diff"
+
+
+for _kind in ("insert", "modify", "relocate"):
+    _register_edit(_kind)
 
 
 @register("whatif_fed_bled", _whatif_sql() + " SELECT word, rule_uid, global_idx, CASE WHEN base_after IS NULL THEN 'fed' ELSE 'bled' END AS effect FROM diff WHERE (base_after IS NULL) <> (hyp_after IS NULL) AND rule_uid <> 'L1.0'")
@@ -525,15 +689,49 @@ def whatif_fed_bled(spark, sf_dir):
 
 @register("whatif_divergence", _whatif_sql() + " SELECT word, min(global_idx) AS first_idx FROM diff GROUP BY word")
 def whatif_divergence(spark, sf_dir):
-    return whatif.divergence(_diff(spark, sf_dir), "word")
+    return whatif.divergence(_both(spark, sf_dir), hypothesis(), "word")
 
 
-@register("whatif_dominoes", _whatif_sql() + ", f AS (SELECT word, min_by(rule_uid, global_idx) AS rule_uid FROM diff GROUP BY word) SELECT rule_uid, count(*) AS n_words, min(word) AS first_key FROM f GROUP BY rule_uid")
+_DOMINO_SQL = _whatif_sql() + ", f AS (SELECT word, min_by(rule_uid, global_idx) AS rule_uid FROM diff GROUP BY word)"
+
+
+@register("whatif_dominoes", _DOMINO_SQL + " SELECT rule_uid, count(*) AS n_words, min(word) AS first_key FROM f GROUP BY rule_uid")
 def whatif_dominoes(spark, sf_dir):
-    return whatif.dominoes(_diff(spark, sf_dir), "word")
+    return whatif.dominoes(_both(spark, sf_dir), hypothesis(), "word")
+
+
+@register("whatif_domino_words", _DOMINO_SQL + " SELECT * FROM f")
+def whatif_domino_words(spark, sf_dir):
+    return whatif.domino_words(_both(spark, sf_dir), hypothesis(), "word")
 
 
 @register("whatif_outcomes", _whatif_sql() + " SELECT b4.word, b4.f4 AS base_outcome, h3.f3 AS hyp_outcome FROM b4 JOIN h3 USING (word) WHERE b4.f4 <> h3.f3")
 def whatif_outcomes(spark, sf_dir):
-    both = whatif.run_both(words(spark, sf_dir), hypothesis(), "word")
-    return whatif.changed_outcomes(both, "word").select("word", _plain("base_outcome").alias("base_outcome"), _plain("hyp_outcome").alias("hyp_outcome"))
+    return whatif.changed_outcomes(_both(spark, sf_dir), "word").select("word", _plain("base_outcome").alias("base_outcome"), _plain("hyp_outcome").alias("hyp_outcome"))
+
+
+@register(
+    "whatif_results",
+    _whatif_sql() + " SELECT global_idx, rule_uid, rule_uid = 'L1.0' AS edited, count(*) FILTER (WHERE hyp_after IS NULL) AS n_only_base, count(*) FILTER (WHERE base_after IS NULL) AS n_only_hyp, "
+    "count(*) FILTER (WHERE base_after IS NOT NULL AND hyp_after IS NOT NULL) AS n_otherwise, min(word) AS first_key FROM diff GROUP BY ALL",
+)
+def whatif_results(spark, sf_dir):
+    return whatif.basic_results(_both(spark, sf_dir), hypothesis(), "word")
+
+
+_STOPS_SQL = (
+    f"WITH {_WORDS_SQL}, {_chain(_STAGED)}, hyp AS (SELECT word, f0, f2, f4, {_sql_of('f0', [('e(n)', r'i\1')])} AS h2 FROM c4), "
+    f"k AS (SELECT *, {_sql_of('h2', [('s$', 'z'), ('r', 'l')])} AS h4, {_sql_of('f0', [('o', 'u')])} AS g FROM hyp), "
+    "r AS (SELECT 0 AS seq, 'Middle' AS stage, f2 AS pred, h2 AS hyp, g AS gold FROM k UNION ALL SELECT 1, 'Output', f4, h4, f0 FROM k), "
+    "l AS (SELECT seq, stage, levenshtein(pred, gold) AS b, levenshtein(hyp, gold) AS h, length(gold) AS n FROM r) "
+    "SELECT seq, stage, count(*) AS n, round(avg(CASE WHEN b = 0 THEN 1.0 ELSE 0 END), 8) AS base_acc, round(avg(CASE WHEN h = 0 THEN 1.0 ELSE 0 END), 8) AS hyp_acc, round(avg(b / n), 8) AS base_avg_ped, round(avg(h / n), 8) AS hyp_avg_ped FROM l GROUP BY seq, stage"
+)
+
+
+@register("whatif_stages", _STOPS_SQL)
+def whatif_stages(spark, sf_dir):
+    """Without the first rule, at the gold stage (attested: o > u alone) and at the end (attested: the word)."""
+    lexicon = words(spark, sf_dir).withColumn("cells", F.array("form", F.replace("form", F.lit("o"), F.lit("u")), "form"))
+    h = whatif.propose(cascade(*_STAGED_LINES), [whatif.Edit("delete", 0)])
+    out = whatif.stage_results(lexicon, h, CODES, [1], 2)
+    return _rounded(out, "base_acc", "hyp_acc", "base_avg_ped", "hyp_avg_ped").select("seq", "stage", F.col("base_n").alias("n"), "base_acc", "hyp_acc", "base_avg_ped", "hyp_avg_ped")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from phonoweave.functions.distance import GAP, FeatureDistance, levenshtein, symbol_codes, symbol_vectors
+from phonoweave.functions.distance import EDGE_GAP, GAP, FeatureDistance, levenshtein, symbol_codes, symbol_vectors
 from phonoweave.functions.features import RuleError, SymbolTable, norm
 from phonoweave.functions.inventory import letter_table, phonetic_table
 from phonoweave.operators import diagnose, engine, metrics, whatif
@@ -39,6 +39,29 @@ def test_presence(spark):
     assert [(r.outcome, r.status) for r in rows] == [("i", "present"), ("o i", "present"), (None, "absent"), ("i", "present"), (None, "absent"), (None, "absent")]
 
 
+def test_reports_of_a_run(spark):
+    c = read_cascade(["a > e", "~S", "e > i", "=T", "o > u"], phonetic_table())
+    run = engine.simulate_lexicon(lex(spark, "a, e, i", "--, o, u", "t, --, t"), c, [1])
+    text = {r.etym_id: r.derivation.split("\n") for r in engine.derivation_text(run, c).collect()}
+    assert text[0] == ["a", "e | 0 : a > e", "S : e", "i | 1 : e > i", "T : i", "i"]
+    assert text[1] == ["--", "S : --", "T : o", "u | 2 : o > u", "u"] and text[2] == ["t", "S : t", "T : --", "--"]
+    graph = {r.etym_id: tuple(r)[1:] for r in engine.stage_report(run, c, [1], 2).collect()}
+    assert graph[0] == ("a", "e {GOLD: e}", "i", "i {GOLD: i}") and graph[1] == ("--", "-- {GOLD: o}", "o", "u {GOLD: u}")
+    rows = sorted((r.etym_id, r.ord, r.label, r.form) for r in engine.rule_report(run, c).collect())
+    assert [x[2:] for x in rows if x[0] == 0] == [("INPUT", "a"), ("R0", "e"), ("~S", "e"), ("R1", "i"), ("=T", "i")]
+    assert [x[2:] for x in rows if x[0] == 1] == [("INPUT", "--"), ("~S", "--"), ("=T", "+ o"), ("R2", "u")]
+
+
+@pytest.mark.parametrize("pattern", ["t a", "[+syl] ( r ) t", "[+nas]", "( [-syl] )* a", "@ a", "# t", "[αlab,-syl] a [αlab,-syl]", "t + a", "( a )"])
+def test_filters_agree_with_the_matcher(spark, pattern):
+    t, rng = letter_table(), random.Random(3)
+    forms = [" ".join(x for _ in range(rng.randint(0, 6)) for x in rng.choice(["a", "t", "r", "n", "m", "+ a", "t"]).split()) for _ in range(200)]
+    df = spark.createDataFrame([(f,) for f in forms], "form string")
+    items = RuleParser(t).context(pattern).items
+    want = engine.matches(df, t, items).where(F.size("bounds") > 0).drop("bounds")
+    assert sorted(r.form for r in engine.filter_words(df, t, items).collect()) == sorted(r.form for r in want.collect())
+
+
 def test_ranges_and_snapshots_agree(spark):
     df = spark.createDataFrame([("k a n p i",), ("t a t i",), (None,)], "form string")
     c = cascade()
@@ -76,11 +99,12 @@ def test_header_rules():
 def test_tables_and_checks():
     t = SymbolTable.from_lines(["SYMB,f,g", "FEATURE_WEIGHTS,1,2", "a,+,0", "b,-,+"])
     assert t.weights == [1.0, 2.0] and t.vectors == {"a": "21", "b": "02"}
-    for bad in ([], ["SYMB,f,f"], ["SYMB,f", "a,+,-"], ["SYMB,f", "a,x"], ["SYMB,f", "a>,+"]):
+    for bad in ([], ["SYMB,f,f"], ["SYMB,f", "a,+,-"], ["SYMB,f", "a,x"], ["SYMB,f", "a>,+"], ["SYMB,f", "a:b,+"], ["SYMB,f", "a~,+"], ["SYMB,f", "x0,+"]):
         with pytest.raises(RuleError):
             SymbolTable.from_lines(bad)
     with pytest.raises(RuleError):
         t.read_diacritics(["x=+f,-f"])
+    assert SymbolTable.from_lines(["SYMB,f", "ɸ,+", "(,-"]).vectors == {"ɸ": "2", "(": "0"}
     t.read_implications(["f:+g", "+g:-f $ c"])
     assert t.close(["+f"]) == ["+f", "+g"]
 
@@ -120,7 +144,13 @@ def test_feature_distance():
             a, b = (" ".join(rng.choices("abdemnt", k=rng.randint(0, 5))) for _ in "ab")
             got, pairs = d.align(symbol_vectors(t, a), symbol_vectors(t, b))
             assert abs(got - slow_distance(d, symbol_vectors(t, a), symbol_vectors(t, b))) < 1e-9
-            assert [i for i, _ in pairs if i != GAP] == [*range(len(a.split()))] and [j for _, j in pairs if j != GAP] == [*range(len(b.split()))]
+            assert [i for i, _ in pairs if i >= 0] == [*range(len(a.split()))] and [j for _, j in pairs if j >= 0] == [*range(len(b.split()))]
+        sides = [tuple(symbol_vectors(t, " ".join(rng.choices("abdemnt", k=rng.randint(0, 5)))) for _ in "ab") for _ in range(80)]
+        assert d.distances(sides).tolist() == [x for x, _ in d.align_many(sides)]
+    plain = FeatureDistance(len(t.features))
+    assert plain.align(symbol_vectors(t, "t a"), symbol_vectors(t, "t a d"))[1] == [(0, 0), (1, 1), (EDGE_GAP, 2)]
+    assert plain.align(symbol_vectors(t, "t a d"), symbol_vectors(t, "t d"))[1] == [(0, 0), (1, GAP), (2, 1)]
+    assert plain.align([], symbol_vectors(t, "t"))[1] == [(GAP, 0)]
     w = FeatureDistance(2, 0.5, (1.0, 3.0))
     assert w.align(["20"], ["22"])[0] == 3.0 / 2
 
@@ -136,6 +166,18 @@ def test_metrics_and_confusions(spark):
     around = {(r.offset, r.sym): r.n for r in diagnose.confusion_contexts(pairs, "t", "d").collect()}
     assert around == {(-2, "#"): 2, (-1, "#"): 2, (1, "a"): 1, (1, "o"): 1, (2, "#"): 2}
     assert {r.sym: (r.n_words, r.n_tokens, r.n_errors) for r in metrics.errors_by_phone(pairs, "pred").collect()}["t"] == (3, 4, 2)
+    assert [r.etym_id for r in metrics.mismatches(pairs, ["d", "o"]).collect()] == [2] and metrics.mismatches(pairs).count() == 3
+    assert {(r.etym_id, round(r.fed, 9)) for r in metrics.with_fed(metrics.pair_distances(df, symbol_codes("abdeot")), t, FeatureDistance(len(t.features))).collect()} == {(r.etym_id, round(r.fed, 9)) for r in pairs.collect()}
+    by = {r.sym: r for r in metrics.analysis_file(pairs).collect()}
+    assert by["t"].error_rate == 0 and by["d"].mean_fed > 0 and by["d"].mean_ld == 1
+    text = metrics.accuracy_report(metrics.accuracy(pairs)).first().text.split("\n")
+    assert len(text) == 5 and text[0].split()[-1] == "0.25000000" and metrics.accuracy_text(metrics.accuracy(pairs)).first().text.split("\t")[1] == "1.00000000"
+    paired = metrics.paired_accuracy(df.withColumn("hyp", F.col("gold")), symbol_codes("abdeot"))
+    assert paired.first().delta_acc == 0.75 and metrics.comparative_report(paired).first().text.split("\n")[0].endswith("0.25000000 -> 1.00000000")
+    told = {(r.offset, r.kind, r.value): r.share for r in diagnose.prognosis(diagnose.confusion_contexts(pairs, "t", "d"), t).collect()}
+    assert told[(-1, "boundary", "#")] == 1 and told[(1, "phone", "a")] == 0.5 and (1, "constant", "+syl") in told and (2, "constant", "+syl") not in told
+    fewer = {(r.offset, r.value) for r in diagnose.prognosis(diagnose.confusion_contexts(pairs, "t", "d"), t, suppress=spark.createDataFrame([("+syl",)], "spec string")).collect()}
+    assert (1, "+syl") not in fewer and (1, "a") in fewer
     assert metrics.accuracy(df.limit(0).withColumns({"ld": F.lit(1), "ped": F.lit(0.5)})).first().n == 0
 
 
@@ -157,7 +199,11 @@ def test_autopsy(spark):
     assert table[(-1, "t")] == (2, 0, 0, 2) and table[(-1, "-voi")] == (2, 0, 0, 2) and table[(1, "+nas")] == (2, 1, 0, 1) and table[(-1, "#")] == (0, 1, 2, 1)
     assert diagnose.autopsy_scope(found.withColumn("length", F.size(F.split("form", " ")) + 2)) == (-2, 2)
     best = diagnose.top_predictors(diagnose.scored(diagnose.contingency(diagnose.contexts(found, t, [-1])), "f"), 1).collect()
-    assert {r.kind for r in best} == {"bound", "feature", "phone"}
+    assert {r.kind for r in best} == {"feature", "phone"} and all(r.score > 0.1 for r in best)  # the boundary predicts no miss
+    kinds = spark.createDataFrame([(x,) for x in ("#", "+", "+voi", "-syl", "a")], "p string").select(diagnose.predictor_kind(F.col("p")).alias("k"))
+    assert [r.k for r in kinds.collect()] == ["bound", "bound", "feature", "feature", "phone"]
+    edge = spark.createDataFrame([(1, "a", 0.1), (1, "b", 0.11)], "rel_pos int, predictor string, score double")
+    assert [r.predictor for r in diagnose.top_predictors(edge).collect()] == ["b"]
 
 
 # --- what if ---------------------------------------------------------------------------------------------------------------------
@@ -190,15 +236,77 @@ def test_edits_and_maps():
 def test_differential(spark):
     base = read_cascade(["a > e", "e > i", "i > o", "t > d"], phonetic_table())
     h = whatif.propose(base, [whatif.Edit("delete", 0)])
-    df = spark.createDataFrame([(1, "t a"), (2, "e"), (3, "u")], "etym_id long, form string")
+    df = spark.createDataFrame([(1, "t a"), (2, "e"), (3, "u"), (4, None)], "etym_id long, form string")
     both = whatif.run_both(df, h)
     diff = whatif.differential(both, h)
     rows = {(r.etym_id, r.rule_uid): (r.base_after, r.hyp_after) for r in diff.collect()}
     assert rows == {(1, "L0.0"): ("t e", None), (1, "L1.0"): ("t i", None), (1, "L2.0"): ("t o", None), (1, "L3.0"): ("d o", "d a")}
     assert {(r.etym_id, r.rule_uid, r.effect) for r in whatif.fed_bled(diff, h).collect()} == {(1, "L1.0", "bled"), (1, "L2.0", "bled")}
-    assert [(r.etym_id, r.first_idx) for r in whatif.divergence(diff).collect()] == [(1, 0)]
-    assert [(r.rule_uid, r.n_words, r.first_key) for r in whatif.dominoes(diff).collect()] == [("L0.0", 1, 1)]
-    assert [r.etym_id for r in whatif.affected(diff).collect()] == [1] and whatif.changed_outcomes(both).count() == 1
+    assert [(r.etym_id, r.first_idx) for r in whatif.divergence(both, h).collect()] == [(1, 0)]
+    assert [(r.rule_uid, r.n_words, r.first_key) for r in whatif.dominoes(both, h).collect()] == [("L0.0", 1, 1)]
+    assert [tuple(r) for r in whatif.domino_words(both, h).collect()] == [("L0.0", 1)]
+    assert [r.etym_id for r in whatif.affected(both, h).collect()] == [1] and whatif.changed_outcomes(both).count() == 1
+    results = {r.rule_uid: (r.edited, r.n_only_base, r.n_only_hyp, r.n_otherwise) for r in whatif.basic_results(both, h).collect()}
+    assert results == {"L0.0": (True, 1, 0, 0), "L1.0": (False, 1, 0, 0), "L2.0": (False, 1, 0, 0), "L3.0": (False, 0, 0, 1)}
+
+
+def test_differential_is_row_local(spark):
+    """One Arrow stage, no join and no shuffle."""
+    base = read_cascade(["a > e", "e > i"], phonetic_table())
+    h = whatif.propose(base, [whatif.Edit("delete", 0)])
+    df = spark.createDataFrame([(1, "t a")], "etym_id long, form string")
+    plan = whatif.differential(whatif.run_both(df, h), h)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Exchange" not in plan
+
+
+def test_stage_results(spark):
+    base = read_cascade(["a > e", "~Mid", "e > i"], phonetic_table())
+    h = whatif.propose(base, [whatif.Edit("delete", 0)])
+    lexicon = lex(spark, "t a, t e, t i", "o, o, o", "a, --, a", "a, >*, i")
+    rows = {r.stage: r for r in whatif.stage_results(lexicon, h, symbol_codes("aeiot"), [1], 2).collect()}
+    assert (rows["Mid"].base_n, rows["Mid"].base_acc, rows["Mid"].hyp_acc) == (2, 1.0, 0.5)
+    assert (rows["Output"].base_n, rows["Output"].base_acc, rows["Output"].delta_acc) == (3, 1.0, 1 / 3 - 1)
+    with pytest.raises(ValueError):
+        whatif.stage_results(lexicon, h, symbol_codes("a"))
+
+
+EDITS = {
+    "insert": [whatif.Edit("insert", 1, law="o > u")],
+    "insert in front": [whatif.Edit("insert", 0, law="o > u / __ t", comment="new")],
+    "delete": [whatif.Edit("delete", 4)],
+    "modify": [whatif.Edit("modify", 1, law="a > o / __ i")],
+    "relocate on": [whatif.Edit("relocate", 0, to=4)],
+    "relocate back": [whatif.Edit("relocate", 4, to=1, before_stage=True)],
+}
+
+
+@pytest.mark.parametrize("kind", EDITS)
+def test_accepted_hypotheses_can_be_edited_on(kind):
+    h = whatif.propose(cascade(), EDITS[kind])
+    now = whatif.accept(h)
+    assert [str(r) for r in now.rules] == [str(r) for r in h.cascade.rules] and now.stages == h.cascade.stages
+    assert whatif.rewrite(h.cascade, []) == list(now.lines) == whatif.rewrite(h.base, h.edits)
+    again = whatif.propose(now, [whatif.Edit("delete", 0), whatif.Edit("insert", 1, law="u > o")])
+    lines = whatif.rewrite(now, again.edits)
+    assert len(lines) == len(now.lines) and "u > o" in lines and [x for x in lines if x[:1] in "~="] == [x for x in CASCADE if x[:1] in "~="]
+    assert [str(r) for r in whatif.accept(again).rules] == [str(r) for r in again.cascade.rules]
+    assert [str(r) for r in read_cascade(whatif.rewrite(h.cascade, [whatif.Edit("delete", 0)]), phonetic_table()).rules] == [str(r) for r in h.cascade.rules[1:]]
+
+
+def test_places_of_edits_alone():
+    base = cascade()
+    out = whatif.rewrite(base, [whatif.Edit("delete", 0), whatif.Edit("insert", 1, law="o > u"), whatif.Edit("modify", 3, law="t > d", comment="look here")], placeholders=True)
+    assert [x for x in out if x in CASCADE] == CASCADE
+    notes = [x for x in out if x not in CASCADE]
+    assert notes == ["$ delete this rule", "$ insert here: o > u", "$ look here"]
+    assert out.index(notes[0]) + 1 == out.index(CASCADE[1]) and out.index(notes[1]) + 1 == out.index(CASCADE[6])
+    several = read_cascade(["a > e / {b;d} __", "o > u"], phonetic_table())
+    assert whatif.rewrite(several, [whatif.Edit("delete", 1)], placeholders=True) == ["$ delete this rule", *several.lines]
+    parted = whatif.propose(several, [whatif.Edit("delete", 1)])
+    with pytest.raises(whatif.MidDisjunctionError):
+        whatif.accept(parted)
+    with pytest.raises(whatif.MidDisjunctionError):
+        whatif.rewrite(parted.cascade, [whatif.Edit("delete", 0)])
 
 
 def test_rewrite():
