@@ -11,17 +11,6 @@ from .rules import Exact, Group, Matrix, Null, Rule
 Word = tuple[Seg, ...]
 
 
-class _Begins(dict):
-    """Whether a segment matches one of some slots, found out once for each segment."""
-
-    def __init__(self, slots):
-        self.slots = slots
-
-    def __missing__(self, seg: Seg) -> bool:
-        out = self[seg] = any(s.match(seg, {}) is not None for s in self.slots)
-        return out
-
-
 class _Needs:
     """What each of some rules needs a word to have, as bits: one for each set of slots of which some segment must match one.
 
@@ -32,21 +21,24 @@ class _Needs:
     def __init__(self, rules: Sequence[Rule]):
         self.bits: dict[tuple, int] = {}
         self.rules = rules  # so that their id stays their own
-        self.masks = [self._mask(r) for r in rules]
+        self.masks, self.firsts = (list(x) for x in zip(*map(self._mask, rules), strict=True)) if rules else ([], [])
         self._has: dict[Seg, int] = {}
 
-    def _mask(self, rule: Rule) -> int:
-        sources = [tuple(s for s in a if not isinstance(s, Null)) for a in rule.sources]
-        needs = [(s,) for s in sources[0]] if len(sources) == 1 else [tuple(a[0] for a in sources)] if all(sources) else []
-        needs += [(x,) for c in (rule.prior, rule.post) if c is not None for x in c.items if not isinstance(x, Group)]
-        out = 0
-        for slots in needs:
-            out |= 1 << self.bits.setdefault(slots, len(self.bits))
-        return out
+    def _bit(self, slots: tuple) -> int:
+        return 1 << self.bits.setdefault(slots, len(self.bits))
 
-    def of(self, word: Word) -> int:
-        """The bits of a word."""
-        out = 0
+    def _mask(self, rule: Rule) -> tuple[int, int]:
+        """(all that the rule needs, what a target of it begins with; 0 for a rule that only inserts)."""
+        sources = [tuple(s for s in a if not isinstance(s, Null)) for a in rule.sources]
+        first = self._bit(tuple(a[0] for a in sources)) if all(sources) else 0
+        out = first
+        for x in (*(sources[0][1:] if len(sources) == 1 else ()), *(x for c in (rule.prior, rule.post) if c is not None for x in c.items if not isinstance(x, Group))):
+            out |= self._bit((x,))
+        return out, first
+
+    def of(self, word: Word) -> list[int]:
+        """The bits of each segment of a word."""
+        out = []
         for seg in word:
             if (has := self._has.get(seg)) is None:
                 has = 0
@@ -54,7 +46,7 @@ class _Needs:
                     if any(s.match(seg, {}) is not None for s in slots):
                         has |= 1 << bit
                 self._has[seg] = has
-            out |= has
+            out.append(has)
         return out
 
 
@@ -62,7 +54,7 @@ class Kernel:
     """Rules over a table. Contexts and targets are tested on the word as it was; a rule does not feed itself."""
 
     def __init__(self, table: SymbolTable):
-        self.table, self._segs, self._may, self._kept, self._needs = table, {}, {}, [], {}
+        self.table, self._segs, self._needs = table, {}, {}
 
     def seg(self, vec: str) -> Seg:
         out = self._segs.get(vec)
@@ -70,47 +62,37 @@ class Kernel:
             out = self._segs[vec] = Seg(self.table.symbol(vec), vec)
         return out
 
-    def _begins(self, rule: Rule) -> dict[Seg, bool] | None:
-        """For each segment met so far, whether a target of the rule may begin with it; None for a rule that only inserts."""
-        if (known := self._may.get(id(rule), 0)) == 0:
-            firsts = [next((s for s in a if not isinstance(s, Null)), None) for a in rule.sources]
-            known = self._may[id(rule)] = None if None in firsts else _Begins(firsts)
-            self._kept.append(rule)  # so that its id stays its own
+    def needs(self, rules: Sequence[Rule]) -> _Needs:
+        if (known := self._needs.get(id(rules))) is None:
+            known = self._needs[id(rules)] = _Needs(rules)
         return known
 
-    def apply(self, rule: Rule, word: Word) -> Word:
-        """The word after the rule; the same object where nothing changes."""
-        begins = self._begins(rule)
-        if begins is not None:
-            for seg in word:
-                if begins[seg]:
-                    break
-            else:
-                return word
+    def apply(self, rule: Rule, word: Word, places: Sequence[int] | None = None) -> Word:
+        """The word after the rule; the same object where nothing changes. A target is looked for at `places`, all by default."""
         prior = rule.prior.size if rule.prior else 0
         post = rule.post.size if rule.post else 0
         needs = min(sum(not isinstance(s, Null) for s in a) for a in rule.sources)
         if len(word) < prior + needs + post:
             return word
-        out: list[Seg] = list(word[:prior])
-        at, last = prior, len(word) - max(post + needs, 1)
-        while at <= last:
-            found = self._at(rule, word, at) if begins is None or begins[word[at]] else None
-            if found is None:
-                out.append(word[at])
-                at += 1
+        last = len(word) - max(post + needs, 1)
+        out, copied, least = None, 0, prior
+        for at in range(prior, last + 1) if places is None else places:
+            if at < least:
+                continue
+            if at > last:
+                break
+            if (found := self._at(rule, word, at)) is None:
                 continue
             made, end = found
+            out = out or []
+            out += word[copied:at]
             out += made
-            if end == at:  # an insertion: one for each gap
-                out.append(word[at])
-                at += 1
-            elif rule.kind == "FEAT" and not made:  # a deleted segment must not delete the next
-                out += word[end : end + 1]
-                at = end + 1
-            else:
-                at = end
-        result = (*out, *word[at:])
+            copied = end
+            # One insertion for each gap; and a deleted segment must not delete the next.
+            least = end + 1 if end == at or (rule.kind == "FEAT" and not made) else end
+        if copied == 0 and not out:
+            return word
+        result = (*(out or ()), *word[copied:])
         return word if result == word else result
 
     def _at(self, rule: Rule, word: Word, at: int) -> tuple[list[Seg], int] | None:
@@ -155,18 +137,27 @@ class Kernel:
         """(last form, (rule, before, after) of each change, forms at the stops). A stop k is before rule k."""
         log, snaps, stop = [], [], 0
         stops = sorted(stops)
-        if (needs := self._needs.get(id(rules))) is None:
-            needs = self._needs[id(rules)] = _Needs(rules)
-        has = needs.of(word)
+        needs = self.needs(rules)
+        bits = needs.of(word)
+        has = _any(bits)
         for k, mask in enumerate(needs.masks):
             while stop < len(stops) and stops[stop] <= k:
                 snaps.append(word)
                 stop += 1
             if mask & has != mask:
                 continue
-            new = self.apply(rules[k], word)
+            first = needs.firsts[k]
+            new = self.apply(rules[k], word, [i for i, b in enumerate(bits) if b & first] if first else None)
             if new is not word:
                 log.append((k, word, new))
-                word, has = new, needs.of(new)
+                word, bits = new, needs.of(new)
+                has = _any(bits)
         snaps += [word] * (len(stops) - stop)
         return word, log, snaps
+
+
+def _any(bits: list[int]) -> int:
+    out = 0
+    for b in bits:
+        out |= b
+    return out

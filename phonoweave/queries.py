@@ -129,6 +129,28 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+def long_steps(n: int) -> list[Step]:
+    """As many rules of one phone after another as are asked for, made by a fixed rule: what a long cascade costs."""
+    abc, out = "abcdefghijklmnopqrstuvwxyz", []
+    for i in range(n):
+        source, context, dest = (abc[(k * i + i // 26 + k) % 26] for k in (7, 11, 5))
+        context = context if context != source else abc[(abc.index(source) + 1) % 26]
+        dest = dest if dest != source else abc[(abc.index(source) + 2) % 26]
+        out.append((f"{source} > {dest} / {context} __", [(f"({context}){source}", rf"\1{dest}")]))
+    return out
+
+
+def _long_sql(n: int) -> str:
+    steps = ", ".join(f"c{i + 1} AS (SELECT word, {_sql_of('f', p)} AS f FROM c{i})" for i, (_, p) in enumerate(long_steps(n)))
+    return f"WITH {_WORDS_SQL}, c0 AS (SELECT word, word AS f FROM w), {steps} SELECT word, f AS outcome FROM c{n}"
+
+
+@register("cascade_100", _long_sql(100))
+def cascade_100(spark, sf_dir):
+    out = engine.apply_cascade(words(spark, sf_dir), cascade(*(s for s, _ in long_steps(100))))
+    return out.select("word", _plain("outcome").alias("outcome"))
+
+
 _VOICED, _VOICELESS = "bdgjlmnrvwyz", "cfhkpqstx"
 
 

@@ -1,19 +1,21 @@
 """A run from files, the column forms of matrices, and the small helpers."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from phonoweave.functions import columns, text
 from phonoweave.functions.inventory import letter_table, phonetic_table
 from phonoweave.operators import metrics
+from phonoweave.operators.whatif import Edit
 from phonoweave.plans.rules import RuleParser
-from phonoweave.plans.run import RunConfig, run
+from phonoweave.plans.run import RunConfig, Session, main, parse_args, run
 
 
 def test_run_from_files(spark, tmp_path):
     t = phonetic_table()
     marks = {"2": "+", "0": "-", "1": "0"}
     (tmp_path / "symbols").write_text("\n".join(["SYMB," + ",".join(t.features), *(f"{s}," + ",".join(marks[v] for v in vec) for s, vec in t.vectors.items())]), encoding="utf-8")
-    (tmp_path / "diacritics").write_text("ʰ=+sg $ aspirated\ñ=+nas\n", encoding="utf-8")
+    (tmp_path / "diacritics").write_text("ʰ=+sg $ a comment\ñ=+nas\n", encoding="utf-8")
     (tmp_path / "implications").write_text("+nas:+son\n", encoding="utf-8")
     (tmp_path / "cascade").write_text("$ x\n[+syl] > [+nas] / __ [+nas,-syl]\n~Mid\nn > ∅ / [+syl] __ #\n", encoding="utf-8")
     (tmp_path / "lexicon").write_text("p a n , p ã n , p ã $ one ɸx1\ntʰ o n a, tʰ õ n a, tʰ õ\no , -- , >*\n", encoding="utf-8")
@@ -24,6 +26,44 @@ def test_run_from_files(spark, tmp_path):
     row = metrics.accuracy(r.pairs("Mid")).first()
     assert (row.n, row.acc, row.avg_fed) == (2, 1.0, 0.0)
     assert spark.read.parquet(str(tmp_path / "out" / "stages")).count() == 3
+    assert {r.etym_id for r in spark.read.option("header", True).csv(str(tmp_path / "out" / "distances")).collect()} == {"0", "1"}
+    paths = [x for n, f in (("-symbols", "symbols"), ("-rules", "cascade"), ("-lex", "lexicon"), ("-impl", "implications"), ("-diacrit", "diacritics")) for x in (n, str(tmp_path / f))]
+    again = main([*paths, "-idcost", "0.5", "-hs"], spark)
+    assert again.lexicon.count() == 3 and [s.name for s in again.cascade.stages] == ["Mid"]
+    assert not main([*paths, "-is"], spark).cascade.stages
+    look(spark, Session(r))
+
+
+def look(spark, s):
+    assert s.accuracy().first().n == 2 and s.at("Mid").accuracy(fed=True).first().acc == 1.0
+    assert s.filtered("[+nas,-syl]").pairs().count() == 2 and s.filtered("tʰ").pairs().count() == 1 and s.filtered("tʰ").unfiltered().pairs().count() == 2
+    assert s.pivoted("Mid").filtered("ã").pairs().count() == 1 and s.pivoted(None).pairs().where("form = pred").count() == 2
+    assert [r.etym_id for r in s.mismatches().collect()] == [1] and s.errors("pred").count() > 0 and s.confusions().count() > 0
+    assert s.report().first().text.count("\n") == 4 and s.filtered("n").shares().first().n_in == 2
+    top = s.confusions().first()
+    assert s.confusion(top.res_sym, top.gold_sym, 0.1).count() > 0 and s.filtered("n").autopsy().count() >= 0
+    assert s.word("p a n").first().derivation.split("\n")[0] == "p a n" and list(s.rule("__ #")) == [1] and s.changed(0).count() == 2
+    h, scores = s.propose([Edit("delete", 0)])
+    assert [str(x) for x in h.cascade.rules] == [str(s.run.cascade.rules[1])] and scores.where("stage = 'Mid'").first().hyp_acc == 0
+    for wrong in (lambda: s.at("No"), lambda: s.pivoted("No"), s.autopsy, s.shares):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_command_line():
+    c = parse_args(["-lex", "l", "-rules", "c", "-diacrit", "-simple_FED", "-USE_FORM_ID", "-rpe", "-idcost", "0.25", "-out", "o"])
+    assert (c.lexicon, c.cascade, c.diacritics, c.simple_fed, c.use_form_id, c.debug_rules, c.changes, c.explicit, c.id_cost, c.out) == ("l", "c", "diacritics.txt", True, True, True, True, True, 0.25, "o")
+    plain = parse_args([])
+    assert (plain.id_cost, plain.simple_fed, plain.diacritics, plain.implications, plain.symbols) == (0.5, False, None, "implications.txt", "symbols.csv")
+    for bad in (["-lex"], ["-idcost", "-s"], ["-q"], ["word"], ["-"]):
+        with pytest.raises(ValueError):
+            parse_args(bad)
+
+
+def test_morphology_columns(spark):
+    df = spark.createDataFrame([({"case": "dat"}, ["law"]), (None, None)], "specs map<string,string>, domains array<string>")
+    rows = df.select(columns.morph_spec(F.col("specs"), "case").alias("c"), columns.morph_spec(F.col("specs"), "x").alias("x"), columns.in_domain(F.col("domains"), "law").alias("d")).collect()
+    assert [tuple(r) for r in rows] == [("dat", None, True), (None, None, False)]
 
 
 def test_columns(spark):
