@@ -469,6 +469,19 @@ def confusion_contexts(spark, sf_dir):
     return diagnose.confusion_contexts(_mismatched(spark, sf_dir), "t", "d")
 
 
+@register("etymon_distances", f"WITH RECURSIVE {_WORDS_SQL}, {_pairs_sql('w')}, {_fed_sql()} SELECT word, pred, gold, CAST(ld AS INTEGER) AS ld, round(ped, 8) AS ped, round(fed, 8) AS fed, CAST(pred_len AS INTEGER) AS pred_len, CAST(gold_len AS INTEGER) AS gold_len FROM p JOIN al USING (pred, gold) WHERE pred <> '' AND gold <> ''")
+def etymon_distances(spark, sf_dir):
+    rows = metrics.with_fed(pairs(words(spark, sf_dir)).where("pred <> '' and gold <> ''"), letter_table(), _DISTANCE)
+    return _rounded(metrics.etymon_distances(rows, "word"), "ped", "fed").withColumns({c: _plain(c) for c in ("pred", "gold")})
+
+
+@register("accuracy_report", f"WITH {_WORDS_SQL}, {_pairs_sql('w')}, a AS (SELECT {_ACC_SQL} FROM p) SELECT format('{{:.6f}} {{:.6f}} {{:.6f}} {{:.6f}}', acc, acc1, acc2, avg_ped) AS text FROM a")
+def accuracy_report(spark, sf_dir):
+    """The scores of the report, its words left out, six places each."""
+    text = metrics.accuracy_text(metrics.accuracy(pairs(words(spark, sf_dir))))
+    return text.select(F.array_join(F.transform(F.split("text", "\t"), lambda x: F.format_string("%.6f", x.cast("double"))), " ").alias("text"))
+
+
 @register("mismatch_list", f"WITH {_WORDS_SQL}, {_pairs_sql('w')} SELECT word, pred, gold FROM p WHERE ld > 0 AND contains(gold, 'in')")
 def mismatch_list(spark, sf_dir):
     found = metrics.mismatches(pairs(words(spark, sf_dir)), ["i", "n"])
@@ -544,6 +557,23 @@ def inactive_features(spark, sf_dir):
     return diagnose.inactive_features(_after(spark, sf_dir), letter_table())
 
 
+_NAMES_OF_FEATURES = "[" + ", ".join(f"'{f}'" for f in letter_table().features) + "]"
+_VOICE = letter_table().features.index("voi")
+
+
+@register(
+    "phone_features",
+    f"WITH {_WORDS_SQL}, {_CHARS}, v(sym, d) AS (VALUES {', '.join(f'({s!r}, {v!r})' for s, v in letter_table().vectors.items())}), n AS (SELECT substr(word, i, 1) AS sym, count(*) AS n FROM c GROUP BY 1) "
+    f"SELECT sym, n, array_to_string(list_transform(range(1, {len(letter_table().features) + 1}), lambda i: CASE substr(d, i, 1) WHEN '2' THEN '+' ELSE '-' END || {_NAMES_OF_FEATURES}[i]), ' ') AS spelled, "
+    f"CASE substr(d, {_VOICE + 1}, 1) WHEN '2' THEN '+' ELSE '-' END AS voi, coalesce((SELECT max(o.sym) FROM v o WHERE o.d = substr(v.d, 1, {_VOICE}) || '2' || substr(v.d, {_VOICE + 2})), '?') AS voiced FROM n JOIN v USING (sym)",
+)
+def phone_features(spark, sf_dir):
+    """Each letter of the words: how often, its features spelled out, its voice, and the letter that it is with voice."""
+    t, fv = letter_table(), F.col("fv")
+    known = columns.symbols_df(spark, t).select(F.col("symbol").alias("sym"), columns.spelled(fv, t).alias("spelled"), columns.feature_value(fv, t, "voi").alias("voi"), columns.printed(columns.with_feature(fv, t, "voi", "+"), t).alias("voiced"))
+    return metrics.phone_counts(words(spark, sf_dir)).join(F.broadcast(known), "sym")
+
+
 @register("matrix_match", f"WITH {_WORDS_SQL}, {_specs_sql()}, c AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w), s AS (SELECT substr(word, i, 1) AS sym FROM c), m AS (SELECT sym FROM specs WHERE spec IN ('+voi', '-syl', '-lab') GROUP BY sym HAVING count(*) = 3) SELECT sym, count(*) AS n FROM s JOIN m USING (sym) GROUP BY sym")
 def matrix_match(spark, sf_dir):
     t = letter_table()
@@ -727,6 +757,11 @@ def whatif_domino_words(spark, sf_dir):
     return whatif.domino_words(_both(spark, sf_dir), hypothesis(), "word")
 
 
+@register("whatif_affected", _whatif_sql() + " SELECT DISTINCT word FROM diff")
+def whatif_affected(spark, sf_dir):
+    return whatif.affected(_both(spark, sf_dir), hypothesis(), "word")
+
+
 @register("whatif_outcomes", _whatif_sql() + " SELECT b4.word, b4.f4 AS base_outcome, h3.f3 AS hyp_outcome FROM b4 JOIN h3 USING (word) WHERE b4.f4 <> h3.f3")
 def whatif_outcomes(spark, sf_dir):
     return whatif.changed_outcomes(_both(spark, sf_dir), "word").select("word", _plain("base_outcome").alias("base_outcome"), _plain("hyp_outcome").alias("hyp_outcome"))
