@@ -170,6 +170,15 @@ def snapshots(run: DataFrame, key: str = "etym_id") -> DataFrame:
     return run.select(key, F.explode("stages").alias("x")).select(key, "x.*")
 
 
+def with_stage(steps: DataFrame, cascade: Cascade) -> DataFrame:
+    """`steps` with stage: the name of the last stage at or before the rule, or Input. The stages are in the plan; nothing is joined."""
+    stages = F.array(*(F.struct(F.lit(s.instant).alias("instant"), F.lit(s.name).alias("name")) for s in cascade.stages))
+    if not cascade.stages:
+        return steps.withColumn("stage", F.lit("Input"))
+    before = F.filter(stages, lambda s: s["instant"] <= F.col("rule_idx"))
+    return steps.withColumn("stage", F.coalesce(F.get(before, F.size(before) - 1)["name"], F.lit("Input")))
+
+
 def rule_effects(steps: DataFrame, key: str = "etym_id") -> DataFrame:
     """For each rule that changed something: the number of words changed, the least changed word's key."""
     return steps.groupBy("rule_idx").agg(F.countDistinct(key).alias("n_changed"), F.min(key).alias("first_key"))

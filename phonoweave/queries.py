@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phonoweave.functions import columns
 from phonoweave.functions.distance import FeatureDistance, symbol_codes
-from phonoweave.functions.inventory import letter_table
+from phonoweave.functions.inventory import letter_table, phonetic_table
 from phonoweave.operators import diagnose, engine, metrics, whatif
 from phonoweave.plans.rules import RuleParser
 from phonoweave.sources.readers import Cascade, read_cascade, read_lexicon
@@ -203,6 +203,29 @@ def derivation_log(spark, sf_dir):
     return _log(spark, sf_dir).select("word", "rule_idx", _plain("before").alias("before"), _plain("after").alias("after"))
 
 
+@register("step_stages", f"WITH {_WORDS_SQL}, {_chain(_STAGED)}, {_LOG_SQL} SELECT CASE WHEN rule_idx >= 3 THEN 'Late' WHEN rule_idx >= 2 THEN 'Middle' ELSE 'Input' END AS stage, count(*) AS n FROM log GROUP BY 1")
+def step_stages(spark, sf_dir):
+    """How many changes there are after each stage."""
+    return engine.with_stage(_log(spark, sf_dir), cascade(*_STAGED_LINES)).groupBy("stage").agg(F.count("*").alias("n"))
+
+
+def _implications_sql() -> str:
+    t = phonetic_table()
+    rows = ", ".join(f"('{k}', '{x}')" for k, implied in t.implications.items() for x in implied)
+    starts = ", ".join(f"('{m}{f}')" for f in t.features for m in "+-")
+    return (
+        f"WITH RECURSIVE imp(key, spec) AS (VALUES {rows}), c(start, spec) AS (SELECT * FROM (SELECT s AS start, s AS spec FROM (VALUES {starts}) AS v(s)) UNION "
+        "SELECT c.start, imp.spec FROM c JOIN imp ON imp.key = c.spec OR (imp.key = substr(c.spec, 2) AND substr(c.spec, 1, 1) IN ('+', '-')) WHERE substr(imp.spec, 2) <> substr(c.start, 2)) SELECT start, spec FROM c"
+    )
+
+
+@register("implication_closure", _implications_sql())
+def implication_closure(spark, sf_dir):
+    """What each value of a feature implies, itself included."""
+    t = phonetic_table()
+    return spark.createDataFrame([(m + f, x) for f in t.features for m in "+-" for x in t.close([m + f])], "start string, spec string")
+
+
 @register("rule_effects", f"WITH {_WORDS_SQL}, {_chain(_STAGED)}, {_LOG_SQL} SELECT rule_idx, count(DISTINCT word) AS n_changed, min(word) AS first_key FROM log GROUP BY rule_idx")
 def rule_effects(spark, sf_dir):
     return engine.rule_effects(_log(spark, sf_dir), "word")
