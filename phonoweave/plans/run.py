@@ -247,11 +247,11 @@ def run(spark: SparkSession, config: RunConfig) -> Run:
     """Reads the files, defines every symbol of the lexicon, and plans the simulation."""
     table = load_table(spark, config)
     cascade = readers.read_cascade(readers.read_lines(spark, config.cascade), table)
-    if config.ignore_stages:
-        cascade = replace(cascade, stages=())
     lines = readers.read_lines(spark, config.lexicon)
     first = next((x for x in lines if x.split(readers.COMMENT)[0].strip()), "")
     layout = readers.resolve_header(first, cascade)
+    if config.ignore_stages:  # the columns of stages stay unread
+        layout = replace(layout, cascade=replace(layout.cascade, stages=()), golds=())
     lexicon = readers.read_lexicon(spark, lines, config.use_form_id, layout.header)
     readers.check_columns(lexicon)
     table.prepare(readers.distinct_symbols(lexicon))
