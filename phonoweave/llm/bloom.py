@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import frugal
+
 SEGMENT_BITS = 1 << 19
 HASHES = 4
 #: A filter of 2^30 bits is 128 MB. Beyond its best load more keys are suspected than repeat; results stay exact.
@@ -55,6 +57,7 @@ def build_twice(df: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[np
     log2 = log2_bits(keys)
     n_segments = (1 << log2) // SEGMENT_BITS
 
+    @frugal
     def local(batches):
         once, twice = np.zeros(1 << log2 >> 3, np.uint8), np.zeros(1 << log2 >> 3, np.uint8)
         for batch in batches:

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel handles at once. NumPy kernels need up to about 60 bytes of scratch for each; a longer text is
 #: handled in parts of about this size, so that beyond it a text needs its own size and that of its words alone.
 SLICE_BYTES = 1 << 19
+#: Bytes of a batch between Spark and Python.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,18 +47,47 @@ class Stored:
 
     def __init__(self, df: DataFrame, label: str, codec: str = "zstd"):
         self.spark = df.sparkSession
+        bounded(self.spark)
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         self.schema = df.schema
         df.write.option("compression", codec).parquet(self.path)
+        fs, path = self._files()
+        fs.deleteOnExit(path)  # what is not dropped before goes when the application ends
 
     @property
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._files()
+        fs.delete(path, True)
+
+    def _files(self) -> tuple:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(context._jsc.hadoopConfiguration()), path
+
+
+def bounded(spark: SparkSession) -> SparkContext:
+    """Lets a batch that goes to Python hold BATCH_BYTES at most (or one row), so that long texts do not add up; the context."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark.sparkContext
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which the worker gives back the memory that it no longer needs: idle workers live on beside others."""
+
+    @functools.wraps(run)
+    def wrapped(batches, *more):
+        try:
+            yield from run(batches, *more)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def release(spark: SparkSession) -> None:

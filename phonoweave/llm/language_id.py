@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, slices, strings, texts_of
+from .common import bounded, frugal, mix64, slices, strings, texts_of
 
 UND = "und"
 TABLE_BITS = 16
@@ -361,9 +361,10 @@ def identify(docs: DataFrame, model: Model, known: bool = False) -> DataFrame:
     """
     added = ["score", "known"] if known else ["score"]
     docs = docs.drop("lang_pred", *added)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = bounded(docs.sparkSession).broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), *(T.StructField(x, T.DoubleType()) for x in added)])
 
+    @frugal
     def run(batches):
         m = sent.value
         for batch in batches:
@@ -386,9 +387,10 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
     Words are runs of letters of the lower-cased text, counted from 0. Null, empty and letterless texts have no span, nor
     has any text if nothing could be learned.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = bounded(docs.sparkSession).broadcast(model)
     kind = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string()), ("score", pa.float64())]))
 
+    @frugal
     def run(batches):
         m = sent.value
         for batch in batches:

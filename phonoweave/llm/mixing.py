@@ -1,8 +1,10 @@
 """Soft-membership mixing: document rates whose expected domain token totals match target weights.
 
 A classifier fitted on labelled rows gives each document posteriors over domains. Nonnegative rates, one for each document,
-are found by projected-gradient least squares on the domain totals. A rate follows from the document's posteriors and the
-short history of steps, so an iteration is one aggregation of a narrow table and nothing is kept per document between them.
+are found by projected-gradient least squares on the domain totals: steps are summed before they are projected, and scaled by
+the Gram matrix of the rows whose rate is not 0. A rate is then the projection of 1 plus the posteriors times the sum of the
+steps, one number a domain, so an iteration is one aggregation of a narrow table, and at the end each rate is computed where
+its text is: rates are never joined to texts. Tokens are those of a compiled tokenizer.
 """
 
 from __future__ import annotations
@@ -15,31 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX_1, Stored, mix64, slices, strings
-from .ngram_join import _BASE, _BASE_INVERSE, _LOWER, _SPACE, _powers
+from .common import Stored, frugal, slices, strings, texts_of, word_hashes
+from .token_counts import compiled
 
 TABLE_BITS = 16
-#: Bounds of the labelled sample: rows of each domain, passes over these.
-ROWS_A_DOMAIN, PASSES, RATE = 1500, 12, 0.05
-ITERATIONS, TOLERANCE = 100, 1e-6
-
-
-def word_hashes(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words of each text): A-Z lower-cased, words are runs of anything but ASCII spaces."""
-    raw = _LOWER[data[at[0] : at[-1]]]
-    at = at - at[0]
-    if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(at) - 1, np.int64)
-    space = _SPACE[raw]
-    before, after = np.ones(len(raw), bool), np.ones(len(raw), bool)
-    before[1:], after[:-1] = space[:-1], space[1:]
-    inner = at[(at > 0) & (at < len(raw))]
-    before[inner], after[inner - 1] = True, True
-    begin, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=sums[1:])
-    h = mix64((sums[end] - sums[begin]) * _powers(_BASE_INVERSE, len(raw))[begin] + (end - begin).astype(np.uint64) * MIX_1)
-    return h, np.diff(np.searchsorted(begin, at))
+#: Bounds of the labelled sample: rows of each domain, bytes of a row, passes over these.
+ROWS_A_DOMAIN, ROW_BYTES, PASSES, RATE = 1500, 1 << 16, 12, 0.05
+#: Passes over the rows at most, how near a target counts as met, and how much more a missed target weighs than rates far from 1.
+PASSES_MOST, TOLERANCE, STIFFNESS = 100, 1e-6, 1e7
 
 
 @dataclass
@@ -97,11 +82,12 @@ def train(rows: list[tuple[str, str]], seed: int = 3) -> Classifier:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, domain: Column, rows_a_domain: int = ROWS_A_DOMAIN) -> Classifier:
-    """A classifier from a sample of the labelled rows, about `rows_a_domain` of each domain, chosen by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, domain: Column, rows_a_domain: int = ROWS_A_DOMAIN, row_bytes: int = ROW_BYTES) -> Classifier:
+    """A classifier from a sample of the labelled rows of at most `row_bytes` of text.
 
-    `labels` has doc_id and the columns of `domain`, whose null rows are no labels. The sample is bounded by the parameter,
-    so its ids may go to all executors and only its texts are read.
+    About `rows_a_domain` of each domain are chosen by a hash of their id, at most twice that. `labels` has doc_id and the
+    columns of `domain`, whose null rows are no labels. The sample is bounded by the parameters, so its ids may go to all
+    executors, and the driver gets a bounded number of bytes.
     """
     known = labels.select("doc_id", domain.alias("domain")).where("doc_id is not null and domain is not null")
     counts = {r.domain: r.n for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -110,118 +96,159 @@ def fit(docs: DataFrame, labels: DataFrame, domain: Column, rows_a_domain: int =
     for name, n in counts.items():
         share = F.when(F.col("domain") == name, rows_a_domain / n).otherwise(share)
     sample = known.where(uniform < share).limit(2 * rows_a_domain * max(1, len(counts)))
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").limit(4 * rows_a_domain * max(1, len(counts)))
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= row_bytes).join(F.broadcast(sample), "doc_id").limit(4 * rows_a_domain * max(1, len(counts)))
     return train(sorted((r.domain, r.text) for r in texts.select("domain", "text").collect()))
 
 
-def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, n_tokens (words), posteriors of every row; the whole text counts. A text without words has the bias alone."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _lists(p: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
 
+
+def memberships(docs: DataFrame, model: Classifier, tokenizer_path: str) -> DataFrame:
+    """doc_id, n_tokens, p (posteriors) of every row; the whole text counts. A text without words has the bias alone."""
+    sent = docs.sparkSession.sparkContext.broadcast((model, compiled(tokenizer_path)))
+
+    @frugal
     def run(batches):
-        m = sent.value
+        m, tokenizer = sent.value
         for batch in batches:
             at, data = strings(batch.column("text"))
             for a, b in slices(at):
-                h, n = word_hashes(at[a : b + 1], data)
-                p = m.posteriors(h, n)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), lists], ["doc_id", "n_tokens", "p"])
+                p = m.posteriors(*word_hashes(at[a : b + 1], data))
+                n = tokenizer.count(texts_of(batch, a, b))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), _lists(p)], ["doc_id", "n_tokens", "p"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
 
-def replay(p: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, look-ahead rates) that the steps give rows of posteriors: accelerated projected gradient, from 1."""
-    rate = ahead = np.ones(len(p))
-    for t, u in enumerate(steps):
-        new = np.maximum(0.0, ahead + p @ u)
-        rate, ahead = new, new + t / (t + 3) * (new - rate)
-    return rate, ahead
+def _linear(offset: np.ndarray) -> Column:
+    return sum((F.col("p")[i] * float(x) for i, x in enumerate(offset)), F.lit(1.0))
 
 
-def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
-    return batch.column("p").flatten().to_numpy().reshape(batch.num_rows, k)
+def with_rates(members: DataFrame, offset: np.ndarray) -> DataFrame:
+    """`members` with the rate of each row."""
+    return members.withColumn("rate", F.greatest(F.lit(0.0), _linear(offset)))
 
 
-def with_rates(members: DataFrame, steps: list[np.ndarray], k: int) -> DataFrame:
-    """`members` with the rate of each row."""
+@dataclass
+class Point:
+    """What one pass tells of an offset: the shares of tokens by domain, the loss, its gradient, and its second derivative."""
 
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replay(_matrix(batch, k), steps)[0])], [*batch.schema.names, "rate"])
+    reached: np.ndarray
+    loss: float
+    gradient: np.ndarray
+    curve: np.ndarray
 
-    return members.mapInArrow(run, T.StructType([*members.schema.fields, T.StructField("rate", T.DoubleType())]))
 
+def evaluate(members: DataFrame, offset: np.ndarray, targets: np.ndarray) -> Point | None:
+    """One aggregation over all rows; None without tokens. Rows of rate 0 have no part in the curve."""
+    k = len(targets)
+    own = members.select(F.col("n_tokens").cast("double").alias("n"), *(F.col("p")[i].alias(f"p{i}") for i in range(k)), F.greatest(F.lit(0.0), _linear(offset)).alias("r"))
+    free = F.when(F.col("r") > 0, F.col("n")).otherwise(0.0)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    row = own.agg(
+        F.sum("n"), F.sum(F.col("n") * F.col("r") * F.col("r")),
+        *(F.sum(F.col("n") * F.col("r") * F.col(f"p{i}")) for i in range(k)), *(F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")) for i, j in pairs),
+    ).first()
+    if not row[0]:
+        return None
+    total, square, sums, products = row[0], row[1] / row[0], np.array(row[2 : 2 + k]) / row[0], np.array(row[2 + k :]) / row[0]
+    curve = np.eye(k) / STIFFNESS
+    for (i, j), x in zip(pairs, products, strict=True):
+        curve[i, j] += x
+        curve[j, i] += x * (i != j)
+    return Point(sums, square / 2 + float(offset @ offset) / (2 * STIFFNESS) - float(targets @ offset), sums + offset / STIFFNESS - targets, curve)
 
-def totals(members: DataFrame, steps: list[np.ndarray], k: int) -> np.ndarray:
-    """Expected domain tokens by the rates, and by the look-ahead rates; shape (2, k). One row a batch goes to the sum."""
 
-    def run(batches):
-        for batch in batches:
-            p, n = _matrix(batch, k), batch.column("n_tokens").to_numpy().astype(float)
-            sums = np.concatenate([(r * n) @ p for r in replay(p, steps)])
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], [f"s{i}" for i in range(2 * k)])
+@dataclass
+class Solution:
+    """offset: the sum of the steps; a row's rate is max(0, 1 + p * offset). reached: the shares of tokens by domain that the
+    rates give. residual: by how much the farthest misses its target; above the tolerance only where no nonnegative rates
+    reach the targets. passes: how often the rows were read."""
 
-    row = members.mapInArrow(run, ", ".join(f"s{i} double" for i in range(2 * k))).agg(*(F.sum(f"s{i}") for i in range(2 * k))).first()
-    return np.array([x or 0.0 for x in row]).reshape(2, k)
+    offset: np.ndarray
+    reached: np.ndarray
+    residual: float
+    passes: int
 
 
-def solve(members: DataFrame, targets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """(steps, shares reached): least squares of the expected domain shares against `targets`, over nonnegative rates.
+def solve(members: DataFrame, targets: np.ndarray, passes: int = PASSES_MOST) -> Solution:
+    """Least squares of the expected domain shares against `targets`, over nonnegative rates of `members` (n_tokens, p).
 
-    Steps are scaled by the inverse of the token-weighted Gram matrix of the posteriors, in whose norm the gradient's
-    Lipschitz constant is 1, and rows by their tokens, so that a row's length does not steer its rate.
+    Rows weigh by their tokens, so that a row's length does not steer its rate; of the rates that reach the targets, those
+    nearest to 1 are found. It ends when the targets are met or the gradient is gone; RuntimeError if neither comes about.
     """
-    k = len(targets)
-    p = [F.col("p")[i] for i in range(k)]
-    tokens = F.col("n_tokens").cast("double")
-    gram = members.agg(F.sum(tokens).alias("n"), *(F.sum(tokens * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    total = gram.n or 0.0
-    if not total:
-        return [], np.zeros(k)
-    g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] / total for j in range(k)] for i in range(k)])
-    inverse = np.linalg.pinv(g + 1e-9 * np.trace(g) * np.eye(k))
-    steps: list[np.ndarray] = []
-    for _ in range(ITERATIONS):
-        have, ahead = totals(members, steps, k) / total
-        if np.abs(targets - have).max() < TOLERANCE:
-            break
-        step = inverse @ (targets - ahead)
-        if np.abs(step).max() < TOLERANCE:
-            break
-        steps.append(step)
-    return steps, have
-
-
-def mix(docs: DataFrame, model: Classifier, targets: dict[str, float], budget: float = 1.0) -> DataFrame:
-    """doc_id, n_tokens, p (posteriors in the order of model.domains) and rate for every row of `docs` (doc_id, text).
+    at = np.zeros(len(targets))
+    now, read = evaluate(members, at, targets), 1
+    if now is None:
+        return Solution(at, np.zeros(len(targets)), 0.0, read)
+    while True:
+        residual = float(np.abs(targets - now.reached).max())
+        if residual < TOLERANCE or np.abs(now.gradient).max() < TOLERANCE / 1000:
+            return Solution(at, now.reached, residual, read)
+        step = -np.linalg.solve(now.curve, now.gradient)
+        size = 1.0
+        while True:
+            if read >= passes or size < 1e-6:
+                raise RuntimeError(f"rates did not settle in {read} passes; {residual:.2g} off the targets")
+            new, read = evaluate(members, at + size * step, targets), read + 1
+            if new.loss <= now.loss + 1e-4 * size * float(now.gradient @ step) + 1e-12 * abs(now.loss):
+                break
+            size /= 4
+        at, now = at + size * step, new
+
+
+def _aimed(model: Classifier, targets: dict[str, float], budget: float) -> tuple[Classifier, np.ndarray]:
+    if not model.domains:
+        model, targets = Classifier(["all"], np.zeros((1 << TABLE_BITS, 1)), np.zeros(1)), {"all": 1.0}
+    goal = np.array([max(0.0, targets.get(d, 0.0)) for d in model.domains])
+    if not goal.sum():
+        raise ValueError("no target is a domain of the labels")
+    return model, budget * goal / goal.sum()
+
+
+def mix(docs: DataFrame, model: Classifier, targets: dict[str, float], budget: float, tokenizer_path: str) -> tuple[DataFrame, Solution]:
+    """(doc_id, n_tokens, p, rate of every row of `docs` (doc_id, text); what the rates reach). p is in the order of model.domains.
 
     `targets` are weights of the domains, scaled to sum 1; a domain not named has weight 0. `budget` is the wanted number of
     tokens as a share of those there are. Null and empty texts have no tokens and do not count, but get a rate too. Repeated
     rows count each; an empty table or one without tokens gives rate 1. Without labels there is one domain and rate `budget`.
     """
-    if not model.domains:
-        model = Classifier(["all"], np.zeros((1 << TABLE_BITS, 1)), np.zeros(1))
-        targets = {"all": 1.0}
-    goal = np.array([max(0.0, targets.get(d, 0.0)) for d in model.domains])
-    if not goal.sum():
-        raise ValueError("no target is a domain of the labels")
-    members = Stored(memberships(docs, model), "members")
-    steps, _ = solve(members.df, budget * goal / goal.sum())
-    return with_rates(members.df, steps, len(goal))
+    model, goal = _aimed(model, targets, budget)
+    members = Stored(memberships(docs, model, tokenizer_path), "members")
+    found = solve(members.df, goal)
+    return with_rates(members.df, found.offset), found
 
 
-def copies(rate: Column, doc_id: Column) -> Column:
-    """The rate rounded to a whole number of copies, up or down by a hash of the id, so that the expectation is kept."""
-    uniform = F.pmod(F.xxhash64(doc_id, F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
-    return F.floor(rate + uniform).cast("int")
+def copies(rate: np.ndarray, uniform: np.ndarray) -> np.ndarray:
+    """The rates rounded to whole numbers of copies, up or down by a number from 0 to 1, so that the expectation is kept."""
+    return np.floor(rate + uniform).astype(np.int32)
 
 
-def resample(docs: DataFrame, rates: DataFrame) -> DataFrame:
-    """The rows of `docs`, each as often as its rate says. Rows of one doc_id, or without one, share the least rate of theirs."""
-    one = rates.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.min("rate").alias("_mix_rate"))
-    own = docs.select(F.struct(*docs.columns).alias("_mix_row"), F.col("doc_id").alias("_mix_doc"))  # one column: no name can clash
-    out = own.join(one, F.col("_mix_doc").eqNullSafe(F.col("_mix_id")))
-    times = F.coalesce(copies(F.col("_mix_rate"), F.col("_mix_doc")), F.lit(1))
-    return out.where(times > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), times))).select("_mix_row.*")
+def resample(docs: DataFrame, model: Classifier, targets: dict[str, float], budget: float, tokenizer_path: str) -> DataFrame:
+    """The rows of `docs` (doc_id, text, ...), each as often as the rate that mix() gives it says.
+
+    Rates are rounded by a hash of id and text, so rows equal in both are kept alike. All columns pass through; none is
+    added. Each rate is computed where the text is, from the solver's offset, without a join or a shuffle.
+    """
+    model, goal = _aimed(model, targets, budget)
+    members = Stored(memberships(docs, model, tokenizer_path), "members")
+    found = solve(members.df, goal)
+    members.drop()
+    sent = docs.sparkSession.sparkContext.broadcast((model, found.offset))
+    uniform = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("text"), uniform.alias("u"))  # no name can clash
+
+    @frugal
+    def run(batches):
+        m, offset = sent.value
+        for batch in batches:
+            at, data = strings(batch.column("text"))
+            times = [np.zeros(0, np.int32)]
+            for a, b in slices(at):
+                p = m.posteriors(*word_hashes(at[a : b + 1], data))
+                times.append(copies(np.maximum(0.0, 1 + p @ offset), batch.column("u").slice(a, b - a).to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(times))], ["row", "times"])
+
+    counted = own.mapInArrow(run, T.StructType([own.schema["row"], T.StructField("times", T.IntegerType())])).where("times > 0")
+    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Stored, slices, strings
-from .mixing import word_hashes
+from .common import Stored
+from .token_counts import count_tokens
 
 BUCKETS, BUDGET = 12, 16_384
 #: Lengths up to 2^EXACT_BITS have a bin each; longer ones share bins of a relative width of 2^(1 - EXACT_BITS) at most.
@@ -63,16 +62,9 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndar
     return np.array(sorted(set(out)))
 
 
-def word_lengths(docs: DataFrame) -> DataFrame:
-    """doc_id and n_tokens, the number of words of the whole text (runs of anything but ASCII spaces); null has none."""
-
-    def run(batches):
-        for batch in batches:
-            at, data = strings(batch.column("text"))
-            for a, b in slices(at):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(word_hashes(at[a : b + 1], data)[1])], ["doc_id", "n_tokens"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+def token_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id and n_tokens of the whole text, by the tokenizer; null has none."""
+    return count_tokens(docs.select("doc_id", "text"), tokenizer_path).select("doc_id", "n_tokens")
 
 
 def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
@@ -80,9 +72,10 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
 
     The histogram over all rows is bounded in bins, and the driver gets it alone. A batch holds at most budget // bucket_len
     rows, so that padded to bucket_len it keeps the budget; a row longer than the budget is a batch of its own. Within a
-    bucket, rows are dealt by a hash into slots of about SLOT_ROWS rows, and each slot forms its batches in order of doc_id,
-    so no bucket is sorted in one task. A null length counts as 0, and a row of length 0 takes a place like any other.
-    Ties and repeated rows are placed in any order; an empty table gives an empty result.
+    bucket, rows are dealt by a hash of doc_id into slots of about SLOT_ROWS rows, and each slot forms its batches in order of
+    doc_id and length, so no bucket is sorted in one task; rows without an id are dealt by their place in the table. A null
+    length counts as 0, and a row of length 0 takes a place like any other. Repeated rows, which are alike, count each; an
+    empty table gives an empty result.
     """
     rows = lengths.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
     histogram = rows.groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n")).collect()
@@ -97,12 +90,12 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
         values = (i, max(1, -(-int(counts[inside].sum()) // SLOT_ROWS)), max(1, budget // max(1, end)), end)
         here = F.col("n_tokens") <= end
         bucket, slots, capacity, end_of = (F.lit(v) if x is None else F.when(here, v).otherwise(x) for v, x in zip(values, (bucket, slots, capacity, end_of), strict=True))
-    placed = rows.select("doc_id", "n_tokens", bucket.alias("bucket"), end_of.cast("long").alias("bucket_len"), capacity.alias("capacity"), F.pmod(F.xxhash64("doc_id", "n_tokens"), slots.cast("long")).alias("slot"))
-    order = F.row_number().over(Window.partitionBy("bucket", "slot").orderBy("doc_id")) - 1
+    placed = rows.select("doc_id", "n_tokens", bucket.alias("bucket"), end_of.cast("long").alias("bucket_len"), capacity.alias("capacity"), F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), slots.cast("long")).alias("slot"))
+    order = F.row_number().over(Window.partitionBy("bucket", "slot").orderBy("doc_id", "n_tokens")) - 1
     numbered = placed.withColumn("batch", F.floor(order / F.col("capacity")))
     return numbered.select("doc_id", "n_tokens", "bucket", "bucket_len", F.concat_ws("-", "bucket", "slot", "batch").alias("batch_id"))
 
 
-def pack_documents(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """pack() of the word counts of `docs` (doc_id, text); the counts are written once, as two steps read them."""
-    return pack(Stored(word_lengths(docs), "lengths").df, buckets, budget)
+def pack_documents(docs: DataFrame, tokenizer_path: str, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+    """pack() of the token counts of `docs` (doc_id, text); the counts are written once, as two steps read them."""
+    return pack(Stored(token_lengths(docs, tokenizer_path), "lengths").df, buckets, budget)

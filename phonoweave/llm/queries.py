@@ -30,9 +30,9 @@ RULES = (
 
 
 #: The wanted shares of tokens.
-TARGETS = {"good": 0.8, "plain": 0.13, "toxic": 0.07}
+TARGETS = {"good": 0.7, "plain": 0.28, "toxic": 0.02}
 #: The wanted number of tokens, as a share of those there are.
-TOKEN_BUDGET = 1.15
+TOKEN_BUDGET = 1.0
 #: The least share of letters in words of a learned language, in a document whose language counts as known.
 MIN_KNOWN = 0.5
 
@@ -42,10 +42,15 @@ def domain() -> Column:
     return F.expr("case when toxic = 1 then 'toxic' when quality = 1 then 'good' when quality = 0 then 'plain' end")
 
 
+def tokenizer() -> str:
+    """The path of the file whose tokens all operators count."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = mixing.fit(docs, table(spark, sf_dir, "labels"), domain())
-    rates = mixing.mix(docs, model, TARGETS, TOKEN_BUDGET)
+    rates, _ = mixing.mix(docs, model, TARGETS, TOKEN_BUDGET, tokenizer())
     return rates.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)), "rate")
 
 
@@ -66,7 +71,7 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), over=1024).drop("text")
+    return count_tokens(docs, tokenizer(), over=1024).drop("text")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +83,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), buckets=12, budget=16_384)
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer(), buckets=12, budget=16_384)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,13 +120,13 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.action, 'allow') AS verdict
 """
 
 _OP9 = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT place, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
 k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT place) >= 10)
 SELECT k.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(k.line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
-FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.place, k.doc_id
 """
 
 _OP10 = """

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX_1, mix64, slices, strings, texts_of
+from .common import MIX_1, bounded, frugal, mix64, slices, strings, texts_of
 
 # --- the splitter ----------------------------------------------------------------------------------------------------
 
@@ -32,7 +32,7 @@ LETTER, NUMBER, BLANK, SPACE, APOSTROPHE, OTHER = range(6)
 (FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHER, PREFIX, IN_SPACE, CONTRACT_1, CONTRACT_2) = range(8)
 N_STATES, N_SYMBOLS, CHUNK = 8, 11, 64
 #: Code points that are handled at once.
-PART = 1 << 20
+PART = 1 << 19
 _BLANK = regex.compile(r" (?=\S)")
 #: Fixed values of the pattern: after an apostrophe, one of these letters or pairs of letters is a piece of its own.
 CONTRACTIONS_1, CONTRACTIONS_2 = "stmd", ("re", "ve", "ll")
@@ -155,7 +155,7 @@ class Table:
     def clear(self) -> None:
         self.size = 0
         self.one, self.two = (np.zeros(self.mask + 1, np.uint64) for _ in range(2))
-        self.value = np.zeros(self.mask + 1, np.int64)
+        self.value = np.zeros(self.mask + 1, np.int32)
 
     def _home(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return (mix64(one + two * MIX_1) & np.uint64(self.mask)).astype(np.int64)
@@ -180,11 +180,13 @@ class Table:
         self.size += len(one)
         at, left = self._home(one, two), np.arange(len(one))
         while len(left):
-            free = left[self.two[at[left]] == 0]
-            _, first = np.unique(at[free], return_index=True)
-            done = free[first]
+            here = at[left]
+            free = self.two[here] == 0
+            self.value[here[free]] = left[free]  # of several keys for one place the last to be written gets it
+            free[free] = self.value[here[free]] == left[free]
+            done = left[free]
             self.one[at[done]], self.two[at[done]], self.value[at[done]] = one[done], two[done], value[done]
-            left = np.setdiff1d(left, done, assume_unique=True)
+            left = left[~free]
             at[left] = (at[left] + 1) & self.mask
 
 
@@ -258,13 +260,13 @@ class Counter:
     """
 
     SHORT = 15
-    #: Size (as a power of 2) of the table of remembered pieces; when it is half full, all are forgotten.
-    PIECE_BITS = 20
+    #: Sizes (as powers of 2) of the tables of remembered pieces and pairs of tokens; one that is half full forgets all.
+    PIECE_BITS, FIT_BITS = 20, 18
     #: A longer piece is read by itself, with the transitions that it repeats remembered.
     LONG, MOST_EDGES = 256, 100_000
 
     def __init__(self, merges: Merges):
-        self.merges, self.pieces = merges, None
+        self.merges, self.pieces, self._known = merges, None, None
         child: dict[int, int] = {}  # node * 256 + byte: node
         token, grows = [-1], [True]
         for t, i in merges.usable.items():
@@ -279,7 +281,7 @@ class Counter:
                 node = to
             token[node] = i
         #: of each node: its token, whether it has children
-        self.token, self.grows = np.array(token), np.array(grows)
+        self.token, self.grows = np.array(token, np.int32), np.array(grows)
         self._place_children(child)
         del merges.tokens, merges.parts, merges.join, merges.usable  # arrays have all that is needed from here on
 
@@ -305,35 +307,50 @@ class Counter:
         self._base, self._owner, self._to = base, owner[: end + 256].copy(), to[: end + 256].copy()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"pieces": None}  # what is remembered stays in its process
+        return self.__dict__ | {"pieces": None, "_known": None}  # what is remembered stays in its process
 
-    def step(self, node: np.ndarray, before: np.ndarray, fewer: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The states (a row each: node -1 for no entry, the longest suffix first) after a byte each, and the tokens emitted."""
+    def step(self, row: np.ndarray, node: np.ndarray, before: np.ndarray, fewer: np.ndarray, byte: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """(states after a byte each, tokens emitted). States are entries one after the other, of ascending rows, each row's
+        longest suffix first."""
         n = len(byte)
-        row, col = np.nonzero(node >= 0)
-        old = node[row, col]
-        key = self._base[old] + byte[row]
-        some = self._owner[key] == old
-        row, col, to = row[some], col[some], self._to[key[some]]
-        was, less, token = before[row, col], fewer[row, col], self.token[to]
+        key = self._base[node] + byte[row]
+        some = np.flatnonzero(self._owner[key] == node)
+        row, to, before, fewer = row[some], self._to[key[some]], before[some], fewer[some]
+        token = self.token[to]
         best, ends = np.empty(n, np.int64), np.flatnonzero(token >= 0)
         while len(ends):  # the longest of each row, then the next of those rows where it does not fit
             first = np.ones(len(ends), bool)
             first[1:] = row[ends[1:]] != row[ends[:-1]]
             mine = ends[first]
-            fit = self.merges.fits(was[mine], token[mine])
+            fit = self._fits(before[mine], token[mine])
             best[row[mine[fit]]] = mine[fit]
+            if fit.all():
+                break
             open_ = np.zeros(n, bool)
             open_[row[mine[~fit]]] = True  # a byte alone is a token and fits, so each row ends here
             ends = ends[~first & open_[row[ends]]]
-        emitted = 1 - less[best]
+        emitted = 1 - fewer[best]
         kept = np.flatnonzero(self.grows[to])
-        size = np.bincount(row[kept], minlength=n)
-        place = np.arange(len(kept)) - np.repeat(np.cumsum(size) - size, size)
-        out = np.full((3, n, int(size.max(initial=0)) + 1), -1)
-        out[:, row[kept], place] = to[kept], was[kept], less[kept] + emitted[row[kept]]
-        out[:, np.arange(n), size] = np.zeros(n, np.int64), token[best], np.zeros(n, np.int64)
-        return *out, emitted
+        size = np.cumsum(np.bincount(row[kept], minlength=n))
+        at, last = np.arange(len(kept)) + row[kept], size + np.arange(n)  # each row gets one entry more, at its end
+        out = [np.empty(len(kept) + n, np.int32) for _ in range(4)]
+        for x, some_, one in zip(out, (row[kept], to[kept], before[kept], fewer[kept] + emitted[row[kept]]), (np.arange(n), 0, token[best], 0), strict=True):
+            x[at], x[last] = some_, one
+        return out, emitted
+
+    def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merges.fits(), remembered."""
+        if self._known is None:
+            self._known = Table(self.FIT_BITS)
+        key = (left.astype(np.int64) + 1 << 24 | right).astype(np.uint64)
+        one = np.ones_like(key)
+        found = self._known.get(key, one)
+        if (new := np.flatnonzero(found < 0)).size:
+            keys, first, place = np.unique(key[new], return_index=True, return_inverse=True)
+            made = self.merges.fits(left[new[first]].astype(np.int64), right[new[first]].astype(np.int64)).astype(np.int64)
+            self._known.put(keys, one[: len(keys)], made)
+            found[new] = made[place]
+        return found > 0
 
     def _alone(self, data: bytes) -> int:
         """Tokens of one piece."""
@@ -344,12 +361,12 @@ class Counter:
                 if len(states) >= self.MOST_EDGES:
                     states, index, edges = [states[state]], {}, {}
                     state = 0
-                row = np.array(states[state]).T[:, None, :]
-                *made, emitted = self.step(*row, np.array([byte]))
-                entries = tuple(map(tuple, np.stack(made)[:, 0].T.tolist()))
-                to = index.setdefault(entries, len(states))
+                entries = np.array(states[state], np.int32).T
+                (_, *made), emitted = self.step(np.zeros(entries.shape[1], np.int32), *entries, np.array([byte], np.int32))
+                key = tuple(map(tuple, np.stack(made).T.tolist()))
+                to = index.setdefault(key, len(states))
                 if to == len(states):
-                    states.append(entries)
+                    states.append(key)
                 edge = edges[state << 8 | byte] = to, int(emitted[0])
             state = edge[0]
             n += edge[1]
@@ -360,15 +377,12 @@ class Counter:
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
         n, alone = np.zeros(len(order), np.int64), int(np.searchsorted(-size, -self.LONG, side="left"))
-        live, t = np.arange(alone, len(order)), 0
-        state = np.zeros((3, len(live), 1), np.int64) + np.array([0, -1, 0])[:, None, None]
-        while True:
-            m = int(np.searchsorted(-size[live], -t, side="left"))  # pieces longer than t
-            if not m:
-                break
-            live = live[:m]
-            *state, emitted = self.step(*(x[:m] for x in state), raw[begin[live] + t])
-            n[live] += emitted
+        at, own, t = begin[alone:], n[alone:], 0
+        state = [np.arange(len(at), dtype=np.int32), *(np.full(len(at), x, np.int32) for x in (0, -1, 0))]
+        while m := int(np.searchsorted(-size[alone:], -t, side="left")):  # pieces longer than t
+            live = int(np.searchsorted(state[0], m))
+            state, emitted = self.step(*(x[:live] for x in state), raw[at[:m] + t].astype(np.int32))
+            own[:m] += emitted
             t += 1
         for i in range(alone):
             n[i] = self._alone(raw[begin[i] : begin[i] + size[i]].tobytes())
@@ -493,10 +507,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, over: int = 1024) -> Data
     or one text. Other columns pass through, but columns named like the new ones are replaced. Rows are neither joined nor
     shuffled.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(compiled(tokenizer_path))
+    sent = bounded(docs.sparkSession).broadcast(compiled(tokenizer_path))
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
     docs = docs.drop("n_bytes", "n_tokens", "over_limit")
 
+    @frugal
     def run(batches):
         tokenizer = sent.value
         for batch in batches:
