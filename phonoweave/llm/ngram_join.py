@@ -7,8 +7,8 @@ then has, for each prefix shingle and group, what the group's members can still
 members' shingles as a bitmap. A class queries a group other than its own only where the matrix leaves room for a link, and a
 group is opened, member by member, only if the query's overlap with the union can reach what a link needs.
 
-Every filter is an upper bound, so no link is lost; every link is verified on the whole sets. Shingles and classes are named
-by 64-bit hashes.
+Every filter is an upper bound, so no link is lost; every link is verified on the whole sets. Shingles are named by 64-bit
+hashes, classes by half of a 128-bit digest; where the other half tells that two classes share a name, all are named anew.
 """
 
 from __future__ import annotations
@@ -21,60 +21,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import TwiceFilter, build_twice
-from .common import MIX_1, MIX_2, Stored, mix64, release, slices, strings
+from .bloom import TwiceFilter, build_once, build_twice
+from .common import MIX_2, Stored, frugal, mix64, release, slices, strings, word_hashes
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
-_SPACES = b" \t\n\x0b\x0c\r"
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.isin(np.arange(256), list(_SPACES))
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
 #: Counters of the frequency sketch, a fixed size; only the order of shingles depends on it, never a link.
 SKETCH_BITS, SKETCH_PARTS = 22, 64
 #: Bits of a class's parity signature and of a group's union.
 PARITY_BITS, UNION_BITS = 1024, 1 << 16
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(have)
-    return have[:n]
+#: Rows of one token that meet the token's groups in one task.
+TASK_ROWS = 4096
 
 
 def shingle_sets(at: np.ndarray, data: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text data[at[i]:at[i + 1]]."""
-    raw = _LOWER[data[at[0] : at[-1]]]
-    at = at - at[0]
-    out = [np.zeros(0, np.uint64)] * (len(at) - 1)
-    if not len(raw):
-        return out
-    space = _SPACE[raw]
-    before, after = np.ones(len(raw), bool), np.ones(len(raw), bool)
-    before[1:], after[:-1] = space[:-1], space[1:]
-    inner = at[(at > 0) & (at < len(raw))]
-    before[inner], after[inner - 1] = True, True
-    begin, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-    if not len(begin):
-        return out
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(raw)), out=sums[1:])
-    word = mix64((sums[end] - sums[begin]) * _powers(_BASE_INVERSE, len(raw))[begin] + (end - begin).astype(np.uint64) * MIX_1)
-    first = np.searchsorted(begin, at)  # words of text i: first[i] to first[i + 1]
+    word, counts = word_hashes(at, data)
+    out = [np.zeros(0, np.uint64)] * len(counts)
     n = len(word) - words + 1
     if n > 0:
         h = np.zeros(n, np.uint64)
         for j in range(words):
             h = h * MIX_2 + word[j : j + n]
         h = mix64(h)
-    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+    last = np.cumsum(counts)
+    for i, (a, b) in enumerate(zip((last - counts).tolist(), last.tolist(), strict=True)):
         if b - a >= words:
             own = np.sort(h[a : b - words + 1])
             out[i] = own[np.concatenate([[True], own[1:] != own[:-1]])]
@@ -91,8 +62,14 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def class_of(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+class _SameName(Exception):
+    """Two classes share a name."""
+
+
+def class_of(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """Two halves of a digest of the set: its class's name, and what tells apart classes of one name."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16, salt=seed.to_bytes(4, "little")).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -106,6 +83,11 @@ def _sets(batch: pa.RecordBatch, words: int):
         yield a, shingle_sets(at[a : b + 1], data, words)
 
 
+def _ids(column: pa.Array) -> np.ndarray:
+    """Hashes of ids."""
+    return mix64(column.to_numpy().view(np.uint64))
+
+
 def _batch(rows: list[tuple], types: tuple, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names)
 
@@ -114,6 +96,7 @@ def frequency_levels(docs: DataFrame, words: int) -> np.ndarray:
     """For each counter of the sketch, about 8 * log2 of how often its shingles occur, over all rows; one byte each."""
     part = (1 << SKETCH_BITS) // SKETCH_PARTS
 
+    @frugal
     def local(batches):
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
@@ -154,10 +137,11 @@ def prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
 class _Join:
     """One run of the join over `docs` (doc_id, text)."""
 
-    def __init__(self, docs: DataFrame, words: int, percent: int):
-        self.docs, self.words, self.percent = docs, words, percent
+    def __init__(self, docs: DataFrame, words: int, percent: int, seed: int = 0):
+        self.docs, self.words, self.percent, self.seed = docs, words, percent, seed
         self.sc = docs.sparkSession.sparkContext
         self.kept: list[Stored] = []
+        self.sent: list = []
 
     def store(self, df: DataFrame, label: str) -> DataFrame:
         self.kept.append(Stored(df, label))
@@ -168,20 +152,22 @@ class _Join:
         return f"ceil({self.percent} * ({a} + {b}) / {100 + self.percent})"
 
     def profile(self) -> DataFrame:
-        """doc_id, n_shingles, cls and parity signature of every row; cls is null for empty sets."""
-        words = self.words
+        """doc_id, n_shingles, cls, the digest's other half and parity signature of every row; cls is null for empty sets."""
+        words, seed = self.words, self.seed
 
+        @frugal
         def run(batches):
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 for a, sets in _sets(batch, words):
-                    yield _batch([(i, len(s), class_of(s) if len(s) else None, parity(s) if len(s) else None) for i, s in zip(ids[a:], sets, strict=False)], (pa.int64(), pa.int64(), pa.int64(), pa.binary()), ["doc_id", "n_shingles", "cls", "sig"])
+                    rows = [(i, len(s), *(class_of(s, seed) if len(s) else (None, None)), parity(s) if len(s) else None) for i, s in zip(ids[a:], sets, strict=False)]
+                    yield _batch(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), ["doc_id", "n_shingles", "cls", "other", "sig"])
 
-        return self.docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, sig binary")
+        return self.docs.mapInArrow(run, "doc_id long, n_shingles long, cls long, other long, sig binary")
 
     def prefix_rows(self, tokens: int) -> DataFrame:
         """(token, cls, size, pos) of prefix shingles that may be in two prefixes."""
-        words, percent = self.words, self.percent
+        words, percent, seed = self.words, self.percent, self.seed
         levels = self.sc.broadcast(frequency_levels(self.docs, words).tobytes())
 
         def prefixes(batch):
@@ -195,7 +181,9 @@ class _Join:
 
         twice = build_twice(self.docs.select("text"), hashes_of, tokens // 2)
         sent = self.sc.broadcast((twice.bits.tobytes(), twice.log2))
+        self.sent += [levels, sent]
 
+        @frugal
         def run(batches):
             filt = TwiceFilter(*sent.value)
             for batch in batches:
@@ -203,7 +191,7 @@ class _Join:
                     token = np.concatenate(own)
                     length = np.array([len(p) for p in own])
                     size = np.repeat([len(s) for s in sets], length)
-                    cls = np.repeat(np.array([class_of(s) if len(s) else 0 for s in sets], np.int64), length)
+                    cls = np.repeat(np.array([class_of(s, seed)[0] if len(s) else 0 for s in sets], np.int64), length)
                     pos = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
                     keep = np.flatnonzero(filt.suspects(token))
                     yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(cls[keep]), pa.array(size[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["token", "cls", "size", "pos"])
@@ -211,19 +199,25 @@ class _Join:
         return self.docs.select("text").mapInArrow(run, "token long, cls long, size int, pos int")
 
     def fetch_sets(self, classes: DataFrame, owners: DataFrame) -> DataFrame:
-        """(cls, set) of the given distinct classes, from the text of one row of each."""
-        words = self.words
-        wanted = classes.join(owners, "cls").select("cls", F.col("owner").alias("doc_id"))
-        texts = self.docs.join(wanted, "doc_id").select("cls", "text")
+        """(cls, set) of the given distinct classes, from the text of one row of each.
+
+        A filter of the owners' ids tells where their texts are; sets are made there, and no text is shuffled.
+        """
+        words, seed = self.words, self.seed
+        wanted = self.store(classes.join(owners, "cls").select("cls", "owner").where("owner is not null"), "wanted")
+        once = build_once(wanted.select("owner"), lambda b: iter([_ids(b.column("owner"))]), wanted.count())
+        sent = self.sc.broadcast((once.bits.tobytes(), once.log2))
+        self.sent.append(sent)
 
+        @frugal
         def run(batches):
+            filt = TwiceFilter(*sent.value)
             for batch in batches:
-                cls = batch.column("cls").to_pylist()
-                for a, sets in _sets(batch, words):
-                    # A repeated id may have another text; only the class's own set counts.
-                    yield _batch([(c, s.tobytes()) for c, s in zip(cls[a:], sets, strict=False) if len(s) and class_of(s) == c], (pa.int64(), pa.binary()), ["cls", "set"])
+                for _, sets in _sets(batch.take(pa.array(np.flatnonzero(filt.suspects(_ids(batch.column("doc_id")))))), words):
+                    yield _batch([(class_of(s, seed)[0], s.tobytes()) for s in sets if len(s)], (pa.int64(), pa.binary()), ["cls", "set"])
 
-        return texts.mapInArrow(run, "cls long, set binary").dropDuplicates(["cls"])
+        made = self.docs.where("doc_id is not null").mapInArrow(run, "cls long, set binary")
+        return made.join(wanted.select("cls"), "cls").dropDuplicates(["cls"])
 
     def verify(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes that are linked. Signatures rule out most others before sets are fetched."""
@@ -243,6 +237,7 @@ class _Join:
         sets = self.store(self.fetch_sets(ends, classes), "sets")
         one, two = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))
 
+        @frugal
         def linked(batches):
             for batch in batches:
                 rows = []
@@ -265,9 +260,15 @@ class _Join:
 
     def links(self, profile: DataFrame) -> DataFrame:
         """(a, b): links enough to connect all classes that are connected."""
-        classes = self.store(profile.where("cls is not null").groupBy("cls").agg(F.min("n_shingles").alias("size"), F.first("sig").alias("sig"), F.min("doc_id").alias("owner")), "classes")
-        total = classes.agg(F.sum(F.col("size") * (100 - self.percent) / 100 + 1).alias("n")).first().n or 0
+        named = profile.where("cls is not null").groupBy("cls").agg(F.min("n_shingles").alias("size"), F.first("sig").alias("sig"), F.min("doc_id").alias("owner"), (F.min("other") < F.max("other")).alias("same"))
+        classes = self.store(named, "classes")
+        row = classes.agg(F.sum(F.col("size") * (100 - self.percent) / 100 + 1).alias("n"), F.count_if("same").alias("same")).first()
+        if row.same:
+            raise _SameName
+        total, classes = row.n or 0, classes.drop("same")
         raw = self.store(self.prefix_rows(int(total)).groupBy("token", "cls").agg(F.first("size").alias("size"), F.first("pos").alias("pos")), "prefixes")
+        for x in self.sent:
+            x.unpersist()
         bucket = raw.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.min("size").alias("least"), F.min(F.struct("pos", "cls", "size")).alias("lead")).where("lo < hi").select("token", "least", "lead")
         room = f"size - pos >= {self.needed('size', f'greatest(least, ceil({self.percent} * size / 100))')}"
         rows = self.store(raw.join(bucket, "token").where(room).select("token", "cls", "size", "pos", "lead"), "rows")
@@ -276,17 +277,20 @@ class _Join:
         first = self.store(self.verify(led, classes), "links")
         groups, _ = connected_components(first, "a", "b")
         rows = rows.drop("lead").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component")
-        matrix = rows.groupBy("token", "grp").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.expr("size - pos")).alias("rest"))
-        mixed = matrix.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 < g2").select("token")
+        matrix = rows.groupBy("token", "grp").agg(F.count("*").alias("n"))
+        # A token of very many rows is dealt over several tasks, each of which has all its groups.
+        mixed = matrix.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.ceil(F.sum("n") / TASK_ROWS).cast("int").alias("deals")).where("g1 < g2").select("token", "deals")
         rows = self.store(rows.join(mixed, "token"), "rows")
         if rows.isEmpty():
             return first
-        matrix = rows.groupBy("token", F.col("grp").alias("other")).agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.expr("size - pos")).alias("rest"))
+        matrix = rows.groupBy("token", F.col("grp").alias("other")).agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.expr("size - pos")).alias("rest"), F.first("deals").alias("deals"))
+        matrix = matrix.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
         open_to = (
             f"grp < other and 100 * most >= {self.percent} * size and 100 * size >= {self.percent} * least and "
             f"least(size - pos, rest) >= {self.needed('size', f'greatest(least, ceil({self.percent} * size / 100))')}"
         )
-        asked = self.store(rows.join(matrix, "token").where(open_to).groupBy("cls", "other").agg(F.first("size").alias("size"), F.min("least").alias("least")), "asked")
+        dealt = rows.withColumn("deal", F.pmod(F.xxhash64("cls"), F.col("deals")).cast("int"))
+        asked = self.store(dealt.join(matrix, ["token", "deal"]).where(open_to).groupBy("cls", "other").agg(F.first("size").alias("size"), F.min("least").alias("least")), "asked")
         if asked.isEmpty():
             return first
         asked = self.bounded(asked, rows, classes)
@@ -307,6 +311,7 @@ class _Join:
         low = np.uint64(UNION_BITS - 1)
 
         def merge(of):
+            @frugal
             def run(batches):
                 now, bits = None, None
                 for batch in batches:
@@ -332,6 +337,7 @@ class _Join:
         parts = members.join(sets, "cls").select("grp", F.col("set").alias("value")).sortWithinPartitions("grp").mapInArrow(merge(add_set), kind)
         unions = parts.repartition("grp").sortWithinPartitions("grp").mapInArrow(merge(add_bits), kind).select(F.col("grp").alias("other"), F.col("value").alias("union"))
 
+        @frugal
         def room(batches):
             for batch in batches:
                 rows = []
@@ -358,9 +364,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     with nothing and are their own component. Repeated rows are linked with each other. Rows without an id are linked with
     rows of equal sets, but no other. Other columns are not looked at; an empty table gives an empty result.
     """
-    join = _Join(docs.select("doc_id", "text"), words, percent)
-    profile = join.store(join.profile(), "profile")
-    links = join.store(join.links(profile), "links")
+    for seed in range(8):
+        join = _Join(docs.select("doc_id", "text"), words, percent, seed)
+        profile = join.store(join.profile(), "profile")
+        try:
+            links = join.store(join.links(profile), "links")
+            break
+        except _SameName:
+            for x in join.kept:
+                x.drop()
+    else:
+        raise RuntimeError("classes could not be told apart")
     groups, stars = connected_components(links, "a", "b")
     # What many rows share is settled for classes and written, so that the joins on it read tables and skew can be split.
     owners = profile.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("owner"))
@@ -369,6 +383,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     named = join.store(grouped.join(heads, "grp").select("cls", "component_id"), "named")
     out = profile.select("doc_id", "n_shingles", "cls").join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     stars.drop()
+    for x in join.sent:
+        x.unpersist()
     for x in join.kept[1:-1]:  # the result reads the first and the last
         x.drop()
     release(docs.sparkSession)
