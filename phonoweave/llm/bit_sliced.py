@@ -123,28 +123,27 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     Components become floor(1024 * x). A row is no candidate for a query of its own id. Ties go to the smaller id, and
     repeated rows of one id count once for each row, in any order. Fewer candidates than k give fewer rows. Vectors that are
     null, empty, or hold null or non-finite components take no part; vectors of another length than the query's are no
-    candidates for it. Query blocks meet index blocks by a join on block numbers, so the work is split over both; each
-    pair of blocks emits at most k rows a query, which are merged in groups of blocks and then in full.
+    candidates for it. Blocks of queries meet those of the index by a join on the index's part number, so the work is split
+    over both; each pair of blocks emits at most k rows a query, which are merged in groups of parts and then in full.
     """
     data = usable(table, id_col, vector_col).where(F.size("vector") > 0)
     # Rows in order of id within a block let ties be resolved by position.
     parts = max(1, -(-data.count() // BLOCK_ROWS))
     blocks = Stored(data.withColumn("dims", F.size("vector")).repartitionByRange(parts, F.col("dims"), F.col("id")).sortWithinPartitions("dims", "id").mapInArrow(_index, INDEX), "bit-slices", "none")
-    numbered = blocks.df.select("block").distinct()
     asked = Stored(usable(queries, id_col, vector_col).where(F.size("vector") > 0).mapInArrow(_ask, ASKED), "queries")
-    # Every index block is needed by every query block; the query side is replicated by an explicit list of blocks.
-    lists = numbered.groupBy(F.pmod(F.xxhash64("block"), F.lit(64)).alias("g")).agg(F.collect_list("block").alias("b")).collect()
-    names = sorted(x for row in lists for x in row.b)
-    pairs = asked.df.withColumn("block", F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")))
-    met = blocks.df.join(pairs, "block").where("dims = q_dims")
-    hits = met.select("block", "ids", "slices", "offsets", "q_ids", "q_vectors", "dims").mapInArrow(_search(k), "query_id long, id long, score long, part int")
+    # Every index block is needed by every query block; the queries are dealt to all parts of the index.
+    last = blocks.df.agg(F.max("part")).first()[0]
+    numbers = F.array().cast("array<int>") if last is None else F.sequence(F.lit(0), F.lit(last))
+    pairs = asked.df.withColumn("part", F.explode(numbers))
+    met = blocks.df.join(pairs, "part").where("dims = q_dims")
+    hits = met.select("part", "ids", "slices", "offsets", "q_ids", "q_vectors", "dims").mapInArrow(_search(k), "query_id long, id long, score long, part int")
     order = [F.desc("score"), F.asc("id")]
     some = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k)
     best = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 
 
-INDEX = "block string, dims int, ids binary, slices binary, offsets binary"
+INDEX = "part int, dims int, ids binary, slices binary, offsets binary"
 ASKED = "q string, q_dims int, q_ids binary, q_vectors binary"
 
 
@@ -172,9 +171,9 @@ def _runs(batches, limit: int):
 
 def _index(batches):
     part = TaskContext.get().partitionId()
-    for n, (dims, ids, values) in enumerate(_runs(batches, BLOCK_ROWS)):
+    for dims, ids, values in _runs(batches, BLOCK_ROWS):
         maps, offset, _ = to_bitmaps(values)
-        yield pa.RecordBatch.from_pydict({"block": [f"{part}.{n}"], "dims": pa.array([dims], pa.int32()), "ids": [ids.astype(np.int64).tobytes()], "slices": [maps.tobytes()], "offsets": [offset.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "dims": pa.array([dims], pa.int32()), "ids": [ids.astype(np.int64).tobytes()], "slices": [maps.tobytes()], "offsets": [offset.tobytes()]})
 
 
 def _ask(batches):
@@ -206,7 +205,7 @@ def _search(k: int):
                     rows = np.flatnonzero(np.unpackbits(top_rows(total, mine, k).view(np.uint8), bitorder="little"))
                     scores = read_sums(total, rows) + (extra + int(q @ offset))
                     out += zip([query_id] * len(rows), ids[rows].tolist(), scores.tolist(), strict=True)
-                part = int(row["block"].split(".")[0]) // MERGE_BLOCKS
+                part = row["part"] // MERGE_BLOCKS
                 cols = list(zip(*out, strict=True)) if out else ([], [], [])
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array([part] * len(out), pa.int32())], ["query_id", "id", "score", "part"])
 

@@ -8,15 +8,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bloom import TwiceFilter, build_twice
-from .common import Stored, release, slices, strings
+from .bloom import TwiceFilter, build_once, build_twice
+from .common import SPACES, Stored, frugal, slices, strings
 
-SPACES = b" \t\n\x0b\x0c\r"
-#: Confirmed keys up to this many go to all executors (about 12 MB); more are joined by document.
+#: Confirmed keys up to this many go to all executors (about 12 MB). Beyond, a filter of them goes, and the documents that it
+#: suspects are joined with their keys.
 BROADCAST_KEYS = 100_000
 #: Lines expected in a document, for the filter's size only.
 LINES_A_DOC = 12
@@ -54,9 +55,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", min_cha
 
     A line's key is the line without white space at its ends, A-Z lower-cased. A key of at least `min_chars` code points
     found in at least `min_docs` rows is a repeat. keep="none" drops all lines of a repeat, keep="first" leaves its first
-    line in the row of least doc_id. Null text counts as empty: one empty line, never dropped. Each row counts as a document, so
+    line in the row of least doc_id (in each of these rows, where they share that id; in those without an id only if no row
+    with the line has one). Null text counts as empty: one empty line, never dropped. Each row counts as a document, so
     repeated rows count. All other columns pass through, but columns named like the new ones are replaced. An empty table
     gives an empty result.
+
+    Texts stay where they are, but for those of documents that hold a repeat, when repeats are too many to be sent to all.
     """
     if keep not in ("first", "none"):
         raise ValueError("keep must be first or none")
@@ -74,6 +78,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", min_cha
     twice = build_twice(docs.select("text"), hashes_of, docs.count() * LINES_A_DOC)
     sent = sc.broadcast((twice.bits.tobytes(), twice.log2))
 
+    @frugal
     def suspected(batches):
         filt = TwiceFilter(*sent.value)
         for batch in batches:
@@ -88,23 +93,25 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", min_cha
 
     suspects = texts.mapInArrow(suspected, "digest binary, doc_id long, line int")
     confirmed = Stored(
-        suspects.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("at")).where(F.col("n") >= min_docs).select("digest", F.col("at.doc_id").alias("first_doc"), F.col("at.line").alias("first_line")),
+        suspects.groupBy("digest")
+        .agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "line")).alias("at"))
+        .where(F.col("n") >= min_docs)
+        .select("digest", F.col("at.doc_id").alias("first_doc"), F.col("at.line").alias("first_line")),
         "lines",
     )
     names, keep_first = list(docs.columns), keep == "first"
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
-    def rewrite(batch: pa.RecordBatch, repeats) -> pa.RecordBatch:
-        """repeats: for each row, what tells whether and where a key's digest is kept."""
-        filt = TwiceFilter(*sent.value)
+    def rewrite(batch: pa.RecordBatch, asked, repeats) -> pa.RecordBatch:
+        """asked: which keys of a row may be repeats. repeats: for a row, what tells whether and where a key's digest is kept."""
         ids, is_null = batch.column("doc_id").to_pylist(), batch.column("text").is_null().to_pylist()
         texts, n_lines, n_dropped = [], [], []
         for row, lines in enumerate(_docs(batch)):
             keys = [line_key(x) for x in lines]
             first = _distinct(keys, min_chars)
             gone = {}
-            for k, yes in zip(first, filt.suspects(_hashes(first)), strict=True):
-                if yes and (hit := repeats(row, key_digest(k))) is not None:
+            for k in asked(first):
+                if (hit := repeats(row, key_digest(k))) is not None:
                     gone[k] = first[k] if keep_first and hit == (ids[row], first[k]) else -1
             left = [x for i, (x, k) in enumerate(zip(lines, keys, strict=True)) if k not in gone or gone[k] == i] if gone else lines
             texts.append(None if is_null[row] and not gone else b"\n".join(left).decode())
@@ -113,25 +120,61 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, keep: str = "first", min_cha
         columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
         return pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    if confirmed.df.count() <= BROADCAST_KEYS:
+    def suspected_by(filt: TwiceFilter):
+        return lambda first: [k for k, yes in zip(first, filt.suspects(_hashes(first)), strict=True) if yes]
+
+    found = confirmed.df.count()
+    if found <= BROADCAST_KEYS:
         known = sc.broadcast({bytes(r.digest): (r.first_doc, r.first_line) for r in confirmed.df.collect()})
+        confirmed.drop()
 
+        @frugal
         def by_broadcast(batches):
-            repeats = known.value
+            repeats, asked = known.value, suspected_by(TwiceFilter(*sent.value))
             for batch in batches:
-                yield rewrite(batch, lambda _, d: repeats.get(d))
+                yield rewrite(batch, asked, lambda _, d: repeats.get(d))
 
         return docs.mapInArrow(by_broadcast, schema)
 
-    mine = suspects.select("digest", "doc_id").join(confirmed.df, "digest")
-    mine = mine.groupBy("doc_id").agg(F.collect_set(F.struct("digest", "first_doc", "first_line")).alias("_repeats"))
-    mine = mine.withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(mine, docs["doc_id"].eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    once = build_once(confirmed.df.select("digest"), lambda b: iter([_digest_hashes(b.column("digest").to_pylist())]), found)
+    real = sc.broadcast((once.bits.tobytes(), once.log2))
 
+    @frugal
+    def asking(batches, those: bool):
+        """The rows with (or without) a line that may be a repeat, and with them its digests."""
+        filt, some = TwiceFilter(*sent.value), TwiceFilter(*real.value)
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            lists = []
+            for lines in _docs(batch):
+                keys = suspected_by(filt)(_distinct([line_key(x) for x in lines], min_chars))
+                digests = [key_digest(k) for k in keys]
+                lists.append([d for d, yes in zip(digests, some.suspects(_digest_hashes(digests)), strict=True) if yes])
+            take = [i for i, x in enumerate(lists) if bool(x) == those]
+            rows = batch.take(pa.array(take, pa.int64()))
+            if those:
+                extra = [pa.array([lists[i] for i in take], pa.list_(pa.binary())), pa.array([part << 40 | n + i for i in range(len(take))], pa.int64())]
+                n += len(take)
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(rows.columns, fields=list(rows.schema)), *extra], ["row", "asked", "place"])
+            else:
+                yield rewrite(rows, lambda first: [], None)
+
+    plain = docs.mapInArrow(lambda batches: asking(batches, False), schema)
+    held = Stored(docs.mapInArrow(lambda batches: asking(batches, True), T.StructType([T.StructField("row", docs.schema), T.StructField("asked", T.ArrayType(T.BinaryType())), T.StructField("place", T.LongType())])), "line-texts")
+    hits = held.df.select("place", F.explode("asked").alias("digest")).join(confirmed.df, "digest")
+    hits = hits.groupBy("place").agg(F.collect_list(F.struct("digest", "first_doc", "first_line")).alias("repeats"))
+    joined = held.df.select("row", "place").join(hits, "place", "left").select("row", "repeats")
+
+    @frugal
     def by_join(batches):
         for batch in batches:
-            lists = [{bytes(x["digest"]): (x["first_doc"], x["first_line"]) for x in r or ()} for r in batch.column("_repeats").to_pylist()]
-            yield rewrite(batch, lambda row, d, lists=lists: lists[row].get(d))
+            lists = [{bytes(x["digest"]): (x["first_doc"], x["first_line"]) for x in r or ()} for r in batch.column("repeats").to_pylist()]
+            rows = batch.column("row")
+            own = pa.RecordBatch.from_arrays(rows.flatten(), [f.name for f in rows.type])
+            yield rewrite(own, list, lambda row, d, lists=lists: lists[row].get(d))
+
+    return plain.union(joined.mapInArrow(by_join, schema))
+
 
-    release(spark)
-    return joined.mapInArrow(by_join, schema)
+def _digest_hashes(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bytes(d)[:8] for d in digests), np.uint64)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import TwiceFilter, build_twice
-from .common import Stored, mix64, release, slices, strings
+from .common import Stored, frugal, mix64, release, slices, strings
 
 BLOCK = 576
 LEVEL = 3
@@ -135,6 +135,7 @@ class MediaStore:
         twice = build_twice(docs.select("text"), hashes_of, docs.count() * CHUNKS_A_DOC)
         sent = sc.broadcast((twice.bits.tobytes(), twice.log2))
 
+        @frugal
         def store(batches):
             filt, pack = TwiceFilter(*sent.value), zstandard.ZstdCompressor(level=LEVEL)
             for batch in batches:
@@ -161,6 +162,7 @@ class MediaStore:
         self._raw = Stored(rows, "media", "none")
         once = self._raw.df.select(F.explode("shared").alias("x")).select("x.digest", "x.frame").groupBy("digest").agg(F.first("frame").alias("frame"))
         self._shared = Stored(once, "chunks", "none")
+        sent.unpersist()
         self.media, self.chunks = self._raw.df.select("doc_id", "n_bytes", "chunks"), self._shared.df
         release(docs.sparkSession)
 
