@@ -62,50 +62,99 @@ def test_components(spark):
 # --- 1 and 8 ---------------------------------------------------------------------------------------------------------------------
 
 
-def test_classifier_and_rates(spark):
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def library(texts):
+    from tokenizers import Tokenizer
+
+    return [len(e.ids) for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+
+
+def two_domains(spark):
     rng = random.Random(3)
     make = lambda kind: " ".join(rng.choices(["alpha", "beta", "gamma"] if kind == "x" else ["delta", "beta", "zeta"], k=30))
     kinds = ["x"] * 240 + ["y"] * 60
     df = docs(spark, [make(k) for k in kinds])
     labels = spark.createDataFrame([(i, k) for i, k in enumerate(kinds) if i % 2] + [(None, "x"), (3, None), (9999, "y")], "doc_id long, kind string")
-    model = mixing.fit(df, labels, F.col("kind"))
-    out = mixing.mix(df, model, {"x": 0.5, "y": 0.5}).collect()
+    return kinds, df, mixing.fit(df, labels, F.col("kind"))
+
+
+def test_classifier_and_rates(spark):
+    kinds, df, model = two_domains(spark)
+    rates, found = mixing.mix(df, model, {"x": 0.5, "y": 0.5}, 1.0, PATH)
+    out = rates.collect()
     right = [k == model.domains[int(np.argmax(r.p))] for r in out for k in [kinds[r.doc_id]]]
     assert np.mean(right) > 0.97  # half of them held out
     total = sum(r.n_tokens for r in out)
+    assert [r.n_tokens for r in sorted(out, key=lambda r: r.doc_id)] == library([r.text for r in df.orderBy("doc_id").collect()])
     shares = sum(r.rate * r.n_tokens * np.array(r.p) for r in out) / total
-    assert np.abs(shares - 0.5).max() < 1e-5 and min(r.rate for r in out) >= 0
-    copies = mixing.resample(df, mixing.mix(df, model, {"x": 0.5, "y": 0.5}))
+    assert np.abs(shares - 0.5).max() < 1e-5 and min(r.rate for r in out) >= 0 and found.residual < 1e-5
+    copies = mixing.resample(df, model, {"x": 0.5, "y": 0.5}, 1.0, PATH)
     assert copies.columns == df.columns and abs(copies.count() - sum(r.rate for r in out)) < 40
 
 
-def test_least_squares_against_brute_force(spark):
-    rng = np.random.default_rng(5)
+def by_rates(spark, p, n, goal, **more):
+    df = spark.createDataFrame([(i, int(n[i]), [float(x) for x in p[i]]) for i in range(len(n))], "doc_id long, n_tokens long, p array<double>")
+    found = mixing.solve(df, goal, **more)
+    return found, np.array([x.rate for x in mixing.with_rates(df, found.offset).orderBy("doc_id").collect()])
+
+
+@pytest.mark.parametrize("goal", [[0.02, 0.9, 0.08], [0.7, 0.28, 0.02], [0.2, 0.2, 0.6]])
+def test_least_squares_against_brute_force(spark, goal):
+    """Plain projected gradient, many steps; the first two goals make rates 0."""
+    rng, goal = np.random.default_rng(5), np.array(goal)
     p, n = rng.dirichlet([0.3] * 3, 60), rng.integers(1, 50, 60)
-    df = spark.createDataFrame([(i, int(n[i]), [float(x) for x in p[i]]) for i in range(60)], "doc_id long, n_tokens long, p array<double>")
-    goal = np.array([0.02, 0.9, 0.08])
-    steps, reached = mixing.solve(df, goal)
-    r = np.array([x.rate for x in mixing.with_rates(df, steps, 3).orderBy("doc_id").collect()])
+    found, r = by_rates(spark, p, n, goal)
     g = np.linalg.inv((p * n[:, None]).T @ p / n.sum())
-    loss = lambda r: float((goal - (r * n) @ p / n.sum()) @ g @ (goal - (r * n) @ p / n.sum()))
     plain = np.ones(60)
     for _ in range(20_000):
         plain = np.maximum(0, plain + p @ g @ (goal - (plain * n) @ p / n.sum()))
-    assert (r >= 0).all() and loss(r) <= loss(plain) + 1e-5 and np.abs((r * n) @ p / n.sum() - reached).max() < 1e-9
+    loss = lambda r: float(np.abs(goal - (r * n) @ p / n.sum()).max())
+    assert (r >= 0).all() and found.residual < 2e-5 and loss(r) <= loss(plain) + 2e-5 and np.abs((r * n) @ p / n.sum() - found.reached).max() < 1e-9
+    assert (r == 0).any() == (goal.max() > 0.65) and found.passes < 30
+    assert (n * (r - 1) ** 2).sum() <= (n * (plain - 1) ** 2).sum() + 1e-3  # the nearest to 1 of those that reach it
+
+
+def test_targets_out_of_reach(spark):
+    p = np.array([[0.6, 0.4], [0.5, 0.5]])
+    found, r = by_rates(spark, p, [10, 10], np.array([1.0, 0.0]))
+    best = min(((1 - 0.3 * a - 0.25 * b) ** 2 + (0.2 * a + 0.25 * b) ** 2, a, b) for a in np.linspace(0, 5, 501) for b in (0.0, 0.1, 0.5))
+    assert found.residual > 0.1 and r[1] == 0 and abs(r[0] - best[1]) < 0.02
+    with pytest.raises(RuntimeError, match="did not settle"):
+        by_rates(spark, p, [10, 10], np.array([1.0, 0.0]), passes=2)
 
 
 def test_mixing_odd_inputs(spark):
     model = mixing.train([("a", "one two"), ("b", "three"), ("a", "")])
-    rows = mixing.mix(docs(spark, ODD, "rate,p,n_tokens"), model, {"a": 1, "b": 1}).collect()
-    assert len(rows) == len(ODD) and all(r.rate >= 0 for r in rows) and {r.doc_id: r.n_tokens for r in rows}[7] == 400_000
-    assert mixing.mix(empty(spark), model, {"a": 1}).count() == 0
-    assert [r.rate for r in mixing.mix(docs(spark, [None, ""]), model, {"a": 1}).collect()] == [1.0, 1.0]
+    rows = mixing.mix(docs(spark, ODD, "rate,p,n_tokens"), model, {"a": 1, "b": 1}, 1.0, PATH)[0].collect()
+    assert len(rows) == len(ODD) and all(r.rate >= 0 for r in rows) and {r.doc_id: r.n_tokens for r in rows}[7] == library([LONG])[0]
+    assert mixing.mix(empty(spark), model, {"a": 1}, 1.0, PATH)[0].count() == 0
+    assert [r.rate for r in mixing.mix(docs(spark, [None, ""]), model, {"a": 1}, 1.0, PATH)[0].collect()] == [1.0, 1.0]
     none = mixing.fit(empty(spark), spark.createDataFrame([], "doc_id long, kind string"), F.col("kind"))
-    assert abs(mixing.mix(docs(spark, ["a b"]), none, {}, 2.0).first().rate - 2.0) < 1e-6
-    odd = spark.createDataFrame([(None, "a b", "en", None, None), (1, "c", "en", None, None), (1, "c", "en", None, None)], KINDS)
-    assert mixing.resample(odd.withColumn("_rate", F.lit(1)), mixing.mix(odd, none, {}, 1.0)).count() == 3
+    assert abs(mixing.mix(docs(spark, ["a b"]), none, {}, 2.0, PATH)[0].first().rate - 2.0) < 1e-6
+    odd = spark.createDataFrame([(None, "a b", "en", None, None), (1, "c", "en", None, None), (1, "c", "en", None, None), (2, None, "en", None, None)], KINDS)
+    same = mixing.resample(odd.withColumns({x: F.lit(1) for x in ("row", "u", "times", "copy")}), none, {}, 1.0, PATH)
+    assert same.count() == 4 and same.columns == [*odd.columns, "row", "u", "times", "copy"]
+    assert mixing.resample(empty(spark), none, {}, 1.0, PATH).count() == 0
     with pytest.raises(ValueError):
-        mixing.mix(docs(spark, ["a"]), model, {"c": 1})
+        mixing.mix(docs(spark, ["a"]), model, {"c": 1}, 1.0, PATH)
+
+
+def test_word_hashes():
+    from phonoweave.llm import common
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(["ab", "Ab", "c", " ", "\n", "\x0b", "é"], k=rng.randint(0, 30))) for _ in range(50)]
+    texts += [LONG, " ".join(f"w{rng.randrange(5000)}" for _ in range(300_000)), "x" * 1_200_000 + " y", ""]
+    raw = [t.encode() for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    h, n = common.word_hashes(at, np.frombuffer(b"".join(raw), np.uint8))
+    want = [[w.lower() for w in r.split()] for r in raw]
+    assert n.tolist() == [len(w) for w in want]
+    flat = [w for own in want for w in own]
+    seen = dict(zip(flat, h.tolist(), strict=True))
+    assert [seen[w] for w in flat] == h.tolist() and len(set(seen.values())) == len(seen)
 
 
 def test_boundaries_are_best():
@@ -134,7 +183,10 @@ def test_packing(spark):
     assert len(rows) == len(sizes) + 1 and sorted(r.n_tokens for r in rows) == sorted([*sizes, 0])
     assert all(len(b) == 1 or len(b) * b[0].bucket_len <= 1000 for b in batches.values()) and all(len({r.bucket for r in b}) == 1 for b in batches.values())
     assert packing.pack(df.limit(0)).count() == 0
-    assert packing.pack_documents(docs(spark, ODD, "bucket,slot,batch,n_tokens")).count() == len(ODD)
+    lengths = {r.doc_id: r.n_tokens for r in packing.pack_documents(docs(spark, ODD, "bucket,slot,batch,n_tokens"), PATH).collect()}
+    assert lengths == dict(enumerate(library([t or "" for t in ODD])))
+    nameless = packing.pack(spark.createDataFrame([(None, 10)] * 300, "doc_id long, n_tokens long").repartition(3), 2, 100).groupBy("batch_id").count().collect()
+    assert sum(r["count"] for r in nameless) == 300 and max(r["count"] for r in nameless) <= 10
     bins = spark.createDataFrame([(0,), (1,), (1023,), (1024,), (1025,), (10**6,), (2**40,)], "n long").select("n", packing.bin_of(F.col("n")).alias("b")).orderBy("n").collect()
     assert [r.b for r in bins] == sorted(r.b for r in bins) and len({r.b for r in bins[:4]}) == 4
 
@@ -187,6 +239,42 @@ def test_forward_backward_against_enumeration():
     assert np.abs(model.posteriors(e, np.zeros(5, int), pairs) - want / weight).max() < 1e-5 and np.abs(pairs - pairs_want / weight).max() < 1e-5
 
 
+def test_one_chain_a_text(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = language_id.Model(["a", "b", "c"], np.zeros((1 << language_id.TABLE_BITS, 3), np.float32), 2 * rng.normal(size=(3, 3)))
+    sizes = [5, 1, 12, 13, 24, 100]
+    e, text = rng.normal(size=(sum(sizes), 3)).astype(np.float32), np.repeat(np.arange(6), sizes)
+    results = []
+    for window in (12, 1000):
+        monkeypatch.setattr(language_id, "WINDOW", window)
+        pairs = np.zeros((3, 3))
+        results.append((model.posteriors(e, text, pairs), pairs))
+    assert np.abs(results[0][0] - results[1][0]).max() < 1e-5 and np.abs(results[0][1] - results[1][1]).max() < 1e-3
+    monkeypatch.setattr(language_id, "PART", 50)
+    words = " ".join(rng.choice(["ab", "cde", "fé", "12", "ghi"], 300))
+    assert "".join(language_id.text_parts(words)) == words and max(map(len, language_id.text_parts(words))) < 60
+
+
+def test_words_that_lower_casing_parts(spark):
+    rng = random.Random(2)
+    rows = [(i, text_of(rng, ["İstanbul", "İZMİR", "güzel"] if i % 2 else WORDS["aa"], 30), "tr" if i % 2 else "aa", None, None) for i in range(80)]
+    model = language_id.fit(spark.createDataFrame(rows, KINDS))
+    assert [x[0] for x in (model.predict(["İstanbul güzel"]), model.predict(["schnell schaft"]))] == [["tr"], ["aa"]]
+
+
+def test_language_spans(spark):
+    rng = random.Random(6)
+    rows = [(i, text_of(rng, WORDS[k], 40), k, None, None) for i, k in enumerate(rng.choices(list(WORDS), k=200))]
+    model = language_id.fit(spark.createDataFrame(rows, KINDS))
+    mixed = text_of(rng, WORDS["aa"], 100) + " 12, " + text_of(rng, WORDS["cc"], 90)
+    got = {r.doc_id: r.spans for r in language_id.label_words(docs(spark, [mixed, *ODD], "spans"), model).collect()}
+    assert [(x.first, x.words, x.lang) for x in got[0]] == [(0, 100, "aa"), (100, 90, "cc")] and all(0.5 < x.score <= 1 for x in got[0])
+    assert got[1] == [] and got[2] == [] and sum(x.words for x in got[8]) == 400_000
+    assert language_id.label_words(empty(spark), model).count() == 0
+    nothing = language_id.fit(empty(spark))
+    assert language_id.label_words(docs(spark, ["abc"]), nothing).first().spans == []
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -248,16 +336,9 @@ def test_top_k(spark, block, monkeypatch):
 
 # --- 5 ---------------------------------------------------------------------------------------------------------------------------
 
-PATH = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = ["a", "s", "t", "re", "'", "'s", "'ll", "'VE", " ", "  ", "\n", "\t", "1", "²", "é", "ﬁ", "中", ".", "!!", "<|endoftext|>", "<|endof", "the", "don't", "\x1c", "\x85", " ", "_", "😀", "Ab", "\0", "́", "　"]
 
 
-def library(texts):
-    from tokenizers import Tokenizer
-
-    return [len(e.ids) for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
-
-
 def test_tokens_against_the_library():
     rng = random.Random(10)
     with open(PATH, encoding="utf-8") as f:
@@ -266,10 +347,28 @@ def test_tokens_against_the_library():
     texts += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(1, 60))) for _ in range(2000)]
     texts += ["".join(chr(c) for c in range(a, a + 256)) for a in (0, 0x100, 0x300, 0x600, 0x900, 0x2000, 0x2100, 0x3000, 0xFF00)]
     assert compiled.count(texts).tolist() == library(texts)
-    compiled.counter.MOST_TRANSITIONS = compiled.counter.MOST_PIECES = 50  # forgetting changes nothing
+    compiled.counter.pieces, compiled.counter.LONG, compiled.counter.MOST_EDGES = token_counts.Table(7), 6, 5  # forgetting changes nothing
     assert compiled.count(texts[:500]).tolist() == library(texts[:500])
 
 
+def test_tokens_of_long_texts_in_parts(monkeypatch):
+    rng = random.Random(12)
+    with open(PATH, encoding="utf-8") as f:
+        compiled = token_counts.CompiledTokenizer(f.read())
+    monkeypatch.setattr(token_counts, "PART", 20)
+    texts = ["".join(rng.choices([*PIECES, " ", " "], k=rng.randint(0, 120))) for _ in range(800)] + ["a" * 3000, " " * 900, "ab'll " * 300]
+    assert compiled.count(texts).tolist() == library(texts)
+
+
+def test_table_of_numbers():
+    rng = np.random.default_rng(1)
+    t, keys = token_counts.Table(12), np.unique(rng.integers(0, 1 << 60, 1500).astype(np.uint64))
+    t.put(keys, np.ones_like(keys), np.arange(len(keys)))
+    assert (t.get(keys, np.ones_like(keys)) == np.arange(len(keys))).all() and (t.get(keys, keys | np.uint64(2)) == -1).all()
+    t.put(keys + np.uint64(1 << 61), np.ones_like(keys), np.arange(len(keys)))  # too many: the first are forgotten
+    assert (t.get(keys, np.ones_like(keys)) == -1).all()
+
+
 def test_maps_compose():
     rng = np.random.default_rng(3)
     syms = rng.integers(0, token_counts.N_SYMBOLS, 5000).astype(np.uint8)
@@ -320,7 +419,9 @@ def edited(rng, words, n):
     return " ".join(out)
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("task_rows", [2, 4096])
+def test_near_duplicates(spark, task_rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TASK_ROWS", task_rows)
     rng = random.Random(11)
     texts = [*ODD[:6], ODD[9]]
     for _ in range(12):  # families with few and many edits, so that some are linked through others only
@@ -334,6 +435,18 @@ def test_near_duplicates(spark):
     assert {tuple(r) for r in ngram_join.near_duplicates(df).collect()} == brute_groups(rows)
 
 
+def test_classes_of_one_name_are_named_anew(spark, monkeypatch):
+    """Names of 64 bits of which only 4 count at first: many classes share one."""
+    own = ngram_join.class_of
+    monkeypatch.setattr(ngram_join, "class_of", lambda s, seed=0: (own(s, seed)[0] & 15 if seed < 2 else own(s, seed)[0], own(s, seed)[1]))
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(20)) for _ in range(60)]
+    rows = list(enumerate(texts + texts[:5]))
+    kept = ngram_join._Join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    with pytest.raises(ngram_join._SameName):
+        kept.links(kept.store(kept.profile(), "profile"))
+
+
 def test_near_duplicates_odd(spark):
     long = spark.createDataFrame([(3, LONG), (4, LONG + "x"), (3, LONG), (8, None), (9, "")], "doc_id long, text string")
     assert sorted(tuple(r) for r in ngram_join.near_duplicates(long).collect()) == [(3, 1, 3), (3, 1, 3), (4, 2, 4), (8, 0, 8), (9, 0, 9)]
@@ -398,6 +511,42 @@ def test_url_targets(spark, html, want):
     assert sorted(tuple(r) for r in url_filters.page_edges(df).collect()) == [("http://a.net/es/d?e", x) for x in want]
 
 
+def test_components_of_urls_against_brute_force(spark):
+    """Random canonical links and refreshes, in absolute, relative and differently written forms; unions on the driver."""
+    rng = random.Random(21)
+    hosts = ["a.net", "b.org", "c.org", "ok.com", "example.com", "d.org"]
+    paths = ["/es/1", "/fr/2", "/en/3", "/4", "/5", "/6"]
+    urls = [f"http://{h}{p}" for h in hosts for p in paths]
+    parent = {u: u for u in urls}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    table = []
+    for i, u in enumerate(urls):
+        html = ""
+        for v in rng.sample(urls, rng.choice([0, 0, 0, 1, 1, 2])):
+            same = u.split("/")[2] == v.split("/")[2]
+            written = rng.choice([v, v.replace("http://", "HTTP://").replace(".org", ".ORG"), v + "#x", "//" + v[7:], *(["/" + v.split("/", 3)[3]] if same else [])])
+            html += f'<link rel=canonical href="{written}">' if rng.random() < 0.5 else f'<meta http-equiv="refresh" content="0; url={written}">'
+            parent[find(u)] = find(v)
+        table.append((i, u, html or None))
+
+    def own(u):
+        host, path = u[7:].split("/", 1)
+        fits = [(h + p, a) for a, h, p in queries.RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits, key=lambda x: len(x[0]))[1] if fits else None
+
+    told = {}
+    for u in urls:
+        told.setdefault(find(u), set()).add(own(u))
+    want = [own(u) or ("block" if "block" in told[find(u)] and "allow" not in told[find(u)] else "allow") for u in urls]
+    got = url_filters.judge_urls(spark.createDataFrame(table, "page_id long, url string, html string"), queries.RULES).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == want and {"allow", "block"} == set(want) and any(w == "block" and own(u) is None for w, u in zip(want, urls, strict=True))
+
+
 def test_url_aliases_of_blocked(spark):
     rows = [("http://b.org/fr/1?page=2&ref=x", '<link rel=canonical href="//A.net/fr/x">'), ("http://b.org/2", '<link rel=canonical href="fr/1?page=2&amp;ref=x">'), ("http://B.org/3", None), ("http://c.org/4", '<meta http-equiv=refresh content="0;url=http://b.ORG/3"><meta http-equiv=refresh content="0;url=http://A.NET/fr/x">'), ("http://d.org", "<link rel=canonical href=e>")]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
@@ -440,7 +589,9 @@ def test_lines(spark, limit, min_docs, keep, monkeypatch):
 # --- 10 --------------------------------------------------------------------------------------------------------------------------
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_warc(spark, limit, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_KEYS", limit)
     big = "<p>" + "y" * 200_000
     rows = [(1, "http://a", "z" * 100), (2, "http://b\r\nX: y", "z" * 100), (3, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (7, "u", big), (8, "u", big), (0, "u", big), (9, "u", "é" * 60 + "\r\n\r\nWARC/1.0\r\n\r\n"), (None, "u", "z" * 100), (1, "http://a", "z" * 100), (10, "u", "z" * 99)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "record_type": F.lit(2)}).repartition(3)
@@ -464,6 +615,13 @@ def test_warc_file_form(spark):
     for size in (1, 7, 4096, 10**7):
         found = list(warc.RecordReader().feed_all(io.BytesIO(archive), size))
         assert sorted(int(f["X-Page-Id"]) for f in found) == [*range(20)] and all(f["WARC-Payload-Digest"] == "sha256:" + f["sha256"] for f in found)
+    assert archive.count(b"HTTP/1.1 200 OK\r\n") == 20 and all(f["WARC-Record-ID"].startswith("<urn:uuid:") for f in found) and len({f["WARC-Record-ID"] for f in found}) == 20
+    same = warc.write_archives(spark.createDataFrame([(i, "u", "z" * 300) for i in (5, 6)], "page_id long, url string, html string"), date="2021-02-03T04:05:06Z").df.collect()
+    first, again = sorted(warc.RecordReader().feed_all(io.BytesIO(b"".join(c.data for c in same))), key=lambda f: f["WARC-Type"])
+    assert (first["WARC-Type"], again["WARC-Type"], again["Content-Length"]) == ("response", "revisit", "0") and again["WARC-Refers-To"] == first["WARC-Record-ID"] and again["WARC-Date"] == "2021-02-03T04:05:06Z"
+    for bad in (b"nothing\r\n\r\n", b"WARC/1.0\r\nContent-Type: application/http\r\nContent-Length: 4\r\n\r\nabcd"):
+        with pytest.raises(ValueError):
+            list(warc.RecordReader().feed(bad))
     damaged = [c.asDict() | ({"data": bytes(len(c.data))} if c.chunk_no == 1 else {}) for c in chunks]
     with pytest.raises(Exception, match="damaged"):
         warc.read_archives(spark.createDataFrame(damaged, "record_id string, chunk_no int, n_chunks int, data binary, state binary")).collect()

@@ -1,9 +1,11 @@
 """The pipeline's stages at their own parameters. Small tables of our own."""
 
 import base64
+import glob
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 
@@ -81,3 +83,96 @@ def test_near_rows_of_one_id_and_without(spark):
     alone = pipeline.near_stage(spark, docs(spark, [(None, c), (None, c), (None, c + " end"), (None, d)]), "").collect()
     assert len(alone) == 2 and {r.text[:9] for r in alone} == {c[:9], d[:9]}
     assert pipeline.near_stage(spark, docs(spark, []), "").count() == 0
+
+
+# --- mixing and packing, and all of it ---------------------------------------------------------------------------------------------
+
+
+def tables(spark, folder, rows, labels, extra=""):
+    """A folder with documents and labels; the documents have a clashing column `extra`."""
+    df = spark.createDataFrame(rows, KINDS).withColumns({c: F.lit(1) for c in extra.split(",") if c})
+    df.repartition(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def corpus(n=240):
+    """(rows, labels): documents of words of their domain; every second one is labelled, a third of them toxic."""
+    rng = random.Random(5)
+    pool = {"good": ["alpha", "beta", "gamma", "shared"], "toxic": ["delta", "zeta", "omega", "shared"], "plain": ["kappa", "iota", "shared"]}
+    kinds = [rng.choice([*pool]) for _ in range(n)]
+    rows = [(i, " ".join([f"n{i}", *rng.choices(pool[k], k=rng.randint(20, 60))]), "en", "s", 1) for i, k in enumerate(kinds)]
+    return rows, [(i, int(k == "good"), int(k == "toxic")) for i, k in enumerate(kinds) if i % 2], kinds
+
+
+def tokens(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return [len(e.ids) for e in Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_mixing_stage(spark, tmp_path):
+    rows, labels, kinds = corpus()
+    table = tables(spark, tmp_path, rows, labels, "times,row,u")
+    got = pipeline.mixing_stage(spark, table, str(tmp_path))
+    assert got.columns == table.columns
+    kept = [r.doc_id for r in got.collect()]
+    texts = {r[0]: r[1] for r in rows}
+    size = dict(zip(texts, tokens(list(texts.values())), strict=True))
+    total = sum(size.values())
+    share = {k: sum(size[i] for i in kept if kinds[i] == k) / total for k in set(kinds)}
+    assert all(abs(share[k] - pipeline.TARGETS[k]) < 0.06 for k in share), share
+    assert sum(kinds[i] == "toxic" for i in kept) < sum(k == "toxic" for k in kinds) / 4
+    assert {r.text for r in got.collect()} <= set(texts.values())
+    assert pipeline.mixing_stage(spark, table.limit(0), str(tmp_path)).count() == 0
+
+
+def test_packing_stage(spark):
+    rng = random.Random(8)
+    texts = [" ".join(["word"] * rng.randint(0, 900)) for _ in range(150)] + [None, "", "same", "same", "long " * 20_000]
+    rows = pipeline.packing_stage(spark, docs(spark, [*enumerate(texts), (None, "same"), (3, texts[3])]), "").collect()
+    assert sorted(r.n_tokens for r in rows) == sorted(tokens([t or "" for t in [*texts, "same", texts[3]]]))
+    batches = {}
+    for r in rows:
+        batches.setdefault(r.batch_id, []).append(r)
+    assert all(r.n_tokens <= r.bucket_len for r in rows)
+    assert all(len({r.bucket for r in b}) == 1 and (len(b) == 1 or len(b) * b[0].bucket_len <= 16_384) for b in batches.values())
+    assert pipeline.packing_stage(spark, docs(spark, []), "").count() == 0
+
+
+def test_run_keeps_what_is_clean(spark, tmp_path):
+    """Copies, near copies, junk, rows without an id or text, over all stages; nothing of a stage but the last is left behind."""
+    rng = random.Random(3)
+    parts = {"en": "the ing tion er and of re th", "de": "ung sch ein keit er lich der"}
+    words = {k: ["".join(rng.choices(v.split(), k=rng.randint(1, 3))) for _ in range(400)] for k, v in parts.items()}
+    clean = [(i, " ".join(rng.choices(words[k], k=80)), k, "s", 9) for i, k in enumerate(["en", "de"] * 60)]
+    rows = [*clean, *((500 + i, clean[0][1], "en", "s", 9) for i in range(15)), *((600 + i, clean[1][1] + f" {i}", "de", "s", 9) for i in range(5))]
+    rows += [(900, None, "en", None, None), (901, "", None, None, 0), (902, "0000 1111", "en", "s", 1), (903, "xqj zwkq vvxz " * 20, None, "s", 1), (None, clean[4][1], "en", "s", 1), (7, clean[7][1], "de", "s", 1)]
+    table = tables(spark, tmp_path, rows, [(i, 1, 0) for i in range(0, 120, 2)], "lang_pred,score,component_id")
+    kept = table
+    seen = {}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, kept, str(tmp_path))
+        path = f"{tmp_path}/{name}"
+        out.write.parquet(path)
+        kept = spark.read.parquet(path)
+        seen[name] = kept.collect()
+        assert name == "packing" or kept.columns == table.columns
+    found = sorted(r.doc_id for r in seen["language_id"] if r.doc_id is not None)
+    assert found == sorted(r[0] for r in rows if r[0] is not None and r[0] < 900)
+    assert len(seen["line_dedup"]) == len(seen["language_id"])
+    full = [r for r in seen["ngram_join"] if r.text]
+    assert sorted(r.doc_id for r in full) == list(range(120))
+    assert {r.doc_id for r in seen["packing"]} == {r.doc_id for r in seen["mixing"]}
+    whole = pipeline.run(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.n_tokens) for r in whole.collect() if r.doc_id is not None) == sorted((r.doc_id, r.n_tokens) for r in seen["packing"] if r.doc_id is not None)
+    import os
+
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert len(glob.glob(os.path.join(root, "pipeline-*"))) <= 1
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    tables(spark, tmp_path, [], [])
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
