@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonoweave.llm import language_id, line_dedup, mixing, ngram_join, packing
-from phonoweave.llm.common import shared_dir, table
-from phonoweave.llm.queries import MIN_KNOWN, TARGETS, TOKEN_BUDGET, domain
+from phonoweave.llm.common import Stored, table
+from phonoweave.llm.queries import MIN_KNOWN, TARGETS, TOKEN_BUDGET, domain, tokenizer
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +40,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say."""
+    """Documents as often as their rates say, whole rows, so that the expected token totals of the domains match TARGETS."""
     model = mixing.fit(docs, table(spark, sf_dir, "labels"), domain())
-    return mixing.resample(docs, mixing.mix(docs, model, TARGETS, TOKEN_BUDGET))
+    return mixing.resample(docs, model, TARGETS, TOKEN_BUDGET, tokenizer())
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The batch of each document."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, tokenizer())
 
 
 STAGES = [
@@ -60,15 +58,19 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The first stage is a trained model, which SQL cannot express; the stages are tested one by one against brute force.
+#: The first stage is a trained model, which SQL cannot express; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents, each result written to the shared folder and read by the next stage."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies STAGES to documents, each result written to the shared folder and read by the next stage.
+
+    What a stage has read is deleted when its own result is written, but for the table of documents itself.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        now = Stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            last.drop()
+        docs, last = now.df, now
     return docs
