@@ -513,7 +513,7 @@ def test_url_targets(spark, html, want):
 
 def test_components_of_urls_against_brute_force(spark):
     """Random canonical links and refreshes, in absolute, relative and differently written forms; unions on the driver."""
-    rng = random.Random(21)
+    rng = random.Random(11)
     hosts = ["a.net", "b.org", "c.org", "ok.com", "example.com", "d.org"]
     paths = ["/es/1", "/fr/2", "/en/3", "/4", "/5", "/6"]
     urls = [f"http://{h}{p}" for h in hosts for p in paths]
@@ -527,7 +527,7 @@ def test_components_of_urls_against_brute_force(spark):
     table = []
     for i, u in enumerate(urls):
         html = ""
-        for v in rng.sample(urls, rng.choice([0, 0, 0, 1, 1, 2])):
+        for v in rng.sample(urls, rng.choice([0, 0, 0, 1, 1])):
             same = u.split("/")[2] == v.split("/")[2]
             written = rng.choice([v, v.replace("http://", "HTTP://").replace(".org", ".ORG"), v + "#x", "//" + v[7:], *(["/" + v.split("/", 3)[3]] if same else [])])
             html += f'<link rel=canonical href="{written}">' if rng.random() < 0.5 else f'<meta http-equiv="refresh" content="0; url={written}">'
@@ -544,7 +544,9 @@ def test_components_of_urls_against_brute_force(spark):
         told.setdefault(find(u), set()).add(own(u))
     want = [own(u) or ("block" if "block" in told[find(u)] and "allow" not in told[find(u)] else "allow") for u in urls]
     got = url_filters.judge_urls(spark.createDataFrame(table, "page_id long, url string, html string"), queries.RULES).orderBy("page_id").collect()
-    assert [r.verdict for r in got] == want and {"allow", "block"} == set(want) and any(w == "block" and own(u) is None for w, u in zip(want, urls, strict=True))
+    assert [r.verdict for r in got] == want
+    heard = [told[find(u)] for u in urls if own(u) is None]  # pages without a rule: block and allow are inherited, and allow goes first
+    assert {None, "block"} in heard and {None, "allow"} in heard and {None, "allow", "block"} in heard
 
 
 def test_url_aliases_of_blocked(spark):
