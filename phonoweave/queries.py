@@ -785,7 +785,13 @@ def whatif_affected(spark, sf_dir):
     return whatif.affected(_both(spark, sf_dir), hypothesis(), "word")
 
 
-@register("whatif_outcomes", _whatif_sql() + " SELECT b4.word, b4.f4 AS base_outcome, h3.f3 AS hyp_outcome FROM b4 JOIN h3 USING (word) WHERE b4.f4 <> h3.f3")
+def _outcomes_sql() -> str:
+    """Both chains over one row, so that nothing is joined."""
+    base, hyp = ([pair for _, pairs in rules for pair in pairs] for rules in ([_L0, _L1, _L2, _L3], _HYPS["delete"][0]))
+    return f"WITH {_WORDS_SQL}, o AS MATERIALIZED (SELECT word, {_sql_of('word', base)} AS base_outcome, {_sql_of('word', hyp)} AS hyp_outcome FROM w) SELECT * FROM o WHERE base_outcome <> hyp_outcome"
+
+
+@register("whatif_outcomes", _outcomes_sql())
 def whatif_outcomes(spark, sf_dir):
     return whatif.changed_outcomes(_both(spark, sf_dir), "word").select("word", _plain("base_outcome").alias("base_outcome"), _plain("hyp_outcome").alias("hyp_outcome"))
 
