@@ -143,27 +143,83 @@ _IS_SPACE = np.isin(np.arange(256), list(SPACES))
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, np.uint64)
+def _powers(n: int, base: int = _BASE) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
 def _hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, begin) of each word of one part of a text."""
-    space = _IS_SPACE[raw]
+    return named(raw, _IS_SPACE[raw])[:2]
+
+
+def named(raw: np.ndarray, space: np.ndarray, base: int = _BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, begin, bytes) of each run of places that are not `space`; another odd `base` names the words anew."""
     before = np.ones(len(raw), bool)
     before[1:] = space[:-1]
     begin = np.flatnonzero(~space & before)
     if not len(begin):
-        return np.zeros(0, np.uint64), begin
+        return np.zeros(0, np.uint64), begin, begin
     own, empty = raw[begin[0] :], space[begin[0] :]
     at = begin - begin[0]
     room = np.diff(at, append=len(own))
     value = np.where(empty, 0, own.astype(np.uint64) + np.uint64(1))
-    value *= _powers(int(room.max()))[np.arange(len(own)) - np.repeat(at, room)]
+    value *= _powers(int(room.max()), base)[np.arange(len(own)) - np.repeat(at, room)]
     size = np.add.reduceat(~empty, at, dtype=np.uint64)
-    return mix64(np.add.reduceat(value, at) + size * MIX_1), begin
+    return mix64(np.add.reduceat(value, at) + size * MIX_1), begin, size.astype(np.int64)
+
+
+def in_parts(at: np.ndarray, data: np.ndarray, ends: np.ndarray, limit: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, text) of parts of the texts data[at[i]:at[i + 1]]: a text over `limit` bytes is cut after bytes b with ends[b].
+
+    What may be counted in parts is cut where nothing spans the cut; without such a byte a part goes on to the text's end.
+    """
+    offsets, owner = [at[:1]], []
+    if not (np.diff(at) > limit).any():
+        return at, np.arange(len(at) - 1)
+    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+        while b - a > limit:
+            stop = a + limit
+            while stop < b and not ends[data[stop - 1]]:
+                near = np.flatnonzero(ends[data[stop : min(b, stop + limit)]])
+                stop = stop + int(near[0]) + 1 if len(near) else min(b, stop + limit)
+            if stop >= b:
+                break
+            offsets.append(np.array([stop]))
+            owner.append(i)
+            a = stop
+        offsets.append(np.array([b]))
+        owner.append(i)
+    return np.concatenate(offsets), np.array(owner, np.int64)
+
+
+def spaced(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the texts with A-Z lower-cased and a line feed after each, place of each text's line feed)."""
+    own = at - at[0]
+    n = len(at) - 1
+    raw = np.full(int(own[-1]) + n, 10, np.uint8)
+    raw[np.arange(own[-1]) + np.repeat(np.arange(n), np.diff(own))] = _LOWER[data[at[0] : at[-1]]]
+    return raw, own[1:] + np.arange(n)
+
+
+def cut_out(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The strings raw[begin:begin + size]."""
+    ends = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=ends[1:])
+    place = np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw[place]))
+
+
+def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first of each group in it): rows in order of the keys, the last of which counts first."""
+    order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        own = k[order]
+        new[1:] |= own[1:] != own[:-1]
+    return order, np.flatnonzero(new)
 
 
 def word_hashes(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

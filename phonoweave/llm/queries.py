@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import mixing
 from .bit_sliced import top_k
+from .collocations import collocations
 from .common import table
 from .language_id import fit, identify
 from .line_dedup import dedup_lines
@@ -95,6 +96,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"), min_bytes=100)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"), min_count=100, max_words=5, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
@@ -106,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
+    "op13_collocations": op13_collocations,
 }
 
 _OP7 = """
@@ -164,7 +170,28 @@ r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.roo
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.root) AS component_id FROM r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id
 """
 
+_OP13 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+m AS (SELECT lang, ws, unnest(range(1, 6)) AS m FROM w),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM m WHERE len(ws) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 100),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT c.lang, c.m, c.phrase, c.a, c.k, x.f AS l, y.f AS r, CAST((1000::HUGEINT * c.a::HUGEINT * n.n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS BIGINT) AS score
+  FROM k c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1:], ' ') JOIN n ON n.lang = c.lang),
+b AS (SELECT lang, m, phrase, a, arg_min(struct_pack(k := k, l := l, r := r), score * 10 + k) AS best, min(score) AS score FROM s GROUP BY ALL),
+d AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN c ON c.lang = b.lang AND c.m > b.m AND c.a = b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank FROM b ANTI JOIN d USING (lang, phrase))
+SELECT o.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(best.l AS BIGINT) AS l, CAST(best.r AS BIGINT) AS r, CAST(n.n AS BIGINT) AS n, score, CAST(m AS INTEGER) AS n_words, CAST(best.k AS INTEGER) AS cut
+FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
 SQL: dict[str, str] = {
+    "op13_collocations": _OP13,
     "op6_ngram_join": _OP6,
     "op4_exact_top_k": _OP4,
     "op7_url_filters": _OP7, "op9_line_dedup": _OP9, "op10_warc": _OP10,
