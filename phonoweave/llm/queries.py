@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, toxicity
 from .bit_sliced import top_k
 from .collocations import collocations
 from .common import table
@@ -101,6 +101,13 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"), min_docs=3, top=200)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.col("toxic"), ~held_out)
+    return toxicity.score(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents").select("lang", "text"), min_count=100, max_words=5, top=2000)
 
@@ -117,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
     "op11_divergence": op11_divergence,
+    "op12_toxicity": op12_toxicity,
     "op13_collocations": op13_collocations,
 }
 
