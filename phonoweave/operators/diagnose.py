@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import repeat
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from phonoweave.functions.features import MARK_OF, MORPH, WORD, SymbolTable
@@ -86,38 +81,36 @@ def without_active(specs: list[str], symbols: DataFrame, table: SymbolTable) ->
     return given.join(active, "spec", "left_anti")
 
 
-def subsample(pairs: DataFrame, pivots: DataFrame, table: SymbolTable, items: tuple, key: str = "etym_id") -> DataFrame:
-    """Rows of `pairs` (key, ld, ...) whose form in `pivots` (key, form) has a match: with form, bounds and miss (ld > 0).
+def subsample(pairs: DataFrame, pivots: DataFrame | None, table: SymbolTable, items: tuple, key: str = "etym_id") -> DataFrame:
+    """Rows of `pairs` (key, ld, ...) whose form has a match: with form, bounds and miss (ld > 0).
 
-    Rows without a distance are neither hits nor misses and stay out.
+    The form is that of `pivots` (key, form), or a column of the rows themselves, which then stay where they are. Rows without
+    a distance are neither hits nor misses and stay out.
     """
+    rows = pairs.where("ld is not null")
+    if pivots is None:
+        return matches(rows.drop("bounds"), table, items).where("size(bounds) > 0").withColumn("miss", F.col("ld") > 0)
     found = matches(pivots.select(key, "form"), table, items).where("size(bounds) > 0")
-    return pairs.where("ld is not null").drop("form", "bounds").join(found, key).withColumn("miss", F.col("ld") > 0)
+    return rows.drop("form", "bounds").join(found, key).withColumn("miss", F.col("ld") > 0)
 
 
 def contexts(matched: DataFrame, table: SymbolTable, offsets: list[int], form: str = "form", weight: str | None = None) -> DataFrame:
-    """(miss, rel_pos, sym, preds, n): what stands at each relative place of the matches, counted within each batch.
+    """(miss, rel_pos, sym, preds, n): what stands at each relative place of the matches, counted.
 
     Offset -1 is the element before a match, 1 the one after. Predictors are `±f` and the symbol of a phone, or a boundary.
     Places beyond the word are left out. `matched` has miss (boolean) and bounds; a row counts once, or `weight` times.
     """
-
-    def run(batches):
-        for batch in batches:
-            counts: Counter = Counter()
-            times = batch.column(weight).to_pylist() if weight else repeat(1)
-            for f, miss, bounds, n in zip(batch.column(form).to_pylist(), batch.column("miss").to_pylist(), batch.column("bounds").to_pylist(), times, strict=False):
-                word = table.word(f)
-                for m in bounds or ():
-                    for o in offsets:
-                        at = m["start"] + o if o < 0 else m["end"] + o - 1
-                        if 0 <= at < len(word):
-                            counts[miss, o, word[at]] += n
-            rows = [(miss, o, seg.sym, [seg.sym, *(MARK_OF[v] + f for f, v in zip(table.features, seg.vec or "", strict=False) if v in "02")], n) for (miss, o, seg), n in counts.items()]
-            cols = list(zip(*rows, strict=True)) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.int64()), strict=True)], ["miss", "rel_pos", "sym", "preds", "n"])
-
-    return matched.where("size(bounds) > 0").mapInArrow(run, "miss boolean, rel_pos int, sym string, preds array<string>, n long")
+    each = F.filter(F.split(form, r"\s+"), lambda x: x != "")
+    edge = F.array(F.lit(WORD))
+    inner = F.when(F.get(each, 0) == WORD, each).otherwise(F.concat(edge, each))
+    word = F.when((F.get(inner, F.size(inner) - 1) == WORD) & (F.size(inner) > 1), inner).otherwise(F.concat(inner, edge))
+    own = matched.where("size(bounds) > 0").select("miss", (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"), word.alias("word"), "bounds")
+    place = lambda b, o: F.struct(F.lit(o).alias("rel_pos"), ((b["start"] if o < 0 else b["end"] - 1) + o).alias("at"))
+    places = F.flatten(F.transform("bounds", lambda b: F.array(*(place(b, o) for o in offsets))))
+    near = own.select("miss", "n", "word", F.explode(F.filter(places, lambda x: (x["at"] >= 0) & (x["at"] < F.size("word")))).alias("x"))
+    counted = near.groupBy("miss", F.col("x.rel_pos").alias("rel_pos"), F.get("word", F.col("x.at")).alias("sym")).agg(F.sum("n").alias("n"))
+    specs = F.coalesce(F.element_at(feature_columns(table), F.col("sym")), F.array().cast("array<string>"))
+    return counted.select("miss", "rel_pos", "sym", F.concat(F.array("sym"), specs).alias("preds"), "n")
 
 
 def contingency(ctx: DataFrame) -> DataFrame:

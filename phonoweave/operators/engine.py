@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phonoweave.functions.distance import coded, symbol_codes
 from phonoweave.functions.features import WORD, Seg, SymbolTable, show
+from phonoweave.plans.bounds import bounds, bounds_regex, codes_of, whole
 from phonoweave.plans.kernel import Kernel
-from phonoweave.plans.rules import Exact, Group, Matrix, Rule, match_bounds
+from phonoweave.plans.rules import Group, Rule, match_bounds
 from phonoweave.sources.readers import ABSENT, ABSENT_S, BLACK, GOLD, PRESENT_S, UNATTESTED, UNATTESTED_S, Cascade
 
 #: Forms that a task remembers; when there are more, all are forgotten.
@@ -242,7 +242,19 @@ def changed_words(steps: DataFrame, rule: int, key: str = "etym_id") -> DataFram
 
 
 def matches(df: DataFrame, table: SymbolTable, items: tuple, form: str = "form") -> DataFrame:
-    """`df` with bounds: [start, end) of each match of the context elements in the form with its word boundaries."""
+    """`df` with bounds: [start, end) of each match of the context elements in the form with its word boundaries.
+
+    Columns only: the elements become one regular expression. The few patterns that none can express go to the matcher. Null
+    has no bounds; symbols of the forms must be in the table.
+    """
+    codes = codes_of(table)
+    if (regex := bounds_regex(items, table, codes)) is not None:
+        return df.withColumn("_coded", whole(F.col(form), codes)).withColumn("bounds", bounds(F.col("_coded"), regex)).drop("_coded")
+    return matches_by_walking(df, table, items, form)
+
+
+def matches_by_walking(df: DataFrame, table: SymbolTable, items: tuple, form: str = "form") -> DataFrame:
+    """matches() by the matcher of rules, element by element, in Python."""
 
     def run(batches):
         for batch in batches:
@@ -253,35 +265,12 @@ def matches(df: DataFrame, table: SymbolTable, items: tuple, form: str = "form")
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("bounds", kind)]))
 
 
-def pattern_regex(items: tuple, table: SymbolTable, codes: dict[str, str]) -> str | None:
-    """A regular expression that finds the elements in a coded form, or None where only the matcher can tell.
-
-    That is so for boundaries and @, which matches them, as coded forms lack them, and for alpha values. Without these, what the matcher passes over is
-    what a coded form leaves out.
-    """
-    out = ""
-    for x in items:
-        if isinstance(x, Group):
-            inner = pattern_regex(x.items, table, codes)
-            if inner is None:
-                return None
-            out += f"(?:{inner})" + ("*" if x.many else "?")
-        elif isinstance(x, Exact) and x.seg.is_phone or isinstance(x, Matrix) and not x.alphas:
-            symbols = sorted({codes.get(s, s) for s in table.vectors if x.match(Seg(s, table.vectors[s]), {}) is not None})
-            if not symbols or any(len(s) > 1 for s in symbols):
-                return None
-            out += "[" + "".join(f"\\x{{{ord(s):X}}}" for s in symbols) + "]"
-        else:
-            return None
-    return out
-
-
 def filter_words(df: DataFrame, table: SymbolTable, items: tuple, form: str = "form") -> DataFrame:
-    """The rows whose form has a match. Patterns that need no alpha value or boundary are found by Spark itself."""
-    codes = symbol_codes([*table.vectors])
-    regex = pattern_regex(items, table, codes)
-    if regex and not (isinstance(items[0], Group) and all(isinstance(x, Group) for x in items)):
-        return df.where(coded(F.col(form), codes).rlike(regex))
+    """The rows whose form has a match, which is never empty."""
+    codes = codes_of(table)
+    regex = bounds_regex(items, table, codes)
+    if regex is not None and not all(isinstance(x, Group) for x in items):
+        return df.where(whole(F.col(form), codes).rlike(regex))
     return matches(df, table, items, form).where(F.size("bounds") > 0).drop("bounds")
 
 

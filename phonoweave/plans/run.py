@@ -169,6 +169,8 @@ class Session:
     def pairs(self) -> DataFrame:
         """(etym_id, form, pred, gold, ld, ...) of the words that pass."""
         rows = self.run.rows(self.stage, self.pivot)
+        if self.pivot != "Input":  # rules may have made symbols that no word came with
+            self.run.cascade.table.prepare(readers.distinct_symbols(rows.where("form is not null"), "form"))
         if self.items is not None:
             rows = engine.filter_words(rows.where("form is not null"), self.run.cascade.table, self.items)
         return metrics.pair_distances(rows, self.run.codes)

@@ -349,6 +349,48 @@ def match_bounds(spark, sf_dir):
     return found.select("word", F.explode("bounds").alias("b")).select("word", F.col("b.start").cast("long").alias("start"), F.col("b.end").cast("long").alias("end"))
 
 
+_VOICES = "bdgjlmnrvwyz", "cfhkpqstx"
+
+
+def _bounds_sql(regex: str, word: str = "word") -> str:
+    """The places of what an expression finds, from what stands before each: #, the word and # are marked and split at the marks."""
+    return (
+        f"WITH {_WORDS_SQL}, p AS (SELECT word, regexp_split_to_array(regexp_replace('#' || {word} || '#', '({regex})', '<\\1>', 'g'), '[<>]') AS parts FROM w), k AS (SELECT word, parts, unnest(range(1, len(parts) // 2 + 1)) AS k FROM p) "
+        "SELECT word, CAST(list_sum(list_transform(parts[1:2 * k - 1], lambda x: length(x))) AS BIGINT) AS start, CAST(list_sum(list_transform(parts[1:2 * k], lambda x: length(x))) AS BIGINT) AS \"end\" FROM k"
+    )
+
+
+def _bounds(df: DataFrame, elements: str) -> DataFrame:
+    found = engine.matches(df, letter_table(), pattern(elements)).select("word", F.explode("bounds").alias("b"))
+    return found.select("word", F.col("b.start").cast("long").alias("start"), F.col("b.end").cast("long").alias("end"))
+
+
+def compounds(df: DataFrame) -> DataFrame:
+    """`df` (word) with form: a morph boundary after the third letter of longer words."""
+    return df.withColumn("form", F.expr(f"array_join(split({_COMPOUND}, ''), ' ')"))
+
+
+@register("match_bounds_edge", _bounds_sql("#[^aeiou]*?[aeiou]|[aeiou][^aeiou#]*#"))
+def match_bounds_edge(spark, sf_dir):
+    """The first syllable's onset and nucleus, and the last one's nucleus and coda, each with its end of the word."""
+    df = words(spark, sf_dir)
+    first, last = _bounds(df, "# ( [-syl] )* [+syl]"), _bounds(df, "[+syl] ( [-syl] )* #")
+    taken = first.select("word", F.col("end").alias("from"))
+    return first.union(last.join(taken, "word", "left").where("start >= coalesce(from, 0)").select("word", "start", "end"))
+
+
+@register("match_bounds_alpha", _bounds_sql(f"[{_VOICES[0]}][aeiou]?[{_VOICES[0]}]|[{_VOICES[1]}][aeiou]?[{_VOICES[1]}]".replace("?", "??")))
+def match_bounds_alpha(spark, sf_dir):
+    """Two consonants that agree in voice, with or without a vowel between."""
+    return _bounds(words(spark, sf_dir), "[αvoi,-syl] ( [+syl] ) [αvoi,-syl]")
+
+
+@register("match_bounds_morph", _bounds_sql(r"[^#]\+(?:[^aeiou#]+?)??[aeiou]", _COMPOUND))
+def match_bounds_morph(spark, sf_dir):
+    """Any segment before a morph boundary, and what is after it up to a vowel."""
+    return _bounds(compounds(words(spark, sf_dir)), "@ + ( [-syl] )* [+syl]")
+
+
 @register("find_sequence", f"WITH {_WORDS_SQL} SELECT word, CAST(instr(word, 'er') - 1 AS INTEGER) AS first_at, CAST(CASE WHEN instr(word, 'er') = 0 THEN -1 ELSE length(word) - instr(reverse(word), 're') - 1 END AS INTEGER) AS last_at FROM w")
 def find_sequence(spark, sf_dir):
     df = words(spark, sf_dir)
@@ -666,8 +708,7 @@ def top_predictors(spark, sf_dir):
 
 @register("subsample", f"WITH {_WORDS_SQL}, {_pairs_sql('w')} SELECT word, ld > 0 AS miss FROM p WHERE regexp_matches(word, '[aeiou]th')")
 def subsample(spark, sf_dir):
-    df = words(spark, sf_dir)
-    return diagnose.subsample(pairs(df), df, letter_table(), pattern("[+syl] t h"), "word").select("word", "miss")
+    return diagnose.subsample(pairs(words(spark, sf_dir)), None, letter_table(), pattern("[+syl] t h"), "word").select("word", "miss")
 
 
 @register("without_active", f"WITH {_WORDS_SQL}, {_specs_sql()}, {_AFTER_SQL} SELECT DISTINCT spec FROM specs WHERE spec NOT IN (SELECT spec FROM specs JOIN s USING (sym))")

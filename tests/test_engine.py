@@ -9,7 +9,8 @@ from phonoweave.functions.distance import EDGE_GAP, GAP, FeatureDistance, levens
 from phonoweave.functions.features import RuleError, SymbolTable, norm
 from phonoweave.functions.inventory import letter_table, phonetic_table
 from phonoweave.operators import diagnose, engine, metrics, whatif
-from phonoweave.plans.rules import RuleParser
+from phonoweave.plans import bounds as bounds_module
+from phonoweave.plans.rules import RuleParser, match_bounds
 from phonoweave.sources import readers
 from phonoweave.sources.readers import read_cascade, read_lexicon, resolve_header
 from phonoweave.streaming.cascade_stream import stream_cascade
@@ -52,14 +53,60 @@ def test_reports_of_a_run(spark):
     assert [x[2:] for x in rows if x[0] == 1] == [("INPUT", "--"), ("~S", "--"), ("=T", "+ o"), ("R2", "u")]
 
 
-@pytest.mark.parametrize("pattern", ["t a", "[+syl] ( r ) t", "[+nas]", "( [-syl] )* a", "@ a", "# t", "[αlab,-syl] a [αlab,-syl]", "t + a", "( a )"])
+PATTERNS = [
+    "t a", "[+syl] ( r ) t", "[+nas]", "( [-syl] )* a", "@ a", "# t", "[αlab,-syl] a [αlab,-syl]", "t + a", "( a )", "a ( t )+", "@", "#", "+", "+ a", "a #", "a + #", "( @ )* #", "# ( @ )* a",
+    "[αvoi,-syl] ( a )* [!αvoi,-syl]", "( [αlab] )* a [αlab]", "( [αlab,βvoi] ( r ) )* [βvoi,αlab]", "[αlab] [βvoi] [αlab,βvoi]", "( t a )* t", "( ( t ) a )* n", "a ( ( n ) ( t ) )* r", "( + ) a", "t ( # )", "@ @ t",
+]
+
+
+def forms_for(t, n, seed):
+    rng = random.Random(seed)
+    out = [" ".join(x for _ in range(rng.randint(0, 8)) for x in rng.choice(["a", "t", "r", "n", "m", "+ a", "t", "d +", "# a"]).split()) for _ in range(n)]
+    return [(f,) for f in [*out, "", "#", "# a t #", "a  t", "+", "+ +", None]]
+
+
+@pytest.mark.parametrize("make", [letter_table, phonetic_table])
+def test_bounds_by_columns_agree_with_the_matcher(spark, make):
+    """Every pattern over random words: boundaries at the ends and inside, reluctant groups, bound letters."""
+    t = make()
+    rows = forms_for(t, 400, 3)
+    df = spark.createDataFrame(rows, "form string")
+    codes, native, want = bounds_module.codes_of(t), [], {}
+    df = df.select("form", bounds_module.whole(F.col("form"), codes).alias("word")).cache()
+    for i, p in enumerate(PATTERNS):
+        items = RuleParser(t).context(p).items
+        regex = bounds_module.bounds_regex(items, t, codes)
+        assert regex is not None, p
+        native.append(bounds_module.bounds(F.col("word"), regex).alias(f"b{i}"))
+        want[i] = [None if f is None else match_bounds(items, t.word(f)) for (f,) in rows]
+    got = df.select("form", *native).collect()
+    df.unpersist()
+    for i, p in enumerate(PATTERNS):
+        assert [None if r[f"b{i}"] is None else [tuple(b) for b in r[f"b{i}"]] for r in got] == want[i], p
+
+
+@pytest.mark.parametrize("pattern", ["t a", "( a )", "( [-syl] )* a", "# ( @ )* a", "[αlab] ( ( [βvoi] ) )* [αlab,βvoi]"])
 def test_filters_agree_with_the_matcher(spark, pattern):
-    t, rng = letter_table(), random.Random(3)
-    forms = [" ".join(x for _ in range(rng.randint(0, 6)) for x in rng.choice(["a", "t", "r", "n", "m", "+ a", "t"]).split()) for _ in range(200)]
-    df = spark.createDataFrame([(f,) for f in forms], "form string")
+    t = letter_table()
+    df = spark.createDataFrame(forms_for(t, 200, 4), "form string")
     items = RuleParser(t).context(pattern).items
-    want = engine.matches(df, t, items).where(F.size("bounds") > 0).drop("bounds")
+    want = engine.matches_by_walking(df, t, items).where(F.size("bounds") > 0).drop("bounds")
     assert sorted(r.form for r in engine.filter_words(df, t, items).collect()) == sorted(r.form for r in want.collect())
+    assert sorted(map(str, engine.matches(df, t, items).collect())) == sorted(map(str, engine.matches_by_walking(df, t, items).collect()))
+
+
+def test_no_python_in_bounds_and_autopsy(spark):
+    t = letter_table()
+    df = spark.createDataFrame([("a t a n", True)], "form string, miss boolean")
+    found = engine.matches(df, t, RuleParser(t).context("[αlab,-syl] ( r ) a #").items)
+    plan = diagnose.contingency(diagnose.contexts(found, t, [-1, 1]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan
+
+
+def test_a_symbol_that_is_not_in_the_table(spark):
+    t = phonetic_table()
+    with pytest.raises(Exception, match="not in the table"):
+        engine.matches(spark.createDataFrame([("a qqq",)], "form string"), t, RuleParser(t).context("a").items).collect()
 
 
 def test_ranges_and_snapshots_agree(spark):
