@@ -13,7 +13,7 @@ from phonoweave.functions.distance import FeatureDistance, symbol_codes
 from phonoweave.functions.features import SymbolTable
 from phonoweave.operators import diagnose, engine, metrics, whatif
 from phonoweave.plans.rules import RuleParser
-from phonoweave.sources import readers
+from phonoweave.sources import lines, readers
 from phonoweave.sources.readers import Cascade, Layout
 
 
@@ -246,15 +246,20 @@ def load_table(spark: SparkSession, config: RunConfig) -> SymbolTable:
 
 
 def run(spark: SparkSession, config: RunConfig) -> Run:
-    """Reads the files, defines every symbol of the lexicon, and plans the simulation."""
+    """Reads the files, defines every symbol of the lexicon, and plans the simulation.
+
+    The lexicon may be a file, a folder or a pattern of files, of any size: its words are numbered where they are.
+    """
     table = load_table(spark, config)
     cascade = readers.read_cascade(readers.read_lines(spark, config.cascade), table)
-    lines = readers.read_lines(spark, config.lexicon)
-    first = next((x for x in lines if x.split(readers.COMMENT)[0].strip()), "")
+    text = F.trim(F.substring_index("value", readers.COMMENT, 1))
+    first = lines.first_line(spark, config.lexicon, text != "") or ""
     layout = readers.resolve_header(first, cascade)
     if config.ignore_stages:  # the columns of stages stay unread
         layout = replace(layout, cascade=replace(layout.cascade, stages=()), golds=())
-    lexicon = readers.read_lexicon(spark, lines, config.use_form_id, layout.header)
+    etyma = (text != "") & ~text.startswith(readers.BLACK) if layout.header else text != ""
+    numbered = lines.numbered_lines(spark, config.lexicon, etyma).where("line_no is not null")
+    lexicon = readers.read_lexicon(spark, lines.decomposed(numbered), config.use_form_id, layout.header)
     readers.check_columns(lexicon)
     table.prepare(readers.distinct_symbols(lexicon))
     cascade = replace(layout.cascade, table=table)

@@ -13,7 +13,9 @@ from phonoweave.functions.distance import FeatureDistance, symbol_codes
 from phonoweave.functions.inventory import letter_table, phonetic_table
 from phonoweave.operators import diagnose, engine, metrics, whatif
 from phonoweave.plans.rules import RuleParser
+from phonoweave.sources import lines
 from phonoweave.sources.readers import Cascade, read_cascade, read_lexicon
+from phonoweave.sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: A rule, and what does the same in SQL: (pattern, replacement) pairs, one after the other.
@@ -330,6 +332,33 @@ def lexicon_read(spark, sf_dir):
     return read_lexicon(spark, lines, use_form_id=True).select("etym_id", "form_id", F.col("cells")[0].alias("input"), F.col("cells")[1].alias("gold"))
 
 
+def text_export(spark: SparkSession, sf_dir: str) -> str:
+    """The lines of all documents as text files, in order of doc_id and of the lines; the files' paths are in that order."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    path = new_path(spark, "text-export")
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "pos").select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), "line").alias("value")).write.option("lineSep", "\n").text(path)
+    return path
+
+
+_EXPORT_SQL = "l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))"
+
+
+@register("numbered_lines", f"WITH {_EXPORT_SQL} SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS line_no, doc_id, strlen(line) AS n_bytes, md5(line) AS digest FROM l")
+def numbered_lines(spark, sf_dir):
+    """Every line of an export of the documents into many files, with its number in all of them."""
+    found = lines.numbered_lines(spark, text_export(spark, sf_dir))
+    line = F.expr("substring(value, instr(value, '\t') + 1)")
+    return found.select("line_no", F.substring_index("value", "\t", 1).cast("long").alias("doc_id"), F.octet_length(line).cast("long").alias("n_bytes"), F.md5(line).alias("digest"))
+
+
+@register("numbered_words", f"WITH {_EXPORT_SQL} SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS etym_id, doc_id, md5(line) AS digest FROM l WHERE contains(line, ' ')")
+def numbered_words(spark, sf_dir):
+    """Lines that count (here those with a blank) are numbered among themselves, as words of a lexicon are."""
+    line = F.expr("substring(value, instr(value, '\t') + 1)")
+    found = lines.numbered_lines(spark, text_export(spark, sf_dir), line.contains(" ")).where("line_no is not null")
+    return found.select(F.col("line_no").alias("etym_id"), F.substring_index("value", "\t", 1).cast("long").alias("doc_id"), F.md5(line).alias("digest"))
+
+
 # --- filters -------------------------------------------------------------------------------------------------------------------
 
 
