@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,10 +60,11 @@ def _each_form(made):
     return of
 
 
-def apply_cascade(df: DataFrame, cascade: Cascade, form: str = "form", rules: tuple[int, int] | None = None, stops: Sequence[int] = (), log: bool = False) -> DataFrame:
+def apply_cascade(df: DataFrame, cascade: Cascade, form: str = "form", rules: tuple[int, int] | None = None, stops: Sequence[int] = (), log: bool = False, tried: Accumulator | None = None) -> DataFrame:
     """`df` with outcome, and snaps (forms before the rules in `stops`) and log (steps that changed the form) if asked for.
 
     `rules` is the range [lo, hi) to run; all by default. Null stays null. A symbol that the table cannot read is an error.
+    `tried` counts the rules of each form that is run.
     """
     lo, hi = rules or (0, len(cascade.rules))
     own, table, places = cascade.rules[lo:hi], cascade.table, [s - lo for s in stops]
@@ -75,6 +77,8 @@ def apply_cascade(df: DataFrame, cascade: Cascade, form: str = "form", rules: tu
 
         def made(f: str) -> tuple:
             word, steps, snaps = kernel.run(own, table.word(f), places)
+            if tried is not None:
+                tried.add(len(own))
             return bare(word), [bare(s) for s in snaps], steps_of(steps, lo) if log else None
 
         of = _each_form(made)

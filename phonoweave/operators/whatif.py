@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,13 +179,16 @@ def propose(base: Cascade, edits: Sequence[Edit]) -> Hypothesis:
 _LOG = T.ArrayType(STEP)
 
 
-def run_both(df: DataFrame, h: Hypothesis, form: str = "form") -> DataFrame:
+def run_both(df: DataFrame, h: Hypothesis, form: str = "form", start: int = 0, tried: Accumulator | None = None) -> DataFrame:
     """`df` with fork (the form where the cascades part), base_outcome, base_log, hyp_outcome and hyp_log from there.
 
-    One Arrow stage for both cascades; what they have in common before the fork is run once.
+    One Arrow stage for both cascades; what they have in common before the fork is run once. The forms are those after `start`
+    rules, at most as many as come before the fork. `tried` counts the rules of each form that is run, on either side.
     """
     at, table = h.fork(), h.base.table
-    common, base, hyp = h.base.rules[:at], h.base.rules[at:], h.cascade.rules[at:]
+    if start > at:
+        raise ValueError("the cascades part before the forms' instant")
+    common, base, hyp = h.base.rules[start:at], h.base.rules[at:], h.cascade.rules[at:]
     step = pa.list_(pa.struct([("rule_idx", pa.int32()), ("before", pa.string()), ("after", pa.string())]))
     fields = (("fork", pa.string(), T.StringType()), ("base_outcome", pa.string(), T.StringType()), ("base_log", step, _LOG), ("hyp_outcome", pa.string(), T.StringType()), ("hyp_log", step, _LOG))
 
@@ -193,6 +197,8 @@ def run_both(df: DataFrame, h: Hypothesis, form: str = "form") -> DataFrame:
 
         def made(f: str) -> tuple:
             word = kernel.run(common, table.word(f))[0]
+            if tried is not None:
+                tried.add(len(common) + max(len(base), len(hyp)))
             sides = [kernel.run(rules, word) for rules in (base, hyp)]
             return bare(word), *(x for last, steps, _ in sides for x in (bare(last), steps_of(steps, at)))
 

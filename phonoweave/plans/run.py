@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from phonoweave.functions.distance import FeatureDistance, symbol_codes
 from phonoweave.functions.features import SymbolTable
-from phonoweave.operators import diagnose, engine, metrics, whatif
+from phonoweave.operators import diagnose, engine, metrics, stages, whatif
 from phonoweave.plans.rules import RuleParser
 from phonoweave.sources import lines, readers
 from phonoweave.sources.readers import Cascade, Layout
@@ -91,12 +91,14 @@ class Run:
         return symbol_codes([*table.vectors, *table.symbols.values()])
 
     def form_at(self, stage: str | None) -> Column:
-        """The words' forms at a stage, as `Input`, or (None) at the end."""
+        """The words' forms at a stage, as `Input`, at R and a number when so many rules have run, or (None) at the end."""
         if stage is None:
             return F.col("outcome")
         if stage == "Input":
             return F.col("cells")[0]
         names = [s.name for s in self.cascade.stages]
+        if stage not in names and stage[:1] == "R" and stage[1:].isdecimal() and int(stage[1:]) <= len(self.cascade.rules):
+            return stages.form_at_rule(int(stage[1:]), self.cascade)
         if stage not in names:
             raise ValueError(f"no stage {stage!r}")
         return F.col("stages")[names.index(stage)]["form"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from phonoweave.functions import columns
 from phonoweave.functions.distance import FeatureDistance, symbol_codes
 from phonoweave.functions.inventory import letter_table, phonetic_table
-from phonoweave.operators import diagnose, engine, metrics, whatif
+from phonoweave.operators import diagnose, engine, metrics, stages, whatif
 from phonoweave.plans.rules import RuleParser
 from phonoweave.sources import lines
 from phonoweave.sources.readers import Cascade, read_cascade, read_lexicon
@@ -891,3 +891,40 @@ def whatif_stages(spark, sf_dir):
     h = whatif.propose(cascade(*_STAGED_LINES), [whatif.Edit("delete", 0)])
     out = whatif.stage_results(lexicon, h, CODES, [1], 2)
     return _rounded(out, "base_acc", "hyp_acc", "base_avg_ped", "hyp_avg_ped").select("seq", "stage", F.col("base_n").alias("n"), "base_acc", "hyp_acc", "base_avg_ped", "hyp_avg_ped")
+
+
+# --- kept forms ------------------------------------------------------------------------------------------------------------------
+
+
+def _kept_sql(n: int, select: str) -> str:
+    steps = ", ".join(f"c{i + 1} AS (SELECT *, {_sql_of(f'f{i}', p)} AS f{i + 1} FROM c{i})" for i, (_, p) in enumerate(long_steps(n)))
+    return f"WITH {_WORDS_SQL}, c0 AS (SELECT word, word AS f0 FROM w), {steps} {select}"
+
+
+def _snapshots(spark, sf_dir, n: int, every: int) -> stages.Snapshots:
+    return stages.Snapshots.build(words(spark, sf_dir), cascade(*(rule for rule, _ in long_steps(n))), every)
+
+
+@register("snapshot_pivot", _kept_sql(60, "SELECT word, f37 AS form FROM c60"))
+def snapshot_pivot(spark, sf_dir):
+    """Forms when 37 of 60 rules have run, from those kept at 30."""
+    return _snapshots(spark, sf_dir, 60, 15).at(37).select("word", _plain("form").alias("form"))
+
+
+_LATE = [pair for _, pairs in long_steps(60)[51:] for pair in pairs]
+
+
+@register("snapshot_whatif", _kept_sql(60, f", h AS MATERIALIZED (SELECT word, f60 AS base_outcome, {_sql_of('f50', _LATE)} AS hyp_outcome FROM c60) SELECT * FROM h WHERE base_outcome <> hyp_outcome"))
+def snapshot_whatif(spark, sf_dir):
+    """Without rule 50 of 60: both runs begin at the forms kept at 45."""
+    kept = _snapshots(spark, sf_dir, 60, 15)
+    both = kept.run_both(whatif.propose(kept.cascade, [whatif.Edit("delete", 50)]))
+    return whatif.changed_outcomes(both, "word").select("word", _plain("base_outcome").alias("base_outcome"), _plain("hyp_outcome").alias("hyp_outcome"))
+
+
+@register("stages_side_by_side", f"WITH {_WORDS_SQL}, p AS (SELECT word, {_sql_of('word', [x for _, s in PRED for x in s])} AS pred, {_sql_of('word', [x for _, s in GOLD for x in s])} AS gold, {_sql_of('word', PRED[0][1])} AS after_first FROM w) SELECT word, after_first, pred, gold, pred = gold AS hit FROM p")
+def stages_side_by_side(spark, sf_dir):
+    """Results, golds and forms after the first rule, kept by word and joined without a shuffle."""
+    df, pred, gold = words(spark, sf_dir), cascade(*(s for s, _ in PRED)), cascade(*(s for s, _ in GOLD))
+    outcome = lambda c, name, rules=None: stages.keep(engine.apply_cascade(df, c, rules=rules).select("word", _plain("outcome").alias(name)), "word", name)
+    return stages.side_by_side([outcome(pred, "after_first", (0, 1)), outcome(pred, "pred"), outcome(gold, "gold")]).withColumn("hit", F.col("pred") == F.col("gold"))
