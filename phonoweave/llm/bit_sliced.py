@@ -113,7 +113,9 @@ def _vectors(batch: pa.RecordBatch) -> np.ndarray:
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, vector: array<double>) of the rows that take part."""
     v = F.col(vector_col).cast("array<double>")
-    fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    # the greatest square of a component, times their number, bounds every score of two such vectors
+    most = F.sqrt(F.lit(float(1 << 62)) / F.size(v)) / SCALE - 2
+    fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > most))
     return table.where(F.col(id_col).isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).alias("id"), v.alias("vector"))
 
 
@@ -122,7 +124,9 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
 
     Components become floor(1024 * x). A row is no candidate for a query of its own id. Ties go to the smaller id, and
     repeated rows of one id count once for each row, in any order. Fewer candidates than k give fewer rows. Vectors that are
-    null, empty, or hold null or non-finite components take no part; vectors of another length than the query's are no
+    null, empty, or hold null or non-finite components take no part, nor do those with a component so great that a score of two
+    such vectors of that length might leave 64 bits (beyond sqrt(2^62 / length) / 1024 - 2, some 260,000 at 64 components);
+    vectors of another length than the query's are no
     candidates for it. Blocks of queries meet those of the index by a join on the index's part number, so the work is split
     over both; each pair of blocks emits at most k rows a query, which are merged in groups of parts and then in full.
     """

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,22 +11,14 @@ from .common import Stored
 from .token_counts import count_tokens
 
 BUCKETS, BUDGET = 12, 16_384
-#: Lengths up to 2^EXACT_BITS have a bin each; longer ones share bins of a relative width of 2^(1 - EXACT_BITS) at most.
-EXACT_BITS = 10
-#: Rows that one sort brings together.
-SLOT_ROWS = 20_000
-
-
-def bin_of(length: Column) -> Column:
-    """The bin of a length, bounded in number (about 28,000 for all 64-bit lengths) and in order of length."""
-    shift = F.greatest(F.lit(0), F.length(F.bin(length)) - EXACT_BITS).cast("long")
-    return shift * (1 << EXACT_BITS) + F.floor(length / F.pow(F.lit(2.0), shift))
+#: Rows that one sort brings together, and equal rows that are dealt together.
+SLOT_ROWS, ALIKE_ROWS = 20_000, 1000
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
     """Upper boundaries of at most `buckets` buckets with the least sum of boundary * count.
 
-    `lengths` ascend: the greatest length of each bin, `counts` its rows. best(j) = min over i of best'(i) + length(j) * rows
+    `lengths` ascend and have `counts` rows each. best(j) = min over i of best'(i) + length(j) * rows
     between; as the cost is of Monge type, the best i does not fall with j, and each layer is solved by halving.
     """
     n = len(lengths)
@@ -62,27 +54,30 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndar
     return np.array(sorted(set(out)))
 
 
-def token_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id and n_tokens of the whole text, by the tokenizer; null has none."""
-    return count_tokens(docs.select("doc_id", "text"), tokenizer_path).select("doc_id", "n_tokens")
+def token_lengths(docs: DataFrame, tokenizer_path: str, key: str | None = None) -> DataFrame:
+    """doc_id and n_tokens of the whole text, by the tokenizer; null has none. With `key` a column of that name tells the texts
+    of one id apart: their MD5 digest, null for null."""
+    counted = count_tokens(docs.select("doc_id", "text"), tokenizer_path)
+    return counted.select("doc_id", *([F.md5(F.encode("text", "UTF-8")).alias(key)] if key else []), "n_tokens")
 
 
 def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """doc_id, n_tokens, bucket (from 0), bucket_len, batch_id for every row of `lengths` (doc_id, n_tokens).
-
-    The histogram over all rows is bounded in bins, and the driver gets it alone. A batch holds at most budget // bucket_len
-    rows, so that padded to bucket_len it keeps the budget; a row longer than the budget is a batch of its own. Within a
-    bucket, rows are dealt by a hash of doc_id into slots of about SLOT_ROWS rows, and each slot forms its batches in order of
-    doc_id and length, so no bucket is sorted in one task; rows without an id are dealt by their place in the table. A null
-    length counts as 0, and a row of length 0 takes a place like any other. Repeated rows, which are alike, count each; an
-    empty table gives an empty result.
+    """The columns of `lengths` (doc_id, n_tokens, ...), and bucket (from 0), bucket_len, batch_id, for every row.
+
+    The histogram of lengths over all rows is what the driver gets; it has at most as many entries as the longest row has
+    tokens, each length has its own, and so the boundaries are optimal. A batch holds at most budget // bucket_len rows, so
+    that padded to bucket_len it keeps the budget; a row longer than the budget is a batch of its own. Equal rows are counted,
+    and dealt ALIKE_ROWS at a time. Within a bucket, what is dealt goes by a hash into slots of about SLOT_ROWS rows, each of
+    which forms its batches in order of its columns, so that no bucket or id is sorted in one task and a lost task is made
+    again as it was. A null length counts as 0, and a row of length 0 takes a place like any other. Rows without an id are
+    dealt like others. An empty table gives an empty result. Columns named like the new ones are replaced.
     """
-    rows = lengths.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
-    histogram = rows.groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n")).collect()
-    histogram.sort(key=lambda r: r.top)
+    names = [c for c in lengths.columns if c not in ("bucket", "bucket_len", "batch_id")]
+    rows = lengths.select(*names).withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)).cast("long"))
+    histogram = sorted(rows.groupBy("n_tokens").agg(F.count("*").alias("n")).collect())
     if not histogram:
-        return rows.select("doc_id", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_len"), F.lit("").alias("batch_id"))
-    tops, counts = np.array([r.top for r in histogram], np.int64), np.array([r.n for r in histogram], np.int64)
+        return rows.select(*names, F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_len"), F.lit("").alias("batch_id"))
+    tops, counts = np.array([r.n_tokens for r in histogram], np.int64), np.array([r.n for r in histogram], np.int64)
     ends = boundaries(tops, counts, buckets)
     bucket = slots = capacity = end_of = None
     for i, end in reversed([*enumerate(ends.tolist())]):
@@ -90,12 +85,15 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
         values = (i, max(1, -(-int(counts[inside].sum()) // SLOT_ROWS)), max(1, budget // max(1, end)), end)
         here = F.col("n_tokens") <= end
         bucket, slots, capacity, end_of = (F.lit(v) if x is None else F.when(here, v).otherwise(x) for v, x in zip(values, (bucket, slots, capacity, end_of), strict=True))
-    placed = rows.select("doc_id", "n_tokens", bucket.alias("bucket"), end_of.cast("long").alias("bucket_len"), capacity.alias("capacity"), F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), slots.cast("long")).alias("slot"))
-    order = F.row_number().over(Window.partitionBy("bucket", "slot").orderBy("doc_id", "n_tokens")) - 1
-    numbered = placed.withColumn("batch", F.floor(order / F.col("capacity")))
-    return numbered.select("doc_id", "n_tokens", "bucket", "bucket_len", F.concat_ws("-", "bucket", "slot", "batch").alias("batch_id"))
+    alike = rows.groupBy(*names).agg(F.count("*").alias("_n"))
+    dealt = alike.select("*", F.explode(F.expr(f"sequence(0, (_n - 1) div {ALIKE_ROWS})")).alias("_deal")).withColumn("_copies", F.least(F.lit(ALIKE_ROWS), F.col("_n") - F.col("_deal") * ALIKE_ROWS))
+    spread = F.xxhash64(*(x for c in names for x in (F.col(c).isNull(), F.col(c))), F.col("_deal"))
+    placed = dealt.withColumns({"bucket": bucket, "bucket_len": end_of.cast("long"), "_room": capacity, "_slot": F.pmod(spread, slots.cast("long"))})
+    before = F.sum("_copies").over(Window.partitionBy("bucket", "_slot").orderBy(*names, "_deal").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_copies")
+    each = placed.withColumn("_before", before).withColumn("_i", F.explode(F.expr("sequence(0, _copies - 1)")))
+    return each.select(*names, "bucket", "bucket_len", F.concat_ws("-", "bucket", "_slot", F.floor((F.col("_before") + F.col("_i")) / F.col("_room"))).alias("batch_id"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, buckets: int = BUCKETS, budget: int = BUDGET, key: str | None = None) -> DataFrame:
     """pack() of the token counts of `docs` (doc_id, text); the counts are written once, as two steps read them."""
-    return pack(Stored(token_lengths(docs, tokenizer_path), "lengths").df, buckets, budget)
+    return pack(Stored(token_lengths(docs, tokenizer_path, key), "lengths").df, buckets, budget)

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -187,8 +188,29 @@ def test_packing(spark):
     assert lengths == dict(enumerate(library([t or "" for t in ODD])))
     nameless = packing.pack(spark.createDataFrame([(None, 10)] * 300, "doc_id long, n_tokens long").repartition(3), 2, 100).groupBy("batch_id").count().collect()
     assert sum(r["count"] for r in nameless) == 300 and max(r["count"] for r in nameless) <= 10
-    bins = spark.createDataFrame([(0,), (1,), (1023,), (1024,), (1025,), (10**6,), (2**40,)], "n long").select("n", packing.bin_of(F.col("n")).alias("b")).orderBy("n").collect()
-    assert [r.b for r in bins] == sorted(r.b for r in bins) and len({r.b for r in bins[:4]}) == 4
+
+
+def test_packing_deals_one_id_over_slots(spark):
+    """60,000 rows of one id go to several slots; all rows are there, batches are full but for one a slot, and the same each time."""
+    df = spark.createDataFrame([(7, 10, "x")], "doc_id long, n_tokens long, batch string").withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(60_000)))).drop("_")
+    rows = [sorted(packing.pack(part, 2, 1000).groupBy("batch_id").count().collect()) for part in (df, df.repartition(7))]
+    assert rows[0] == rows[1] and sum(r["count"] for r in rows[0]) == 60_000 and max(r["count"] for r in rows[0]) == 100
+    slots = {r.batch_id.rsplit("-", 1)[0] for r in rows[0]}
+    assert len(slots) == 3 and sum(r["count"] < 100 for r in rows[0]) <= 3
+
+
+def test_optimal_boundaries_of_long_lengths(spark):
+    """Every length up to 5,000 tokens may be a boundary: the cost is that of a plain dynamic program."""
+    rng = random.Random(6)
+    sizes = [rng.choice([rng.randint(0, 300), rng.randint(900, 5000)]) for _ in range(400)]
+    for buckets in (1, 3, 6):
+        rows = packing.pack(spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n_tokens long"), buckets, 10**6).collect()
+        lengths = sorted(set(sizes))
+        counts = [sizes.count(x) for x in lengths]
+        best = [0.0] + [float("inf")] * len(lengths)
+        for _ in range(buckets):
+            best = [0.0] + [min(best[i] + lengths[j] * sum(counts[i : j + 1]) for i in range(j + 1)) for j in range(len(lengths))]
+        assert sum(r.bucket_len for r in rows) == best[-1] and len({r.bucket for r in rows}) <= buckets
 
 
 # --- 2 ---------------------------------------------------------------------------------------------------------------------------
@@ -334,6 +356,17 @@ def test_top_k(spark, block, monkeypatch):
     assert bit_sliced.top_k(df, none).count() == 0 and bit_sliced.top_k(none, df).count() == 0 and bit_sliced.top_k(none, none).count() == 0
 
 
+def test_top_k_of_great_components(spark):
+    """Scores up to 62 bits are exact; vectors whose scores might leave 64 bits take no part."""
+    most = math.isqrt((1 << 62) // 2) / 1024
+    rows = [(0, [most - 4, 1.0]), (1, [most - 4, -(most - 4)]), (2, [-(most - 4), most - 4]), (3, [1e300, 0.0]), (4, [3e9, 3e9]), (5, [0.5, 0.5]), (6, [-1e300, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    fine = {i: [math.floor(1024 * x) for x in v] for i, v in rows if i not in (3, 4, 6)}
+    got = {(r.query_id, r.vec_id): r.score for r in bit_sliced.top_k(df, df, 10).collect()}
+    assert got == {(a, b): sum(x * y for x, y in zip(fine[a], fine[b], strict=True)) for a in fine for b in fine if a != b}
+
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------------------
 
 PIECES = ["a", "s", "t", "re", "'", "'s", "'ll", "'VE", " ", "  ", "\n", "\t", "1", "²", "é", "ﬁ", "中", ".", "!!", "<|endoftext|>", "<|endof", "the", "don't", "\x1c", "\x85", " ", "_", "😀", "Ab", "\0", "́", "　"]
