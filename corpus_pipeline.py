@@ -5,38 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonoweave.llm import language_id, line_dedup, mixing, ngram_join, packing
+from phonoweave.llm import language_id, line_dedup, mixing, packing, rows
 from phonoweave.llm.common import Stored, table
 from phonoweave.llm.queries import MIN_KNOWN, TARGETS, TOKEN_BUDGET, domain, tokenizer
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with text in a learned language. Those without a letter, or with fewer known letters than MIN_KNOWN, go."""
-    found = language_id.identify(docs, language_id.fit(docs), known=True)
-    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("known") >= MIN_KNOWN)).select(*docs.columns)
+    """Documents with text in a learned language. Those without a letter, or with fewer known letters than MIN_KNOWN, go.
+
+    All columns stay as they were, whatever their names.
+    """
+    found = language_id.identify(rows.held(docs, "text"), language_id.fit(docs), known=True)
+    kept = found.where((F.col("lang_pred") != language_id.UND) & (F.col("known") >= MIN_KNOWN))
+    return rows.given_back(kept, docs, text=F.col("text"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each line that ten documents or more have left once, in the least doc_id; n_chars follows the text.
 
-    All documents stay, those without a line left as empty ones.
+    All documents stay, those without a line left as empty ones, and so do all other columns.
     """
-    kept = line_dedup.dedup_lines(docs, min_docs=10, keep="first", min_chars=1)
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    kept = line_dedup.dedup_lines(rows.held(docs, "doc_id", "text"), min_docs=10, keep="first", min_chars=1)
+    follows = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return rows.given_back(kept, docs, doc_id=F.col("doc_id"), text=F.col("text"), **follows)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of least doc_id, one without an id only if none has one.
 
-    Rows equal in id and text are one document. Rows are named by a 64-bit hash of both, so that differing texts of one id
-    and texts without an id are compared like any others.
+    Rows equal in id and text are one document; differing texts of one id and texts without an id are compared like any others.
     """
-    own = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    found = ngram_join.near_duplicates(own.select(F.col("_row").alias("doc_id"), "text"), words=5, percent=80)
-    groups = found.select(F.col("doc_id").alias("_row"), "component_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row").alias("_row")))
-    heads = groups.join(own.select("_row", "doc_id").distinct(), "_row").groupBy("component_id").agg(first.alias("head")).select("head._row")
-    return own.join(heads, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return rows.one_of_each(docs, words=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +45,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The batch of each document."""
-    return packing.pack_documents(docs, tokenizer())
+    """The batch of each row. text_md5 tells which of the texts of an id it is; rows equal in both are alike."""
+    return packing.pack_documents(docs, tokenizer(), key="text_md5")
 
 
 STAGES = [
