@@ -2,6 +2,7 @@
 
 import base64
 import glob
+import hashlib
 import random
 
 import pytest
@@ -131,8 +132,10 @@ def test_mixing_stage(spark, tmp_path):
 def test_packing_stage(spark):
     rng = random.Random(8)
     texts = [" ".join(["word"] * rng.randint(0, 900)) for _ in range(150)] + [None, "", "same", "same", "long " * 20_000]
-    rows = pipeline.packing_stage(spark, docs(spark, [*enumerate(texts), (None, "same"), (3, texts[3])]), "").collect()
-    assert sorted(r.n_tokens for r in rows) == sorted(tokens([t or "" for t in [*texts, "same", texts[3]]]))
+    rows = pipeline.packing_stage(spark, docs(spark, [*enumerate(texts), (None, "same"), (3, texts[3]), (4, "another text of an id")]), "").collect()
+    digest = lambda t: None if t is None else hashlib.md5(t.encode()).hexdigest()
+    assert sorted((str(r.doc_id), str(r.text_md5)) for r in rows) == sorted((str(i), str(digest(t))) for i, t in [*enumerate(texts), (None, "same"), (3, texts[3]), (4, "another text of an id")])
+    assert sorted(r.n_tokens for r in rows) == sorted(tokens([t or "" for t in [*texts, "same", texts[3], "another text of an id"]]))
     batches = {}
     for r in rows:
         batches.setdefault(r.batch_id, []).append(r)
@@ -176,3 +179,16 @@ def test_run_keeps_what_is_clean(spark, tmp_path):
 def test_run_on_empty_tables(spark, tmp_path):
     tables(spark, tmp_path, [], [])
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_of_their_own_names(spark, tmp_path):
+    """Columns named like those that the operators add come out as they went in."""
+    rows, labels, _ = corpus(80)
+    clash = "score,known,lang_pred,_row,row,r,w,n_lines,n_dropped,component_id,n_shingles,p,rate,times,u,copy"
+    kept = tables(spark, tmp_path, [(i, t + " the and of", *x) for i, t, *x in rows], labels, clash)
+    for i, (name, stage) in enumerate(pipeline.STAGES[:-1]):
+        out = stage(spark, kept, str(tmp_path))
+        assert out.columns == kept.columns, name
+        out.write.parquet(f"{tmp_path}/{i}")
+        kept = spark.read.parquet(f"{tmp_path}/{i}")
+        assert not kept.where(" or ".join(f"{c} <> 1 or {c} is null" for c in clash.split(","))).count() and kept.count() > 20, name
