@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -161,21 +163,35 @@ def top_predictors(scores: DataFrame, n: int = 5) -> DataFrame:
     return ranked.where((F.col("score") > MIN_SCORE) & ((F.col("rank") <= n) | (F.col("kind_rank") == 1)))
 
 
+def scope(matched: DataFrame, lengths: str = "length", by: Sequence[str] = ()) -> DataFrame:
+    """(by..., side, radius): how far to look on each side (s before a match, e after it), for each group, in one job.
+
+    A side is widened from 1 until over SCOPE_SHARE of the rows have a match that begins (ends) so near the word's edge, or
+    else to MAX_RADIUS + 1. Counts by radius are summed up by a running window; rows without a
+    match count among the rows.
+    """
+    def near(side: str, place: Callable[[Column], Column]) -> Column:
+        places = F.transform("bounds", place)
+        return F.array(*(F.struct(F.lit(side).alias("side"), F.lit(r).alias("r"), F.size(F.filter(places, lambda x: x == F.lit(r))).cast("long").alias("n")) for r in range(MAX_RADIUS + 1)))  # noqa: B023
+
+    each = F.concat(near("s", lambda b: b["start"]), near("e", lambda b: F.col(lengths) - b["end"]))
+    counts = matched.select(*by, F.explode(each).alias("x")).groupBy(*by, "x.side", "x.r").agg(F.sum("x.n").alias("n"), F.count("*").alias("total"))
+    running = Window.partitionBy(*by, "side").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)  # a row a radius
+    reached = counts.withColumn("seen", F.sum("n").over(running)).withColumn("enough", (F.col("r") > 0) & (F.col("seen") / F.col("total") > SCOPE_SHARE))
+    return reached.groupBy(*by, "side").agg(F.coalesce(F.min(F.when(F.col("enough"), F.col("r"))), F.lit(MAX_RADIUS + 1)).alias("radius"))
+
+
 def autopsy_scope(matched: DataFrame, lengths: str = "length") -> tuple[int, int]:
-    """Relative places to look at: each side is widened until over 32 % of the words have a match beginning (ending) within."""
-    counts = matched.select(F.explode("bounds").alias("b"), lengths).select(F.col("b.start").alias("s"), (F.col(lengths) - F.col("b.end")).alias("e"))
-    row = counts.agg(*(F.count_if(F.col(c) == r).alias(f"{c}{r}") for c in "se" for r in range(MAX_RADIUS + 1))).first()
-    total = matched.count()
-    out = []
-    for c in "se":
-        seen, radius = row[f"{c}0"], 1
-        while radius <= MAX_RADIUS:
-            seen += row[f"{c}{radius}"]
-            if not total or seen / total > SCOPE_SHARE:
-                break
-            radius += 1
-        out.append(radius)
-    return -out[0], out[1]
+    """scope() without groups as relative places (before, after); (-1, 1) without rows."""
+    found = {r.side: r.radius for r in scope(matched, lengths).collect()}  # two rows
+    return -found.get("s", 1), found.get("e", 1)
+
+
+def contexts_in_scope(matched: DataFrame, table: SymbolTable, lengths: str = "length", form: str = "form") -> DataFrame:
+    """contexts() as far as scope() reaches on each side, planned in one: the scope is a join of two rows, not a number."""
+    ctx = contexts(matched, table, [o for o in range(-MAX_RADIUS - 1, MAX_RADIUS + 2) if o], form)
+    side = F.when(F.col("rel_pos") < 0, "s").otherwise("e")
+    return ctx.withColumn("side", side).join(F.broadcast(scope(matched, lengths)), "side").where("abs(rel_pos) <= radius").drop("side", "radius")
 
 
 def subset_shares(df: DataFrame, inside: Column, miss: Column) -> DataFrame:

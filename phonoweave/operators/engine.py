@@ -287,8 +287,8 @@ def find_sequence(form, sequence: Sequence[str], last: bool = False):
 
 
 def word_lookup(df: DataFrame, form: str, query: str, key: str = "etym_id") -> DataFrame:
-    """The keys of the rows of a form, as one sorted list."""
-    return df.where(F.col(form) == query).agg(F.array_sort(F.collect_list(key)).alias("keys"))
+    """(key): a row for each row of a form."""
+    return df.where(F.col(form) == query).select(key)
 
 
 def kernel_once(rule: Rule, table: SymbolTable, text: str) -> str:

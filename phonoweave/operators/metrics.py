@@ -135,6 +135,14 @@ def phone_docfreq(df: DataFrame, form: str = "form") -> DataFrame:
     return df.select(F.explode(parts).alias("sym")).groupBy("sym").agg(F.count("*").alias("n_words"))
 
 
+def vector_docfreq(df: DataFrame, table: SymbolTable, form: str = "form") -> DataFrame:
+    """(fv, n_words): in how many words a phone of a vector is, whatever its symbols; a word counts once for a vector."""
+    vectors = F.create_map(*(F.lit(x) for kv in table.vectors.items() for x in kv))
+    parts = F.filter(F.split(form, " "), lambda x: ~x.isin("#", "+", ""))
+    own = F.array_distinct(F.transform(parts, lambda x: F.element_at(vectors, x)))
+    return df.select(F.explode(own).alias("fv")).where("fv is not null").groupBy("fv").agg(F.count("*").alias("n_words"))
+
+
 def inventory(df: DataFrame, key: str, form: str = "form") -> DataFrame:
     """(sym, rank): phones in the order in which they are first met, by key and position."""
     first = phones(df, form, key).groupBy("sym").agg(F.min(F.struct(key, "pos")).alias("at"))

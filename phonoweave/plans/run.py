@@ -209,8 +209,7 @@ class Session:
             raise ValueError("set a filter first")
         table = self.run.cascade.table
         found = engine.matches(self.pairs().where("form is not null"), table, self.items).withColumn("miss", F.col("ld") > 0)
-        lo, hi = diagnose.autopsy_scope(found.withColumn("length", F.size(F.split("form", " ")) + 2))
-        ctx = diagnose.contexts(found, table, [x for x in range(lo, hi + 1) if x])
+        ctx = diagnose.contexts_in_scope(found.withColumn("length", F.size(F.split("form", " ")) + 2), table)
         return diagnose.top_predictors(diagnose.scored(diagnose.contingency(ctx), mode), n)
 
     def shares(self) -> DataFrame:

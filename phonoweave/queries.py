@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from phonoweave.functions import columns
 from phonoweave.functions.distance import FeatureDistance, symbol_codes
 from phonoweave.functions.inventory import letter_table, phonetic_table
-from phonoweave.operators import diagnose, engine, metrics, stages, whatif
+from phonoweave.operators import bitmaps, diagnose, engine, metrics, stages, tiles, whatif
 from phonoweave.plans.rules import RuleParser
 from phonoweave.sources import lines
 from phonoweave.sources.readers import Cascade, read_cascade, read_lexicon
@@ -315,11 +315,11 @@ def rule_lookup(spark, sf_dir):
     return c.rules_df(spark).where(F.col("canonical").contains("h >")).select("rule_idx", "canonical")
 
 
-@register("word_lookup", "SELECT array_to_string(list_sort(list(p_partkey)), ',') AS keys FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
+@register("word_lookup", "SELECT p_partkey FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
 def word_lookup(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     least = part.agg(F.min("p_name")).first()[0]
-    return engine.word_lookup(part, "p_name", least, "p_partkey").select(F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
+    return engine.word_lookup(part, "p_name", least, "p_partkey")
 
 
 @register("lexicon_read", "SELECT CAST(p_partkey - 1 AS BIGINT) AS etym_id, CAST(p_partkey AS VARCHAR) AS form_id, array_to_string(regexp_extract_all(regexp_replace(lower(p_name), '[^a-z]', '', 'g'), '.'), ' ') AS input, CASE WHEN p_partkey % 3 = 0 THEN '--' ELSE array_to_string(regexp_extract_all(regexp_replace(lower(p_type), '[^a-z]', '', 'g'), '.'), ' ') END AS gold FROM part")
@@ -928,3 +928,129 @@ def stages_side_by_side(spark, sf_dir):
     df, pred, gold = words(spark, sf_dir), cascade(*(s for s, _ in PRED)), cascade(*(s for s, _ in GOLD))
     outcome = lambda c, name, rules=None: stages.keep(engine.apply_cascade(df, c, rules=rules).select("word", _plain("outcome").alias(name)), "word", name)
     return stages.side_by_side([outcome(pred, "after_first", (0, 1)), outcome(pred, "pred"), outcome(gold, "gold")]).withColumn("hit", F.col("pred") == F.col("gold"))
+
+
+# --- rows of one word, sheets of all words -----------------------------------------------------------------------------------------
+
+
+@register("word_derivation", f"WITH {_WORDS_SQL}, {_chain(_STAGED)}, {_LOG_SQL} SELECT * FROM log WHERE word = (SELECT max(word) FROM log)")
+def word_derivation(spark, sf_dir):
+    """All steps laid out by word; those of the last word, of which one row group is read."""
+    path = new_path(spark, "derivations")
+    tiles.write_by_key(derivation_log(spark, sf_dir), path, "word")
+    last = spark.read.parquet(path).agg(F.max("word")).first()[0]  # from the files' statistics
+    return tiles.lookup(spark, path, "word", last)
+
+
+_TILE = 8
+
+
+@register(
+    "rule_tiles",
+    f"WITH {_WORDS_SQL}, {_chain(_STAGED)}, {_LOG_SQL}, n AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS n FROM (SELECT DISTINCT word FROM log)) "
+    f"SELECT n // {_TILE} AS tile, rule_idx, " + ", ".join(f"max(after) FILTER (WHERE n % {_TILE} = {i}) AS c{i}" for i in range(_TILE)) + " FROM log JOIN n USING (word) GROUP BY ALL",
+)
+def rule_tiles(spark, sf_dir):
+    """The sheet of rules by all words that change, eight words a tile."""
+    return tiles.rule_tiles(derivation_log(spark, sf_dir), _TILE, "word")
+
+
+# --- predictors by bitmaps, the scope of an autopsy ----------------------------------------------------------------------------------
+
+_FILTERS: dict[str, tuple[tuple[bitmaps.Holds, ...], str]] = {
+    "consonant first": ((bitmaps.Holds(1, "-syl"),), "regexp_matches(word, '^[^aeiou]')"),
+    "closed, not after t": ((bitmaps.Holds(-1, "-syl"), bitmaps.Holds(1, "t", absent=True)), "regexp_matches(word, '[^aeiou]$') AND substr(word, 1, 1) <> 't'"),
+    "vowel to e": ((bitmaps.Holds(1, "+syl"), bitmaps.Holds(-1, "e")), "regexp_matches(word, '^[aeiou]') AND word LIKE '%e'"),
+}
+_FILTERED_SQL = " UNION ALL ".join(f"SELECT '{name}' AS filter, word, ld FROM p WHERE {sql}" for name, (_, sql) in _FILTERS.items())
+
+
+def _index(spark, sf_dir) -> DataFrame:
+    return bitmaps.build_index(pairs(words(spark, sf_dir)).select("form", (F.col("ld") > 0).alias("miss")), letter_table())
+
+
+@register(
+    "predictor_bitmaps",
+    f"WITH {_WORDS_SQL}, {_pairs_sql('w')}, {_specs_sql()}, f AS ({_FILTERED_SQL}), "
+    "t AS (SELECT filter, count(*) AS n, count(*) FILTER (WHERE ld > 0) AS misses FROM f GROUP BY filter), "
+    "o AS (SELECT filter, word, ld, unnest([-3, -2, -1, 1, 2, 3]) AS place FROM f), "
+    "s AS (SELECT filter, ld, place, CASE WHEN place > 0 THEN substr(word, place, 1) ELSE substr(word, length(word) + 1 + place, 1) END AS sym FROM o WHERE length(word) >= abs(place)), "
+    "e AS (SELECT filter, ld, place, sym AS predictor FROM s UNION ALL SELECT filter, ld, place, spec FROM s JOIN specs USING (sym)), "
+    "c AS (SELECT filter, place, predictor, count(*) AS have, count(*) FILTER (WHERE ld > 0) AS n11 FROM e GROUP BY ALL) "
+    "SELECT filter, CAST(place AS INTEGER) AS place, predictor, n11, have - n11 AS n10, CAST(misses - n11 AS BIGINT) AS n01, n - misses - (have - n11) AS n00 FROM c JOIN t USING (filter)",
+)
+def predictor_bitmaps(spark, sf_dir):
+    """Three filters, one index."""
+    index = _index(spark, sf_dir)
+    out = [bitmaps.contingency(index, holds).select(F.lit(name).alias("filter"), "*") for name, (holds, _) in _FILTERS.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@register(
+    "subset_bitmaps",
+    f"WITH {_WORDS_SQL}, {_pairs_sql('w')}, f AS ({_FILTERED_SQL}), a AS (SELECT count(*) AS n, count(*) FILTER (WHERE ld > 0) AS n_miss FROM p), "
+    "s AS (SELECT filter, count(*) AS n_in, count(*) FILTER (WHERE ld > 0) AS n_in_miss FROM f GROUP BY filter) "
+    "SELECT filter, n, n_in, n_miss, n_in_miss, round(n_in / n, 8) AS share, round(n_in_miss / n_miss, 8) AS error_share FROM s, a",
+)
+def subset_bitmaps(spark, sf_dir):
+    index = _index(spark, sf_dir)
+    out = [bitmaps.subset(index, holds).select(F.lit(name).alias("filter"), "*") for name, (holds, _) in _FILTERS.items()]
+    return _rounded(out[0].unionByName(out[1]).unionByName(out[2]), "share", "error_share")
+
+
+@register(
+    "autopsy_scope",
+    f"WITH {_WORDS_SQL}, t AS (SELECT substr(word, 1, 1) AS initial, count(*) AS total FROM w GROUP BY 1), m AS (SELECT substr(word, 1, 1) AS initial, length(word) AS l, unnest(range(1, length(word) + 1)) AS i, word FROM w), "
+    "e AS (SELECT initial, i, l + 1 - i AS j FROM m WHERE substr(word, i, 1) = 'e'), r AS (SELECT unnest([1, 2, 3]) AS r), sides AS (SELECT unnest(['s', 'e']) AS side), "
+    "c AS (SELECT t.initial, side, r, any_value(total) AS total, count(e.initial) FILTER (WHERE CASE WHEN side = 's' THEN i ELSE j END <= r) AS seen FROM t CROSS JOIN sides CROSS JOIN r LEFT JOIN e ON e.initial = t.initial GROUP BY ALL) "
+    "SELECT initial, side, CAST(coalesce(min(r) FILTER (WHERE seen / total > 0.32), 4) AS INTEGER) AS radius FROM c GROUP BY ALL",
+)
+def autopsy_scope(spark, sf_dir):
+    """How far to look around every e, for words of each first letter: running counts by radius, for all groups in one job."""
+    found = engine.matches(words(spark, sf_dir), letter_table(), pattern("e"))
+    rows = found.select(F.substring("word", 1, 1).alias("initial"), "bounds", (F.length("word") + 2).alias("length"))
+    return diagnose.scope(rows, by=["initial"])
+
+
+# --- reports in full ---------------------------------------------------------------------------------------------------------------
+
+_TITLED = [("exact", "acc"), ("within one phone", "acc1"), ("within two phones", "acc2"), ("mean phone distance", "avg_ped")]
+
+
+def _report_sql(value: str) -> str:
+    return " || chr(10) || ".join(f"rpad('{title}', 24, ' ') || {value.replace('@', name)}" for title, name in _TITLED)
+
+
+@register("accuracy_report_text", f"WITH {_WORDS_SQL}, {_pairs_sql('w')}, a AS (SELECT {_ACC_SQL.replace(', 8)', ', 15)')} FROM p) SELECT {_report_sql("format('{:.8f}', @)")} AS text FROM a")
+def accuracy_report_text(spark, sf_dir):
+    return metrics.accuracy_report(metrics.accuracy(pairs(words(spark, sf_dir))))
+
+
+_SIDE_SQL = ", ".join(f"avg(CASE WHEN {s}l <= {k} THEN 1.0 ELSE 0 END) AS {s}_{n}" for s in "bh" for n, k in (("acc", 0), ("acc1", 1), ("acc2", 2))) + ", " + ", ".join(f"avg({s}l / length(gold)) FILTER (WHERE length(gold) > 0) AS {s}_avg_ped" for s in "bh")
+
+
+@register(
+    "comparative_report",
+    f"WITH {_WORDS_SQL}, {_pairs_sql('w')}, c AS (SELECT gold, levenshtein(pred, gold) AS bl, levenshtein(replace(pred, 'h', ''), gold) AS hl FROM p), a AS (SELECT {_SIDE_SQL} FROM c) SELECT {_report_sql("format('{:.8f} -> {:.8f}', b_@, h_@)")} AS text FROM a",
+)
+def comparative_report(spark, sf_dir):
+    """All scores of two cascades against the same golds, as text."""
+    made = {"pred": cascade(*(s for s, _ in PRED)), "hyp": cascade(*(s for s, _ in PRED), "h > ∅"), "gold": cascade(*(s for s, _ in GOLD))}
+    return metrics.comparative_report(metrics.paired_accuracy(engine.apply_many(words(spark, sf_dir), made), CODES))
+
+
+@register(
+    "analysis_file_fed",
+    f"WITH RECURSIVE {_WORDS_SQL}, {_pairs_sql('w')}, {_fed_sql()}, c AS (SELECT word, gold, ld, ped, fed, unnest(range(1, length(gold) + 1)) AS i FROM p JOIN al USING (pred, gold) WHERE pred <> '' AND gold <> ''), "
+    "e AS (SELECT DISTINCT word, substr(gold, i, 1) AS sym, ld, ped, fed FROM c) SELECT sym, round(avg(CASE WHEN ld > 0 THEN 1.0 ELSE 0 END), 8) AS error_rate, round(avg(ld), 8) AS mean_ld, round(avg(ped), 8) AS mean_ped, round(avg(fed), 8) AS mean_fed FROM e GROUP BY sym",
+)
+def analysis_file_fed(spark, sf_dir):
+    """The analysis file with all of its columns."""
+    rows = metrics.with_fed(pairs(words(spark, sf_dir)).where("pred <> '' and gold <> ''"), letter_table(), _DISTANCE)
+    return _rounded(metrics.analysis_file(rows), "error_rate", "mean_ld", "mean_ped", "mean_fed")
+
+
+@register("vector_docfreq", f"WITH {_WORDS_SQL}, {_CHARS}, v(sym, fv) AS (VALUES {', '.join(f"('{s}', '{v}')" for s, v in letter_table().vectors.items())}) SELECT fv, count(DISTINCT word) AS n_words FROM c JOIN v ON sym = substr(word, i, 1) GROUP BY fv")
+def vector_docfreq(spark, sf_dir):
+    """In how many words a phone of each vector is."""
+    return metrics.vector_docfreq(words(spark, sf_dir), letter_table())
