@@ -1,6 +1,7 @@
 """Rule semantics: words of our own for every rule class, contexts, alpha values, and a brute-force comparison."""
 
 import random
+import time
 import unicodedata
 
 import pytest
@@ -227,3 +228,18 @@ def test_rules_that_cannot_apply_are_left_out():
 def test_unchanged_word_is_the_same_object():
     k, w = Kernel(TABLE), TABLE.word("a b a")
     assert k.apply(RuleParser(TABLE).parse("t > d")[0], w) is w
+
+
+def test_long_words_and_nested_groups_take_linear_work():
+    """Long runs under repeated groups neither recurse nor try a place twice."""
+    parser = RuleParser(TABLE)
+    long = TABLE.word("n " * 20_000 + "t")
+    assert match_bounds(parser.context("( n )* t").items, long) == [(1, 20_002)]
+    assert match_bounds(parser.context("d ( n )* t").items, TABLE.word("d " + "n " * 20_000)) == []
+    began = time.perf_counter()
+    for pattern in ("( ( n )* )* d", "( ( n )* ( n )* )* d", "( ( ( n )* )* )+ d"):
+        context = parser.context(pattern)
+        assert context.after(TABLE.word("n " * 2000), 1, {}) is None
+        assert context.after(TABLE.word("n " * 2000 + "d"), 1, {}) == {}
+        assert context.before(TABLE.word("n " * 300), 300, {}) is None
+    assert time.perf_counter() - began < 20
