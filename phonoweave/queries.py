@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from phonoweave.functions import columns
 from phonoweave.functions.distance import FeatureDistance, symbol_codes
 from phonoweave.functions.inventory import letter_table, phonetic_table
+from phonoweave.functions.synthesis import name_vectors
 from phonoweave.operators import bitmaps, diagnose, engine, metrics, stages, tiles, whatif
 from phonoweave.plans.rules import RuleParser
 from phonoweave.sources import lines
@@ -1054,3 +1055,58 @@ def analysis_file_fed(spark, sf_dir):
 def vector_docfreq(spark, sf_dir):
     """In how many words a phone of each vector is."""
     return metrics.vector_docfreq(words(spark, sf_dir), letter_table())
+
+
+# --- symbols of vectors ------------------------------------------------------------------------------------------------------------
+
+#: What a letter takes from the one after it, a doubled one beside: (letters, values).
+_TAKES = (("mn", ("+nas",)), ("h", ("+sg",)), ("wuo", ("+lab", "+round")), ("ij", ("+hi", "+front")), ("e", ("+stres", "+prim")), ("z", ("-voi",)), ("x", ("+stres", "-prim", "+long")))
+
+
+def _set_in(fv: str, spec: str, t) -> str:
+    i = t.features.index(spec[1:]) + 1
+    return f"substr({fv}, 1, {i - 1}) || '{'2' if spec[0] == '+' else '0'}' || substr({fv}, {i + 1})"
+
+
+def _vector_expr(join: str) -> str:
+    """SQL for the vector of letter x before letter y; `join` is the vector of x alone."""
+    t = phonetic_table()
+    out = "CASE"
+    for letters, specs in _TAKES:
+        fv = join
+        for spec in specs:
+            fv = f"({_set_in(fv, spec, t)})"
+        out += f" WHEN y IN ({', '.join(f"'{c}'" for c in letters)}) THEN {fv}"
+    return f"{out} WHEN x = y THEN {_set_in(join, '+long', t)} ELSE {join} END"
+
+
+def _names_sql() -> str:
+    t = phonetic_table()
+    effect = lambda specs: "".join({f"+{f}": "2", f"-{f}": "0"}.get(next((s for s in specs if s[1:] == f), ""), ".") for f in t.features)
+    marks = ", ".join(f"({i}, '{m}', '{effect(specs)}', {m in 'ˈˌ'})" for i, (m, specs) in enumerate(t.diacritics.items()))
+    bases = ", ".join(f"({i}, '{s}', '{v}')" for i, (s, v) in enumerate(t.vectors.items()))
+    digits = f"range(1, {len(t.features) + 1})"
+    return (
+        f"WITH RECURSIVE {_WORDS_SQL}, b(place, base, v) AS (VALUES {bases}), m(i, mark, e, front) AS (VALUES {marks}), "
+        "k AS (SELECT DISTINCT substr(word, i, 1) AS x, substr(word, i + 1, 1) AS y FROM (SELECT word, unnest(range(1, length(word))) AS i FROM w)), "
+        f"f AS (SELECT DISTINCT {_vector_expr('b.v')} AS fv FROM k JOIN b ON b.base = k.x), "
+        "known AS (SELECT v, arg_min(base, place) AS base FROM b GROUP BY v), "
+        f"u AS (SELECT fv, m.* FROM f JOIN m ON len(list_filter({digits}, lambda p: substr(e, p, 1) <> '.' AND substr(e, p, 1) <> substr(fv, p, 1))) = 0 WHERE fv NOT IN (SELECT v FROM known)), "
+        "s(fv, last, idx, es, before, after) AS (SELECT fv, i, [i], [e], CASE WHEN front THEN mark ELSE '' END, CASE WHEN front THEN '' ELSE mark END FROM u UNION ALL "
+        "SELECT s.fv, u.i, list_append(idx, u.i), list_append(es, e), before || CASE WHEN front THEN mark ELSE '' END, after || CASE WHEN front THEN '' ELSE mark END FROM s JOIN u ON u.fv = s.fv AND u.i > s.last WHERE len(idx) < 4), "
+        f"c AS (SELECT fv, idx, place, before || base || after AS name FROM s JOIN b ON len(list_filter({digits}, lambda p: substr(v, p, 1) <> substr(fv, p, 1) AND len(list_filter(es, lambda e: substr(e, p, 1) = substr(fv, p, 1))) = 0)) = 0 "
+        f"AND len(list_filter(es, lambda e: len(list_filter({digits}, lambda p: substr(e, p, 1) <> '.' AND substr(e, p, 1) <> substr(v, p, 1))) = 0)) = 0), "
+        "best AS (SELECT fv, arg_min(name, (len(idx), idx, place)) AS name FROM c GROUP BY fv) "
+        "SELECT f.fv, coalesce(known.base, best.name, '?') AS symbol FROM f LEFT JOIN known ON known.v = f.fv LEFT JOIN best ON best.fv = f.fv"
+    )
+
+
+@register("vector_names", _names_sql())
+def vector_names(spark, sf_dir):
+    """Symbols for the vectors of all letters as the letters after them change them."""
+    t = phonetic_table()
+    pairs_of = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.struct(F.substring("word", i, F.lit(1)).alias("x"), F.substring("word", i + 1, F.lit(1)).alias("y")))
+    pairs_in = words(spark, sf_dir).where(F.length("word") > 1).select(F.explode(pairs_of).alias("p")).select("p.*").distinct()
+    vector = F.create_map(*(F.lit(x) for kv in t.vectors.items() for x in kv))
+    met = pairs_in.withColumn("v", F.element_at(vector, F.col("x"))).where("v is not null")
+    return name_vectors(met.select(F.expr(_vector_expr("v")).alias("fv")), t)
