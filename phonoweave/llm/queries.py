@@ -128,15 +128,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_collocations": op13_collocations,
 }
 
-_OP7 = """
-WITH p AS (
-  SELECT page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+#: Edges are the absolute addresses in quotes that canonical links and refreshes of a page name; the query reads more forms.
+_OP7 = r"""
+WITH RECURSIVE
 r(action, rhost, rpath) AS (VALUES ('allow','com','/'), ('block','example.com','/en/'), ('allow','www.example.com','/en/'), ('block','net','/es/'), ('block','net','/fr/')),
+t AS (
+  SELECT url AS a, unnest(regexp_extract_all(html, '(?is)<link\s[^>]*rel\s*=\s*["'']?canonical["'']?[\s/>][^>]*>?|<link\s[^>]*rel\s*=\s*["'']?canonical["'']?>')) AS tag, '(?is)href\s*=\s*["'']([^"''#]*)' AS p FROM pages WHERE url IS NOT NULL
+  UNION ALL SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh["'']?\s[^>]*>')), '(?is)url\s*=\s*([^"''#>\s]*)' FROM pages WHERE url IS NOT NULL),
+x AS (SELECT a, regexp_extract(tag, p, 1) AS b FROM t),
+y AS (SELECT unnest([a, b]) AS u FROM x WHERE contains(b, '://')),
+n AS (
+  SELECT u, lower(regexp_extract(u, '^[^:/?#]*://[^/?#]*')) || regexp_extract(substr(u, length(regexp_extract(u, '^[^:/?#]*://[^/?#]*')) + 1), '^[^#]*') AS node FROM (SELECT DISTINCT u FROM y UNION SELECT DISTINCT url FROM pages WHERE url IS NOT NULL)),
+e AS (SELECT DISTINCT p.node AS a, q.node AS b FROM x JOIN n p ON p.u = x.a JOIN n q ON q.u = x.b WHERE p.node <> q.node),
+d AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c(node, root) AS (SELECT DISTINCT a, a FROM d UNION SELECT d.b, c.root FROM c JOIN d ON d.a = c.node),
+k AS (SELECT node, min(root) AS component FROM c GROUP BY node),
+u AS (SELECT node AS url FROM k UNION SELECT url FROM pages),
+h AS (
+  SELECT url, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM u),
 m AS (
-  SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(action, length(rhost || rpath)) AS action
-  FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.action, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+  SELECT url, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(action, length(rhost || rpath)) AS action
+  FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY url),
+g AS (SELECT component, bool_or(m.action = 'allow') AS allowed, bool_or(m.action = 'block') AS blocked FROM k LEFT JOIN m ON m.url = k.node GROUP BY component)
+SELECT p.page_id, h.host, h.path, m.rule, coalesce(m.action, CASE WHEN g.blocked AND NOT coalesce(g.allowed, false) THEN 'block' END, 'allow') AS verdict
+FROM pages p JOIN h ON h.url IS NOT DISTINCT FROM p.url LEFT JOIN m ON m.url = p.url LEFT JOIN n ON n.u = p.url LEFT JOIN k ON k.node = n.node LEFT JOIN g ON g.component = k.component
 """
 
 _OP9 = r"""

@@ -73,3 +73,30 @@ def test_media(spark, texts):
         raw = texts[i].encode()
         payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+
+
+def test_redirects_against_sql(spark, tmp_path):
+    """Pages with links and refreshes: the query and its recursive SQL agree, and blocks and allows are inherited."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(18)
+    hosts = ["a.net", "b.org", "c.org", "d.org", "e.io", "Ok.com", "example.com", "www.example.com"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("/es/1", "/fr/2", "/en/3", "/4", "/5?q=1", "")]
+    rows = []
+    for i, u in enumerate([*urls, None, "no address", urls[3], "HTTP://A.net/es/1#x"]):
+        tags = "".join(rng.choice([f'<link rel="canonical" href="{v}">', f"<LINK href='{v}' rel=canonical />", f'<meta http-equiv="refresh" content="3; url={v}">']) for v in rng.sample(urls, rng.choice([0, 0, 1])))
+        rows.append((i, u, rng.choice([f"<html>{tags}<p>text</p>", tags, None])))
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op7_url_filters(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    found = con.execute(queries.SQL["op7_url_filters"])
+    mine = got.collect()
+    assert rows_of(got.columns, mine) == rows_of([d[0] for d in found.description], found.fetchall())
+    assert sum(r.verdict == "block" and r.rule is None for r in mine) >= 3 and any(r.verdict == "block" and r.rule for r in mine)
+
+
+def rows_of(columns, values):
+    return rows(columns, [tuple(r) for r in values])
