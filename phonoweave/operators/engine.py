@@ -205,9 +205,9 @@ def derivation_text(run: DataFrame, cascade: Cascade, key: str = "etym_id", star
     return run.select(key, F.array_join(F.concat(F.array(form(start)), lines, F.array(form(F.col("outcome")))), "\n").alias("derivation"))
 
 
-def stage_graph(snaps: DataFrame, names: Sequence[str], key: str = "etym_id") -> DataFrame:
-    """One row for each word, one column for each stage. The stages are named, so no extra pass finds them."""
-    return snaps.groupBy(key).pivot("stage", list(names)).agg(F.first("form"))
+def stage_graph(run: DataFrame, cascade: Cascade, key: str = "etym_id") -> DataFrame:
+    """One row for each word of simulate_lexicon(), one column for each stage: where the row is, without a shuffle."""
+    return run.select(key, *(F.col("stages")[i]["form"].alias(s.name) for i, s in enumerate(cascade.stages)))
 
 
 def stage_report(run: DataFrame, cascade: Cascade, gold_columns: Sequence[int] = (), output: int | None = None, key: str = "etym_id") -> DataFrame:

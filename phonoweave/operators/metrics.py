@@ -167,8 +167,8 @@ def errors_by_phone(pairs: DataFrame, side: str) -> DataFrame:
     error_rate is words in error with the phone, of the words with the phone; token_rate of its tokens.
     """
     tokens = F.filter(F.split(side, " "), lambda x: ~x.isin("#", "+", ""))
-    own = pairs.where("ld is not null").select((F.col("ld") > 0).cast("int").alias("bad"), tokens.alias("t"))
-    each = own.select("bad", "t", F.explode(F.array_distinct("t")).alias("sym")).select("bad", "sym", F.size(F.filter("t", lambda x: x == F.col("sym"))).alias("n"))
+    counted = F.transform(F.array_distinct(tokens), lambda s: F.struct(s.alias("sym"), F.size(F.filter(tokens, lambda x: x == s)).alias("n")))
+    each = pairs.where("ld is not null").select((F.col("ld") > 0).cast("int").alias("bad"), F.explode(counted).alias("x")).select("bad", "x.sym", "x.n")
     out = each.groupBy("sym").agg(F.count("*").alias("n_words"), F.sum("n").cast("long").alias("n_tokens"), F.sum("bad").cast("long").alias("n_errors"))
     return out.withColumn("error_rate", F.col("n_errors") / F.col("n_words")).withColumn("token_rate", F.col("n_errors") / F.col("n_tokens"))
 

@@ -215,18 +215,24 @@ def step_stages(spark, sf_dir):
 def _implications_sql() -> str:
     t = phonetic_table()
     rows = ", ".join(f"('{k}', '{x}')" for k, implied in t.implications.items() for x in implied)
-    starts = ", ".join(f"('{m}{f}')" for f in t.features for m in "+-")
+    specs = ", ".join(f"('{s}', '{m}{f}')" for s, vec in t.vectors.items() for f, v in zip(t.features, vec, strict=True) if (m := {"2": "+", "0": "-"}.get(v)))
     return (
-        f"WITH RECURSIVE imp(key, spec) AS (VALUES {rows}), c(start, spec) AS (SELECT * FROM (SELECT s AS start, s AS spec FROM (VALUES {starts}) AS v(s)) UNION "
-        "SELECT c.start, imp.spec FROM c JOIN imp ON imp.key = c.spec OR (imp.key = substr(c.spec, 2) AND substr(c.spec, 1, 1) IN ('+', '-')) WHERE substr(imp.spec, 2) <> substr(c.start, 2)) SELECT start, spec FROM c"
+        f"WITH RECURSIVE {_WORDS_SQL}, own(sym, spec) AS (VALUES {specs}), l AS (SELECT DISTINCT unnest(string_split(word, '')) AS sym FROM w), starts AS (SELECT spec, count(*) AS n_phones FROM own JOIN l USING (sym) GROUP BY spec), "
+        f"imp(key, spec) AS (VALUES {rows}), c(start, spec) AS (SELECT spec AS start, spec FROM starts UNION "
+        "SELECT c.start, imp.spec FROM c JOIN imp ON imp.key = c.spec OR (imp.key = substr(c.spec, 2) AND substr(c.spec, 1, 1) IN ('+', '-')) WHERE substr(imp.spec, 2) <> substr(c.start, 2)) "
+        "SELECT c.start, n_phones, c.spec FROM c JOIN starts ON starts.spec = c.start"
     )
 
 
 @register("implication_closure", _implications_sql())
 def implication_closure(spark, sf_dir):
-    """What each value of a feature implies, itself included."""
+    """What each value of a feature that phones of the words have implies, itself included, and how many phones have it."""
     t = phonetic_table()
-    return spark.createDataFrame([(m + f, x) for f in t.features for m in "+-" for x in t.close([m + f])], "start string, spec string")
+    closed = {m + f: t.close([m + f]) for f in t.features for m in "+-"}
+    implied = F.create_map(*(x for k, v in closed.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    letters = words(spark, sf_dir).select(F.explode(F.split("word", "")).alias("sym")).distinct()
+    starts = letters.select(F.explode(F.element_at(diagnose.feature_columns(t), F.col("sym"))).alias("start")).groupBy("start").agg(F.count("*").alias("n_phones"))
+    return starts.select("start", "n_phones", F.explode(F.element_at(implied, F.col("start"))).alias("spec"))
 
 
 @register("rule_effects", f"WITH {_WORDS_SQL}, {_chain(_STAGED)}, {_LOG_SQL} SELECT rule_idx, count(DISTINCT word) AS n_changed, min(word) AS first_key FROM log GROUP BY rule_idx")
@@ -271,7 +277,8 @@ def rule_report(spark, sf_dir):
 
 @register("stage_graph", f"WITH {_WORDS_SQL}, {_chain(_STAGED)} SELECT word, f2 AS \"Middle\", f3 AS \"Late\" FROM c4")
 def stage_graph(spark, sf_dir):
-    return engine.stage_graph(stage_snapshots(spark, sf_dir), ["Middle", "Late"], "word")
+    found = engine.stage_graph(_staged_run(spark, sf_dir), cascade(*_STAGED_LINES), "word")
+    return found.select("word", _plain("Middle").alias("Middle"), _plain("Late").alias("Late"))
 
 
 @register("rule_graph", f"WITH {_WORDS_SQL}, {_chain(_STAGED)}, {_LOG_SQL} SELECT rule_idx, max(after) FILTER (WHERE word = 'los') AS los, max(after) FILTER (WHERE word = 'on') AS \"on\" FROM log WHERE word IN ('los', 'on') GROUP BY rule_idx")
@@ -310,10 +317,16 @@ def presence_update(spark, sf_dir):
     return run.select("etym_id", F.replace(F.col("stages")[0]["form"], F.lit(" "), F.lit("")).alias("at_stage"), _plain("outcome").alias("outcome"), "status")
 
 
-@register("rule_lookup", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r}')" for i, (r, _) in enumerate(LITERAL)) + ") AS t(rule_idx, canonical) WHERE contains(canonical, 'h >')")
+_FOUND = [i for i, (rule, _) in enumerate(LITERAL) if "h >" in rule]
+
+
+@register("rule_lookup", f"WITH {_WORDS_SQL}, {_chain(LITERAL)}, n AS (" + " UNION ALL ".join(f"SELECT {i} AS rule_idx, '{LITERAL[i][0]}' AS canonical, count(*) FILTER (WHERE f{i} <> f{i + 1}) AS n_words FROM c{len(LITERAL)}" for i in _FOUND) + ") SELECT * FROM n")
 def rule_lookup(spark, sf_dir):
+    """The rules whose text holds `h >`, and how many words each changes."""
     c = cascade(*(s for s, _ in LITERAL))
-    return c.rules_df(spark).where(F.col("canonical").contains("h >")).select("rule_idx", "canonical")
+    log = engine.apply_cascade(words(spark, sf_dir), c, log=True).select(F.explode("log").alias("x")).groupBy("x.rule_idx").agg(F.count("*").alias("n"))
+    found = c.rules_df(spark).where(F.col("canonical").contains("h >"))
+    return found.join(log, "rule_idx", "left").select("rule_idx", "canonical", F.coalesce("n", F.lit(0)).alias("n_words"))
 
 
 @register("word_lookup", "SELECT p_partkey FROM part WHERE p_name = (SELECT min(p_name) FROM part)")
