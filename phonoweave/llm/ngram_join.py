@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import TwiceFilter, build_once, build_twice
+from .bloom import RepeatFilter, TwiceFilter, build_once, build_repeats
 from .common import MIX_2, Stored, frugal, mix64, release, slices, strings, word_hashes
 from .components import connected_components
 
 WORDS, PERCENT = 5, 80
 #: Counters of the frequency sketch, a fixed size; only the order of shingles depends on it, never a link.
 SKETCH_BITS, SKETCH_PARTS = 22, 64
-#: Bits of a class's parity signature and of a group's union.
+#: Bits of a class's parity signature and of a group's union, in which 16 bits of a shingle are its place.
 PARITY_BITS, UNION_BITS = 1024, 1 << 16
 #: Rows of one token that meet the token's groups in one task.
 TASK_ROWS = 4096
@@ -179,13 +179,13 @@ class _Join:
             for _, _, own in prefixes(batch):
                 yield np.concatenate(own)
 
-        twice = build_twice(self.docs.select("text"), hashes_of, tokens // 2)
+        twice = build_repeats(self.docs.select("text"), hashes_of, tokens // 2)
         sent = self.sc.broadcast((twice.bits.tobytes(), twice.log2))
         self.sent += [levels, sent]
 
         @frugal
         def run(batches):
-            filt = TwiceFilter(*sent.value)
+            filt = RepeatFilter(*sent.value)
             for batch in batches:
                 for _, sets, own in prefixes(batch):
                     token = np.concatenate(own)
@@ -198,8 +198,8 @@ class _Join:
 
         return self.docs.select("text").mapInArrow(run, "token long, cls long, size int, pos int")
 
-    def fetch_sets(self, classes: DataFrame, owners: DataFrame) -> DataFrame:
-        """(cls, set) of the given distinct classes, from the text of one row of each.
+    def fetch_sets(self, classes: DataFrame, owners: DataFrame, low: bool = False) -> DataFrame:
+        """(cls, set) of the given distinct classes, from the text of one row of each; with `low` the places in a union alone.
 
         A filter of the owners' ids tells where their texts are; sets are made there, and no text is shuffled.
         """
@@ -214,9 +214,10 @@ class _Join:
             filt = TwiceFilter(*sent.value)
             for batch in batches:
                 for _, sets in _sets(batch.take(pa.array(np.flatnonzero(filt.suspects(_ids(batch.column("doc_id")))))), words):
-                    yield _batch([(class_of(s, seed)[0], s.tobytes()) for s in sets if len(s)], (pa.int64(), pa.binary()), ["cls", "set"])
+                    yield _batch([(class_of(s, seed)[0], (s.astype(np.uint16) if low else s).tobytes()) for s in sets if len(s)], (pa.int64(), pa.binary()), ["cls", "set"])
 
-        made = self.docs.where("doc_id is not null").mapInArrow(run, "cls long, set binary")
+        # Written where the texts are; what is joined with them reads the table, so a set is not moved before its first join.
+        made = self.store(self.docs.where("doc_id is not null").mapInArrow(run, "cls long, set binary"), "sets")
         return made.join(wanted.select("cls"), "cls").dropDuplicates(["cls"])
 
     def verify(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -234,7 +235,7 @@ class _Join:
 
         some = self.store(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(near, "a long, b long"), "pairs")
         ends = some.select(F.col("a").alias("cls")).union(some.select(F.col("b").alias("cls"))).distinct()
-        sets = self.store(self.fetch_sets(ends, classes), "sets")
+        sets = self.fetch_sets(ends, classes)
         one, two = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))
 
         @frugal
@@ -307,8 +308,7 @@ class _Join:
         percent = self.percent
         members = rows.join(asked.select(F.col("other").alias("grp")).distinct(), "grp").select("cls", "grp").distinct()
         ends = asked.select("cls").union(members.select("cls")).distinct()
-        sets = self.store(self.fetch_sets(ends, classes), "sets")
-        low = np.uint64(UNION_BITS - 1)
+        sets = self.fetch_sets(ends, classes, low=True)
 
         def merge(of):
             @frugal
@@ -327,8 +327,8 @@ class _Join:
             return run
 
         def add_set(bits, value):
-            at = np.frombuffer(value, np.uint64) & low
-            np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            at = np.frombuffer(value, np.uint16)
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
 
         def add_bits(bits, value):
             bits |= np.frombuffer(zlib.decompress(value), np.uint8)
@@ -342,10 +342,10 @@ class _Join:
             for batch in batches:
                 rows = []
                 for cls, other, least, own, packed in zip(*(batch.column(c).to_pylist() for c in ("cls", "other", "least", "set", "union")), strict=True):
-                    at = np.frombuffer(own, np.uint64)
-                    n, at = len(at), at & low
+                    at = np.frombuffer(own, np.uint16)
+                    n = len(at)
                     bits = np.frombuffer(zlib.decompress(packed), np.uint8)
-                    overlap = int(((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).sum())
+                    overlap = int(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).sum())
                     least = max(least, -(-percent * n // 100))
                     if overlap >= -(-percent * (n + least) // (100 + percent)):
                         rows.append((cls, other))

@@ -41,6 +41,20 @@ def test_bloom_never_misses(spark):
     assert not bloom.build_twice(df.limit(0), lambda b: iter([np.zeros(0, np.uint64)]), 0).suspects(np.frombuffer(keys[0], np.uint64)).any()
 
 
+@pytest.mark.parametrize(("keys", "held"), [(3000, 1 << 22), (2_000_000, 500)])
+def test_repeat_filter(spark, keys, held, monkeypatch):
+    """No key that is there twice is missed, in one task or in two, in one segment or many; few others are suspected."""
+    monkeypatch.setattr(bloom, "KEYS_HELD", held)
+    rng = np.random.default_rng(keys)
+    once, twice = rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2), rng.integers(0, 1 << 63, 700).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    own = np.concatenate([once, twice, twice, twice[:50]])
+    rng.shuffle(own)
+    df = spark.createDataFrame([(own[i : i + 997].tobytes(),) for i in range(0, len(own), 997)], "k binary").repartition(5)
+    got = bloom.build_repeats(df, lambda b: iter([np.frombuffer(x, np.uint64) for x in b.column("k").to_pylist()]), keys)
+    assert got.suspects(twice).all() and got.suspects(once).mean() < (0.02 if keys > 20_000 else 0.5)
+    assert not bloom.build_repeats(df.limit(0), lambda b: iter([np.zeros(0, np.uint64)]), 0).suspects(once[:9]).any()
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2040)] + [(5, None), (7, 7)]
