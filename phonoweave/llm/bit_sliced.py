@@ -19,8 +19,10 @@ from .common import Stored
 SCALE = 1024
 #: Rows in a block of the index, and queries in a block: what a task holds at once.
 BLOCK_ROWS, BLOCK_QUERIES = 1 << 13, 256
-#: Blocks of the index that one merge brings together.
+#: Blocks of the index that one merge brings together, and that at most are in one group that queries are dealt to.
 MERGE_BLOCKS = 64
+#: Bytes of the queries that a group of the index meets at once; more are dealt to several cells.
+CELL_BYTES = 1 << 25
 
 
 def quantise(vectors: np.ndarray) -> np.ndarray:
@@ -127,19 +129,17 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     null, empty, or hold null or non-finite components take no part, nor do those with a component so great that a score of two
     such vectors of that length might leave 64 bits (beyond sqrt(2^62 / length) / 1024 - 2, some 260,000 at 64 components);
     vectors of another length than the query's are no
-    candidates for it. Blocks of queries meet those of the index by a join on the index's part number, so the work is split
-    over both; each pair of blocks emits at most k rows a query, which are merged in groups of parts and then in full.
+    candidates for it. Blocks of queries meet those of the index by a join on cells, each a group of the index's parts and one
+    of the queries, so the work is split over both and nothing is broadcast; a cell streams its part of the index past at most
+    about CELL_BYTES of queries. Each pair of blocks emits at most k rows a query, which are merged in groups of parts and
+    then in full.
     """
     data = usable(table, id_col, vector_col).where(F.size("vector") > 0)
     # Rows in order of id within a block let ties be resolved by position.
     parts = max(1, -(-data.count() // BLOCK_ROWS))
     blocks = Stored(data.withColumn("dims", F.size("vector")).repartitionByRange(parts, F.col("dims"), F.col("id")).sortWithinPartitions("dims", "id").mapInArrow(_index, INDEX), "bit-slices", "none")
     asked = Stored(usable(queries, id_col, vector_col).where(F.size("vector") > 0).mapInArrow(_ask, ASKED), "queries")
-    # Every index block is needed by every query block; the queries are dealt to all parts of the index.
-    last = blocks.df.agg(F.max("part")).first()[0]
-    numbers = F.array().cast("array<int>") if last is None else F.sequence(F.lit(0), F.lit(last))
-    pairs = asked.df.withColumn("part", F.explode(numbers))
-    met = blocks.df.join(pairs, "part").where("dims = q_dims")
+    met = _meet(blocks.df, asked.df)
     hits = met.select("part", "ids", "slices", "offsets", "q_ids", "q_vectors", "dims").mapInArrow(_search(k), "query_id long, id long, score long, part int")
     order = [F.desc("score"), F.asc("id")]
     some = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k)
@@ -147,6 +147,26 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 
 
+def _meet(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every block of the index beside every block of queries of its length.
+
+    A group of the index is a cell's width, one of the queries its height. Both sides are dealt by shuffles that spill:
+    copies of the queries would be broadcast whole by their size before they are multiplied.
+    """
+    last = blocks.agg(F.max("part")).first()[0]
+    size = asked.agg(F.sum(F.octet_length("q_vectors"))).first()[0]
+    if last is None or size is None:
+        across, down = 0, 0
+    else:
+        across = min(last + 1, max(4 * blocks.sparkSession.sparkContext.defaultParallelism, last // MERGE_BLOCKS + 1))
+        down = -(-size // CELL_BYTES)
+    numbers = lambda n: F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
+    left = blocks.withColumn("across", F.pmod("part", F.lit(max(1, across)))).withColumn("down", F.explode(numbers(down)))
+    right = asked.withColumn("down", F.pmod(F.hash("q"), F.lit(max(1, down)))).withColumn("across", F.explode(numbers(across)))
+    cells = 2 * max(1, across * down)  # a number that is given is kept, however few bytes there are to so much work
+    return left.repartition(cells, "across", "down").join(right.repartition(cells, "across", "down").hint("merge"), ["across", "down"]).where("dims = q_dims")
+
+
 INDEX = "part int, dims int, ids binary, slices binary, offsets binary"
 ASKED = "q string, q_dims int, q_ids binary, q_vectors binary"
 
@@ -180,10 +200,18 @@ def _index(batches):
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "dims": pa.array([dims], pa.int32()), "ids": [ids.astype(np.int64).tobytes()], "slices": [maps.tobytes()], "offsets": [offset.tobytes()]})
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The values in the narrowest integers of 2, 4 or 8 bytes that hold them."""
+    for kind in (np.int16, np.int32):
+        if len(values) and np.iinfo(kind).min <= values.min() and values.max() <= np.iinfo(kind).max:
+            return values.astype(kind)
+    return values
+
+
 def _ask(batches):
     part = TaskContext.get().partitionId()
     for n, (dims, ids, values) in enumerate(_runs(batches, BLOCK_QUERIES)):
-        yield pa.RecordBatch.from_pydict({"q": [f"{part}.{n}"], "q_dims": pa.array([dims], pa.int32()), "q_ids": [ids.astype(np.int64).tobytes()], "q_vectors": [values.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"q": [f"{part}.{n}"], "q_dims": pa.array([dims], pa.int32()), "q_ids": [ids.astype(np.int64).tobytes()], "q_vectors": [_narrow(values).tobytes()]})
 
 
 def _search(k: int):
@@ -198,9 +226,11 @@ def _search(k: int):
                 valid = np.zeros(words * 64, np.uint8)
                 valid[: len(ids)] = 1
                 valid = np.packbits(valid, bitorder="little").view(np.uint64)
-                asked = np.frombuffer(row["q_vectors"], np.int64).reshape(-1, dims)
+                q_ids = np.frombuffer(row["q_ids"], np.int64)
+                width = len(row["q_vectors"]) // (len(q_ids) * dims)
+                asked = np.frombuffer(row["q_vectors"], f"i{width}").astype(np.int64).reshape(-1, dims)
                 out = []
-                for query_id, q in zip(np.frombuffer(row["q_ids"], np.int64).tolist(), asked, strict=True):
+                for query_id, q in zip(q_ids.tolist(), asked, strict=True):
                     total, extra = add_slices(planes, dims, q)
                     mine = valid.copy()
                     a, b = np.searchsorted(ids, query_id, "left"), np.searchsorted(ids, query_id, "right")

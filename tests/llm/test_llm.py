@@ -370,6 +370,19 @@ def test_top_k(spark, block, monkeypatch):
     assert bit_sliced.top_k(df, none).count() == 0 and bit_sliced.top_k(none, df).count() == 0 and bit_sliced.top_k(none, none).count() == 0
 
 
+@pytest.mark.parametrize("cell", [1, 1 << 25])
+def test_top_k_broadcasts_no_queries(spark, cell, monkeypatch):
+    """Every block of the index meets every block of queries once, dealt by cells, and no copies of the queries are broadcast."""
+    monkeypatch.setattr(bit_sliced, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(bit_sliced, "CELL_BYTES", max(cell, 300))
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * 50]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    out = bit_sliced.top_k(df, df.where("vec_id % 5 = 0"), 10)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in out.select("query_id", "rank", "vec_id", "score").collect()} == brute_top(rows, range(0, 150, 5), 10)
+
+
 def test_top_k_of_great_components(spark):
     """Scores up to 62 bits are exact; vectors whose scores might leave 64 bits take no part."""
     most = math.isqrt((1 << 62) // 2) / 1024
