@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import Accumulator
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,15 +245,25 @@ def changed_words(steps: DataFrame, rule: int, key: str = "etym_id") -> DataFram
     return steps.where(F.col("rule_idx") == rule).select(key, "before", "after")
 
 
+def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """`df` with a column that is made here, once a row, however often it is used: it comes out of a generator.
+
+    A condition on a column of a projection is moved down with what the column is made of, through a grouping by the words to
+    all the places that they stand at, and is worked out there again.
+    """
+    return df.select("*", F.explode_outer(F.array(column)).alias(name))
+
+
 def matches(df: DataFrame, table: SymbolTable, items: tuple, form: str = "form") -> DataFrame:
     """`df` with bounds: [start, end) of each match of the context elements in the form with its word boundaries.
 
     Columns only: the elements become one regular expression. The few patterns that none can express go to the matcher. Null
-    has no bounds; symbols of the forms must be in the table.
+    has no bounds; symbols of the forms must be in the table. A form is coded and searched once for each row of `df`.
     """
     codes = codes_of(table)
     if (regex := bounds_regex(items, table, codes)) is not None:
-        return df.withColumn("_coded", whole(F.col(form), codes)).withColumn("bounds", bounds(F.col("_coded"), regex)).drop("_coded")
+        coded = _once(df, "_coded", whole(F.col(form), codes))
+        return _once(coded, "bounds", bounds(F.col("_coded"), regex)).drop("_coded")
     return matches_by_walking(df, table, items, form)
 
 
@@ -274,7 +284,7 @@ def filter_words(df: DataFrame, table: SymbolTable, items: tuple, form: str = "f
     codes = codes_of(table)
     regex = bounds_regex(items, table, codes)
     if regex is not None and not all(isinstance(x, Group) for x in items):
-        return df.where(whole(F.col(form), codes).rlike(regex))
+        return _once(df, "_coded", whole(F.col(form), codes)).where(F.col("_coded").rlike(regex)).drop("_coded")
     return matches(df, table, items, form).where(F.size("bounds") > 0).drop("bounds")
 
 

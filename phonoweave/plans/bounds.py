@@ -103,8 +103,10 @@ def whole(form: Column, codes: dict[str, str]) -> Column:
         known = F.create_map(*(F.lit(x) for kv in (codes | {WORD: WORD, MORPH: MORPH}).items() for x in kv))
         each = F.filter(F.split(form, r"\s+"), lambda x: x != "")
         own = F.array_join(F.transform(each, lambda x: F.coalesce(F.element_at(known, x), F.raise_error(F.concat(F.lit("a symbol that is not in the table: "), x)).cast("string"))), "")
-    own = F.when(own.startswith(WORD), own).otherwise(F.concat(F.lit(WORD), own))
-    return F.when(own.endswith(WORD) & (F.length(own) > 1), own).otherwise(F.concat(own, F.lit(WORD)))
+    first = lambda x: F.when(x.startswith(WORD), x).otherwise(F.concat(F.lit(WORD), x))
+    last = lambda x: F.when(x.endswith(WORD) & (F.length(x) > 1), x).otherwise(F.concat(x, F.lit(WORD)))
+    # the form is an element of an array, so that it is made once and not in each use
+    return F.get(F.transform(F.transform(F.array(own), first), last), 0)
 
 
 def bounds(word: Column, regex: str) -> Column:
