@@ -19,8 +19,8 @@ from phonoweave.plans.kernel import Kernel
 from phonoweave.plans.rules import Group, Rule, match_bounds
 from phonoweave.sources.readers import ABSENT, ABSENT_S, BLACK, GOLD, PRESENT_S, UNATTESTED, UNATTESTED_S, Cascade
 
-#: Forms that a task remembers; when there are more, all are forgotten.
-CACHE = 200_000
+#: Forms that a task remembers, as many as a batch has rows; when there are more, all are forgotten. Longer ones are not kept.
+CACHE, CACHE_CHARS = 10_000, 256
 STEP = T.StructType([T.StructField("rule_idx", T.IntegerType()), T.StructField("before", T.StringType()), T.StructField("after", T.StringType())])
 STAGE = T.StructType([T.StructField(n, t) for n, t in (("seq", T.IntegerType()), ("stage", T.StringType()), ("type", T.StringType()), ("form", T.StringType()), ("status", T.StringType()))])
 _STEP_PA = pa.struct([("rule_idx", pa.int32()), ("before", pa.string()), ("after", pa.string())])
@@ -51,9 +51,11 @@ def _each_form(made):
         for f in forms.to_pylist():
             got = None if f is None else seen.get(f)
             if got is None and f is not None:
-                if len(seen) >= CACHE:
-                    seen = {}
-                got = seen[f] = made(f)
+                got = made(f)
+                if len(f) <= CACHE_CHARS:
+                    if len(seen) >= CACHE:
+                        seen = {}
+                    seen[f] = got
             out.append(got)
         return out
 

@@ -390,3 +390,31 @@ def test_stream(spark, tmp_path):
     assert [r.outcome for r in spark.sql("select * from streamed").collect()] == ["k a m p"]
     with pytest.raises(ValueError):
         stream_cascade(spark.createDataFrame([("a",)], "form string"), cascade())
+
+
+def test_what_a_task_remembers_is_bounded():
+    """Of distinct forms no more than a batch's are held, of long ones none; equal ones are made once."""
+    import weakref
+
+    import pyarrow as pa
+
+    class Made:
+        pass
+
+    alive, n = weakref.WeakSet(), [0]
+
+    def made(f):
+        out = Made()
+        alive.add(out)
+        n[0] += 1
+        return out
+
+    of = engine._each_form(made)
+    for a in range(0, 60_000, 10_000):
+        of(pa.array([f"a {i}" for i in range(a, a + 10_000)]))
+        assert len(alive) <= 10_000
+    of = engine._each_form(made)
+    of(pa.array(["t " * 5_000 + str(i) for i in range(50)]))
+    assert not alive
+    n[0] = 0
+    assert len(set(of(pa.array(["a", None, "a", "a"])))) == 2 and n[0] == 1
