@@ -104,7 +104,7 @@ def symbols(codes: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 def compose(first: np.ndarray, then: np.ndarray) -> np.ndarray:
     """The maps of state to state that run `first` and `then` one after the other, row by row."""
-    return np.take_along_axis(then, first.astype(np.intp), axis=1)
+    return then.take(first + (np.arange(len(first)) * then.shape[1])[:, None])
 
 
 def prefix_states(maps: np.ndarray, start: int = FRESH) -> np.ndarray:
@@ -117,6 +117,15 @@ def prefix_states(maps: np.ndarray, start: int = FRESH) -> np.ndarray:
     return np.concatenate([[start], total[:-1, start]]).astype(np.uint8)
 
 
+def _looked_up(at: np.ndarray, table: bytes) -> np.ndarray:
+    """table[at] of bytes, which are not made indices of eight bytes each."""
+    return np.frombuffer(at.tobytes().translate(table), np.uint8).reshape(at.shape)
+
+
+#: The tables for every byte.
+_AFTER, _BEGINS = (bytes(x.astype(np.uint8)).ljust(256, b"\0") for x in (AFTER, BEGINS))
+
+
 def piece_starts(syms: np.ndarray) -> np.ndarray:
     """Where pieces begin (resets included), by chunk maps, their scan, and a second pass."""
     n = len(syms)
@@ -126,12 +135,12 @@ def piece_starts(syms: np.ndarray) -> np.ndarray:
     grid = np.ascontiguousarray(grid.reshape(rows, CHUNK).T).astype(np.uint8) * np.uint8(N_STATES)
     maps = np.tile(np.arange(N_STATES, dtype=np.uint8)[:, None], (1, rows))  # by state, chunk
     for column in grid:
-        maps = AFTER[column + maps]
+        maps = _looked_up(column + maps, _AFTER)
     state = prefix_states(np.ascontiguousarray(maps.T))
     marks = np.empty((CHUNK, rows), np.uint8)
     for i, column in enumerate(grid):
         at = column + state
-        marks[i], state = BEGINS[at], AFTER[at]
+        marks[i], state = _looked_up(at, _BEGINS), _looked_up(at, _AFTER)
     return np.flatnonzero(marks.T.ravel()[:n])
 
 

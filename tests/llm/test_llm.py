@@ -399,6 +399,15 @@ def test_top_k_of_great_components(spark):
 PIECES = ["a", "s", "t", "re", "'", "'s", "'ll", "'VE", " ", "  ", "\n", "\t", "1", "²", "é", "ﬁ", "中", ".", "!!", "<|endoftext|>", "<|endof", "the", "don't", "\x1c", "\x85", " ", "_", "😀", "Ab", "\0", "́", "　"]
 
 
+def test_the_splitter_looks_bytes_up():
+    """The tables for bytes are those of the automaton, and maps of states are composed row by row."""
+    for table, want in ((token_counts._AFTER, token_counts.AFTER), (token_counts._BEGINS, token_counts.BEGINS)):
+        at = np.arange(len(want), dtype=np.uint8).reshape(2, -1)
+        assert token_counts._looked_up(at, table).tolist() == want[at].astype(np.uint8).tolist()
+    a, b = np.random.default_rng(1).integers(0, token_counts.N_STATES, (2, 50, token_counts.N_STATES)).astype(np.uint8)
+    assert token_counts.compose(a, b).tolist() == [[int(y[x]) for x in row] for row, y in zip(a, b, strict=True)]
+
+
 def test_tokens_against_the_library():
     rng = random.Random(10)
     with open(PATH, encoding="utf-8") as f:
