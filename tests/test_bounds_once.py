@@ -5,7 +5,7 @@ import pytest
 from phonoweave import queries
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["match_bounds_edge", "match_bounds_morph", "context_autopsy_fbeta", "match_bounds_alpha"]
+NAMES = ["match_bounds_edge", "match_bounds_morph", "match_bounds", "context_autopsy_fbeta", "match_bounds_alpha"]
 
 
 @pytest.mark.parametrize("name", NAMES)
