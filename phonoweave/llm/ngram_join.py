@@ -259,8 +259,12 @@ class _Join:
             f"least({x}.size - {x}.pos, {y}.size - {y}.pos) >= {self.needed(f'{x}.size', f'{y}.size')}"
         )
 
-    def links(self, profile: DataFrame) -> DataFrame:
-        """(a, b): links enough to connect all classes that are connected."""
+    def links(self, profile: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """(node, component) of the classes linked with leaders, and the same of groups and single classes linked with others.
+
+        The second is None without such links. Both together connect all classes that are connected; what the first has
+        connected goes into the second as one node, so that it is not worked out again.
+        """
         named = profile.where("cls is not null").groupBy("cls").agg(F.min("n_shingles").alias("size"), F.first("sig").alias("sig"), F.min("doc_id").alias("owner"), (F.min("other") < F.max("other")).alias("same"))
         classes = self.store(named, "classes")
         row = classes.agg(F.sum(F.col("size") * (100 - self.percent) / 100 + 1).alias("n"), F.count_if("same").alias("same")).first()
@@ -276,14 +280,15 @@ class _Join:
         x, y = "x", "lead"
         led = rows.select(F.struct("cls", "size", "pos").alias("x"), "lead").where(f"x.cls <> lead.cls and {self.fits(x, y)}").select(F.col("x.cls").alias("a"), F.col("lead.cls").alias("b")).distinct()
         first = self.store(self.verify(led, classes), "links")
-        groups, _ = connected_components(first, "a", "b")
+        groups, stars = connected_components(first, "a", "b")
+        self.kept.append(stars)
         rows = rows.drop("lead").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("grp", F.coalesce("component", "cls")).drop("component")
         matrix = rows.groupBy("token", "grp").agg(F.count("*").alias("n"))
         # A token of very many rows is dealt over several tasks, each of which has all its groups.
         mixed = matrix.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.ceil(F.sum("n") / TASK_ROWS).cast("int").alias("deals")).where("g1 < g2").select("token", "deals")
         rows = self.store(rows.join(mixed, "token"), "rows")
         if rows.isEmpty():
-            return first
+            return groups, None
         matrix = rows.groupBy("token", F.col("grp").alias("other")).agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.expr("size - pos")).alias("rest"), F.first("deals").alias("deals"))
         matrix = matrix.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
         open_to = (
@@ -293,12 +298,20 @@ class _Join:
         dealt = rows.withColumn("deal", F.pmod(F.xxhash64("cls"), F.col("deals")).cast("int"))
         asked = self.store(dealt.join(matrix, ["token", "deal"]).where(open_to).groupBy("cls", "other").agg(F.first("size").alias("size"), F.min("least").alias("least")), "asked")
         if asked.isEmpty():
-            return first
+            return groups, None
         asked = self.bounded(asked, rows, classes)
         one = rows.join(asked.select("cls", "other"), "cls").select("token", "other", F.struct("cls", "size", "pos").alias("x"))
         two = rows.select("token", F.col("grp").alias("other"), F.struct("cls", "size", "pos").alias("y"))
         opened = one.join(two, ["token", "other"]).where(self.fits("x", "y")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-        return first.union(self.verify(opened, classes))
+        more = self.store(self.verify(opened, classes), "links")
+        if more.isEmpty():
+            return groups, None
+        for x in "ab":
+            own = groups.select(F.col("node").alias(x), "component")
+            more = more.join(own, x, "left").withColumn(x, F.coalesce("component", x)).drop("component")
+        tops, stars = connected_components(more, "a", "b")
+        self.kept.append(stars)
+        return groups, tops
 
     def bounded(self, asked: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
         """The (cls, other) whose overlap with the union of the group's shingles can reach what a link needs.
@@ -368,21 +381,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         join = _Join(docs.select("doc_id", "text"), words, percent, seed)
         profile = join.store(join.profile(), "profile")
         try:
-            links = join.store(join.links(profile), "links")
+            groups, tops = join.links(profile)
             break
         except _SameName:
             for x in join.kept:
                 x.drop()
     else:
         raise RuntimeError("classes could not be told apart")
-    groups, stars = connected_components(links, "a", "b")
     # What many rows share is settled for classes and written, so that the joins on it read tables and skew can be split.
     owners = profile.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("owner"))
     grouped = join.store(owners.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "owner", F.coalesce("component", "cls").alias("grp")), "grouped")
-    heads = join.store(grouped.groupBy("grp").agg(F.min("owner").alias("component_id")), "heads")
+    heads = grouped.groupBy("grp").agg(F.min("owner").alias("component_id"))
+    if tops is not None:
+        tied = join.store(heads.join(tops.withColumnRenamed("node", "grp"), "grp", "left").select("grp", "component_id", F.coalesce("component", "grp").alias("top")), "tied")
+        heads = tied.select("grp", "top").join(tied.groupBy("top").agg(F.min("component_id").alias("component_id")), "top").select("grp", "component_id")
+    heads = join.store(heads, "heads")
     named = join.store(grouped.join(heads, "grp").select("cls", "component_id"), "named")
     out = profile.select("doc_id", "n_shingles", "cls").join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    stars.drop()
     for x in join.sent:
         x.unpersist()
     for x in join.kept[1:-1]:  # the result reads the first and the last
