@@ -118,13 +118,16 @@ def contexts(matched: DataFrame, table: SymbolTable, offsets: list[int], form: s
 def contingency(ctx: DataFrame) -> DataFrame:
     """(rel_pos, predictor, n11, n10, n01, n00): the first figure says whether the predictor holds, the second whether it is a miss.
 
-    Symbols are added up first, so that what is spread over predictors has a row for each symbol of the inventory.
+    Symbols are added up first, so that what is spread over predictors has a row for each symbol of the inventory. A place's
+    totals are a window over these rows: joined to them, they would have the matches found and counted a second time.
     """
     miss, hit = F.sum(F.when(F.col("miss"), F.col("n")).otherwise(0)), F.sum(F.when(~F.col("miss"), F.col("n")).otherwise(0))
     by_sym = ctx.groupBy("rel_pos", "sym", "preds").agg(miss.alias("m"), hit.alias("h"))
-    totals = by_sym.groupBy("rel_pos").agg(F.sum("m").alias("misses"), F.sum("h").alias("hits"))
-    each = by_sym.select("rel_pos", "m", "h", F.explode("preds").alias("predictor")).groupBy("rel_pos", "predictor").agg(F.sum("m").alias("n11"), F.sum("h").alias("n10"))
-    return each.join(totals, "rel_pos").select("rel_pos", "predictor", "n11", "n10", F.expr("misses - n11").alias("n01"), F.expr("hits - n10").alias("n00"))
+    place = Window.partitionBy("rel_pos")  # as many rows as symbols
+    of_all = by_sym.select("rel_pos", "preds", "m", "h", F.sum("m").over(place).alias("misses"), F.sum("h").over(place).alias("hits"))
+    each = of_all.select("rel_pos", "m", "h", "misses", "hits", F.explode("preds").alias("predictor"))
+    held = each.groupBy("rel_pos", "predictor", "misses", "hits").agg(F.sum("m").alias("n11"), F.sum("h").alias("n10"))
+    return held.select("rel_pos", "predictor", "n11", "n10", F.expr("misses - n11").alias("n01"), F.expr("hits - n10").alias("n00"))
 
 
 def phi(n00: Column, n10: Column, n01: Column, n11: Column, floor: float = PHI_FLOOR) -> Column:
