@@ -26,12 +26,10 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 _WORDS_SQL = "words AS (SELECT DISTINCT unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+')) AS word FROM documents), w AS (SELECT word FROM words WHERE word <> '')"
-def _lower(column: str):
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def _split_words(df: DataFrame, column: str, *keep: str) -> DataFrame:
-    return df.select(*keep, F.explode(F.split(_lower(column), "[^a-z]+")).alias("word")).where("word <> ''")
+    """A row for each word of a text. Only A-Z are lower-cased: words have no other letters, so that it is done to them, not to the text."""
+    found = df.select(*keep, F.explode(F.split(column, "[^A-Za-z]+")).alias("word")).where("word <> ''")
+    return found.withColumn("word", F.lower("word"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
